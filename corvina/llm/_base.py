@@ -64,4 +64,4 @@ BROADCAST_ROWS = 1_000_000
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if the (written) table has at most ``limit`` rows of a few numbers; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df

@@ -2,14 +2,65 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.llm.lines import SQL as LINES_SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight arrivals (by doc_id's checksum) are appended and compacted; the rows are what the last version holds."""
+    from corvina.llm._base import shared_root
+    from corvina.llm.shards import ShardStore
+
+    store = ShardStore(spark, f"{shared_root(spark)}/shards-{uuid.uuid4().hex}", target_bytes=64 << 20)
+    docs = table(spark, sf_dir, "documents")
+    store.append(docs.withColumn("arrival_no", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(8))), "arrival_no")
+    version = store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(version).cast("long").alias("version"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm._base import Scratch
+    from corvina.llm.mixing import plan_mix
+
+    return plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "mixing")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm._base import Scratch
+    from corvina.llm.lines import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, Scratch(spark, "lines"), counts=True)
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm._base import Scratch
+    from corvina.llm.jaccard import groups
+
+    return groups(table(spark, sf_dir, "documents"), Scratch(spark, "jaccard"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages are written as archives, read back, and assembled; bodies are checked against their digests and not kept."""
+    from corvina.llm import warc
+    from corvina.llm._base import Scratch
+
+    scratch = Scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), f"{scratch.root}/archives", scratch)
+    captures = warc.assemble(scratch.save(warc.read(spark, f"{scratch.root}/archives", bodies=False)))
+    r = F.col("response")
+    return captures.select("page_id", r.payload_bytes.alias("payload_bytes"), r.payload_digest.alias("payload_digest"), r.type.alias("record_type"), "refers_to", F.coalesce(r.whole, F.lit(True)).alias("whole"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvina.llm.quality import quality
 
@@ -18,6 +69,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"op10_quality": op10_quality}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op5_line_dedup, op7_jaccard_join, op9_warc, op10_quality)}
+
+OP1_SQL = "select doc_id, lang, source, n_chars, md5(text) as text_md5, 2::bigint as version from documents"
+
+OP9_SQL = """
+with d as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+e as (select *, octet_length(encode(html))::bigint as n, array_to_string(list_transform(range(0, 8), lambda i:
+    array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(h, (1 + 5 * i)::int, 5))::bigint >> b) & 31) + 1)::int, 1)), '')), '') as digest from d),
+m as (select *, max(page_id) over (partition by digest, n) as original from e)
+select page_id, n as payload_bytes, digest as payload_digest, case when page_id = original then 'response' else 'revisit' end as record_type,
+  case when page_id = original then null else original end as refers_to, true as whole from m
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_line_dedup": LINES_SQL, "op9_warc": OP9_SQL}
