@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(version).cast("long").alias("version"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm.langid import identify
+
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return identify(table(spark, sf_dir, "documents"), held_out)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvina.llm._base import Scratch
     from corvina.llm.mixing import plan_mix
@@ -34,6 +42,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(table(spark, sf_dir, "documents"), Scratch(spark, "mixing")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm._base import Scratch
+    from corvina.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "neardup"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvina.llm._base import Scratch
     from corvina.llm.lines import dedup_lines
@@ -42,6 +57,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, Scratch(spark, "lines"), counts=True)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvina.llm._base import Scratch
     from corvina.llm.jaccard import groups
@@ -49,6 +70,18 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), Scratch(spark, "jaccard"))
 
 
+#: A model file given to the project; another may be named in the environment.
+PIECES = os.environ.get("CORVINA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's pieces, and the text that they decode to."""
+    from corvina.llm.pieces import decode, encode
+
+    both = decode(encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages are written as archives, read back, and assembled; bodies are checked against their digests and not kept."""
     from corvina.llm import warc
@@ -69,7 +102,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op5_line_dedup, op7_jaccard_join, op9_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_mixing, op4_embedding_neardup, op5_line_dedup, op6_html, op7_jaccard_join, op8_sentencepiece, op9_warc, op10_quality)}
 
 OP1_SQL = "select doc_id, lang, source, n_chars, md5(text) as text_md5, 2::bigint as version from documents"
 
