@@ -1,0 +1,81 @@
+import re
+
+from corvina.operators import parse
+from corvina.operators.results import formatted, infobox_details, load_results
+from corvina.sources import dump, sinks
+
+DUMP = """<mediawiki><page><title>Rusko</title><revision><text bytes="1" xml:space="preserve">{{Infobox Štát sveta
+| názov = Rusko &lt;ref name="a"&gt;zdroj&lt;/ref&gt; x
+| mesto = [[Moskva|hlavné mesto]] &amp;amp; y
+}}
+Text o [[Rusko|Rusku]].</text></revision></page>
+<page><title>Wikipédia:Pomoc</title><revision><text xml:space="preserve">pomoc</text></revision></page>
+<page><title>Prázdna</title><revision><text bytes="0"/></revision></page><page><title>Bez</title></page></mediawiki>"""
+
+
+def boxes(spark, *texts):
+    rows = parse.with_infobox(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, raw_text string"))
+    out = {r.doc_id: r.infobox and (r.infobox.name, r.infobox.properties) for r in rows.collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_raw_dump(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(DUMP)
+    records = dump.read_dump_raw(spark, str(tmp_path / "d.xml"))
+    pages = {r.doc_id: r for r in parse.parse_pages(records).collect()}
+    assert sorted(pages) == [0, 2, 3] and pages[2].raw_text == "" and pages[2].infobox is None
+    assert pages[0].title == "Rusko" and pages[0].infobox_title == "ŠtátSveta"
+    assert pages[0].infobox.properties == {"názov": "Rusko zdroj x", "mesto": "hlavné mesto & y"}
+    assert parse.parse_stats(records, parse.parse_pages(records)).first().asDict() == {"pages": 4, "parsed_pages": 3, "pages_with_infobox": 1}
+
+
+def test_raw_dump_splits_number_densely(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("<m>" + "".join(f"<page><title>T{i}</title><text>{'x' * (i % 50)}</text></page>\n" for i in range(3000)) + "</m>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = dump.read_dump_raw(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.doc_id, r.title) for r in rows) == [(i, f"T{i}") for i in range(3000)]
+
+
+def test_xml_dump(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(DUMP)
+    pages = {r.title: r for r in parse.parse_pages(dump.read_dump_xml(spark, str(tmp_path / "d.xml"))).collect()}
+    assert sorted(pages) == ["Bez", "Prázdna", "Rusko"] and pages["Prázdna"].raw_text == "" and pages["Bez"].raw_text == ""
+    assert pages["Rusko"].infobox.properties == {"mesto": "hlavné mesto &amp; y"} or "názov" in pages["Rusko"].infobox.properties
+
+
+def test_infobox_rules(spark):
+    assert boxes(spark, "{{Infobox Foo|a=1|b=2}}", "{{Infobox X\n| a = {{v|1}} z\n}}", "{{Infobox X\n| unnamed\n| b = 2\n}}", "no", None, "{{Infobox X\n| a =  \n}}") == [
+        ("Foo", {"b": "2"}), None, ("X", {"unnamed\n| b": "2"}), None, None, None,
+    ]
+    assert boxes(spark, "{{Infobox o'neil foo1bar sveta-x\n| k = 1\n| k = [[a|b]] [[c]]\n| l = &lt;b&gt;\n}}") == [("ONeilFoo1Bar", {"k": "b c", "l": ""})]
+    assert boxes(spark, "{{Infobox\n| a = [[A]] x [[B|b]]\n}}") == [("", {"a": "b"})]
+
+
+def test_long_values_do_not_exhaust_the_stack(spark):
+    value = "[[x]]" * 20_000
+    (got,) = boxes(spark, "{{Infobox X\n| a = " + value + "\n}}")
+    assert got == ("X", {"a": re.sub(r"\[\[(?:(.+?)\|)?(.+?)\]\]", r"\2", value)})
+
+
+def test_infobox_text_and_parts(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "t\n\"q\", x", ("N", {"k": "it's"}), ["p", "q"]), ("b", "", None, []), ("c", "", ("", {"a": "1"}), ["z"])], "title string, raw_text string, infobox struct<name:string,properties:map<string,string>>, terms array<string>")
+    sinks.write_parts(rows, str(tmp_path / "p"), 2)
+    back = {r.title: r for r in dump.read_parts(spark, str(tmp_path / "p")).select("*", parse.read_infobox_string("infobox").alias("box")).collect()}
+    assert back["a"].raw_text == 't\n"q", x' and back["a"].terms == "p q" and back["a"].box.name == "N" and back["a"].box.properties == {"k": "it's"}
+    assert back["c"].infobox.startswith("\t") and back["c"].box.properties == {"a": "1"} and back["b"].infobox is None and back["b"].box.name is None
+    alone = spark.createDataFrame([("{'a': 1}",), ("x",), ("a\tb\tc",)], "s string").select(parse.read_infobox_string("s").alias("b")).collect()
+    assert [r.b.properties for r in alone] == [{"a": "1"}, None, None]
+    files = dump.read_title_files(spark, str(tmp_path / "p")).collect()
+    assert {r.title for r in files} == {"a", "b", "c"} and all(r.file.endswith(".csv") for r in files)
+
+
+def test_results(spark):
+    pages = spark.createDataFrame([(1, "A b", ("N", {"k": "v"})), (2, "C", None)], "doc_id long, title string, infobox struct<name:string,properties:map<string,string>>")
+    found = spark.createDataFrame([(1, 1, "A b", 0.5, "N"), (2, 2, "C", 0.4, None)], "rank int, doc_id long, title string, score double, infobox_title string")
+    shown = formatted(found).collect()
+    assert [r["rank"] for r in shown] == [2, 1] and shown[1].url == "https://sk.wikipedia.org/wiki/A_b"
+    assert infobox_details(found, pages, 1).collect() == [("k", "v")]
+    assert load_results(found.select("title", "rank"), pages.drop("doc_id")).count() == 2
