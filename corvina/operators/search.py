@@ -45,10 +45,13 @@ def candidates(index: Index, terms: Sequence[str], operator: Operator, and_mode:
     return out
 
 
-def cosine(index: Index, terms: Sequence[str]) -> DataFrame:
-    """doc_id, score: the length of the document's vector along the query's terms (each once), over its whole length."""
+def cosine(index: Index, terms: Sequence[str], at_least: int = 1) -> DataFrame:
+    """doc_id, score: the length of the document's vector along the query's terms (each once), over its whole length.
+
+    Only documents with ``at_least`` so many of the terms: the same aggregation counts them, before norms are looked up.
+    """
     hits = index.postings.where(F.col("term").isin(list(set(terms)))) if terms else index.postings.where("false")
-    along = hits.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q2"))
+    along = hits.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q2"), F.count("*").alias("n")).where(F.col("n") >= at_least)
     return along.join(index.doc_norm, "doc_id").select("doc_id", F.sqrt(F.col("q2") / F.col("norm2")).alias("score"))
 
 
@@ -84,8 +87,13 @@ def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND
 
     terms: the preprocessed query. Terms that the vocabulary doesn't have are left out, of the boosts too.
     """
+    if operator not in (Operator.AND, Operator.OR):
+        raise ValueError(f"no such operator: {operator}")
     known = known_terms(index, terms)
-    scored = cosine(index, known).join(candidates(index, known, operator, and_mode), "doc_id", "left_semi")
+    if operator == Operator.OR or and_mode == "strict":
+        scored = cosine(index, known, 1 if operator == Operator.OR else len(set(known)))
+    else:
+        scored = cosine(index, known).join(candidates(index, known, operator, and_mode), "doc_id", "left_semi")
     if pages is not None:
         near = pages.join(scored.select("doc_id"), "doc_id", "left_semi")
         scored = scored.join(boost(near, known), "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
