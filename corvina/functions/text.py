@@ -77,8 +77,11 @@ def dictionary(entries: dict[str, tuple[str, str]]) -> Callable[[], Lemmas]:
     return lambda: lambda words: [entries.get(w, (w, "NOUN")) for w in words]
 
 
-def preprocess(docs: DataFrame, components: Iterable[str], stop_words: Iterable[str] = (), lemmas: Callable[[], Lemmas] | None = None, text: str = "text") -> DataFrame:
-    """The column ``terms`` by the components, in their fixed order. A component without the one it builds on is refused."""
+def preprocess(docs: DataFrame, components: Iterable[str], stop_words: Iterable[str] = (), lemmas: Callable[[], Lemmas] | None = None, text: str = "text", extra: Iterable[Callable[[Column], Column]] = ()) -> DataFrame:
+    """The column ``terms`` by the components, in their fixed order, then by components of one's own: functions of the terms' column.
+
+    A component without the one it builds on is refused.
+    """
     wanted, stop_words = set(components), list(stop_words)
     if unknown := wanted - set(COMPONENTS):
         raise ValueError(f"no such components: {sorted(unknown)}")
@@ -94,6 +97,8 @@ def preprocess(docs: DataFrame, components: Iterable[str], stop_words: Iterable[
         out = lemmatize(out, lemmas or dictionary({}))
     if "stop_words_cleaner" in wanted:
         out = remove_words(out, stop_words)
+    for component in extra:
+        out = component(out)
     return docs.withColumn("terms", out)
 
 

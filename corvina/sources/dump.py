@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +56,17 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PARTS).options(header=True, multiLine=True, quote='"', escape='"').csv(path)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _listed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [str(x) for x in ast.literal_eval(t)], na_action="ignore")
+
+
+def read_terms_csv(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, title, terms of a store kept as CSV, where terms are written as a Python list."""
+    rows = spark.read.schema("doc_id long, title string, terms string").options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+    return rows.withColumn("terms", _listed("terms"))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType, format: str = "parquet", **options) -> DataFrame:
     """The table at ``path``, or an empty one of the schema where nothing is there yet."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -79,3 +79,8 @@ def test_results(spark):
     assert [r["rank"] for r in shown] == [2, 1] and shown[1].url == "https://sk.wikipedia.org/wiki/A_b"
     assert infobox_details(found, pages, 1).collect() == [("k", "v")]
     assert load_results(found.select("title", "rank"), pages.drop("doc_id")).count() == 2
+
+
+def test_terms_csv(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("""doc_id,title,terms\n1,"A, b","['x', 'it''s', ""y'z""]"\n2,C,[]\n""")
+    assert {r.doc_id: (r.title, r.terms) for r in dump.read_terms_csv(spark, str(tmp_path / "c.csv")).collect()} == {1: ("A, b", ["x", "its", "y'z"]), 2: ("C", [])}

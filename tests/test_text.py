@@ -44,6 +44,8 @@ def test_lemmas_and_pipeline(spark):
     df = spark.createDataFrame([(1, "Novych riadkov Váhu adries a the https://x"), (2, None)], "doc_id long, text string")
     out = tx.preprocess(df, ["lemmatize", "tokenize", "normalize", "remove_stopwords", "stop_words_cleaner"], ["the"], tx.dictionary(entries))
     assert {r.doc_id: r.terms for r in out.collect()} == {1: ["novy", "riadok", "adresa"], 2: []}
+    own = tx.preprocess(df, ["tokenize"], extra=[lambda t: F.filter(t, lambda x: x.startswith("r")), F.array_distinct])
+    assert {r.doc_id: r.terms for r in own.collect()} == {1: ["riadkov"], 2: []}
     with pytest.raises(ValueError):
         tx.preprocess(df, ["normalize", "lemmatize"])
     with pytest.raises(ValueError):
