@@ -135,6 +135,7 @@ def assemble(recs: DataFrame) -> DataFrame:
     request = recs.where("type = 'request'").select(F.col("concurrent_to").alias("id"), F.struct(F.col("id"), "uri", "date").alias("request"))
     metadata = recs.where("type = 'metadata'").select(F.col("concurrent_to").alias("id"), F.struct(F.col("id"), "page_id", "date").alias("metadata"))
     request, metadata = request.dropDuplicates(["id"]), metadata.dropDuplicates(["id"])  # captures of equal page and payload share them
-    joined = captured.join(request, "id", "left").join(metadata, "id", "left").withColumn("target", F.col("response.refers_to"))
+    joined = captured.join(request, "id", "left").join(metadata, "id", "left")
+    joined = joined.withColumn("target", F.coalesce("response.refers_to", F.concat(F.lit("none "), "id")))  # without a null key that would bring all others together
     named = joined.join(metadata.select(F.col("id").alias("target"), F.col("metadata.page_id").alias("original")), "target", "left")
     return named.select(F.col("id").alias("capture_id"), F.col("metadata.page_id").alias("page_id"), "request", "response", "metadata", F.col("original").alias("refers_to"))
