@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes taken at a time, unless one text is longer. It bounds a worker's memory, not what is read.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20260101)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -7,10 +7,10 @@ written to the shared folder. Rounds grow with the logarithm of the longest chai
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from corvina.llm._base import Scratch
+from corvina.llm._base import BROADCAST_ROWS, Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -18,23 +18,25 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Loops, repeated edges and either direction are accepted, rows with a null are left out; no edges give no rows.
     """
-    e = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    mark = signature(e)
-    while mark[0]:
+    e, mark = measured(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch)
+    while mark["n"]:
+        # a minimum a node: at most two rows an edge
+        near = F.broadcast if 2 * mark["n"] <= BROADCAST_ROWS else lambda df: df
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = scratch.save(both.join(near(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.save(star.union(low.select("u", "m")).distinct())
+        star = large.join(near(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new, now = measured(star.union(low.select("u", F.col("m").alias("v"))).distinct(), scratch)
         scratch.drop(e, large)
-        e, before, mark = new, mark, signature(new)
+        e, before, mark = new, mark, now
         if mark == before:
             break
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def signature(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def measured(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict]:
+    """The edges, written, and their number and fingerprint, taken as they are written."""
+    seen = Observation()
+    table = scratch.save(e.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")))
+    return table, seen.get

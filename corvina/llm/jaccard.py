@@ -7,12 +7,14 @@ A set is a document's distinct k-word shingles, as 64-bit hashes. The plan, none
 2. Shingles are ordered by their bucket's load above chance, then by hash. Any fixed order gives the same links; this
    one puts widespread shingles last, so index lists are short. A second pass writes each set's prefix in that order:
    two sets at the threshold share a shingle of their prefixes.
-3. The index has a list of (set, size, position) by shingle; lists of one class go. Entries of a list are skipped by
-   their positions and sizes, before any set is read, if the rest of the sets after the positions couldn't reach the threshold.
+3. The index has a list of (set, size, position) by shingle; lists of one class go, and lists of the same sets are one list with a
+   weight. Entries of a list are skipped by position: the first shingle that two sets share must leave enough after it in both. A pair
+   is then skipped, before any set is read, by the blocks of lists that hold both: of the set whose prefix ends first in the order,
+   what the other shares of that prefix is known from their weights, and the rest of it must make up for what is missing.
 4. Answers are derived incrementally. In each round a list's few leaders are compared with its other sets, links join
    components, and what a leader has answered stays: the leader leaves the list, and sets that are already in one
    component through it need no comparison with each other, however many they are. Lists left with one component end.
-   Rounds take four times as many leaders each until no list is left, so no pair is dropped that could join two components.
+   Rounds take sixteen times as many leaders each until no list is left, so no pair is dropped that could join two components.
 
 Verified links decide: 100 * |A & B| >= percent * |A | B|. Links between classes are therefore a subset that has the
 same components, not all pairs: a group of n similar sets costs about n comparisons for each of its lists' leaders.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm._base import Scratch, small
+from corvina.llm._base import BROADCAST_ROWS, Scratch, small
 from corvina.llm._bytes import mix, shingle_sets
 from corvina.llm.components import components
 
@@ -64,20 +66,26 @@ def least_overlap(size, percent: int):
     return -(-size * percent // 100)
 
 
+PREFIX = "doc_id long, n long, end_heat int, end_hash long, prefix array<long>"
+
+
 def prefixes(k: int, heat: np.ndarray, percent: int):
-    """doc_id, n, and the prefix: the first n - least_overlap + 1 shingles in the order by (heat, hash)."""
+    """PREFIX: the first n - least_overlap + 1 shingles in the order by (heat, hash), and the place in that order where they end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column("text"), k):
-                out = []
+                out, ends = [], []
                 for s in sets:
-                    s = s[np.argsort(heat[(s % np.uint64(len(heat))).astype(np.int64)], kind="stable")]
-                    out.append(s[: len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0].view(np.int64))
-                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                    h = heat[(s % np.uint64(len(heat))).astype(np.int64)]
+                    order = np.argsort(h, kind="stable")[: len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0]
+                    out.append(s[order].view(np.int64))
+                    # as a signed number in the hashes' order
+                    ends.append((int(h[order[-1]]), int(s[order[-1]]) - (1 << 63)) if len(s) else (0, 0))
+                at = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(out)), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))],
-                    names=["doc_id", "n", "prefix"],
+                    [batch.column("doc_id").slice(row, len(out)), pa.array([len(s) for s in sets], pa.int64()), pa.array([e[0] for e in ends], pa.int32()), pa.array([e[1] for e in ends], pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(out)))],
+                    names=["doc_id", "n", "end_heat", "end_hash", "prefix"],
                 )
 
     return run
@@ -101,8 +109,8 @@ def heat_of(load: np.ndarray) -> np.ndarray:
     return np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
-def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buckets: int = 1 << 17) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, n; copies: doc_id, rep; links between representatives: a, b), written tables.
+def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buckets: int = 1 << 17) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, n; copies: doc_id, rep; links between representatives: a, b; their components: id, component), written tables.
 
     rep is the smallest id with an equal set; copies has the other ids. ``buckets`` numbers are held by driver and workers.
     """
@@ -119,48 +127,83 @@ def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buck
     classes = scratch.save(filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
     copies = scratch.save(filled.join(classes, key).where("doc_id <> rep").select("doc_id", "rep").distinct())
 
-    listed = docs.where("doc_id is not null").mapInArrow(prefixes(k, heat, percent), "doc_id long, n long, prefix array<long>").where("n > 0")
+    listed = docs.where("doc_id is not null").mapInArrow(prefixes(k, heat, percent), PREFIX).where("n > 0")
     prefix = scratch.save(listed.join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti"))
-    entries = prefix.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = scratch.save(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    index = scratch.save(entries.join(small(shared, 2_000_000), "token").withColumn("comp", F.col("doc_id")))
-    scratch.drop(shared, prefix, classes)
-
-    wanted = scratch.save(index.select("doc_id").distinct())
-    members = scratch.save(docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(whole_sets(k), "doc_id long, members array<long>").dropDuplicates(["doc_id"]))
-    scratch.drop(wanted)
-    found, leaders = None, 1
+    shared = scratch.save(prefix.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    entries = scratch.save(prefix.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).join(small(shared, 2_000_000), "token"))
+    same = entries.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    # of equal lists the one whose shingle comes first in the order, in one set as in all others
+    lists = scratch.save(same.groupBy("c", "x", "y").agg(F.min(F.struct("at.pos", "token")).alias("f"), F.count("*").alias("weight")).select("f.token", "weight"))
+    whole = scratch.save(entries.join(lists, "token"))  # token, doc_id, n, pos, weight
+    ends = scratch.save(prefix.select("doc_id", "n", "end_heat", "end_hash").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"))
+    scratch.drop(shared, prefix, entries, lists, classes)
+
+    found, comp, leaders = None, None, 1
+    index = scratch.save(whole.select("token", "doc_id", "n", "pos", F.col("doc_id").alias("comp")))
     while True:
+        near = hint(index)
         alive = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        index = scratch.save(index.join(alive, "token"))
+        index = scratch.save(index.join(near(alive), "token"))
         if index.isEmpty():
             break
+        near = hint(index)
         # leaders: of each of so many classes by hash, a list's smallest id
-        lead = index.groupBy("token", F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders)).alias("slot")).agg(F.min(F.struct("doc_id", "n", "pos", "comp")).alias("l"))
-        lead = scratch.save(lead.select("token", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("acomp")))
-        need = f"((an + n) * {percent} + {99 + percent}) div {100 + percent}"
-        pairs = index.join(lead, "token").where(
-            f"acomp <> comp and a <> doc_id and 100 * least(an, n) >= {percent} * greatest(an, n) and least(an - apos, n - pos) >= {need} - least(apos, pos)"
-        )
-        pairs = scratch.save(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
-        ma = members.select(F.col("doc_id").alias("a"), F.col("members").alias("ma"))
-        mb = members.select(F.col("doc_id").alias("b"), F.col("members").alias("mb"))
-        both = pairs.join(mb, "b").join(ma, "a").select("a", "b", F.size("ma").alias("x"), F.size("mb").alias("y"), F.size(F.array_intersect("ma", "mb")).alias("i"))
-        new = scratch.save(both.where(f"100 * cast(i as long) >= {percent} * cast(x + y - i as long)").select("a", "b"))
-        found = new if found is None else scratch.save(found.union(new))
-        comp = components(found, scratch)
-        left = index.join(lead.select("token", F.col("a").alias("doc_id")), ["token", "doc_id"], "left_anti").drop("comp")
-        index = left.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        leaders *= 4
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders))
+        lead = scratch.save(index.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "pos", "comp")).alias("l")).select("token", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("acomp")))
+        # nothing is shared before the first shingle that two sets share, so that one leaves enough after it in both
+        fits = f"acomp <> comp and a <> doc_id and 100 * least(an, n) >= {percent} * greatest(an, n) and least(an - apos, n - pos) >= ((an + n) * {percent} + {99 + percent}) div {100 + percent}"
+        met = index.join(near(lead), "token").where(fits).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+        pairs = scratch.save(possible(met, whole, ends, percent))
+        new = None if pairs.isEmpty() else scratch.save(verified(pairs, docs, scratch, k, percent))
+        if new is not None and not new.isEmpty():
+            found = new if found is None else scratch.save(found.union(new))
+            comp = components(found, scratch)
+        left = index.join(near(lead.select("token", F.col("a").alias("doc_id"))), ["token", "doc_id"], "left_anti")
+        if comp is not None:
+            left = left.drop("comp").join(hint(comp)(comp.withColumnRenamed("id", "doc_id")), "doc_id", "left").select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
+        index = scratch.save(left)
+        leaders *= 16
     if found is None:
-        found = spark.createDataFrame([], "a long, b long")
-    return sizes, copies, found
+        found, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
+    return sizes, copies, found, comp
+
+
+def hint(table: DataFrame):
+    """A broadcast for what has no more rows than this (written) table, if those are few."""
+    return F.broadcast if table.count() <= BROADCAST_ROWS // 2 else lambda df: df
+
+
+def possible(met: DataFrame, whole: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and shared prefixes don't rule out.
+
+    All tokens of the prefix that ends first come before the other's end, so what the other set has of them is in its own
+    prefix: the overlap is at most the weight of the lists that hold both, and the tokens after that prefix.
+    """
+    near_ends, near_lists = hint(ends), hint(whole)
+    one, two = (ends.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "end_heat", "end_hash")]) for x in "ab")
+    sized = met.join(near_ends(one), "a").join(near_ends(two), "b")
+    lists_a, lists_b = whole.select(F.col("doc_id").alias("a"), "token", "weight"), whole.select(F.col("doc_id").alias("b"), "token")
+    shared = sized.join(near_lists(lists_a), "a").join(near_lists(lists_b), ["b", "token"])
+    a_first = "(a_end_heat < b_end_heat or a_end_heat = b_end_heat and a_end_hash <= b_end_hash)"
+    short = F.expr(f"if({a_first}, a_n, b_n)")
+    counted = shared.groupBy("a", "b").agg(F.sum("weight").alias("w"), F.first(short).alias("short"), F.first(F.col("a_n") + F.col("b_n")).alias("both"))
+    return counted.where(f"w + (short * {percent} + 99) div 100 - 1 >= (both * {percent} + {99 + percent}) div {100 + percent}").select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """The pairs whose sets, made anew from the texts of the documents in question, reach the threshold."""
+    ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    members = scratch.save(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(whole_sets(k), "doc_id long, members array<long>"))
+    at_a = members.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
+    at_b = members.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    both = at_b.join(small(pairs), "b").join(at_a, "a").select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("i"))
+    return both.where(f"100 * cast(i as long) >= {percent} * cast(x + y - i as long)").select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    sizes, copies, found = links(docs, scratch, k, percent)
-    comp = components(found, scratch).select(F.col("id").alias("rep"), "component")
+    sizes, copies, _, comp = links(docs, scratch, k, percent)
+    comp = comp.select(F.col("id").alias("rep"), "component")
     member = scratch.save(copies.join(comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).union(comp.select(F.col("rep").alias("doc_id"), "component")))
     out = sizes.join(member, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
