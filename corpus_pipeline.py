@@ -33,7 +33,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids, and text as decoded from them."""
-    both = pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    both = pieces.encode_and_decode(docs, PIECES)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text")
 
 

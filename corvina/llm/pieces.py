@@ -20,6 +20,7 @@ alike; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Longer words are merged one by one, with a heap; shorter ones together, a merge a step.
+LONG = 200
 
 
 def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -109,9 +112,9 @@ def load(model: bytes) -> Model:
 class Merger:
     """Encodes words by a BPE model's merges; keeps the pieces of ``cache`` to twice as many words."""
 
-    def __init__(self, model: Model, cache: int = 200_000):
+    def __init__(self, model: Model, cache: int = 50_000):
         self.model, self.room, self.young, self.old = model, cache, {}, {}
-        self.bytes_from = model.first_byte()
+        self.bytes_from, self.table = model.first_byte(), {}
         ids = np.array(model.spoken())
         texts = [model.pieces[i] for i in ids]
         self.longest = max(map(len, texts))
@@ -120,6 +123,11 @@ class Merger:
         order = np.argsort(h)
         self.keys, self.ids = h[order], ids[order]
         self.sizes, self.ranks = np.diff(at)[order], -np.array(model.scores)[ids[order]]
+        # by the hashes' first bits: the last piece that has them, and whether others do
+        first = (self.keys >> np.uint64(46)).astype(np.int64)
+        self.slot = np.full(1 << 18, -1, np.int64)
+        self.slot[first] = np.arange(len(first))
+        self.crowded = np.bincount(first, minlength=1 << 18) > 1
 
     @staticmethod
     def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +147,13 @@ class Merger:
         out = np.full(len(a), -1, np.int64)
         fit = np.flatnonzero(b - a <= self.longest)
         h = self.spans(sums, a[fit], b[fit])
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = (self.keys[at] == h) & (self.sizes[at] == b[fit] - a[fit])
+        first = (h >> np.uint64(46)).astype(np.int64)
+        at = self.slot[first]
+        hit = (at >= 0) & (self.keys[at] == h)
+        other = np.flatnonzero(~hit & self.crowded[first])
+        at[other] = np.minimum(np.searchsorted(self.keys, h[other]), len(self.keys) - 1)
+        hit[other] = self.keys[at[other]] == h[other]
+        hit &= self.sizes[at] == (b - a)[fit]
         out[fit[hit]] = at[hit]
         return out
 
@@ -148,7 +161,7 @@ class Merger:
         row = self.edges(sums, a, b)
         return np.where(row >= 0, self.ranks[row], np.inf)
 
-    def merged(self, words: list[str]) -> list[list[int]]:
+    def merged(self, words: list[str]) -> list[bytes]:
         cp, off = self.code_points(words)
         sums, n = self.sums(cp), len(cp)
         start, stop = off[:-1], off[1:]
@@ -192,39 +205,87 @@ class Merger:
             place = place[~symbol[place]]
         a = np.flatnonzero(symbol)
         row = self.edges(sums, a, end[a])
-        out: list[list[int]] = [[] for _ in words]
-        found = np.where(row >= 0, self.ids[row], -1).tolist()
-        for w, x, c in zip(word[a].tolist(), found, cp[a].tolist()):
-            out[w].extend((x,) if x >= 0 else [self.bytes_from + b for b in chr(c).encode("utf-8", "surrogatepass")] if self.bytes_from >= 0 else (self.model.unknown,))
-        return out
-
-    def encode(self, texts: list[str | None], together: int = 1 << 19) -> list[list[int] | None]:
+        # ids in a row; a character without a piece has its bytes' pieces
+        found = np.where(row >= 0, self.ids[row], self.model.unknown)
+        lone = np.flatnonzero(row < 0) if self.bytes_from >= 0 else row[:0]
+        spelled = [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8) for c in cp[a[lone]].tolist()]
+        many = np.ones(len(a), np.int64)
+        many[lone] = [len(x) for x in spelled]
+        ids = np.repeat(found, many)
+        if len(lone):
+            ids[np.repeat(row < 0, many)] = self.bytes_from + np.concatenate(spelled).astype(np.int64)
+        cut = 4 * np.concatenate([[0], np.cumsum(np.bincount(word[a], many, len(words)))]).astype(np.int64)
+        data = ids.astype(np.int32).tobytes()
+        return [data[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def merged_long(self, word: str) -> bytes:
+        """One word by a heap of pairs: the same merges, in time that hardly more than its length decides."""
+        if not self.table:
+            self.table = {self.model.pieces[i]: (-self.model.scores[i], i) for i in self.model.spoken()}
+        n, table = len(word), self.table
+        end, begin, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * n
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int, b: int, c: int) -> None:
+            if c - a <= self.longest and (hit := table.get(word[a:c])):
+                heapq.heappush(heap, (hit[0], a, b, c))
+
+        for i in range(n - 1):
+            offer(i, i + 1, i + 2)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if not (alive[a] and end[a] == b and alive[b] and end[b] == c):
+                continue
+            alive[b], end[a], begin[c] = False, c, a
+            if a:
+                offer(begin[a], a, c)
+            if c < n:
+                offer(a, c, end[c])
+        out, at = [], 0
+        while at < n:
+            hit = table.get(word[at : end[at]])
+            out += [hit[1]] if hit else [self.bytes_from + b for b in word[at].encode("utf-8", "surrogatepass")] if self.bytes_from >= 0 else [self.model.unknown]
+            at = end[at]
+        return np.array(out, np.int32).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        self.young.update(zip(words, self.merged(words)))
+
+    def encode(self, texts: list[str | None], together: int = 1 << 17) -> list[bytes | None]:
+        """The ids of each text as the bytes of 32-bit integers."""
         split = [None if t is None else WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.young) > self.room:
             self.old, self.young = self.young, {}
-        new = {w for s in split if s for w in s if w not in self.young}
+        new = set().union(*(s for s in split if s)) - self.young.keys()
         for w in new & self.old.keys():
             self.young[w] = self.old[w]
         waiting, size = [], 0
-        for w in sorted(new - self.young.keys()):
+        for w in new - self.young.keys():
+            if len(w) > LONG:
+                self.young[w] = self.merged_long(w)
+                continue
             waiting.append(w)
             size += len(w)
             if size > together:
-                self.young.update(zip(waiting, self.merged(waiting)))
+                self.learn(waiting)
                 waiting, size = [], 0
         if waiting:
-            self.young.update(zip(waiting, self.merged(waiting)))
-        known = self.young
-        return [None if s is None else [x for w in s for x in known[w]] for s in split]
+            self.learn(waiting)
+        known = self.young.__getitem__
+        return [None if s is None else b"".join(map(known, s)) for s in split]
 
 
-def lists(ids: list[list[int] | None]) -> pa.Array:
-    return pa.array(ids, pa.list_(pa.int32()))
+def lists(ids: list[bytes | None]) -> pa.Array:
+    """A list column from the ids' bytes; None is null."""
+    at = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32)), mask=pa.array([x is None for x in ids], pa.bool_()))
 
 
-def encode_bpe(docs: DataFrame, model: Model, chars: int = 1 << 21) -> DataFrame:
+def encode_bpe(docs: DataFrame, model: Model, back: bool = False, chars: int = 1 << 19) -> DataFrame:
+    """doc_id and ids, and with ``back`` the text that the ids decode to, made in the same pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(model)
+        merger, speak = Merger(model), Speaker(model) if back else None
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             row = 0
@@ -233,16 +294,35 @@ def encode_bpe(docs: DataFrame, model: Model, chars: int = 1 << 21) -> DataFrame
                 while row + len(part) < len(batch) and (size < chars or not part):
                     part.append(texts[row + len(part)].as_py())
                     size += len(part[-1] or "")
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(part)), lists(merger.encode(part))], names=["doc_id", "ids"])
+                out = lists(merger.encode(part))
+                made = [ids.slice(row, len(part)), out, *([speak(out)] if speak else [])]
+                yield pa.RecordBatch.from_arrays(made, names=["doc_id", "ids", "text"][: len(made)])
                 row += len(part)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * back)
+
+
+class Speaker:
+    """Texts from lists of ids. Control pieces have no text; bytes that aren't UTF-8 read as U+FFFD."""
+
+    def __init__(self, model: Model):
+        said = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(model.pieces, model.types)]
+        self.said = np.array([*said, None], object)[:-1]
+
+    def __call__(self, ids: pa.Array) -> pa.Array:
+        at = ids.offsets.to_numpy()
+        spoken = self.said[ids.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].astype(np.int64)].tolist() if len(ids) else []
+        texts = []
+        for there, a, b in zip(ids.is_valid().to_pylist(), (at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist()):
+            t = b"".join(spoken[a:b]).decode("utf-8", "replace") if there else None
+            texts.append(t[1:] if t and t[0] == " " else t)
+        return pa.array(texts, pa.string())
 
 
 # --- unigram
 
 #: Edges by their ends; for each end the best score so far and the edge that reaches it; then back from the last end.
-FOLD = """transform(array(transform(sequence(1, n), e -> filter(edges, x -> x.stop = e))), by_end -> transform(array(aggregate(by_end,
+FOLD = """transform(array(transform(ends, e -> e.here)), by_end -> transform(array(aggregate(by_end,
   cast(array(struct(0D as score, -1 as start, -1 as id)) as array<struct<score: double, start: int, id: int>>),
   (path, here) -> concat(path, array(aggregate(here,
     cast(struct(double('-infinity') as score, -1 as start, -1 as id) as struct<score: double, start: int, id: int>),
@@ -262,8 +342,9 @@ def viterbi_words(words: DataFrame, model: Model) -> DataFrame:
     starts = sized.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spans = starts.select("word", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least("n", F.col("start") + longest))).alias("stop")).withColumn("piece", F.expr("substring(word, start + 1, stop - start)"))
     edges = spans.join(F.broadcast(table), "piece", "left").where("id is not null or stop = start + 1")
-    edge = F.struct("stop", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(least)).alias("score"))
-    lattice = edges.groupBy("word", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    edge = F.struct("start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(least)).alias("score"))
+    by_end = edges.groupBy("word", "n", "stop").agg(F.array_sort(F.collect_list(edge)).alias("here"))
+    lattice = by_end.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("stop", "here"))).alias("ends"))
     first = model.first_byte()
     unknown = f"transform(sequence(0, octet_length(c) - 1), i -> cast({first} + cast(conv(substring(hex(encode(c, 'UTF-8')), 2 * i + 1, 2), 16, 10) as int) as int))" if first >= 0 else f"array({model.unknown})"
     ids = f"flatten(transform({FOLD}, x -> if(x.id >= 0, array(x.id), transform(array(substring(word, x.start + 1, x.stop - x.start)), c -> {unknown})[0])))"
@@ -282,26 +363,31 @@ def encode_unigram(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", F.when(F.col("text").isNotNull(), F.coalesce("ids", F.array().cast("array<int>"))).alias("ids"))
 
 
-def encode(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id and ids (array<int>). The model file is read by the driver and sent to the workers; it has the model's size."""
+def read_model(model_file: str) -> Model:
+    """The file is read by the driver; what is sent to the workers has its size."""
     with open(model_file, "rb") as f:
-        model = load(f.read())
-    return (encode_bpe if model.kind == BPE else encode_unigram)(docs, model)
+        return load(f.read())
+
+
+def encode(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id and ids (array<int>)."""
+    model = read_model(model_file)
+    return encode_bpe(docs, model) if model.kind == BPE else encode_unigram(docs, model)
 
 
 def decode(tokens: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, ids and text from doc_id and ids. Control pieces have no text; bytes that aren't UTF-8 read as U+FFFD."""
-    with open(model_file, "rb") as f:
-        model = load(f.read())
-    said = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(model.pieces, model.types)]
+    """doc_id, ids and text from doc_id and ids."""
+    model = read_model(model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speak = Speaker(model)
         for batch in batches:
-            texts = []
-            for x in batch.column("ids"):
-                ids = x.as_py()
-                t = None if ids is None else b"".join([said[i] for i in ids]).decode("utf-8", "replace")
-                texts.append(t[1:] if t and t[0] == " " else t)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), speak(batch.column("ids"))], names=["doc_id", "ids", "text"])
 
     return tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, ids and the text that they decode to; for BPE models in one pass, with one Python worker a task."""
+    model = read_model(model_file)
+    return encode_bpe(docs, model, back=True) if model.kind == BPE else decode(encode(docs, model_file), model_file)

@@ -76,9 +76,9 @@ PIECES = os.environ.get("CORVINA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's pieces, and the text that they decode to."""
-    from corvina.llm.pieces import decode, encode
+    from corvina.llm.pieces import encode_and_decode
 
-    both = decode(encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    both = encode_and_decode(table(spark, sf_dir, "documents"), PIECES)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text")
 
 

@@ -176,6 +176,7 @@ def test_bpe_is_the_library(spark):
     ts = texts("abcdefg thein  \né.1", 400)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ts)] + [(None, None, "x"), (1, ts[9], "x")], "doc_id long, text string, ids string")
     both = pieces.decode(pieces.encode(df, MODEL), MODEL).collect()
+    assert sorted(map(str, both)) == sorted(map(str, pieces.encode_and_decode(df, MODEL).collect()))
     assert len(both) == len(ts) + 2
     for r in both:
         if r.doc_id is None:
