@@ -40,6 +40,10 @@ from corvina.llm.components import components
 FINGERPRINTS = "kind int, doc_id long, n long, f1 long, f2 long"
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    return int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
+
+
 def fingerprints(k: int, buckets: int):
     """Rows of kind 0: a document's id, set size, fingerprint. Rows of kind 1: a bucket and its shingles in this partition."""
 
@@ -50,8 +54,9 @@ def fingerprints(k: int, buckets: int):
             for _, sets in shingle_sets(batch.column("text"), k):
                 for s in sets:
                     n.append(len(s))
-                    f1.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                    f2.append(int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)))
+                    x, y = fingerprint(s)
+                    f1.append(x)
+                    f2.append(y)
                 if sets:
                     load += np.bincount((np.concatenate(sets) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], names=["kind", "doc_id", "n", "f1", "f2"])
@@ -66,7 +71,7 @@ def least_overlap(size, percent: int):
     return -(-size * percent // 100)
 
 
-PREFIX = "doc_id long, n long, end_heat int, end_hash long, prefix array<long>"
+PREFIX = "doc_id long, n long, f1 long, f2 long, end_heat int, end_hash long, prefix array<long>"
 
 
 def prefixes(k: int, heat: np.ndarray, percent: int):
@@ -82,10 +87,10 @@ def prefixes(k: int, heat: np.ndarray, percent: int):
                     out.append(s[order].view(np.int64))
                     # as a signed number in the hashes' order
                     ends.append((int(h[order[-1]]), int(s[order[-1]]) - (1 << 63)) if len(s) else (0, 0))
-                at = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                at, prints = np.cumsum([0, *map(len, out)]).astype(np.int32), [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(out)), pa.array([len(s) for s in sets], pa.int64()), pa.array([e[0] for e in ends], pa.int32()), pa.array([e[1] for e in ends], pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(out)))],
-                    names=["doc_id", "n", "end_heat", "end_hash", "prefix"],
+                    [batch.column("doc_id").slice(row, len(out)), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([f[i] for f in prints], pa.int64()) for i in (0, 1)], pa.array([e[0] for e in ends], pa.int32()), pa.array([e[1] for e in ends], pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(out)))],
+                    names=["doc_id", "n", "f1", "f2", "end_heat", "end_hash", "prefix"],
                 )
 
     return run
@@ -126,9 +131,16 @@ def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buck
     key = ["n", "f1", "f2"]
     classes = scratch.save(filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
     copies = scratch.save(filled.join(classes, key).where("doc_id <> rep").select("doc_id", "rep").distinct())
+    # equal rows of a representative: each set is to be in a list once, as hashes of what is in it twice cancel
+    twice = scratch.save(filled.join(classes, key).where("doc_id = rep").groupBy("doc_id", *key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
 
     listed = docs.where("doc_id is not null").mapInArrow(prefixes(k, heat, percent), PREFIX).where("n > 0")
     prefix = scratch.save(listed.join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti"))
+    if not twice.isEmpty():
+        near, again = hint(twice), prefix
+        once = again.join(near(twice), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
+        prefix = scratch.save(again.join(near(twice), ["doc_id", *key], "left_anti").unionByName(once))
+        scratch.drop(again)
     shared = scratch.save(prefix.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
     entries = scratch.save(prefix.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).join(small(shared, 2_000_000), "token"))
     same = entries.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.min(F.struct("doc_id", "pos")).alias("at"))

@@ -101,6 +101,18 @@ def test_a_group_of_many_near_copies_needs_few_pairs(spark):
     assert jaccard.groups(frame(spark, rows), Scratch(spark, "t")).where("component_id <> 0").count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 4])
+def test_jaccard_groups_of_repeated_rows(spark, times):
+    """Different pairs of near copies are grouped each by itself, also where every row stands an even number of times."""
+    rows = []
+    for i in range(0, 12, 2):
+        t = [f"t{i}x{j}" for j in range(200)]
+        rows += [(i, " ".join(t)), (i + 1, " ".join([*t[:-1], "other"]))]
+    got = jaccard.groups(frame(spark, rows * times), Scratch(spark, "t")).collect()
+    assert len(got) == len(rows) * times
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
+
+
 def deduped(rows):
     """Lines of each text and which of them go, by the definition."""
     split = {i: re.split(lines.SPLIT, t) if t is not None else None for i, t in rows}
