@@ -16,8 +16,13 @@ A set is a document's distinct k-word shingles, as 64-bit hashes. The plan, none
    component through it need no comparison with each other, however many they are. Lists left with one component end.
    Rounds take sixteen times as many leaders each until no list is left, so no pair is dropped that could join two components.
 
-Verified links decide: 100 * |A & B| >= percent * |A | B|. Links between classes are therefore a subset that has the
-same components, not all pairs: a group of n similar sets costs about n comparisons for each of its lists' leaders.
+Verified links decide: 100 * |A & B| >= percent * |A | B|. What these rounds find is a subset of the links between classes that
+has the same components: a group of n similar sets costs about n comparisons for each of its lists' leaders.
+
+All links are counted (``groups(..., counts=True)``) after that, as both ends of a link lie in one component. A component in which the
+lists meet no fewer pairs than it has is dealt into blocks of sets, and each two blocks are compared whole in a task of their own,
+which returns a number for each set, not pairs. In any other, all pairs that the lists meet are checked as in step 3. A
+link with a class counts once for each of its documents. No answer is taken over from a similar set without comparison.
 
 Defined cases: null or wordless texts have the empty set and link with nothing; fewer than k words make one shingle of
 all; rows that repeat a doc_id count as one document (the union of links); a null doc_id links with nothing; an empty
@@ -27,6 +32,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +120,24 @@ def heat_of(load: np.ndarray) -> np.ndarray:
     return np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
+class Linked(NamedTuple):
+    """Written tables: doc_id, n; doc_id, rep; a, b; id, component; the index: token, doc_id, n, pos, weight; doc_id, n, end_heat, end_hash."""
+
+    sizes: DataFrame
+    copies: DataFrame
+    found: DataFrame
+    comp: DataFrame
+    whole: DataFrame
+    ends: DataFrame
+
+
 def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buckets: int = 1 << 17) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, n; copies: doc_id, rep; links between representatives: a, b; their components: id, component), written tables.
+    """(documents: doc_id, n; copies: doc_id, rep; links between representatives: a, b; their components: id, component), written tables."""
+    return linked(docs, scratch, k, percent, buckets)[:4]
+
+
+def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int = 1 << 17) -> Linked:
+    """The documents, their classes, the links that hold the components, and what they were found with.
 
     rep is the smallest id with an equal set; copies has the other ids. ``buckets`` numbers are held by driver and workers.
     """
@@ -162,9 +184,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buck
         # leaders: of each of so many classes by hash, a list's smallest id
         slot = F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders))
         lead = scratch.save(index.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "pos", "comp")).alias("l")).select("token", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("acomp")))
-        # nothing is shared before the first shingle that two sets share, so that one leaves enough after it in both
-        fits = f"acomp <> comp and a <> doc_id and 100 * least(an, n) >= {percent} * greatest(an, n) and least(an - apos, n - pos) >= ((an + n) * {percent} + {99 + percent}) div {100 + percent}"
-        met = index.join(near(lead), "token").where(fits).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+        met = index.join(near(lead), "token").where(f"acomp <> comp and a <> doc_id and {fits(percent)}").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
         pairs = scratch.save(possible(met, whole, ends, percent))
         new = None if pairs.isEmpty() else scratch.save(verified(pairs, docs, scratch, k, percent))
         if new is not None and not new.isEmpty():
@@ -177,7 +197,12 @@ def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buck
         leaders *= 16
     if found is None:
         found, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    return sizes, copies, found, comp
+    return Linked(sizes, copies, found, comp, whole, ends)
+
+
+def fits(percent: int) -> str:
+    """Nothing is shared before the first shingle that two sets share, so that one leaves enough after it in both."""
+    return f"100 * least(an, n) >= {percent} * greatest(an, n) and least(an - apos, n - pos) >= ((an + n) * {percent} + {99 + percent}) div {100 + percent}"
 
 
 def hint(table: DataFrame):
@@ -212,10 +237,82 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percen
     return both.where(f"100 * cast(i as long) >= {percent} * cast(x + y - i as long)").select("a", "b").distinct()
 
 
-def groups(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    sizes, copies, _, comp = links(docs, scratch, k, percent)
-    comp = comp.select(F.col("id").alias("rep"), "component")
+#: Sets of a block, and shingles that two blocks are compared by at a time.
+BLOCK, WIDTH = 128, 8192
+
+
+def compared(percent: int):
+    """The sets of one or two blocks of a component: each one's number of documents in the sets that it links with. Of two blocks, only across."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, first = np.unique(t["doc_id"].to_numpy(), return_index=True)  # rows that repeat a document
+        t = t.take(pa.array(first))
+        sets, block, size = t["members"].combine_chunks(), t["block"].to_numpy(), t["size"].to_numpy()
+        n = sets.value_lengths().to_numpy().astype(np.int64)
+        owner, (_, token, held) = np.repeat(np.arange(len(ids)), n), np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        several = held > 1
+        owner, token = owner[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
+        order = np.argsort(token, kind="stable")
+        owner, token = owner[order], token[order]
+        both = np.zeros((len(ids), len(ids)), np.int64)
+        for at in range(0, int(several.sum()), WIDTH):
+            lo, hi = np.searchsorted(token, [at, at + WIDTH])
+            x = np.zeros((len(ids), WIDTH), np.float32)
+            x[owner[lo:hi], token[lo:hi] - at] = 1
+            both += (x @ x.T).astype(np.int64)
+        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        near &= block[:, None] != block[None, :] if t["lo"][0].as_py() < t["hi"][0].as_py() else ~np.eye(len(ids), dtype=bool)
+        return pa.table({"doc_id": pa.array(ids), "links": pa.array(near @ size)})
+
+    return run
+
+
+def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """rep, n_links of each document of its class: for representatives that have links or copies."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sizes = scratch.save(at.copies.groupBy("rep").agg((F.count("*") + 1).alias("size")))
+    comp = at.comp.select(F.col("id").alias("doc_id"), "component")
+    comp = scratch.save(comp.union(comp.select("component", "component").distinct()))
+    held = at.whole.join(hint(comp)(comp), "doc_id").groupBy("token", "component").agg(F.count("*").alias("c"))
+    met = held.groupBy("component").agg(F.expr("sum(c * (c - 1) div 2)").alias("met"))
+    plan = scratch.save(comp.groupBy("component").agg(F.count("*").alias("m")).join(met, "component", "left").select("component", "m", F.expr("m > 2 and m * (m - 1) div 2 <= coalesce(met, 0)").alias("dense")))
+    member = comp.join(hint(plan)(plan), "component").join(hint(sizes)(sizes.withColumnRenamed("rep", "doc_id")), "doc_id", "left")
+    member = scratch.save(member.select("doc_id", "component", F.coalesce("size", F.lit(1)).alias("size"), "m", "dense"))
+
+    # pairs are known; or are met in lists
+    near = hint(member)
+    pairs = at.found.join(near(member.where("m = 2").select(F.col("doc_id").alias("a"))), "a", "left_semi").select("a", "b").distinct()
+    loose = scratch.save(at.whole.join(near(member.where("m > 2 and not dense").select("doc_id", "component")), "doc_id"))
+    if not loose.isEmpty():
+        one = loose.select("token", "component", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
+        pair = one.join(loose, ["token", "component"]).where(f"a < doc_id and {fits(percent)}").select("a", F.col("doc_id").alias("b")).distinct()
+        pairs = pairs.union(verified(scratch.save(possible(pair, at.whole, at.ends, percent)), docs, scratch, k, percent))
+    weight, counts = member.select("doc_id", "size"), []
+    for x, y in ("ab", "ba"):
+        counts.append(pairs.join(near(weight.withColumnRenamed("doc_id", y)), y).select(F.col(x).alias("doc_id"), F.col("size").alias("links")))
+
+    # blocks
+    dealt = member.where("dense").select("doc_id", "component", "size", F.expr(f"(m + {block - 1}) div {block}").alias("blocks"))
+    dealt = scratch.save(dealt.withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)")))
+    sets = docs.join(small(dealt.select("doc_id")), "doc_id", "left_semi").mapInArrow(whole_sets(k), "doc_id long, members array<long>")
+    each = sets.join(small(dealt), "doc_id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    each = each.select("doc_id", "members", "size", "block", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    counts.append(each.groupBy("component", "lo", "hi").applyInArrow(compared(percent), "doc_id long, links long"))
+
+    total = counts[0].union(counts[1]).union(counts[2]).groupBy("doc_id").agg(F.sum("links").alias("links"))
+    both = total.withColumnRenamed("doc_id", "rep").join(sizes, "rep", "full")
+    return scratch.save(both.select("rep", (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).alias("n_links")))
+
+
+def groups(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, counts: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach); with counts, n_links: other documents that it links with."""
+    at = linked(docs, scratch, k, percent)
+    copies, comp = at.copies, at.comp.select(F.col("id").alias("rep"), "component")
     member = scratch.save(copies.join(comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).union(comp.select(F.col("rep").alias("doc_id"), "component")))
-    out = sizes.join(member, "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out, columns = at.sizes.join(member, "doc_id", "left"), ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if counts:
+        n = link_counts(docs, scratch, at, k, percent)
+        n = scratch.save(copies.join(hint(n)(n), "rep").select("doc_id", "n_links").union(n))
+        out = out.join(hint(n)(n), "doc_id", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*columns)

@@ -113,6 +113,30 @@ def test_jaccard_groups_of_repeated_rows(spark, times):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
 
 
+@pytest.mark.parametrize("block", [128, 8])
+def test_jaccard_counts_all_links(spark, corpus, block, monkeypatch):
+    """In groups of near copies, and along a chain in which only neighbours link, each document has all its links."""
+    monkeypatch.setattr(jaccard.link_counts, "__defaults__", (block,))
+    rng = random.Random(5)
+    rows = list(corpus)
+    for i in range(40):
+        t = [f"u{j}" for j in range(200)]
+        for _ in range(i % 4 * 2):
+            t[rng.randrange(200)] = f"v{rng.randrange(3)}"
+        rows.append((300 + i, " ".join(t)))
+    rows += [(400 + i, " ".join(f"c{j}" for j in range(9 * i, 9 * i + 100))) for i in range(30)]
+    sets = {}
+    for i, t in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
+        if i is not None:
+            sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    want = {a: sum(a != b and bool(sets[a] & sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    got = jaccard.groups(frame(spark, rows), Scratch(spark, "t"), counts=True).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.n_links for r in got} == {**want, None: 0}
+    assert {r.n_links for r in got if r.doc_id and r.doc_id >= 400} == {1, 2}
+
+
 def deduped(rows):
     """Lines of each text and which of them go, by the definition."""
     split = {i: re.split(lines.SPLIT, t) if t is not None else None for i, t in rows}
