@@ -5,7 +5,7 @@ mean number of punctuation marks a node. Both are laid along the nodes in page o
 among paragraphs gains and a lone sentence among links loses; they are fused to one ratio, averaged by path, and paths
 of at least ``least`` standard deviations are content. What the markup says by itself goes first: scripts, styles, forms and the like hold no
 text; menus, headers, footers, sidebars, notices, adverts and comments, by tag, role, class or id, are never content; and
-where a page has an article or main element, only paths inside it are, all that isn't mostly links.
+where article and main elements hold at least half of the text outside links, their paths that aren't lists of links are raised by the edge.
 
 The parser takes any text: tags that aren't closed, stray ends, cut pages, comments without an end. It works a page at
 a time in Arrow batches; nothing is shuffled, and time is linear in the page.
@@ -134,14 +134,14 @@ def content_paths(found: list[Node], least: float) -> set[int]:
     inside = np.array([n.inside for n in full])
     paths, at, count = np.unique(path, return_inverse=True, return_counts=True)
     mean = lambda x: np.bincount(at, x) / count
-    if inside.any():
-        # the element says what is content; the ratios only tell lists of links in it
-        linked = np.bincount(at, length * links) / np.maximum(np.bincount(at, length), 1)
-        text = mean(length)
-        return {int(p) for p, i, li, t in zip(paths, mean(inside.astype(float)), linked, text) if i > 0 and not (li > 0.5 and count[paths == p][0] > 2 and t < 25)}
     fused = np.sqrt(smoothed(mean(length)[at]) * (1 + smoothed(mean(marks)[at]))) * (1 - 0.9 * links)
     score = mean(fused)
     edge = min(least * fused.std(), 0.5 * score.max()) if len(paths) > 1 else 0.0
+    own = length * (1 - links)
+    if inside.any() and 2 * own[inside].sum() >= own.sum():
+        # the element that holds most of the text lifts its paths to the edge, but for lists of links
+        linked = np.bincount(at, length * links) / np.maximum(np.bincount(at, length), 1)
+        score = np.where((mean(inside.astype(float)) > 0) & ~((linked > 0.5) & (count > 2) & (mean(length) < 25)), score + edge, score)
     return {int(p) for p, s in zip(paths, score) if s >= edge}
 
 

@@ -99,6 +99,12 @@ def test_main_text(given, expected):
     assert main_text(given) == expected
 
 
+def test_ratios_run_where_articles_are_teasers_or_not_all():
+    cards = '<section class="more"><article class="card"><h3><a href="/">One more</a></h3></article><article class="card"><h3><a>And one</a></h3></article></section>'
+    assert main_text(page(f"<div>{LONG}</div>", cards)) == LONG_TEXT
+    assert main_text(page(f"<article><h1>Title</h1>{LONG}</article>", f"<section>{LONG}</section>")) == f"Title\n{LONG_TEXT}\n{LONG_TEXT}"
+
+
 def test_extract(spark):
     rows = [(1, "u", page(f"<article>{LONG}</article>"), 1), (2, None, None, 2), (None, "x", "<p>é</p>", 3), (1, "u", "<p>é</p>", 1), (3, "u", "<p>" + "x " * 100_000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
