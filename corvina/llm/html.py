@@ -4,7 +4,8 @@ A page's text nodes are grouped by their tag path, from the root to the leaf, ta
 mean number of punctuation marks a node. Both are laid along the nodes in page order and smoothed with a Gaussian, so a heading
 among paragraphs gains and a lone sentence among links loses; they are fused to one ratio, averaged by path, and paths
 of at least ``least`` standard deviations are content. What the markup says by itself goes first: scripts, styles, forms and the like hold no
-text; menus, headers, footers, sidebars, notices, adverts and comments, by tag, role, class or id, are never content; and
+text; menus, headers, footers, sidebars, notices, adverts and comments, by tag, role, class or id, are not content (class and id count
+on neither the body nor a wrapper of the page's text, and not at all where they leave nothing); and
 where article and main elements hold at least half of the text outside links, their paths that aren't lists of links are raised by the edge.
 
 The parser takes any text: tags that aren't closed, stray ends, cut pages, comments without an end. It works a page at
@@ -56,21 +57,46 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
 class Node:
-    __slots__ = ("block", "linked", "inside", "noise", "path", "text")
+    __slots__ = ("block", "linked", "inside", "named", "noise", "path", "text")
+
+
+def named_noise(found: list[Node], parent: list[int], whole: list[bool]) -> None:
+    """Marks the nodes in elements that their names (or being a form) call noise, unless such an element is a wrapper.
+
+    parent: of each such element the next one around it; whole: whether it has an article or main within. A wrapper is one that has,
+    or that stands outside of those and holds, links aside, more than half of the page's text and four times that of articles elsewhere.
+    If nothing is left, names don't count.
+    """
+    size = [0] * len(parent)
+    for n in found:
+        size[n.named] += 0 if n.noise or n.linked else len(n.text.strip())
+    for i in range(len(parent) - 1, 0, -1):
+        size[parent[i]] += size[i]
+        if whole[i] and whole[parent[i]] is False:
+            whole[parent[i]] = True
+    articles = sum(len(n.text.strip()) for n in found if n.inside and not n.noise and not n.linked and (not n.named or whole[n.named]))
+    noisy = [False] * len(parent)
+    for i in range(1, len(parent)):
+        # whole is None: in an article or main, where names always count
+        noisy[i] = noisy[parent[i]] or whole[i] is None or not whole[i] and (2 * size[i] <= size[0] or size[i] <= 4 * articles)
+    if any(not n.noise and not noisy[n.named] and not n.text.isspace() for n in found):
+        for n in found:
+            n.noise = n.noise or noisy[n.named]
 
 
 def nodes(page: str) -> list[Node]:
     """The text nodes that hold more than white space, and white space between inline tags, in page order."""
     out: list[Node] = []
     ids: dict[tuple, int] = {}
-    # open elements: tag, path, noise, linked, inside an article or main
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # open elements: tag, path, noise, linked, inside an article or main, the next element around that names call noise
+    stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, 0)]
+    parent, whole = [0], [False]
     block = 0
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
-            tag, path, noise, linked, inside = stack[-1]
+            tag, path, noise, linked, inside, named = stack[-1]
             n = Node()
-            n.text, n.path, n.block, n.noise, n.linked, n.inside = entities.unescape(text), path, block, noise, linked, inside
+            n.text, n.path, n.block, n.noise, n.linked, n.inside, n.named = entities.unescape(text), path, block, noise, linked, inside, named
             out.append(n)
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
@@ -87,7 +113,7 @@ def nodes(page: str) -> list[Node]:
             block += 1
         if tag == "br" and out:
             n = Node()
-            n.text, (_, n.path, n.noise, n.linked, n.inside), n.block = " ", stack[-1], block
+            n.text, (_, n.path, n.noise, n.linked, n.inside, n.named), n.block = " ", stack[-1], block
             out.append(n)
         if tag in VOID:
             continue
@@ -107,13 +133,23 @@ def nodes(page: str) -> list[Node]:
                     roles = set(value.split())
                 else:
                     names += " " + value
-        _, path, noise, linked, inside = stack[-1]
+        _, path, noise, linked, inside, named = stack[-1]
         here = tag in ("article", "main") or "main" in roles or "article" in roles
-        noise = noise or not here and (tag in ASIDE and not (tag == "header" and inside) or bool(roles & ROLES) or bool(names) and not NOISE.isdisjoint(re.split(r"[\s_\-]+", names)))
+        called = NOISE.intersection(re.split(r"[\s_\-]+", names)) if names and tag not in ("html", "body") else set()
+        if inside:
+            called -= {"header", "masthead"}  # of the article
+        noise = noise or not here and (tag in ASIDE and tag != "form" and not (tag == "header" and inside) or bool(roles & ROLES))
+        if not here and (called or tag == "form"):
+            parent.append(named)
+            whole.append(None if inside else False)
+            named = len(parent) - 1
+        elif here and not called and not noise and whole[named] is False:
+            whole[named] = True
         key = (path, tag, names)
-        stack.append((tag, ids.setdefault(key, len(ids) + 1), noise, linked or tag == "a", inside or here and not noise))
+        stack.append((tag, ids.setdefault(key, len(ids) + 1), noise, linked or tag == "a", inside or here and not noise, named))
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             stack.pop()
+    named_noise(out, parent, whole)
     return out
 
 

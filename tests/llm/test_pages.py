@@ -105,6 +105,25 @@ def test_ratios_run_where_articles_are_teasers_or_not_all():
     assert main_text(page(f"<article><h1>Title</h1>{LONG}</article>", f"<section>{LONG}</section>")) == f"Title\n{LONG_TEXT}\n{LONG_TEXT}"
 
 
+@pytest.mark.parametrize(
+    "given",
+    [
+        f'<body class="has-sidebar"><div>{LONG}</div></body>',
+        f'<html class="no-footer"><body><article>{LONG}</article><div class="sidebar"><p>Side, text.</p></div></body></html>',
+        f'<div id="page" class="with-sidebar"><main>{LONG}</main><div class="comments"><article class="comment"><p>First, comment!</p></article></div></div>',
+        f'<div class="with-sidebar"><div class="text">{LONG}</div><div class="sidebar"><p>Side, text.</p></div></div>',
+        f'<form><div>{LONG}</div></form>',
+        f'<div class="social"><p>{LONG_TEXT[:LONG_TEXT.index(chr(10))]}</p></div><div class="footer">{LONG[LONG.index("</p>") + 4:]}</div>',
+    ],
+)
+def test_names_of_wrappers_are_no_noise(given):
+    assert main_text(given) == LONG_TEXT or "social" in given and LONG_TEXT.endswith(main_text(given)) and main_text(given)
+
+
+def test_the_header_of_an_article_is_content():
+    assert main_text(f'<article><div class="article-header"><h1>Title</h1></div>{LONG}</article>') == f"Title\n{LONG_TEXT}"
+
+
 def test_extract(spark):
     rows = [(1, "u", page(f"<article>{LONG}</article>"), 1), (2, None, None, 2), (None, "x", "<p>é</p>", 3), (1, "u", "<p>é</p>", 1), (3, "u", "<p>" + "x " * 100_000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
