@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RAW = "script|style|noscript|template|textarea|iframe|svg|title|select|object|math|xmp"
+RAW = "script|style|noscript|template|textarea|iframe|svg|title|select|xmp"
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)
+    rf"""<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)
     |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:"[^"]*+"|'[^']*+'|[^"'>])*+)>|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)|(?P<text>[^<]++|<)""",
     re.X | re.S | re.I,
 )

@@ -124,6 +124,15 @@ def test_the_header_of_an_article_is_content():
     assert main_text(f'<article><div class="article-header"><h1>Title</h1></div>{LONG}</article>') == f"Title\n{LONG_TEXT}"
 
 
+@pytest.mark.parametrize("given", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<svg><text>drawn</text></svg>", "<math/>", '<object data="x">'])
+def test_empty_or_open_elements_swallow_nothing(given):
+    assert main_text(f"<article>{given}{LONG}</article>") == LONG_TEXT
+
+
+def test_formulas_are_text():
+    assert main_text("<article><p>As <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p></article>") == "As a=b holds."
+
+
 def test_extract(spark):
     rows = [(1, "u", page(f"<article>{LONG}</article>"), 1), (2, None, None, 2), (None, "x", "<p>é</p>", 3), (1, "u", "<p>é</p>", 1), (3, "u", "<p>" + "x " * 100_000, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
