@@ -25,7 +25,8 @@ which returns a number for each set, not pairs. In any other, all pairs that the
 link with a class counts once for each of its documents. No answer is taken over from a similar set without comparison.
 
 Defined cases: null or wordless texts have the empty set and link with nothing; fewer than k words make one shingle of
-all; rows that repeat a doc_id count as one document (the union of links); a null doc_id links with nothing; an empty
+all; rows that repeat a doc_id count as one document (the union of links), and where their sets differ, each set is compared under an
+id of its own above all doc_ids, and has its own n_links; a null doc_id links with nothing; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -102,14 +103,21 @@ def prefixes(k: int, heat: np.ndarray, percent: int):
     return run
 
 
+MEMBERS = "doc_id long, n long, f1 long, f2 long, members array<long>"
+
+
 def whole_sets(k: int):
-    """doc_id and the sorted set."""
+    """MEMBERS: doc_id, size, fingerprint and the sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column("text"), k):
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(sets)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "members"])
+                prints = [[len(s), *fingerprint(s)] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(row, len(sets)), *[pa.array([f[i] for f in prints], pa.int64()) for i in range(3)], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))],
+                    names=["doc_id", "n", "f1", "f2", "members"],
+                )
 
     return run
 
@@ -121,7 +129,10 @@ def heat_of(load: np.ndarray) -> np.ndarray:
 
 
 class Linked(NamedTuple):
-    """Written tables: doc_id, n; doc_id, rep; a, b; id, component; the index: token, doc_id, n, pos, weight; doc_id, n, end_heat, end_hash."""
+    """Written tables: doc_id, n, set_id; doc_id, rep; a, b; id, component; the index: token, doc_id, n, pos, weight; doc_id, n, end_heat, end_hash.
+
+    own: doc_id, n, f1, f2, set_id of documents that have several sets, or None. Elsewhere a set_id stands for their doc_id.
+    """
 
     sizes: DataFrame
     copies: DataFrame
@@ -129,11 +140,42 @@ class Linked(NamedTuple):
     comp: DataFrame
     whole: DataFrame
     ends: DataFrame
+    own: DataFrame | None
+
+
+KEY = ["n", "f1", "f2"]
+
+
+def several(filled: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The sets of documents that have more than one, each with an id above all doc_ids."""
+    ranges = [f(c).alias(f"{c}_{i}") for c in KEY for i, f in enumerate((F.min, F.max))]
+    many = scratch.save(filled.groupBy("doc_id").agg(*ranges).where(" or ".join(f"{c}_0 < {c}_1" for c in KEY)).select("doc_id"))
+    if many.isEmpty():
+        return None
+    sets = scratch.save(filled.join(small(many), "doc_id").select("doc_id", *KEY).distinct())
+    return scratch.save(sets.withColumn("set_id", F.monotonically_increasing_id()))
+
+
+def named(rows: DataFrame, own: DataFrame | None, name: str = "doc_id") -> DataFrame:
+    """The rows (doc_id, n, f1, f2, ...) with a set's own id, if it has one, as ``name``."""
+    if own is None:
+        return rows.withColumn(name, F.col("doc_id"))
+    return rows.join(hint(own)(own), ["doc_id", *KEY], "left").withColumn(name, F.coalesce("set_id", "doc_id")).drop(*{"set_id"} - {name})
+
+
+def members_of(docs: DataFrame, ids: DataFrame, own: DataFrame | None, k: int) -> DataFrame:
+    """doc_id (or set_id) and members of the sets with these ids (a written table)."""
+    sets = lambda wanted: docs.join(small(wanted), "doc_id", "left_semi").mapInArrow(whole_sets(k), MEMBERS)
+    if own is None:
+        return sets(ids).select("doc_id", "members")
+    texts = ids.union(own.join(ids.withColumnRenamed("doc_id", "set_id"), "set_id", "left_semi").select("doc_id")).distinct()
+    return named(sets(texts), own).join(small(ids), "doc_id", "left_semi").select("doc_id", "members")
 
 
 def links(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, buckets: int = 1 << 17) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents: doc_id, n; copies: doc_id, rep; links between representatives: a, b; their components: id, component), written tables."""
-    return linked(docs, scratch, k, percent, buckets)[:4]
+    at = linked(docs, scratch, k, percent, buckets)
+    return at.sizes.select("doc_id", "n"), at.copies, at.found, at.comp
 
 
 def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int = 1 << 17) -> Linked:
@@ -146,17 +188,22 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
     load = np.zeros(buckets, np.int64)
     for b, n in first.where("kind = 1").groupBy("doc_id").agg(F.sum("n")).collect():  # one row for each bucket
         load[b] = n
-    sizes = first.where("kind = 0").select("doc_id", "n")
     heat = heat_of(load)
 
-    filled = first.where("kind = 0 and n > 0 and doc_id is not null")
-    key = ["n", "f1", "f2"]
+    filled, key = first.where("kind = 0 and n > 0 and doc_id is not null"), KEY
+    own = several(filled, scratch)
+    if own is not None:
+        top = first.where("kind = 0").agg(F.max("doc_id")).first()[0]
+        own = scratch.save(own.withColumn("set_id", F.col("set_id") + F.lit(top) + 1))
+    sizes = named(first.where("kind = 0").drop("kind"), own, "set_id").select("doc_id", "n", "set_id")
+    filled = named(filled, own)
     classes = scratch.save(filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
     copies = scratch.save(filled.join(classes, key).where("doc_id <> rep").select("doc_id", "rep").distinct())
     # equal rows of a representative: each set is to be in a list once, as hashes of what is in it twice cancel
     twice = scratch.save(filled.join(classes, key).where("doc_id = rep").groupBy("doc_id", *key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
 
     listed = docs.where("doc_id is not null").mapInArrow(prefixes(k, heat, percent), PREFIX).where("n > 0")
+    listed = named(listed, own)
     prefix = scratch.save(listed.join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti"))
     if not twice.isEmpty():
         near, again = hint(twice), prefix
@@ -186,7 +233,7 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
         lead = scratch.save(index.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "pos", "comp")).alias("l")).select("token", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("acomp")))
         met = index.join(near(lead), "token").where(f"acomp <> comp and a <> doc_id and {fits(percent)}").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
         pairs = scratch.save(possible(met, whole, ends, percent))
-        new = None if pairs.isEmpty() else scratch.save(verified(pairs, docs, scratch, k, percent))
+        new = None if pairs.isEmpty() else scratch.save(verified(pairs, docs, scratch, k, percent, own))
         if new is not None and not new.isEmpty():
             found = new if found is None else scratch.save(found.union(new))
             comp = components(found, scratch)
@@ -197,7 +244,7 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
         leaders *= 16
     if found is None:
         found, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    return Linked(sizes, copies, found, comp, whole, ends)
+    return Linked(sizes, copies, found, comp, whole, ends, own)
 
 
 def fits(percent: int) -> str:
@@ -227,10 +274,10 @@ def possible(met: DataFrame, whole: DataFrame, ends: DataFrame, percent: int) ->
     return counted.where(f"w + (short * {percent} + 99) div 100 - 1 >= (both * {percent} + {99 + percent}) div {100 + percent}").select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int, own: DataFrame | None) -> DataFrame:
     """The pairs whose sets, made anew from the texts of the documents in question, reach the threshold."""
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    members = scratch.save(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(whole_sets(k), "doc_id long, members array<long>"))
+    members = scratch.save(members_of(docs, ids, own, k))
     at_a = members.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     at_b = members.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     both = at_b.join(small(pairs), "b").join(at_a, "a").select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("i"))
@@ -286,7 +333,7 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
     if not loose.isEmpty():
         one = loose.select("token", "component", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
         pair = one.join(loose, ["token", "component"]).where(f"a < doc_id and {fits(percent)}").select("a", F.col("doc_id").alias("b")).distinct()
-        pairs = pairs.union(verified(scratch.save(possible(pair, at.whole, at.ends, percent)), docs, scratch, k, percent))
+        pairs = pairs.union(verified(scratch.save(possible(pair, at.whole, at.ends, percent)), docs, scratch, k, percent, at.own))
     weight, counts = member.select("doc_id", "size"), []
     for x, y in ("ab", "ba"):
         counts.append(pairs.join(near(weight.withColumnRenamed("doc_id", y)), y).select(F.col(x).alias("doc_id"), F.col("size").alias("links")))
@@ -294,7 +341,7 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
     # blocks
     dealt = member.where("dense").select("doc_id", "component", "size", F.expr(f"(m + {block - 1}) div {block}").alias("blocks"))
     dealt = scratch.save(dealt.withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)")))
-    sets = docs.join(small(dealt.select("doc_id")), "doc_id", "left_semi").mapInArrow(whole_sets(k), "doc_id long, members array<long>")
+    sets = members_of(docs, dealt.select("doc_id"), at.own, k)
     each = sets.join(small(dealt), "doc_id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     each = each.select("doc_id", "members", "size", "block", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     counts.append(each.groupBy("component", "lo", "hi").applyInArrow(compared(percent), "doc_id long, links long"))
@@ -307,12 +354,18 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
 def groups(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, counts: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach); with counts, n_links: other documents that it links with."""
     at = linked(docs, scratch, k, percent)
-    copies, comp = at.copies, at.comp.select(F.col("id").alias("rep"), "component")
+    copies, comp = at.copies, at.comp
+    if at.own is not None:  # a document joins what its sets link with
+        sets = at.own.select(F.col("doc_id").alias("a"), F.col("set_id").alias("b"))
+        equal = copies.join(sets.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        comp = components(at.found.select("a", "b").union(sets).union(equal), scratch)
+        copies = copies.join(sets.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    comp = comp.select(F.col("id").alias("rep"), "component")
     member = scratch.save(copies.join(comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).union(comp.select(F.col("rep").alias("doc_id"), "component")))
     out, columns = at.sizes.join(member, "doc_id", "left"), ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
     if counts:
         n = link_counts(docs, scratch, at, k, percent)
-        n = scratch.save(copies.join(hint(n)(n), "rep").select("doc_id", "n_links").union(n))
-        out = out.join(hint(n)(n), "doc_id", "left")
+        n = scratch.save(at.copies.join(hint(n)(n), "rep").select(F.col("doc_id").alias("set_id"), "n_links").union(n))
+        out = out.join(hint(n)(n), "set_id", "left")
         columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out.select(*columns)

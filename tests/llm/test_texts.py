@@ -137,6 +137,14 @@ def test_jaccard_counts_all_links(spark, corpus, block, monkeypatch):
     assert {r.n_links for r in got if r.doc_id and r.doc_id >= 400} == {1, 2}
 
 
+def test_jaccard_groups_of_an_id_with_several_texts(spark):
+    """Doc 5 equals doc 1 in one text and is near doc 9 in another: all three are one group, doc 20's second text is near doc 21's."""
+    text = lambda c, last="": " ".join([*(f"{c}{j}" for j in range(200)), last])
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (9, text("b", "x")), (20, text("c")), (20, text("d")), (21, text("d", "x")), (30, text("e"))]
+    got = jaccard.groups(frame(spark, rows), Scratch(spark, "t"), counts=True).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (5, 1, 1), (5, 1, 1), (9, 1, 1), (20, 20, 0), (20, 20, 1), (21, 20, 1), (30, 30, 0)]
+
+
 def deduped(rows):
     """Lines of each text and which of them go, by the definition."""
     split = {i: re.split(lines.SPLIT, t) if t is not None else None for i, t in rows}
