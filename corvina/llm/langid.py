@@ -158,9 +158,10 @@ def fit(samples: dict[str, list[bytes]], order: int = 4) -> Model:
 def sample(docs: DataFrame, sample_bytes: int, seed: int = 0) -> dict[str, list[bytes]]:
     """Whole texts of each label by the smallest hash of the text, up to ``sample_bytes`` a language; collected, so bounded."""
     labelled = docs.where("lang is not null and text is not null and text <> ''").select("lang", "text", F.octet_length("text").cast("long").alias("n"), (F.xxhash64("text", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62)).alias("u"))
-    total = labelled.groupBy("lang").agg(F.sum("n").alias("total"))
+    # copies of a text count once, and are combined before they are sent
+    total = labelled.select("lang", "n", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.sum("n").alias("total"))
     share = F.broadcast(total.select("lang", (F.lit(float(sample_bytes)) / F.col("total")).alias("share")))
-    rows = labelled.where(f"n <= {sample_bytes}").join(share, "lang").where("u < share").select("lang", "text", "u").collect()
+    rows = labelled.where(f"n <= {sample_bytes}").join(share, "lang").where("u < share").select("lang", "text", "u").distinct().collect()
     out: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r.u, r.text)):

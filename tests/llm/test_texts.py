@@ -145,6 +145,12 @@ def test_jaccard_groups_of_an_id_with_several_texts(spark):
     assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (5, 1, 1), (5, 1, 1), (9, 1, 1), (20, 20, 0), (20, 20, 1), (21, 20, 1), (30, 30, 0)]
 
 
+def test_language_sample_has_a_text_once(spark):
+    rows = [(i, "hot text") for i in range(50)] + [(100 + i, f"own text {i}") for i in range(10)]
+    got = langid.sample(frame(spark, rows), 1000)["en"]
+    assert sorted(got) == sorted({t.encode() for _, t in rows})
+
+
 def deduped(rows):
     """Lines of each text and which of them go, by the definition."""
     split = {i: re.split(lines.SPLIT, t) if t is not None else None for i, t in rows}
