@@ -19,9 +19,11 @@ def words(text: Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (single machine, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine; an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corvina-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -60,8 +62,33 @@ def remove(spark: SparkSession, path: str) -> None:
 
 #: Rows of two or three longs that are sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a written table, as it is stored, that are sent to every executor.
+BROADCAST_BYTES = 12 << 20
+
+
+def n_rows(df: DataFrame) -> int:
+    """The number of rows, counted once."""
+    if getattr(df, "_corvina_rows", None) is None:
+        df._corvina_rows = df.count()
+    return df._corvina_rows
+
+
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether the table may be sent to every executor: at most ``limit`` rows, and, if it is written, at most BROADCAST_BYTES."""
+    if path := getattr(df, "_corvina_path", None):
+        if getattr(df, "_corvina_bytes", None) is None:
+            fs, p = filesystem(df.sparkSession, path)
+            df._corvina_bytes = fs.getContentSummary(p).getLength()
+        if df._corvina_bytes > BROADCAST_BYTES:
+            return False
+    return n_rows(df) <= limit
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the (written) table has at most ``limit`` rows of a few numbers; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """Hint a broadcast only if the (written) table has few rows of a few numbers; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if few(df, limit) else df
+
+
+def hint(table: DataFrame):
+    """A broadcast for what has no more rows than this (written) table, if those are few."""
+    return F.broadcast if few(table, BROADCAST_ROWS // 8) else lambda df: df

@@ -6,23 +6,25 @@ A set is a document's distinct k-word shingles, as 64-bit hashes. The plan, none
    shingles over all documents. Equal sets become one class (a minimum by fingerprint, combined before the shuffle).
 2. Shingles are ordered by their bucket's load above chance, then by hash. Any fixed order gives the same links; this
    one puts widespread shingles last, so index lists are short. A second pass writes each set's prefix in that order:
-   two sets at the threshold share a shingle of their prefixes.
-3. The index has a list of (set, size, position) by shingle; lists of one class go, and lists of the same sets are one list with a
-   weight. Entries of a list are skipped by position: the first shingle that two sets share must leave enough after it in both. A pair
-   is then skipped, before any set is read, by the blocks of lists that hold both: of the set whose prefix ends first in the order,
-   what the other shares of that prefix is known from their weights, and the rest of it must make up for what is missing.
-4. Answers are derived incrementally. In each round a list's few leaders are compared with its other sets, links join
-   components, and what a leader has answered stays: the leader leaves the list, and sets that are already in one
-   component through it need no comparison with each other, however many they are. Lists left with one component end.
-   Rounds take sixteen times as many leaders each until no list is left, so no pair is dropped that could join two components.
-
-Verified links decide: 100 * |A & B| >= percent * |A | B|. What these rounds find is a subset of the links between classes that
-has the same components: a group of n similar sets costs about n comparisons for each of its lists' leaders.
-
-All links are counted (``groups(..., counts=True)``) after that, as both ends of a link lie in one component. A component in which the
-lists meet no fewer pairs than it has is dealt into blocks of sets, and each two blocks are compared whole in a task of their own,
-which returns a number for each set, not pairs. In any other, all pairs that the lists meet are checked as in step 3. A
-link with a class counts once for each of its documents. No answer is taken over from a similar set without comparison.
+   two sets at the threshold share a shingle of their prefixes; and the set's parities, a bit for each bucket of about as many as it
+   has shingles, whether the bucket holds an odd number of them.
+3. The index has a list of (set, size, position) by shingle; lists of one class go, and of lists of the same sets one stays. A list falls
+   into blocks by position: the first shingle that two sets share must leave enough after it in both, so a set far back in its own prefix
+   skips the whole back block of the list, by the join's key, and other entries by size and position. A pair that is met is then skipped,
+   before any set is read, if the parities of the two differ in more buckets than the shingles that may differ.
+4. Groups. In each round a list's few leaders are compared with its other sets, links join components, and what a leader has
+   answered stays: the leader leaves the list, and sets that are already in one component through it need no comparison with
+   each other, however many they are. Lists left with one component end. Rounds take 64 times as many leaders each until no
+   list is left, so no pair is dropped that could join two components.
+5. All links (``groups(..., counts=True)``), as both ends of a link lie in one component. A component's sets are compared with its
+   smallest one, the pivot, and written as the differences to it; the answers of each are derived from those of the pivot. With
+   |P| shingles in the pivot, d of them missing and a others present, two sets share |P| - d1 - d2 at least and |P| - max(d1, d2) + min(a1, a2)
+   at most. Sets of like d and a form a cell; for most pairs of cells these bounds decide at once for all their sets, whose links are the
+   cells' sums. For the rest the shared part is |P| - d1 - d2 + |D1 & D2|, from the differences D, in blocks of sets, each two blocks
+   a group of its own, which returns a number for each set, not pairs. Components in which the lists meet fewer pairs than it has
+   (chains) take the pairs that the lists meet instead, checked as in step 3.
+
+Verified links decide: 100 * |A & B| >= percent * |A | B|. A link with a class counts once for each of its documents.
 
 Defined cases: null or wordless texts have the empty set and link with nothing; fewer than k words make one shingle of
 all; rows that repeat a doc_id count as one document (the union of links), and where their sets differ, each set is compared under an
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm._base import BROADCAST_ROWS, Scratch, small
+from corvina.llm._base import Scratch, hint, small
 from corvina.llm._bytes import mix, shingle_sets
 from corvina.llm.components import components
 
@@ -78,26 +80,45 @@ def least_overlap(size, percent: int):
     return -(-size * percent // 100)
 
 
-PREFIX = "doc_id long, n long, f1 long, f2 long, end_heat int, end_hash long, prefix array<long>"
+PREFIX = "doc_id long, n long, f1 long, f2 long, bits array<long>, prefix array<long>"
+#: Buckets of the parities, at least and at most.
+NARROW, WIDE = 1 << 9, 1 << 15
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each bucket whether it holds an odd number of the set, 64 to a long; a power of two of buckets, at least the set's size."""
+    width = min(max(NARROW, 1 << max(len(s) - 1, 0).bit_length()), WIDE)
+    odd = np.bincount(((s >> np.uint64(40)) & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+#: The buckets in which the parities of a and b differ: no more than the shingles that only one of them has. The wider is folded.
+APART = """case when size(a_bits) = size(b_bits) then aggregate(zip_with(a_bits, b_bits, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)
+  when size(a_bits) = 2 * size(b_bits) then aggregate(transform(b_bits, (y, i) -> bit_count(y ^ a_bits[i] ^ a_bits[i + size(b_bits)])), 0, (s, x) -> s + x)
+  when size(b_bits) = 2 * size(a_bits) then aggregate(transform(a_bits, (x, i) -> bit_count(x ^ b_bits[i] ^ b_bits[i + size(a_bits)])), 0, (s, x) -> s + x)
+  else 0 end"""
+
+
+def listed(parts: list[np.ndarray]) -> pa.ListArray:
+    """A list column, a row for each part."""
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
 def prefixes(k: int, heat: np.ndarray, percent: int):
-    """PREFIX: the first n - least_overlap + 1 shingles in the order by (heat, hash), and the place in that order where they end."""
+    """PREFIX: the first n - least_overlap + 1 shingles in the order by (heat, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column("text"), k):
-                out, ends = [], []
+                out = []
                 for s in sets:
                     h = heat[(s % np.uint64(len(heat))).astype(np.int64)]
                     order = np.argsort(h, kind="stable")[: len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0]
                     out.append(s[order].view(np.int64))
-                    # as a signed number in the hashes' order
-                    ends.append((int(h[order[-1]]), int(s[order[-1]]) - (1 << 63)) if len(s) else (0, 0))
-                at, prints = np.cumsum([0, *map(len, out)]).astype(np.int32), [fingerprint(s) for s in sets]
+                prints = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(out)), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([f[i] for f in prints], pa.int64()) for i in (0, 1)], pa.array([e[0] for e in ends], pa.int32()), pa.array([e[1] for e in ends], pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(out)))],
-                    names=["doc_id", "n", "f1", "f2", "end_heat", "end_hash", "prefix"],
+                    [batch.column("doc_id").slice(row, len(out)), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([f[i] for f in prints], pa.int64()) for i in (0, 1)], listed([parities(s) for s in sets]), listed(out)],
+                    names=["doc_id", "n", "f1", "f2", "bits", "prefix"],
                 )
 
     return run
@@ -112,10 +133,9 @@ def whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column("text"), k):
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 prints = [[len(s), *fingerprint(s)] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, len(sets)), *[pa.array([f[i] for f in prints], pa.int64()) for i in range(3)], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))],
+                    [batch.column("doc_id").slice(row, len(sets)), *[pa.array([f[i] for f in prints], pa.int64()) for i in range(3)], listed([s.view(np.int64) for s in sets])],
                     names=["doc_id", "n", "f1", "f2", "members"],
                 )
 
@@ -129,7 +149,7 @@ def heat_of(load: np.ndarray) -> np.ndarray:
 
 
 class Linked(NamedTuple):
-    """Written tables: doc_id, n, set_id; doc_id, rep; a, b; id, component; the index: token, doc_id, n, pos, weight; doc_id, n, end_heat, end_hash.
+    """Written tables: doc_id, n, set_id; doc_id, rep; a, b; id, component; the index: token, doc_id, n, pos; doc_id, n, bits.
 
     own: doc_id, n, f1, f2, set_id of documents that have several sets, or None. Elsewhere a set_id stands for their doc_id.
     """
@@ -138,8 +158,8 @@ class Linked(NamedTuple):
     copies: DataFrame
     found: DataFrame
     comp: DataFrame
-    whole: DataFrame
-    ends: DataFrame
+    index: DataFrame
+    bits: DataFrame
     own: DataFrame | None
 
 
@@ -202,9 +222,8 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
     # equal rows of a representative: each set is to be in a list once, as hashes of what is in it twice cancel
     twice = scratch.save(filled.join(classes, key).where("doc_id = rep").groupBy("doc_id", *key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
 
-    listed = docs.where("doc_id is not null").mapInArrow(prefixes(k, heat, percent), PREFIX).where("n > 0")
-    listed = named(listed, own)
-    prefix = scratch.save(listed.join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti"))
+    head = named(docs.where("doc_id is not null").mapInArrow(prefixes(k, heat, percent), PREFIX).where("n > 0"), own)
+    prefix = scratch.save(head.join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti"))
     if not twice.isEmpty():
         near, again = hint(twice), prefix
         once = again.join(near(twice), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
@@ -214,102 +233,170 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
     entries = scratch.save(prefix.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).join(small(shared, 2_000_000), "token"))
     same = entries.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.min(F.struct("doc_id", "pos")).alias("at"))
     # of equal lists the one whose shingle comes first in the order, in one set as in all others
-    lists = scratch.save(same.groupBy("c", "x", "y").agg(F.min(F.struct("at.pos", "token")).alias("f"), F.count("*").alias("weight")).select("f.token", "weight"))
-    whole = scratch.save(entries.join(lists, "token"))  # token, doc_id, n, pos, weight
-    ends = scratch.save(prefix.select("doc_id", "n", "end_heat", "end_hash").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"))
-    scratch.drop(shared, prefix, entries, lists, classes)
+    lists = scratch.save(same.groupBy("c", "x", "y").agg(F.min(F.struct("at.pos", "token")).alias("f")).select("f.token"))
+    whole = scratch.save(entries.join(hint(lists)(lists), "token").select("token", "doc_id", "n", "pos"))
+    bits = scratch.save(prefix.select("doc_id", "n", "bits").join(whole.select("doc_id").distinct(), "doc_id", "left_semi"))
+    scratch.drop(shared, prefix, entries, lists, classes, twice)
 
     found, comp, leaders = None, None, 1
-    index = scratch.save(whole.select("token", "doc_id", "n", "pos", F.col("doc_id").alias("comp")))
+    index = scratch.save(whole.select("*", F.col("doc_id").alias("comp")))
     while True:
-        near = hint(index)
-        alive = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        index = scratch.save(index.join(near(alive), "token"))
-        if index.isEmpty():
+        alive = scratch.save(index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
+        if alive.isEmpty():
+            scratch.drop(alive, index)
             break
-        near = hint(index)
+        held = index.join(hint(alive)(alive), "token")
         # leaders: of each of so many classes by hash, a list's smallest id
         slot = F.pmod(F.xxhash64("doc_id", F.lit(leaders)), F.lit(leaders))
-        lead = scratch.save(index.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "pos", "comp")).alias("l")).select("token", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("acomp")))
-        met = index.join(near(lead), "token").where(f"acomp <> comp and a <> doc_id and {fits(percent)}").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        pairs = scratch.save(possible(met, whole, ends, percent))
-        new = None if pairs.isEmpty() else scratch.save(verified(pairs, docs, scratch, k, percent, own))
+        first_of = held.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "pos", "comp")).alias("l"))
+        lead = scratch.save(first_of.select("token", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("acomp")))
+        met = meetings(lead, held, percent, hint(lead)).where("acomp <> comp and a <> doc_id")
+        pairs = scratch.save(possible(met.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), bits, percent))
+        new = None if pairs.isEmpty() else verified(pairs, docs, scratch, k, percent, own)
         if new is not None and not new.isEmpty():
-            found = new if found is None else scratch.save(found.union(new))
-            comp = components(found, scratch)
-        left = index.join(near(lead.select("token", F.col("a").alias("doc_id"))), ["token", "doc_id"], "left_anti")
+            before, gone = comp, [new, *([] if found is None else [found])]
+            found = scratch.save(new if found is None else found.union(new))
+            comp = scratch.save(components(found, scratch))
+            scratch.drop(*gone, *([] if before is None else [before]))
+        left = held.join(hint(lead)(lead.select("token", F.col("a").alias("doc_id"))), ["token", "doc_id"], "left_anti")
         if comp is not None:
             left = left.drop("comp").join(hint(comp)(comp.withColumnRenamed("id", "doc_id")), "doc_id", "left").select("token", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
-        index = scratch.save(left)
-        leaders *= 16
+        old, index = index, scratch.save(left)
+        scratch.drop(old, alive, lead, pairs)
+        leaders *= 64
     if found is None:
-        found, comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    return Linked(sizes, copies, found, comp, whole, ends, own)
+        found, comp = scratch.save(spark.createDataFrame([], "a long, b long")), scratch.save(spark.createDataFrame([], "id long, component long"))
+    return Linked(sizes, copies, found, comp, whole, bits, own)
 
 
 def fits(percent: int) -> str:
     """Nothing is shared before the first shingle that two sets share, so that one leaves enough after it in both."""
-    return f"100 * least(an, n) >= {percent} * greatest(an, n) and least(an - apos, n - pos) >= ((an + n) * {percent} + {99 + percent}) div {100 + percent}"
+    return f"100 * least(an, n) >= {percent} * greatest(an, n) and least(an - apos, n - pos) >= {needed('an + n', percent)}"
 
 
-def hint(table: DataFrame):
-    """A broadcast for what has no more rows than this (written) table, if those are few."""
-    return F.broadcast if table.count() <= BROADCAST_ROWS // 2 else lambda df: df
+def needed(both: str, percent: int) -> str:
+    """The shingles that two sets of so many together share at least if they link."""
+    return f"(({both}) * {percent} + {99 + percent}) div {100 + percent}"
 
 
-def possible(met: DataFrame, whole: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and shared prefixes don't rule out.
+def meetings(lead: DataFrame, index: DataFrame, percent: int, near=lambda df: df, on: tuple[str, ...] = ("token",)) -> DataFrame:
+    """The leaders (a, an, apos) with the entries of their lists that ``fits`` doesn't rule out; of a list only the blocks that may hold some.
 
-    All tokens of the prefix that ends first come before the other's end, so what the other set has of them is in its own
-    prefix: the overlap is at most the weight of the lists that hold both, and the tokens after that prefix.
+    A list has a front block and a back block: an entry is in the back if fewer shingles follow it than it must share with a set of its own size.
+    Then it links with larger sets only, so two entries of the back never fit: a leader of the back asks the front block alone.
     """
-    near_ends, near_lists = hint(ends), hint(whole)
-    one, two = (ends.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "end_heat", "end_hash")]) for x in "ab")
-    sized = met.join(near_ends(one), "a").join(near_ends(two), "b")
-    lists_a, lists_b = whole.select(F.col("doc_id").alias("a"), "token", "weight"), whole.select(F.col("doc_id").alias("b"), "token")
-    shared = sized.join(near_lists(lists_a), "a").join(near_lists(lists_b), ["b", "token"])
-    a_first = "(a_end_heat < b_end_heat or a_end_heat = b_end_heat and a_end_hash <= b_end_hash)"
-    short = F.expr(f"if({a_first}, a_n, b_n)")
-    counted = shared.groupBy("a", "b").agg(F.sum("weight").alias("w"), F.first(short).alias("short"), F.first(F.col("a_n") + F.col("b_n")).alias("both"))
-    return counted.where(f"w + (short * {percent} + 99) div 100 - 1 >= (both * {percent} + {99 + percent}) div {100 + percent}").select("a", "b")
+    back = lambda n, pos: F.expr(f"{pos} * {100 + percent} > {n} * {100 - percent}")
+    asked = lead.withColumn("back", F.explode(F.when(back("an", "apos"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    return index.withColumn("back", back("n", "pos")).join(near(asked), [*on, "back"]).where(fits(percent))
+
+
+def possible(met: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the parities don't rule out."""
+    near = hint(bits)
+    one, two = (bits.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits")) for x in "ab")
+    return met.join(near(one), "a").join(near(two), "b").where(f"{APART} <= a_n + b_n - 2 * ({needed('a_n + b_n', percent)})").select("a", "b")
+
+
+#: Pairs of one set that one task takes.
+PART = 64
+
+
+def dealt_out(pairs: DataFrame, members: DataFrame, x: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs and the sets with a part to join by, too: a set that has many pairs stands once in each of so many parts."""
+    busy = scratch.save(pairs.groupBy(x).agg(F.count("*").alias("c")).where(f"c > {PART}").select(x, F.expr(f"(c + {PART - 1}) div {PART}").alias("parts")))
+    other = "b" if x == "a" else "a"
+    parted = pairs.join(hint(busy)(busy), x, "left").withColumn(f"{x}_part", F.coalesce(F.pmod(F.xxhash64(other), "parts"), F.lit(0))).drop("parts")
+    each = members.withColumnRenamed("doc_id", x).join(hint(busy)(busy), x, "left")
+    return parted, each.withColumn(f"{x}_part", F.explode(F.expr("sequence(0L, coalesce(parts, 1L) - 1)"))).drop("parts"), busy
 
 
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int, own: DataFrame | None) -> DataFrame:
-    """The pairs whose sets, made anew from the texts of the documents in question, reach the threshold."""
+    """The pairs whose sets, made anew from the texts of the documents in question, reach the threshold; a written table."""
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     members = scratch.save(members_of(docs, ids, own, k))
-    at_a = members.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    at_b = members.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    both = at_b.join(small(pairs), "b").join(at_a, "a").select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return both.where(f"100 * cast(i as long) >= {percent} * cast(x + y - i as long)").select("a", "b").distinct()
+    parted, at_a, busy_a = dealt_out(pairs, members.withColumnRenamed("members", "x"), "a", scratch)
+    parted, at_b, busy_b = dealt_out(parted, members.withColumnRenamed("members", "y"), "b", scratch)
+    both = at_b.join(hint(pairs)(parted), ["b", "b_part"]).join(at_a, ["a", "a_part"])
+    both = both.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("i"))
+    out = scratch.save(both.where(f"100 * cast(i as long) >= {percent} * cast(x + y - i as long)").select("a", "b").distinct())
+    scratch.drop(ids, members, busy_a, busy_b)
+    return out
 
 
 #: Sets of a block, and shingles that two blocks are compared by at a time.
 BLOCK, WIDTH = 128, 8192
+#: Cells are so many parts of the pivot wide, and at most so many by d and by a: a bound of the pairs of cells.
+FINE, CELLS = 50, 16
+#: Of a cell: the least and the most shingles of the pivot that a set lacks, of others that it has, and of all.
+CELL = ("d0", "d1", "a0", "a1", "n0", "n1")
+
+
+def derived(docs: DataFrame, scratch: Scratch, dense: DataFrame, own: DataFrame | None, k: int) -> DataFrame:
+    """doc_id, component, size, p (shingles of the pivot), n, d, cd, ca (the cell), change (the shingles that the pivot has or the set, but not both)."""
+    sets = scratch.save(members_of(docs, dense.select("doc_id"), own, k).join(hint(dense)(dense), "doc_id"))
+    parts = F.expr(f"(m + {PART - 1}) div {PART}")
+    pivots = sets.where("doc_id = component").select("component", F.col("members").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    both = sets.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).join(pivots, ["component", "part"])
+    lacks, has = F.array_except("pivot", "members"), F.array_except("members", "pivot")
+    out = both.select("doc_id", "component", "size", F.size("pivot").cast("long").alias("p"), F.size("members").cast("long").alias("n"), lacks.alias("lacks"), has.alias("has"))
+    cell = lambda c: F.least(F.lit(CELLS - 1).cast("long"), F.expr(f"cast(size({c}) as long) div greatest(1, p div {FINE})"))
+    out = out.select("doc_id", "component", "size", "p", "n", F.size("lacks").cast("long").alias("d"), cell("lacks").alias("cd"), cell("has").alias("ca"), F.concat("lacks", "has").alias("change"))
+    out = scratch.save(out.dropDuplicates(["doc_id"]))
+    scratch.drop(sets)
+    return out
+
+
+def bounds(percent: int, x: str, y: str) -> tuple[str, str]:
+    """Whether all sets of two cells link, and whether none do."""
+    surely = f"(p - {x}d1 - {y}d1) * {100 + percent} >= {percent} * ({x}n1 + {y}n1)"
+    never = f"(p - greatest({x}d0, {y}d0) + least({x}a1, {y}a1)) * {100 + percent} < {percent} * ({x}n0 + {y}n0)"
+    return surely, never
+
+
+def cells(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """component, cd, ca, CELL, w (documents in the sets that each set of the cell surely links with), itself (whether the cell's own are
+    among them), open (whether there are sets that the bounds leave open)."""
+    a = F.expr("n - p + d")
+    cell = scratch.save(sets.groupBy("component", "cd", "ca").agg(F.first("p").alias("p"), F.sum("size").alias("size"), *[f(c).alias(name) for name, (f, c) in zip(CELL, ((f, c) for c in (F.col("d"), a, F.col("n")) for f in (F.min, F.max)))]))
+    other = cell.select("component", "size", "cd", "ca", *CELL).withColumnsRenamed({c: f"o_{c}" for c in ("size", "cd", "ca", *CELL)})
+    surely, never = bounds(percent, "", "o_")
+    met = cell.join(hint(cell)(other), "component").withColumns({"surely": F.expr(surely), "never": F.expr(never)})
+    own = F.col("surely") & (F.col("cd") == F.col("o_cd")) & (F.col("ca") == F.col("o_ca"))
+    verdict = met.groupBy("component", "cd", "ca", *CELL).agg(F.sum(F.when(F.col("surely"), F.col("o_size")).otherwise(0)).alias("w"), F.bool_or(own).alias("itself"), F.bool_or(F.expr("not surely and not never")).alias("open"))
+    out = scratch.save(verdict)
+    scratch.drop(cell)
+    return out
 
 
 def compared(percent: int):
-    """The sets of one or two blocks of a component: each one's number of documents in the sets that it links with. Of two blocks, only across."""
+    """The sets of one or two blocks of a component, as changes to its pivot: each one's number of documents in the sets that it links with,
+    of the pairs that their cells leave open. Of two blocks, only across."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, first = np.unique(t["doc_id"].to_numpy(), return_index=True)  # rows that repeat a document
-        t = t.take(pa.array(first))
-        sets, block, size = t["members"].combine_chunks(), t["block"].to_numpy(), t["size"].to_numpy()
-        n = sets.value_lengths().to_numpy().astype(np.int64)
-        owner, (_, token, held) = np.repeat(np.arange(len(ids)), n), np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        several = held > 1
-        owner, token = owner[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
-        order = np.argsort(token, kind="stable")
-        owner, token = owner[order], token[order]
-        both = np.zeros((len(ids), len(ids)), np.int64)
-        for at in range(0, int(several.sum()), WIDTH):
-            lo, hi = np.searchsorted(token, [at, at + WIDTH])
-            x = np.zeros((len(ids), WIDTH), np.float32)
-            x[owner[lo:hi], token[lo:hi] - at] = 1
-            both += (x @ x.T).astype(np.int64)
-        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        near &= block[:, None] != block[None, :] if t["lo"][0].as_py() < t["hi"][0].as_py() else ~np.eye(len(ids), dtype=bool)
-        return pa.table({"doc_id": pa.array(ids), "links": pa.array(near @ size)})
+        t = t.combine_chunks()
+        ids, size, n, d, block, p = (t[c].to_numpy() for c in ("doc_id", "size", "n", "d", "block", "p"))
+        d0, d1, a0, a1, n0, n1 = (t[c].to_numpy() for c in CELL)
+        both = n[:, None] + n[None, :]
+        surely = (p[0] - d1[:, None] - d1[None, :]) * (100 + percent) >= percent * (n1[:, None] + n1[None, :])
+        never = (p[0] - np.maximum(d0[:, None], d0[None, :]) + np.minimum(a1[:, None], a1[None, :])) * (100 + percent) < percent * (n0[:, None] + n0[None, :])
+        open_ = ~surely & ~never & (block[:, None] != block[None, :] if t["lo"][0].as_py() < t["hi"][0].as_py() else ~np.eye(len(ids), dtype=bool))
+        links = np.zeros(len(ids), np.int64)
+        if open_.any():
+            sets = t["change"].combine_chunks()
+            owner = np.repeat(np.arange(len(ids)), sets.value_lengths().to_numpy().astype(np.int64))
+            _, token, held = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            several = held > 1
+            owner, token = owner[several[token]], (np.cumsum(several) - 1)[token[several[token]]]
+            order = np.argsort(token, kind="stable")
+            owner, token = owner[order], token[order]
+            common = p[0] - d[:, None] - d[None, :]
+            for at in range(0, int(several.sum()), WIDTH):
+                lo, hi = np.searchsorted(token, [at, at + WIDTH])
+                x = np.zeros((len(ids), min(WIDTH, int(several.sum()) - at)), np.float32)
+                x[owner[lo:hi], token[lo:hi] - at] = 1
+                common += (x @ x.T).astype(np.int64)
+            links = (open_ & (100 * common >= percent * (both - common))) @ size
+        return pa.table({"doc_id": pa.array(ids), "links": pa.array(links, pa.int64())})
 
     return run
 
@@ -320,7 +407,7 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
     sizes = scratch.save(at.copies.groupBy("rep").agg((F.count("*") + 1).alias("size")))
     comp = at.comp.select(F.col("id").alias("doc_id"), "component")
     comp = scratch.save(comp.union(comp.select("component", "component").distinct()))
-    held = at.whole.join(hint(comp)(comp), "doc_id").groupBy("token", "component").agg(F.count("*").alias("c"))
+    held = at.index.join(hint(comp)(comp), "doc_id").groupBy("token", "component").agg(F.count("*").alias("c"))
     met = held.groupBy("component").agg(F.expr("sum(c * (c - 1) div 2)").alias("met"))
     plan = scratch.save(comp.groupBy("component").agg(F.count("*").alias("m")).join(met, "component", "left").select("component", "m", F.expr("m > 2 and m * (m - 1) div 2 <= coalesce(met, 0)").alias("dense")))
     member = comp.join(hint(plan)(plan), "component").join(hint(sizes)(sizes.withColumnRenamed("rep", "doc_id")), "doc_id", "left")
@@ -329,24 +416,31 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
     # pairs are known; or are met in lists
     near = hint(member)
     pairs = at.found.join(near(member.where("m = 2").select(F.col("doc_id").alias("a"))), "a", "left_semi").select("a", "b").distinct()
-    loose = scratch.save(at.whole.join(near(member.where("m > 2 and not dense").select("doc_id", "component")), "doc_id"))
+    loose = scratch.save(at.index.join(near(member.where("m > 2 and not dense").select("doc_id", "component")), "doc_id"))
     if not loose.isEmpty():
         one = loose.select("token", "component", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
-        pair = one.join(loose, ["token", "component"]).where(f"a < doc_id and {fits(percent)}").select("a", F.col("doc_id").alias("b")).distinct()
-        pairs = pairs.union(verified(scratch.save(possible(pair, at.whole, at.ends, percent)), docs, scratch, k, percent, at.own))
+        pair = meetings(one, loose, percent, on=("token", "component")).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+        pairs = pairs.union(verified(scratch.save(possible(pair, at.bits, percent)), docs, scratch, k, percent, at.own))
     weight, counts = member.select("doc_id", "size"), []
     for x, y in ("ab", "ba"):
         counts.append(pairs.join(near(weight.withColumnRenamed("doc_id", y)), y).select(F.col(x).alias("doc_id"), F.col("size").alias("links")))
 
-    # blocks
-    dealt = member.where("dense").select("doc_id", "component", "size", F.expr(f"(m + {block - 1}) div {block}").alias("blocks"))
-    dealt = scratch.save(dealt.withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)")))
-    sets = members_of(docs, dealt.select("doc_id"), at.own, k)
-    each = sets.join(small(dealt), "doc_id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    each = each.select("doc_id", "members", "size", "block", "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    # derived from the pivot: cell by cell, and in blocks what that leaves open
+    dense = scratch.save(member.where("dense").select("doc_id", "component", "size", "m"))
+    sets = derived(docs, scratch, dense, at.own, k)
+    cell = cells(sets, scratch, percent)
+    known = sets.join(hint(cell)(cell), ["component", "cd", "ca"])
+    counts.append(known.select("doc_id", F.expr("w - if(itself, size, 0)").alias("links")))
+    undecided = scratch.save(known.where("open").select("doc_id", "component", "size", "p", "n", "d", "change", *CELL))
+    blocks = scratch.save(undecided.groupBy("component").agg(F.count("*").alias("u")).select("component", F.expr(f"(u + {block - 1}) div {block}").alias("blocks")))
+    each = undecided.join(hint(blocks)(blocks), "component").withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    each = each.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
     counts.append(each.groupBy("component", "lo", "hi").applyInArrow(compared(percent), "doc_id long, links long"))
 
-    total = counts[0].union(counts[1]).union(counts[2]).groupBy("doc_id").agg(F.sum("links").alias("links"))
+    total = counts[0]
+    for c in counts[1:]:
+        total = total.union(c)
+    total = total.groupBy("doc_id").agg(F.sum("links").alias("links"))
     both = total.withColumnRenamed("doc_id", "rep").join(sizes, "rep", "full")
     return scratch.save(both.select("rep", (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).alias("n_links")))
 

@@ -65,6 +65,24 @@ def test_near_duplicates(spark, block):
     assert neardup.near_duplicates(df.where("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_production_parameters_find_planted_pairs(spark):
+    """Pairs planted at cosines from 0.93 up, among vectors at random: bits and tables are those that the query takes."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        x = rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=64)
+        y -= (y @ x) * x
+        c = rng.uniform(0.931, 0.95)
+        rows += [(2 * i, x.tolist(), 0), (2 * i + 1, (c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist(), 0)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), Scratch(spark, "t")).collect()
+    links = links_of(rows)
+    assert sum(r.n_links for r in got) >= 0.98 * sum(map(len, links.values())) > 700
+    assert all(r.n_links <= len(links[r.vec_id]) for r in got)
+    assert neardup.tables_for(0.93, neardup.bits_for(8000), 0.997) == 42
+
+
 # --- pages
 
 

@@ -101,6 +101,39 @@ def test_a_group_of_many_near_copies_needs_few_pairs(spark):
     assert jaccard.groups(frame(spark, rows), Scratch(spark, "t")).where("component_id <> 0").count() == 0
 
 
+def test_cells_decide_most_of_a_group_of_near_copies(spark, monkeypatch):
+    """Copies with few changes link by their distance from the pivot alone; with more changes the blocks decide, and all counts are exact."""
+    rng = random.Random(3)
+    base, rows = [f"u{i}" for i in range(400)], []
+    for i in range(200):
+        t = list(base)
+        for _ in range(i % 2 if i < 150 else 7):
+            t[rng.randrange(400)] = f"v{i}x{rng.random()}"
+        rows.append((i, " ".join(t)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(396)} for i, t in rows}
+    want = {a: sum(a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    open_rows = []
+    whole = jaccard.cells
+    monkeypatch.setattr(jaccard, "cells", lambda *a: open_rows.append(whole(*a)) or open_rows[0])
+    got = jaccard.groups(frame(spark, rows), Scratch(spark, "t"), counts=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and len(set(want.values())) > 1
+    assert any(not r.open for r in open_rows[0].collect()) and any(r.itself for r in open_rows[0].collect())
+
+
+def test_parities_bound_the_difference(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows, apart = [], []
+    for n, m, shared in [(0, 3, 0), (5, 5, 5), (500, 510, 480), (500, 900, 300), (513, 600, 100), (40_000, 39_000, 38_000)]:
+        x = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        a, b = x[:n], np.concatenate([x[:shared], x[n : n + m - shared]])
+        rows.append((jaccard.parities(a).tolist(), jaccard.parities(b).tolist()))
+        apart.append(n + m - 2 * shared)
+    got = [r[0] for r in spark.createDataFrame(rows, "a_bits array<long>, b_bits array<long>").selectExpr(jaccard.APART).collect()]
+    assert all(g <= a for g, a in zip(got, apart)) and got[1] == 0 and got[2] > 15 and got[3] > 200 and got[4] > 200 and got[5] > 2000
+
+
 @pytest.mark.parametrize("times", [2, 4])
 def test_jaccard_groups_of_repeated_rows(spark, times):
     """Different pairs of near copies are grouped each by itself, also where every row stands an even number of times."""
@@ -145,6 +178,15 @@ def test_jaccard_groups_of_an_id_with_several_texts(spark):
     assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (5, 1, 1), (5, 1, 1), (9, 1, 1), (20, 20, 0), (20, 20, 1), (21, 20, 1), (30, 30, 0)]
 
 
+def test_a_language_of_long_texts_is_learnt(spark):
+    rows = [(i, "zz qq kz wq " * 40_000, "xx") for i in range(3)] + [(10 + i, "der die und ung " * 30, "de") for i in range(20)]
+    rows += [(50, "zq kzqq wq zz qq", None), (51, "x" * 1_000_000, "yy")]
+    docs = frame(spark, rows)
+    got = langid.sample(docs.where("lang is not null"), 5000, piece_chars=2000)
+    assert set(got) == {"xx", "de", "yy"} and all(sum(map(len, x)) <= 5000 for x in got.values()) and len(got["xx"][0]) == 2000
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()}[50] == "xx"
+
+
 def test_language_sample_has_a_text_once(spark):
     rows = [(i, "hot text") for i in range(50)] + [(100 + i, f"own text {i}") for i in range(10)]
     got = langid.sample(frame(spark, rows), 1000)["en"]
@@ -230,6 +272,23 @@ def test_quality(spark, corpus):
     assert kept.columns == frame(spark, []).columns
     assert quality.quality(frame(spark, []), trusted).count() == 0
     assert quality.quality(frame(spark, rows), trusted.where("false")).where("score <> 0").count() == 0
+    assert quality.quality(frame(spark, rows), trusted.where("false")).where("kept = base_failed").count() == 0
+
+
+def test_quality_threshold_of_the_trusted_sample(spark):
+    """Texts of words that the trusted ones don't have go, though no label says so; all that are like the trusted stay."""
+    rng = random.Random(12)
+    plain = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(150))) for i in range(200)]
+    junk = [(1000 + i, " ".join(f"{rng.choice('$%&#')}{rng.randrange(200)}" for _ in range(150))) for i in range(20)]
+    trusted = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
+    got = {r.doc_id: r for r in quality.quality(frame(spark, plain + junk + [(1, plain[1][1])]), trusted, buckets=4096).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if r.kept} >= {i for i, _ in plain} - {min(range(200), key=lambda i: got[i].score)}
+    assert not any(got[i].kept for i, _ in junk)
+    score = sorted(got[r.doc_id].score for r in quality.trusted_sample(trusted, 10_000).where("half = 1").collect())
+    at = lambda q: score[int(q * (len(score) - 1))] + (q * (len(score) - 1) % 1) * (score[min(len(score) - 1, int(q * (len(score) - 1)) + 1)] - score[int(q * (len(score) - 1))])
+    least = at(0.01) - 0.75 * (at(0.5) - at(0.01))
+    assert all(r.kept == (r.score >= least) for r in got.values())
 
 
 def test_targets():
@@ -257,8 +316,15 @@ def test_mixing(spark, corpus):
         assert r.target == pytest.approx(goal[r.source]) and r.source_size == size[r.source] and r.taken == r.copies * r.size <= 2 * r.size
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r.size)
-    for s in size:  # the last open document, and the rows outside the rounding (null and repeated ids)
+    for s in size:  # the last open document, and the rows outside the rounding (repeated ids)
         assert abs(taken[s] - goal[s]) <= largest[s] + 6
+    none = [(None, f"word {i} of several", "en", "q" if i % 2 else None) for i in range(400)]
+    lone = mixing.plan_mix(frame(spark, none), Scratch(spark, "t"), weights=(1, 9), share=0.9).collect()
+    assert sum(r.taken for r in lone) == pytest.approx(0.9 * 1600, abs=10) and 0 < sum(r.taken for r in lone if r.source == "q") < 400
+    out = collections.Counter(r.text for r in mixing.mix(frame(spark, none), Scratch(spark, "t"), weights=(1, 9), share=0.9).collect())
+    assert sum(out.values()) * 4 == sum(r.taken for r in lone) and set(out.values()) <= {1, 2}
+    with pytest.raises(ValueError):
+        mixing.plan_mix(frame(spark, rows[:50]).withColumn("source", F.col("doc_id").cast("string")), Scratch(spark, "t"), most_sources=9)
     mixed = mixing.mix(frame(spark, rows[:900]), Scratch(spark, "t"))
     many = collections.Counter(r.doc_id for r in mixed.collect())
     assert set(many.values()) <= {1, 2} and mixed.columns == frame(spark, []).columns
@@ -340,6 +406,11 @@ def test_shards(spark, tmp_path):
     assert len(store.manifest()[1]) == 3 and store.read().count() == 404 and "part" not in store.read().columns
     store.vacuum()
     assert store.versions() == [7] and store.read().count() == 404
+    none = ShardStore(spark, f"file://{tmp_path}/none")
+    none.append(docs.where("false").withColumn("part", F.lit(1)), "part")
+    none.append(docs.where("false"))
+    none.compact()
+    assert none.read().columns[:2] == ["doc_id", "text"] and none.read().count() == 0 and len(none.manifest()[1]) == 1
 
 
 def test_plan_merges_like_with_like(spark):
@@ -362,10 +433,10 @@ def test_small_broadcasts_by_size(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
-    texts = [prose(rng, 120, 5000) for _ in range(30)]
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(30)]
     shared = "\n".join(f"shared line {i} of a passage" for i in range(4))
     rows = [(i, t + ("\n" + shared if i < 4 else ""), "en", "ab"[i % 2]) for i, t in enumerate(texts)]
-    rows += [(50, texts[5].replace("w1 ", "w2 ", 1), "en", "a"), (51, "too short", "en", "a"), (52, None, None, None), (53, "!! ?? " * 200, "en", "b")]
+    rows += [(50, texts[5].rsplit(" ", 1)[0] + " w1", "en", "a"), (51, "too short", "en", "a"), (52, None, None, None), (53, "!! ?? " * 200, "en", "b")]
     docs = spark.createDataFrame([(i, t, la, s, len(t or "")) for i, t, la, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
