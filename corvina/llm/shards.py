@@ -5,14 +5,14 @@ and bytes. ``append`` writes each arrival as a run and commits the next version.
 tier ``fan`` times the one below; ``fan`` or more runs of one tier become one run of files of ``target_bytes``, which is a run of a
 higher tier, until no tier is that full; then one commit replaces what was merged. Work is proportional to the bytes
 merged, and a row is rewritten at most once a tier. Merging is one scan and one write, without a shuffle: the scan's splits are
-put together to as many tasks as the run is to have files, so no key decides where a row goes and no task is larger than a file.
+put together to as many tasks as the run is to have files, so no key decides where a row goes; a split larger than a file gives several.
 
 A commit creates ``<version>.json`` whole: it is written under another name and renamed, and a rename doesn't replace a version that is
 there, so of two writers one wins and the other raises ``Conflict`` and may retry on the new version. Readers see a version or the
 next, nothing between; runs of a failed job are in no manifest. ``vacuum`` removes runs that no kept version lists.
 
 Defined cases: null and very long values and repeated rows are kept as they are; an empty arrival adds an empty run, which
-the next compaction drops; a store without versions reads as version 0 and can't be read as a table; columns are the caller's.
+the next compaction drops, unless all runs are empty: one of them stays as the columns' bearer; a store without versions reads as version 0 and can't be read as a table; columns are the caller's.
 """
 
 from __future__ import annotations
@@ -21,12 +21,17 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm._base import filesystem, remove
 
 
+def run_name() -> Column:
+    """The run that holds a row."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"/runs/(.+)/[^/]+$", 1)
+
+
 class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -81,23 +86,27 @@ class ShardStore:
 
     # --- data
 
-    def _written(self, name: str, made_of: tuple[str, ...] = ()) -> Run:
-        where = f"{self.path}/runs/{name}"
-        fs, p = filesystem(self.spark, where)
-        n = fs.getContentSummary(p).getLength() if fs.exists(p) else 0
-        return Run(name, self.spark.read.parquet(where).count() if n else 0, n, made_of)
+    def _written(self, names: list[str], made_of: tuple[str, ...] = ()) -> list[Run]:
+        """The runs of these folders, their rows counted by one scan (of footers; one row a run comes back)."""
+        size = {}
+        for name in names:
+            fs, p = filesystem(self.spark, f"{self.path}/runs/{name}")
+            size[name] = fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+        there = [n for n in names if size[n]]
+        rows = {r[0]: r[1] for r in self._of(there).groupBy(run_name().alias("_run")).count().collect()} if there else {}
+        return [Run(n, rows.get(n, 0), size[n], made_of) for n in names]
 
     def append(self, df: DataFrame, arrival: str | None = None) -> int:
         """Commit the rows as new small shards: one run, or one for each value of the column ``arrival``, which isn't kept."""
         batch = uuid.uuid4().hex[:12]
         if arrival is None:
             df.write.parquet(f"{self.path}/runs/{batch}")
-            new = [self._written(batch)]
+            new = self._written([batch])
         else:
             df.withColumnRenamed(arrival, "_arrival").write.partitionBy("_arrival").parquet(f"{self.path}/runs/{batch}")
             fs, p = filesystem(self.spark, f"{self.path}/runs/{batch}")
             parts = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
-            new = [self._written(f"{batch}/{x}") for x in parts]
+            new = self._written([f"{batch}/{x}" for x in parts])
             if not parts:
                 return self.append(df.drop(arrival))
         version, runs = self.manifest()
@@ -127,12 +136,15 @@ class ShardStore:
     def compact(self) -> int:
         """Merge, and commit if anything changed. Returns the version."""
         version, runs = self.manifest()
-        gone, new = {r.name for r in runs if not r.rows}, []
+        full = any(r.rows for r in runs)
+        gone, new = {r.name for r in (runs if full else runs[1:]) if not r.rows}, []
         for group in self.plan(runs):
             name = f"c{uuid.uuid4().hex[:12]}"
-            files = max(1, -(-sum(r.bytes for r in group) // self.target_bytes))
-            self._of(group).coalesce(files).write.parquet(f"{self.path}/runs/{name}")
-            new.append(self._written(name, tuple(r.name for r in group)))
+            size, rows = sum(r.bytes for r in group), sum(r.rows for r in group)
+            files = max(1, -(-size // self.target_bytes))
+            most = max(1, rows * self.target_bytes * 5 // (size * 4))  # of a file, with a quarter to spare
+            self._of([r.name for r in group]).coalesce(files).write.option("maxRecordsPerFile", most).parquet(f"{self.path}/runs/{name}")
+            new += self._written([name], tuple(r.name for r in group))
             if new[-1].rows != sum(r.rows for r in group):
                 raise RuntimeError(f"{name} has {new[-1].rows} rows, its runs {sum(r.rows for r in group)}")
             gone |= {r.name for r in group}
@@ -149,12 +161,12 @@ class ShardStore:
         for v in versions[:-keep]:
             remove(self.spark, f"{self.path}/manifest/{v:010}.json")
 
-    def _of(self, runs: list[Run]) -> DataFrame:
+    def _of(self, names: list[str]) -> DataFrame:
         """The rows of these runs, as one scan: partition folders count as plain ones."""
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.path}/runs/{r.name}" for r in runs])
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.path}/runs/{n}" for n in names])
 
     def read(self, version: int | None = None) -> DataFrame:
         """A version's rows, and the name of the run that holds each in ``_run``."""
         _, runs = self.manifest(version)
         full = [r for r in runs if r.rows] or runs
-        return self._of(full).withColumn("_run", F.regexp_extract(F.col("_metadata.file_path"), r"/runs/(.+)/[^/]+$", 1))
+        return self._of([r.name for r in full]).withColumn("_run", run_name())
