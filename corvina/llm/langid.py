@@ -9,7 +9,8 @@ its exact code length in each; the shortest code wins (ties: the first label), a
 weighs 2 to the minus bits per ``sharp`` bytes, so it doesn't saturate with length.
 
 Only text is looked at. Texts are lower-cased from A to Z and runs of white space count as one space; every byte of every text is scored,
-vectorised over chunks in Arrow batches, without a shuffle. The model's size is bounded by ``sample_bytes`` for each language.
+vectorised over chunks in Arrow batches, without a shuffle. The model's size is bounded by ``sample_bytes`` for each language (at least one
+text, or a stretch of 20,000 characters of it, is learnt of each).
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a byte that no sample has costs the escapes and order -1;
 without any labelled text every prediction is ``und``; rows that repeat are predicted alike; other columns are ignored.
@@ -155,18 +156,26 @@ def fit(samples: dict[str, list[bytes]], order: int = 4) -> Model:
     return model
 
 
-def sample(docs: DataFrame, sample_bytes: int, seed: int = 0) -> dict[str, list[bytes]]:
-    """Whole texts of each label by the smallest hash of the text, up to ``sample_bytes`` a language; collected, so bounded."""
-    labelled = docs.where("lang is not null and text is not null and text <> ''").select("lang", "text", F.octet_length("text").cast("long").alias("n"), (F.xxhash64("text", F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62)).alias("u"))
+def sample(docs: DataFrame, sample_bytes: int, piece_chars: int = 20_000, seed: int = 0) -> dict[str, list[bytes]]:
+    """Texts of each label by the smallest hash of the text, up to ``sample_bytes`` a language, one at least; collected, so bounded.
+
+    Of a text of more than ``piece_chars`` characters a stretch of that length is learnt, from a place by hash, so one text doesn't
+    fill the sample and a language that has only long texts has one, too.
+    """
+    h = F.xxhash64("text", F.lit(seed))
+    place = F.pmod(h, F.greatest(F.length("text") - piece_chars, F.lit(0)).cast("long") + 1).cast("int") + 1
+    piece = F.when(F.length("text") > piece_chars, F.substr("text", place, F.lit(piece_chars))).otherwise(F.col("text"))
+    labelled = docs.where("lang is not null and text is not null and text <> ''").select("lang", piece.alias("text"), F.xxhash64("text").alias("h"), (h.bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62)).alias("u"))
+    labelled = labelled.withColumn("n", F.octet_length("text").cast("long"))
     # copies of a text count once, and are combined before they are sent
-    total = labelled.select("lang", "n", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.sum("n").alias("total"))
-    share = F.broadcast(total.select("lang", (F.lit(float(sample_bytes)) / F.col("total")).alias("share")))
-    rows = labelled.where(f"n <= {sample_bytes}").join(share, "lang").where("u < share").select("lang", "text", "u").distinct().collect()
+    total = labelled.select("lang", "n", "h", "u").distinct().groupBy("lang").agg(F.sum("n").alias("total"), F.min("u").alias("least"))
+    share = F.broadcast(total.select("lang", (F.lit(float(sample_bytes)) / F.col("total")).alias("share"), "least"))
+    rows = labelled.join(share, "lang").where("u < share or u = least").select("lang", "text", "u").distinct().collect()
     out: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r.u, r.text)):
         b = r.text.encode()
-        if room.get(r.lang, sample_bytes) >= len(b):
+        if r.lang not in out or room[r.lang] >= len(b):
             room[r.lang] = room.get(r.lang, sample_bytes) - len(b)
             out.setdefault(r.lang, []).append(b)
     return out
