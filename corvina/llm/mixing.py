@@ -4,15 +4,16 @@ Sources in code-point order (null last) get ``share`` of all words by the weight
 source's words and what it can't hold is shared again by weight among the others. A document of a source is to be taken
 target / words times: the whole part is certain, the rest p is rounded. Pivotal rounding pairs two open documents of a
 source and moves words (p times the size) from one to the other, at random by hash so that each p keeps its mean, until one
-of them is 0 or 1; the other goes on. So a source's words stay put until its last open document, whose size bounds the error.
+of them is 0 or 1; the other goes on. So a source's words stay put until its last open document, whose size bounds the error. A group
+takes its documents from the largest to the smallest, so what stays open is mostly small.
 
 The pairing is a reduction tree: leaves of about ``leaf`` documents by hash of doc_id, each leaving one open document at most, then
 ``fan`` of those together, up to one group a source. A source of a third of all rows only has more leaves. Random numbers
 are hashes of ids, and groups are sorted, so a rerun or a retried task decides alike, however rows are partitioned.
 
 Defined cases: null texts have size 0 and take no words; a null source is a source, after all others; rows that repeat a doc_id
-follow one decision (of the smallest source and size); a null doc_id is taken the whole part only; with no words at all, targets
-are 0; an empty table gives no rows; other columns are ignored by ``plan_mix`` and kept by ``mix``.
+follow one decision (of the smallest source and size); rows with a null doc_id are told apart by source and text and rounded like others (equal
+ones alike); with no words at all, targets are 0; more than ``most_sources`` sources are an error, as targets are made on the driver; an empty table gives no rows; other columns are ignored by ``plan_mix`` and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm._base import WORD, Scratch
 
+#: Sources whose targets the driver makes; their rates are broadcast.
+MOST_SOURCES = 200_000
 OPEN = "source string, leaves long, leaf long, doc_id long, size long, p double, copies int"
 
 
@@ -76,23 +79,31 @@ def pivotal(ids: Sequence[int], sizes: Sequence[int], ps: Sequence[float], seed:
 
 def rounding(seed: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id")
+        group = group.sort_values(["size", "doc_id"], ascending=[False, True])
         return group.assign(p=np.array(pivotal(group.doc_id.tolist(), group["size"].tolist(), group.p.tolist(), seed, bool(group.leaves.iloc[0] == 1)), float))
 
     return run
 
 
-def plan_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, leaf: int = 4096, fan: int = 256, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (int), taken (long). One row is collected for each source."""
+def identity() -> Column:
+    """The doc_id, or what stands for it where it is null: a hash of source and text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")), F.col("text")))
+
+
+def plan_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, leaf: int = 4096, fan: int = 256, seed: int = 0, most_sources: int = MOST_SOURCES) -> DataFrame:
+    """doc_id, key (``identity``), source, size, source_size, target, copies (int), taken (long). One row is collected for each source."""
     spark = docs.sparkSession
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words.alias("size")))
-    totals = {s: (n, c) for s, n, c in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()}
+    sized = scratch.save(docs.select(F.col("doc_id").cast("long"), identity().alias("key"), F.col("source").cast("string"), n_words.alias("size")))
+    sums = sized.groupBy("source").agg(F.sum("size"), F.count("*")).limit(most_sources + 1).collect()
+    if len(sums) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    totals = {s: (n, c) for s, n, c in sums}
     goal = targets({s: n for s, (n, _) in totals.items()}, weights, share, most)
     rates = spark.createDataFrame([(s, n, goal[s], goal[s] / n if n else 0.0, -(-c // leaf)) for s, (n, c) in totals.items()], "source string, source_size long, target double, rate double, leaves long")
     rated = sized.join(F.broadcast(rates.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    ranked = rated.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("source", "size", "rate", "leaves")).alias("u")).select("doc_id", "u.*")
+    ranked = rated.groupBy("key").agg(F.min(F.struct("source", "size", "rate", "leaves")).alias("u")).select(F.col("key").alias("doc_id"), "u.*")
     frac = F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0)
     state = ranked.select("source", "leaves", F.pmod(F.xxhash64("doc_id"), "leaves").alias("leaf"), "doc_id", "size", frac.alias("p"), F.floor("rate").cast("int").alias("copies"))
     done, leaves = [], max((-(-c // leaf) for _, c in totals.values()), default=1)
@@ -106,13 +117,14 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1
     decided = done[0]
     for d in done[1:]:
         decided = decided.union(d)
-    decided = decided.select("doc_id", (F.col("copies") + F.col("p").cast("int")).alias("copies"))
-    out = rated.join(decided, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.floor("rate").cast("int")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    decided = decided.select(F.col("doc_id").alias("key"), (F.col("copies") + F.col("p").cast("int")).alias("copies"))
+    out = rated.join(decided, "key")
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The table with each document repeated as often as the mix takes it."""
-    copies = plan_mix(docs.select("doc_id", "text", "source"), scratch, **options).groupBy(F.col("doc_id").alias("_corvina_id")).agg(F.max("copies").alias("_corvina_copies")).where("_corvina_copies > 0")
-    many = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_corvina_id")))
+    plan = plan_mix(docs.select("doc_id", "text", "source"), scratch, **options)
+    copies = plan.groupBy(F.col("key").alias("_corvina_key")).agg(F.max("copies").alias("_corvina_copies")).where("_corvina_copies > 0")
+    many = docs.withColumn("_corvina_own", identity()).join(copies, F.col("_corvina_own") == F.col("_corvina_key"))
     return many.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_corvina_copies"))).alias("_corvina_n")).drop("_corvina_n")
