@@ -5,10 +5,13 @@ cost nothing. A class's code in a table is the signs of its products with ``bits
 meet in a bucket. There, every pair's cosine is computed in double precision; a pair that meets in several tables counts in the first.
 A bucket sends out, for each vector, the weight of its links, and a spanning forest of its links instead of the pairs themselves.
 
+Two vectors at cosine c share a code with probability (1 - acos(c) / pi) ** bits. Bits follow the largest label, so that chance fills one bucket in
+sixteen however many vectors there are, and tables follow the bits, so that ``recall`` of the pairs at the threshold are found and more
+above (48 tables of 17 bits for 8,000 vectors a label). Links are verified, so none is below the threshold. Only hashes of the codes are shuffled to
+find the buckets that hold more than one class; vectors are sent to those alone.
+
 A bucket of more than ``block`` classes is dealt out: its classes into blocks by hash, and each two blocks into one group, so every pair
-still meets exactly once, in groups of bounded size, whatever share of the rows one bucket has. Two vectors at cosine c
-share a code with probability (1 - acos(c) / pi) ** bits; with 12 bits and 24 tables, 0.997 of the pairs at 0.93 are found and
-more above. Links are verified, so none is below the threshold.
+still meets exactly once, in groups of bounded size, whatever share of the rows one bucket has.
 
 Defined cases: vectors that are null, empty or all zero, or hold a null or a non-finite component, and rows with a null label or vec_id,
 link with nothing; vectors of different lengths don't link; rows that repeat an id and vector are one vector and each give
@@ -17,6 +20,7 @@ the row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm._base import Scratch, small
+from corvina.llm._base import Scratch, n_rows, small
 from corvina.llm.components import components
 
 VALID = "vec_id is not null and label is not null and coalesce(size(embedding), 0) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
@@ -78,7 +82,7 @@ def compared(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         rep, weight, table = (group.column(c).to_numpy() for c in ("rep", "weight", "t"))
-        key = [group.column(c).to_numpy(zero_copy_only=False) for c in ("j", "i", "code", "n", "label", "t")]
+        key = [group.column(c).to_numpy() for c in ("j", "i", "bucket")]
         own = group.column("own").to_numpy()
         embeddings, codes = group.column("embedding").chunk(0), group.column("codes").chunk(0)
         codes = codes.values.to_numpy()[codes.offsets[0].as_py() :].reshape(len(rep), -1)
@@ -86,10 +90,15 @@ def compared(threshold: float):
         new = np.ones(len(order) + 1, bool)
         new[1:-1] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
         edges = np.flatnonzero(new)
+        # most buckets hold two classes by chance: those are left out together
+        size, length = np.diff(edges), np.diff(embeddings.offsets.to_numpy())
+        near = size > 1
+        two = np.flatnonzero(size == 2)
+        for n in np.unique(length[order[edges[two]]]).tolist():
+            at = two[length[order[edges[two]]] == n]
+            near[at] = (matrix(embeddings, order[edges[at]]) * matrix(embeddings, order[edges[at] + 1])).sum(axis=1) > threshold - 1e-9
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if b - a < 2:
-                continue
+        for a, b in zip(edges[:-1][near].tolist(), edges[1:][near].tolist()):
             rows = order[a:b]
             x = matrix(embeddings, rows)
             linked = x @ x.T >= threshold
@@ -97,11 +106,10 @@ def compared(threshold: float):
             i, j = key[1][rows[0]], key[0][rows[0]]
             if i != j:  # two blocks: pairs within one are another group's
                 linked &= own[rows][:, None] != own[rows][None, :]
-            if not linked.any():
-                continue
-            u, v = np.nonzero(linked)
-            c = codes[rows, : table[rows[0]]]
-            linked[u, v] = ~(c[u] == c[v]).any(axis=1)
+            hit = np.flatnonzero(linked.any(axis=1))
+            linked, rows = linked[np.ix_(hit, hit)], rows[hit]
+            for c in codes[rows, : table[order[a]]].T:  # met in an earlier table
+                linked &= c[:, None] != c[None, :]
             hit = np.flatnonzero(linked.any(axis=1))
             if len(hit):
                 linked, rows = linked[np.ix_(hit, hit)], rows[hit]
@@ -116,31 +124,44 @@ def compared(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, bits: int = 12, tables: int = 24, block: int = 1024, group_rows: int = 20_000, seed: int = 1) -> DataFrame:
+def bits_for(vectors: int) -> int:
+    """So many that chance fills one bucket in sixteen; at most 24."""
+    return min(24, max(8, math.ceil(math.log2(max(vectors, 1))) + 4))
+
+
+def tables_for(threshold: float, bits: int, recall: float) -> int:
+    """So many that a pair at the threshold shares a code in one of them with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-((1 - math.acos(threshold) / math.pi) ** bits)))
+
+
+def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, recall: float = 0.997, bits: int | None = None, tables: int | None = None, block: int = 1024, group_rows: int = 20_000, seed: int = 1) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
     valid = v.where(VALID)
-    classes = scratch.save(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("weight")))
-    many = classes.count()
-    coded = classes.mapInArrow(signatures(bits, tables, seed), "label long, embedding {}, rep long, weight long, codes array<int>".format(classes.schema["embedding"].dataType.simpleString()))
-    coded = coded.select("*", F.size("embedding").cast("long").alias("n"))
-    bucket = ["t", "label", "n", "code"]
-    rows = coded.select("rep", "weight", "label", "n", "embedding", "codes", F.posexplode("codes").alias("t", "code"))
-    large = scratch.save(coded.select("label", "n", F.posexplode("codes").alias("t", "code")).groupBy(*bucket).count().where(f"count > {block}").withColumn("blocks", F.ceil(F.col("count") / block)).drop("count"))
+    bits = bits or bits_for(valid.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+    tables = tables or tables_for(threshold, bits, recall)
+    classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("weight"))
+    coded = scratch.save(classes.mapInArrow(signatures(bits, tables, seed), "label long, embedding {}, rep long, weight long, codes array<int>".format(classes.schema["embedding"].dataType.simpleString())))
+
+    met = coded.select("rep", "label", F.size("embedding").alias("n"), F.posexplode("codes").alias("t", "code")).select("rep", "t", F.xxhash64("t", "label", "n", "code").alias("bucket"))
+    several = scratch.save(met.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", F.expr(f"(c + {block - 1}) div {block}").alias("blocks")))
+    met = met.join(small(several), "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     # one group a bucket, or one for each two blocks
-    dealt = rows.join(small(large), bucket, "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("rep"), "blocks"), F.lit(0)))
-    other = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.select("rep", "weight", "label", "n", "embedding", "codes", "t", "code", "own", F.explode(other).alias("o")).withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")})
-    groups = max(1, -(-many * tables // group_rows))
-    dealt = dealt.withColumn("g", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64(*bucket), F.lit(groups))).otherwise(F.xxhash64(*bucket, "i", "j"))).drop("o")
-    found = scratch.save(dealt.groupBy("g").applyInArrow(compared(threshold), FOUND))
+    dealt = met.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")})
+    dealt = scratch.save(dealt.select("rep", "t", "bucket", "blocks", "own", "i", "j"))
+    groups = max(1, -(-n_rows(dealt) // group_rows))
+    sent = dealt.withColumn("g", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.xxhash64("bucket", "i", "j"))).drop("blocks")
+    sent = sent.join(coded.select("rep", "weight", "embedding", "codes"), "rep")
+    found = scratch.save(sent.groupBy("g").applyInArrow(compared(threshold), FOUND))
+    scratch.drop(several, dealt)
 
     comp = components(found.where("kind = 1").select("a", "b"), scratch).select(F.col("id").alias("rep"), "component")
     linked = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("w"))
     answer = scratch.save(
-        classes.join(linked, "rep", "left").join(comp, "rep", "left")
+        coded.join(linked, "rep", "left").join(comp, "rep", "left")
         .select("label", "embedding", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
+    scratch.drop(coded, found)
     known = valid.join(answer, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = v.where(f"not coalesce({VALID}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -80,7 +80,7 @@ def test_production_parameters_find_planted_pairs(spark):
     links = links_of(rows)
     assert sum(r.n_links for r in got) >= 0.98 * sum(map(len, links.values())) > 700
     assert all(r.n_links <= len(links[r.vec_id]) for r in got)
-    assert neardup.tables_for(0.93, neardup.bits_for(8000), 0.997) == 42
+    assert neardup.tables_for(0.93, neardup.bits_for(8000), 0.997) == 48
 
 
 # --- pages
