@@ -6,7 +6,8 @@ among paragraphs gains and a lone sentence among links loses; they are fused to
 of at least ``least`` standard deviations are content. What the markup says by itself goes first: scripts, styles, forms and the like hold no
 text; menus, headers, footers, sidebars, notices, adverts and comments, by tag, role, class or id, are not content (class and id count
 on neither the body nor a wrapper of the page's text, and not at all where they leave nothing); and
-where article and main elements hold at least half of the text outside links, their paths that aren't lists of links are raised by the edge.
+where article and main elements hold at least half of the text outside links, their paths are raised by the edge.
+In an article, words that its own parts may be called by (legal, notice, side and the like) count only as a whole name; an article that is called comment or reply is a comment.
 
 The parser takes any text: tags that aren't closed, stray ends, cut pages, comments without an end. It works a page at
 a time in Arrow batches; nothing is shuffled, and time is linear in the page.
@@ -53,9 +54,23 @@ NOISE = set(
     "side aside footer foot header masthead comment comments reply replies discussion respond disqus notice notices cookie cookies consent gdpr alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager copyright legal disclaimer tags form search".split()
 )
+#: Of these, what an article's own parts may be called as well: within an article they count only in a name that has no other part.
+WEAK = set("legal notice notices side aside tags form search disclaimer copyright alert header masthead banner discussion response menu overlay toolbar".split())
+#: Whole names of articles that are readers' comments.
+COMMENTS = set("comment comments reply replies".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
+def noisy_parts(names: str, inside: bool) -> set[str]:
+    """The parts of class names and ids that call an element noise."""
+    out: set[str] = set()
+    for name in names.split():
+        parts = set(re.split(r"[_\-]+", name)) - {""}
+        hit = parts & NOISE
+        out |= hit - WEAK if inside and parts - NOISE else hit
+    return out - {"header", "masthead"} if inside else out
+
+
 class Node:
     __slots__ = ("block", "linked", "inside", "named", "noise", "path", "text")
 
@@ -135,13 +150,13 @@ def nodes(page: str) -> list[Node]:
                     names += " " + value
         _, path, noise, linked, inside, named = stack[-1]
         here = tag in ("article", "main") or "main" in roles or "article" in roles
-        called = NOISE.intersection(re.split(r"[\s_\-]+", names)) if names and tag not in ("html", "body") else set()
-        if inside:
-            called -= {"header", "masthead"}  # of the article
+        called = noisy_parts(names, inside) if names and tag not in ("html", "body") else set()
+        said = here and bool(COMMENTS.intersection(names.split()))  # a reader's comment as an article
+        here = here and not said
         noise = noise or not here and (tag in ASIDE and tag != "form" and not (tag == "header" and inside) or bool(roles & ROLES))
         if not here and (called or tag == "form"):
             parent.append(named)
-            whole.append(None if inside else False)
+            whole.append(None if inside or said else False)
             named = len(parent) - 1
         elif here and not called and not noise and whole[named] is False:
             whole[named] = True
@@ -175,9 +190,8 @@ def content_paths(found: list[Node], least: float) -> set[int]:
     edge = min(least * fused.std(), 0.5 * score.max()) if len(paths) > 1 else 0.0
     own = length * (1 - links)
     if inside.any() and 2 * own[inside].sum() >= own.sum():
-        # the element that holds most of the text lifts its paths to the edge, but for lists of links
-        linked = np.bincount(at, length * links) / np.maximum(np.bincount(at, length), 1)
-        score = np.where((mean(inside.astype(float)) > 0) & ~((linked > 0.5) & (count > 2) & (mean(length) < 25)), score + edge, score)
+        # the element that holds most of the text lifts its paths to the edge
+        score = np.where(mean(inside.astype(float)) > 0, score + edge, score)
     return {int(p) for p, s in zip(paths, score) if s >= edge}
 
 

@@ -279,3 +279,51 @@ def test_registered_queries(spark):
         columns = sorted(got.columns)
         assert sorted(want.columns) == columns
         assert sorted(repr([r[c] for c in columns]) for r in got.collect()) == sorted(repr([r[want.columns.index(c)] for c in columns]) for r in want.fetchall())
+
+
+def test_html_names():
+    """Names of the body, of wrappers and of an article's own parts don't take the text away; comments that are articles go."""
+    p = "This is a paragraph of the main article, with commas, and a full stop. It goes on for a while, so that it counts."
+    for page in (f'<body class="home no-sidebar"><div><p>{p}</p><p>{p}</p></div></body>', f'<body class="page has-header"><div><p>{p}</p><p>{p}</p></div></body>', f'<form id="aspnetForm"><div class="c"><p>{p}</p><p>{p}</p></div></form>'):
+        assert main_text(page) == f"{p}\n{p}"
+    assert main_text(f'<article><p>{p}</p><div class="legal-analysis"><p>Law. {p}</p></div><div class="legal-notice"><p>{p}</p></div></article>') == f"{p}\nLaw. {p}"
+    assert main_text(f'<article><p>{p}</p></article><article class="comment"><p>I think so, too. {p}</p></article>') == p
+    assert main_text(f'<article><p>{p}</p><ul><li><a href="x">One</a><li><a href="x">Two</a><li><a href="x">Three</a></ul></article>') == f"{p}\nOne\nTwo\nThree"
+    cards = "<section><article><h3>Teaser</h3><p>Short text.</p></article><article><h3>Another</h3><p>Short text.</p></article></section>"
+    assert main_text(f'<div class="content">{f"<p>{p}</p>" * 4}</div>{cards}') == "\n".join([p] * 4)
+    assert main_text(f'<div class="x"><p>{p}</p><ul><li>First of a list</li><li>Second</li></ul><blockquote>A quote, as said.</blockquote><p>{p}</p></div>').split("\n")[1:4] == ["First of a list", "Second", "A quote, as said."]
+
+
+def test_tag_path_ratios_by_the_definition():
+    """Paths' scores computed node by node, in plain Python, choose the same paths, on pages without an article and on random ones."""
+    import math
+
+    from corvina.llm import html as h
+
+    def chosen(found, least=1.0):
+        full = [n for n in found if not n.noise and n.text.strip()]
+        by = {}
+        for n in full:
+            by.setdefault(n.path, []).append(n)
+        avg = lambda x: sum(x) / len(x)
+        size = {p: avg([len(n.text.strip()) for n in ns]) for p, ns in by.items()}
+        marks = {p: avg([len(h.PUNCTUATION.findall(n.text)) for n in ns]) for p, ns in by.items()}
+        w = [math.exp(-d * d / 2) for d in range(-2, 3)]
+        near = lambda i, v: sum(w[d + 2] * v[full[min(max(i + d, 0), len(full) - 1)].path] for d in range(-2, 3)) / sum(w)
+        fused = [math.sqrt(near(i, size) * (1 + near(i, marks))) * (0.1 if n.linked else 1) for i, n in enumerate(full)]
+        score = {p: avg([f for f, n in zip(fused, full) if n.path == p]) for p in by}
+        dev = math.sqrt(avg([(f - avg(fused)) ** 2 for f in fused])) if full else 0
+        edge = min(least * dev, 0.5 * max(score.values())) if len(score) > 1 else 0
+        own = [0 if n.linked else len(n.text.strip()) for n in full]
+        raised = any(n.inside for n in full) and 2 * sum(o for o, n in zip(own, full) if n.inside) >= sum(own)
+        return {p for p, s in score.items() if s + (edge if raised and any(n.inside for n in by[p]) else 0) >= edge - 1e-9}
+
+    rng, tags = random.Random(4), ["div", "p", "span", "a", "li", "ul", "section", "b", "td", "article"]
+    cut = 0
+    for _ in range(200):
+        page = "".join(rng.choice([f"<{(t := rng.choice(tags))} class=c{rng.randrange(3)}>", f"</{rng.choice(tags)}>", " ".join(["word,"] * rng.choice([1, 2, 30])), "text."]) for _ in range(60))
+        found = h.nodes(page)
+        want = chosen(found)
+        assert h.content_paths(found, 1.0) == want
+        cut += want < {n.path for n in found if not n.noise and n.text.strip()}
+    assert cut > 100
