@@ -1,22 +1,40 @@
-"""The engine: build an index from a dump, keep it, answer questions."""
+"""The engines: build an index from a dump, keep it, answer questions; and the same over fields, from CSV parts or pages."""
 
 from __future__ import annotations
 
+import logging
 import sys
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvina.config import Config, load_config, setup_logging
-from corvina.functions.text import Lemmas, dictionary, preprocess
-from corvina.operators.index import Index, build_index
-from corvina.operators.parse import parse_pages
-from corvina.operators.results import formatted
-from corvina.operators.search import search
+from corvina.functions.text import Lemmas, dictionary, preprocess, tokenize
+from corvina.operators.fielded import FieldIndex, build_field_index, clauses, field_search, field_terms
+from corvina.operators.index import Index, write_index
+from corvina.operators.parse import parse_pages, read_infobox_string
+from corvina.operators.results import formatted, infobox_details
+from corvina.operators.search import match_count, page_stems, search
 from corvina.plans.args import Operator, parse_args
 from corvina.session import build_session
-from corvina.sources.dump import read_dump_raw, read_dump_xml, read_words
+from corvina.sources.dump import read_dump_raw, read_dump_xml, read_lemmas, read_parts, read_words
+from corvina.streaming.incremental import preprocess_batch
+
+SAVER = "document_saver"
+
+
+def tagger(spark: SparkSession, config: Config) -> Callable[[], Lemmas]:
+    """The dictionary that the configuration names; without one, every word is its own lemma."""
+    return dictionary(read_lemmas(spark, config.lemmas_path) if config.lemmas_path else {})
+
+
+def question_terms(spark: SparkSession, question: str, config: Config, stop_words: Sequence[str], lemmas: Callable[[], Lemmas]) -> list[str]:
+    """A question through the documents' own components."""
+    one = spark.createDataFrame([(question,)], "text string")
+    return list(preprocess(one, set(config.preprocessor_components) - {SAVER}, stop_words, lemmas).first()["terms"])
 
 
 @dataclass
@@ -25,36 +43,90 @@ class Engine:
     config: Config
     index: Index
     pages: DataFrame
-    stop_words: Sequence[str] = ()
-    lemmas: Callable[[], Lemmas] | None = None
+    stems: DataFrame
+    stop_words: Sequence[str]
+    lemmas: Callable[[], Lemmas]
 
     @classmethod
     def build(cls, spark: SparkSession, config: Config, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None, source: str = "raw") -> Engine:
-        """Parse the dump, preprocess, index, and save all of it under ``index_path``; then work on what was saved."""
+        """Parse the dump, preprocess, index, and save all of it under ``index_path``; then work on what was saved.
+
+        With document_saver among the components, preprocessed documents are kept at ``already_processed_path`` and not made again.
+        """
+        lemmas, root = lemmas or tagger(spark, config), config.index_path
         read = {"raw": read_dump_raw, "xml": read_dump_xml}[source]
-        pages = parse_pages(read(spark, config.dump_path))
-        pages.write.mode("overwrite").parquet(f"{config.index_path}/pages")
-        pages = spark.read.parquet(f"{config.index_path}/pages")
-        docs = preprocess(pages, set(config.preprocessor_components) - {"document_saver"}, stop_words, lemmas, text="raw_text").select("doc_id", "terms")
-        docs.write.mode("overwrite").parquet(f"{config.index_path}/doc_terms")
-        build_index(spark.read.parquet(f"{config.index_path}/doc_terms")).save(config.index_path, "overwrite")
+        parse_pages(read(spark, config.dump_path)).write.mode("overwrite").parquet(f"{root}/pages")
+        pages = spark.read.parquet(f"{root}/pages")
+        page_stems(pages).write.mode("overwrite").parquet(f"{root}/page_stems")
+        steps = set(config.preprocessor_components)
+        if SAVER in steps:
+            docs = preprocess_batch(pages.withColumnRenamed("raw_text", "text"), config.already_processed_path, steps, stop_words, lemmas)
+        else:
+            docs = preprocess(pages, steps, stop_words, lemmas, text="raw_text")
+        docs.select("doc_id", "terms").write.mode("overwrite").parquet(f"{root}/doc_terms")
+        write_index(spark.read.parquet(f"{root}/doc_terms"), root, mode="overwrite")
         return cls.load(spark, config, stop_words, lemmas)
 
     @classmethod
     def load(cls, spark: SparkSession, config: Config, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> Engine:
-        return cls(spark, config, Index.load(spark, config.index_path), spark.read.parquet(f"{config.index_path}/pages"), stop_words, lemmas)
+        root = config.index_path
+        return cls(spark, config, Index.load(spark, root), spark.read.parquet(f"{root}/pages"), spark.read.parquet(f"{root}/page_stems"), stop_words, lemmas or tagger(spark, config))
 
     def query_terms(self, question: str) -> list[str]:
-        """The question through the documents' own components."""
-        one = self.spark.createDataFrame([(question,)], "text string")
-        return list(preprocess(one, set(self.config.preprocessor_components) - {"document_saver"}, self.stop_words, self.lemmas or dictionary({})).first()["terms"])
+        return question_terms(self.spark, question, self.config, self.stop_words, self.lemmas)
 
     def search(self, question: str, operator: Operator = Operator.AND, n: int = 10, and_mode: str = "strict") -> DataFrame:
-        return search(self.index, self.query_terms(question), operator, n, self.pages, and_mode)
+        return search(self.index, self.query_terms(question), operator, n, self.pages, and_mode, stems=self.stems)
+
+    def match_count(self, question: str, operator: Operator = Operator.AND, and_mode: str = "strict") -> int:
+        return match_count(self.index, self.query_terms(question), operator, and_mode)
+
+
+@dataclass
+class FieldEngine:
+    """Search over titles, infoboxes and terms. ``pages``: doc_id, title, raw_text, infobox."""
+
+    spark: SparkSession
+    config: Config
+    index: FieldIndex
+    pages: DataFrame
+    stop_words: Sequence[str]
+    lemmas: Callable[[], Lemmas]
+
+    @classmethod
+    def build(cls, spark: SparkSession, config: Config, parts: str, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> FieldEngine:
+        """Index the CSV parts at ``parts`` under ``index_path``; pages that are indexed already, by title, stay as they are."""
+        began, root = time.time(), config.index_path
+        rows = read_parts(spark, parts).where("title is not null").groupBy("title").agg(F.max(F.struct("raw_text", "infobox", "terms")).alias("p"))
+        box = read_infobox_string("p.infobox")
+        pages = rows.select(F.xxhash64("title").alias("doc_id"), "title", "p.raw_text", F.when(box["properties"].isNotNull(), F.struct(box["name"].alias("name"), box["properties"].alias("properties"))).alias("infobox"), F.split(F.coalesce("p.terms", F.lit("")), " ").alias("terms"))
+        pages = pages.withColumn("terms", F.filter("terms", lambda x: x != ""))
+        added = build_field_index(field_terms(pages, stop_words)).save(root)
+        pages.write.mode("overwrite").parquet(f"{root}/field_pages")
+        logging.info("%d documents indexed in %.1f s", added, time.time() - began)
+        return cls.load(spark, config, stop_words, lemmas)
+
+    @classmethod
+    def load(cls, spark: SparkSession, config: Config, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> FieldEngine:
+        return cls(spark, config, FieldIndex.load(spark, config.index_path), spark.read.parquet(f"{config.index_path}/field_pages"), stop_words, lemmas or tagger(spark, config))
+
+    def search(self, question: str, n: int = 10) -> DataFrame:
+        """rank, doc_id, title, score, infobox_title: raw tokens should stand in the boosted fields, preprocessed terms must be in the text."""
+        tokens = self.spark.createDataFrame([(question,)], "q string").select(tokenize(F.col("q"))).first()[0]
+        terms = question_terms(self.spark, question, self.config, self.stop_words, self.lemmas)
+        found = field_search(self.index, clauses(tokens, terms, self.config.boosts, self.stop_words), n)
+        ranked = self.spark.createDataFrame([(i + 1, *r) for i, r in enumerate(found.collect())], "rank int, doc_id long, score double")  # n rows
+        return ranked.join(self.pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left").select("rank", "doc_id", "title", "score", "infobox_title")
+
+
+def answer(engine: Engine, line: str) -> tuple[int, DataFrame]:
+    """The number of matches and the results that a line of the query language asks for."""
+    a = parse_args(line)
+    return engine.match_count(a.query, a.boolean_operator), engine.search(a.query, a.boolean_operator, a.results_count)
 
 
-def main() -> None:
-    """python -m corvina.engine CONFIG: builds the index if there is none, then answers lines until q."""
+def main(read: Callable[[str], str] = input) -> None:
+    """python -m corvina.engine CONFIG: builds the index if there is none, then answers lines until q; a rank shows that result's infobox."""
     config = load_config(sys.argv[1])
     setup_logging(config.verbose)
     spark = build_session(conf=config.spark)
@@ -65,9 +137,19 @@ def main() -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         engine = Engine.build(spark, config, stop)
-    while (line := input("query> ").strip()) not in ("q", "Q"):
-        a = parse_args(line)
-        formatted(engine.search(a.query, a.boolean_operator, a.results_count)).show(truncate=False)
+    while (line := read("query> ").strip()) not in ("q", "Q"):
+        began = time.time()
+        try:
+            n, found = answer(engine, line)
+        except ValueError as e:
+            print(e)
+            continue
+        rows = found.collect()
+        found = spark.createDataFrame(rows, found.schema)
+        formatted(found).show(truncate=False)
+        print(f"{n} documents, {time.time() - began:.1f} s")
+        while (rank := read("rank, or nothing> ").strip()).isdigit():
+            infobox_details(found, engine.pages, int(rank)).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.config import Config
+from corvina.functions.stem import stem, stem_words
 from corvina.functions.text import tokenize
+from corvina.sources.dump import read_or_empty
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -17,9 +20,9 @@ FIELDS = ("title", "infobox_name", "infobox_key", "infobox_value")
 
 
 def field_terms(pages: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
-    """doc_id, field, words (array): title, infobox name, keys and values analysed as text, terms as they are."""
+    """doc_id, field, words (array): title, infobox name, keys and values as stems of the tokens without stop words, terms as they are."""
     listed = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
-    analysed = lambda c: F.filter(tokenize(c), lambda x: ~F.array_contains(listed, x))
+    analysed = lambda c: stem_words(F.filter(tokenize(c), lambda x: ~F.array_contains(listed, x)))
     box = F.col("infobox")
     of = {
         "title": analysed(F.col("title")), "infobox_name": analysed(box["name"]),
@@ -37,24 +40,37 @@ class FieldIndex:
     postings: DataFrame
     fields: DataFrame
 
-    def save(self, path: str, mode: str = "append") -> None:
-        """Create or add to: pages that come later are appended; statistics are made when the index is loaded."""
-        self.postings.write.mode(mode).partitionBy("field").parquet(f"{path}/field_postings")
+    def save(self, path: str) -> int:
+        """Create or add to: documents that are there already stay as they are. Returns the number of documents added.
+
+        Each call is a batch with its own statistics, a row a field, written last; a batch without them counts for nothing.
+        """
+        spark, batch = self.postings.sparkSession, uuid.uuid4().hex[:12]
+        there = read_or_empty(spark, f"{path}/field_stats", STATS)
+        new = self.postings
+        if not there.isEmpty():
+            new = new.join(FieldIndex.load(spark, path).postings.select("doc_id").distinct(), "doc_id", "left_anti")
+        new.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", "field").parquet(f"{path}/field_postings")
+        done = spark.read.schema(POSTINGS).parquet(f"{path}/field_postings").where(F.col("batch") == batch)
+        docs = done.groupBy("field", "doc_id").agg(F.first("dl").alias("dl"))
+        docs.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("dl")).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/field_stats")
+        return done.agg(F.count_distinct("doc_id")).first()[0]
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FieldIndex:
-        postings = spark.read.parquet(f"{path}/field_postings")
-        return cls(postings, field_stats(postings))
+        stats = spark.read.schema(STATS).parquet(f"{path}/field_stats")
+        batches = [r[0] for r in stats.select("batch").distinct().collect()]  # one a call of save
+        postings = spark.read.schema(POSTINGS).parquet(f"{path}/field_postings").where(F.col("batch").isin(batches)).drop("batch")
+        return cls(postings, stats.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), (F.sum("dl") / F.sum("n_docs")).alias("avgdl")))
 
 
-def field_stats(postings: DataFrame) -> DataFrame:
-    docs = postings.groupBy("field", "doc_id").agg(F.first("dl").alias("dl"))
-    return docs.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+STATS = "field string, n_docs long, dl long, batch string"
+POSTINGS = "term string, doc_id long, tf long, dl long, batch string, field string"
 
 
 def build_field_index(words: DataFrame) -> FieldIndex:
     """From field_terms."""
-    one = words.select("doc_id", "field", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    one = words.select("doc_id", "field", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term")).where("term is not null")
     postings = one.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     fields = words.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avgdl"))
     return FieldIndex(postings, fields)
@@ -63,10 +79,10 @@ def build_field_index(words: DataFrame) -> FieldIndex:
 Clause = tuple[str, str, str, float]
 
 
-def clauses(tokens: Sequence[str], terms: Sequence[str], boosts: dict[str, float] | None = None) -> list[Clause]:
-    """(field, term, should or must, boost): every raw token in every boosted field, and every preprocessed term."""
+def clauses(tokens: Sequence[str], terms: Sequence[str], boosts: dict[str, float] | None = None, stop_words: Sequence[str] = ()) -> list[Clause]:
+    """(field, term, should or must, boost): every raw token in every boosted field, analysed as the field is, and every preprocessed term."""
     boosts = Config().boosts if boosts is None else boosts
-    return [(f, t, "should", b) for t in tokens for f, b in boosts.items()] + [("terms", t, "must", 1.0) for t in terms]
+    return [(f, stem(t), "should", b) for t in tokens if t not in stop_words for f, b in boosts.items()] + [("terms", t, "must", 1.0) for t in terms]
 
 
 def field_search(index: FieldIndex, query: Sequence[Clause], n: int = 10, digits: int = 6) -> DataFrame:
@@ -85,5 +101,3 @@ def field_search(index: FieldIndex, query: Sequence[Clause], n: int = 10, digits
     score = F.expr(f"boost * ln(1 + (n_docs - df + 0.5D) / (df + 0.5D)) * tf / (tf + {K1}D * (1 - {B}D + {B}D * dl / avgdl))")
     docs = weighed.groupBy("doc_id").agg(F.sum(score).alias("score"), F.count_if(F.col("occur") == "must").alias("m"))
     return docs.where(F.col("m") == must).select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def term_frequencies(docs: DataFrame, terms: str = "terms") -> DataFrame:
-    """doc_id, term, tf. Occurrences are counted before the shuffle; later steps never see single occurrences again."""
-    return docs.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """doc_id, term, tf. Occurrences are counted before the shuffle; later steps never see single occurrences again.
+
+    explode_outer, as for explode Catalyst adds a filter on the array's size below, which would make the terms twice.
+    """
+    return docs.select("doc_id", F.explode_outer(terms).alias("term")).where("term is not null").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(tf: DataFrame) -> DataFrame:
@@ -68,6 +73,36 @@ def build_index(docs: DataFrame, terms: str = "terms") -> Index:
     return Index(postings, vocab, document_norms(postings), stats)
 
 
+#: A term of more documents is hot: its postings stay where they are and its weight is broadcast.
+HOT = 10_000
+
+
+def weighed(tf: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
+    """term, doc_id, tf, w. The postings of hot terms aren't shuffled: there are at most as many such terms as 1,000 times a document has."""
+    hot = F.broadcast(vocab.where(F.col("df") > max(HOT, n_docs // 1000)).select("term", "idf"))
+    cold = vocab.where(F.col("df") <= max(HOT, n_docs // 1000)).select("term", "idf")
+    both = tf.join(hot, "term").unionByName(tf.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
+    return both.select("term", "doc_id", "tf", (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"))
+
+
+def write_index(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> dict[str, float]:
+    """Build the index table by table, each from what is written already, so texts are analysed once. Returns n_docs, n_terms, n_postings and seconds."""
+    spark, began = docs.sparkSession, time.time()
+    term_frequencies(docs, terms).write.mode(mode).parquet(f"{path}/tf")
+    tf = spark.read.parquet(f"{path}/tf")
+    docs.agg(F.count("*").alias("n_docs")).write.mode(mode).parquet(f"{path}/corpus_stats")
+    n_docs = spark.read.parquet(f"{path}/corpus_stats").first()[0]
+    vocabulary(tf).withColumn("idf", idf_smooth(F.lit(n_docs), F.col("df"))).write.mode(mode).parquet(f"{path}/vocab")
+    vocab = spark.read.parquet(f"{path}/vocab")
+    ranged = weighed(tf, vocab, n_docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    ranged.write.mode(mode).parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    document_norms(postings).write.mode(mode).parquet(f"{path}/doc_norm")
+    done = {"n_docs": n_docs, "n_terms": vocab.count(), "n_postings": postings.count(), "seconds": round(time.time() - began, 3)}
+    logging.info("index of %(n_docs)d documents, %(n_terms)d terms, %(n_postings)d postings in %(seconds).1f s", done)
+    return done
+
+
 def document_norms(postings: DataFrame) -> DataFrame:
     """doc_id, norm2: the squared length of the vector that has a weight for each occurrence."""
     return postings.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("w") * F.col("w")).alias("norm2"))

@@ -101,9 +101,13 @@ def read_infobox_string(texts: pd.Series) -> pd.DataFrame:
     def one(t: str | None) -> tuple:
         parts = (t or "").split("\t")
         body = parts[0] if len(parts) == 1 and parts[0].startswith("{") else parts[1] if len(parts) == 2 else None
-        if body is None:
+        try:
+            properties = ast.literal_eval(body) if body is not None else None
+        except (ValueError, SyntaxError):
+            properties = None
+        if not isinstance(properties, dict):
             return None, None
-        return (parts[0] if len(parts) == 2 else None), {str(k): str(v) for k, v in ast.literal_eval(body).items()}
+        return (parts[0] if len(parts) == 2 else None), {str(k): str(v) for k, v in properties.items()}
 
     return pd.DataFrame([one(t) for t in texts], columns=["name", "properties"])
 

@@ -69,20 +69,32 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACES), lambda x: x != "")
 
 
-def boost(pages: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """doc_id, boost: for each query term (repeats count) whose stem is part of the stemmed title, or a stemmed word of a key or a value."""
+def page_stems(pages: DataFrame) -> DataFrame:
+    """doc_id, t (the stemmed title), k and v (stemmed words of the infobox's keys and values): made once, when pages are stored."""
     words = pages.select("doc_id", split_words(F.col("title")).alias("t"), *[
         split_words(F.array_join(f(F.col("infobox.properties")), " ")).alias(n) for f, n in ((F.map_keys, "k"), (F.map_values, "v"))
     ])
-    stems = words.select("doc_id", F.array_join(stem_words("t"), " ").alias("t"), stem_words("k").alias("k"), stem_words("v").alias("v"))
+    return words.select("doc_id", F.array_join(stem_words("t"), " ").alias("t"), stem_words("k").alias("k"), stem_words("v").alias("v"))
+
+
+def boost(pages: DataFrame, terms: Sequence[str], stems: DataFrame | None = None) -> DataFrame:
+    """doc_id, boost: for each query term (repeats count) whose stem is part of the stemmed title, or a stemmed word of a key or a value.
+
+    stems: page_stems, if they are stored; else they are made here.
+    """
     total = F.lit(0.0)
     for s in map(stem, terms):
         for hit, weight in ((F.contains("t", F.lit(s)), TITLE), (F.array_contains("k", s), KEY), (F.array_contains("v", s), VALUE)):
             total = total + F.when(hit, weight).otherwise(0.0)
-    return stems.select("doc_id", total.alias("boost"))
+    return (page_stems(pages) if stems is None else stems).select("doc_id", total.alias("boost"))
+
+
+def match_count(index: Index, terms: Sequence[str], operator: Operator = Operator.AND, and_mode: str = "strict") -> int:
+    """How many documents the query has, of which ``search`` shows the first."""
+    return candidates(index, known_terms(index, terms), operator, and_mode).count()
 
 
-def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND, n: int = 10, pages: DataFrame | None = None, and_mode: str = "strict", digits: int = 9) -> DataFrame:
+def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND, n: int = 10, pages: DataFrame | None = None, and_mode: str = "strict", digits: int = 9, stems: DataFrame | None = None) -> DataFrame:
     """rank, doc_id, score (and title, infobox_title with ``pages``) of the first ``n``. Ties, after rounding, go by doc_id.
 
     terms: the preprocessed query. Terms that the vocabulary doesn't have are left out, of the boosts too.
@@ -95,8 +107,8 @@ def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND
     else:
         scored = cosine(index, known).join(candidates(index, known, operator, and_mode), "doc_id", "left_semi")
     if pages is not None:
-        near = pages.join(scored.select("doc_id"), "doc_id", "left_semi")
-        scored = scored.join(boost(near, known), "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
+        near = boost(pages, known) if stems is None else boost(pages, known, stems)
+        scored = scored.join(near, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
     top = scored.select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
     out = top.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")  # n rows
     return out if pages is None else out.join(pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from corvina.functions import stem as st
 from corvina.functions import text as tx
 from corvina.operators import fielded, index, metrics, parse, results
 from corvina.operators import search as se
-from corvina.plans.args import Operator
-from corvina.sources.dump import parse_page_xml
+from corvina.plans.args import Operator, parse_args
+from corvina.session import kept, shared_folder
+from corvina.sources.dump import parse_page_xml, read_dump_raw, read_dump_xml, read_parts
+from corvina.sources.sinks import append_terms, not_cached, write_parts
 
 STOP = ["the", "of", "and", "de", "la", "der", "die", "und", "le", "to", "in", "is"]
 ASK = ["the", "of", "and"]
@@ -44,6 +47,16 @@ def doc_index(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.build_index(doc_terms(spark, sf_dir))
 
 
+def saved_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the documents as a search meets it: written once to the shared folder for this state of the table, then read."""
+    path = kept(spark, "index", f"{sf_dir}/documents.parquet", lambda folder: index.write_index(doc_terms(spark, sf_dir), folder))
+    return index.Index.load(spark, path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
@@ -111,7 +124,7 @@ def vocab_df_cf(spark, d):
 
 @query(f"with {W} select (select n from n) as n_docs, (select count(*) from voc) as vocab_size, (select count(*) from tf) as n_postings")
 def corpus_stats(spark, d):
-    i = doc_index(spark, d)
+    i = saved_index(spark, d)
     return i.corpus_stats.select("n_docs", i.vocab.agg(F.count("*")).scalar().alias("vocab_size"), i.postings.agg(F.count("*")).scalar().alias("n_postings"))
 
 
@@ -149,7 +162,7 @@ def normalized_vectors(spark, d):
 
 @query("with " + TF + " select doc_id, tf from tf where term = 'tion'")
 def posting_lookup(spark, d):
-    return doc_index(spark, d).lookup("tion").select("doc_id", "tf")
+    return saved_index(spark, d).lookup("tion").select("doc_id", "tf")
 
 
 
@@ -161,30 +174,30 @@ def scored(asked: str, having: str = "") -> str:
 
 @query("with " + scored(IN_ASK, " having count(*) = 3") + " " + RANK.format(n=10))
 def search_and(spark, d):
-    return se.search(doc_index(spark, d), ASK, Operator.AND, 10)
+    return se.search(saved_index(spark, d), ASK, Operator.AND, 10)
 
 
 @query("with " + scored(IN_ASK) + " " + RANK.format(n=30))
 def search_or(spark, d):
-    return se.search(doc_index(spark, d), ASK, Operator.OR, 30)
+    return se.search(saved_index(spark, d), ASK, Operator.OR, 30)
 
 
 @query("with " + scored(IN_ASK, " having count(*) = 3") + " " + RANK.format(n=10))
 def search_oov(spark, d):
-    return se.search(doc_index(spark, d), ["the", "qqqqxq", "of", "and", "the"], Operator.AND, 10)
+    return se.search(saved_index(spark, d), ["the", "qqqqxq", "of", "and", "the"], Operator.AND, 10)
 
 
 @query("with " + scored("('pour', 'und', 'the')") + ", c as (select s.* from s join tf using (doc_id) where tf.term = 'the'), e as (select count(*) as n from (select doc_id from tf where term = 'pour' intersect select doc_id from tf where term = 'und')), s2 as (select * from c where (select n from e) = 0) select row_number() over (order by score desc, doc_id)::int as rank, doc_id, score from s2 order by score desc, doc_id limit 10")
 def search_and_compat(spark, d):
     """No document has both of the first two, so the third starts anew."""
-    return se.search(doc_index(spark, d), ["pour", "und", "the"], Operator.AND, 10, and_mode="compat")
+    return se.search(saved_index(spark, d), ["pour", "und", "the"], Operator.AND, 10, and_mode="compat")
 
 
 @query("with " + W + """, q as (select term, case when term = 'the' then 2 else 1 end as qtf, (1 + log10(case when term = 'the' then 2 else 1 end)) * idf as qw from idf where term in ('the', 'of')),
        qn as (select sqrt(sum(qtf * qw * qw)) as qn from q)
        select doc_id, round(sum(qtf * qw * w) / sqrt(any_value(norm2)) / (select qn from qn), 6) as dot from w join q using (term) join nm using (doc_id) group by doc_id""")
 def dot_product_legacy(spark, d):
-    return se.dot_product(doc_index(spark, d), ["the", "of", "the"]).select("doc_id", r("dot"))
+    return se.dot_product(saved_index(spark, d), ["the", "of", "the"]).select("doc_id", r("dot"))
 
 
 def ending(x: str, n: str) -> str:
@@ -279,7 +292,12 @@ def infobox_codec(spark, d):
 
 @query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def incremental_anti(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    """The store of preprocessed documents has the labelled ones; the others are still to be made."""
+    store = scratch(spark, "store")
+    done = table(spark, d, "labels").select("doc_id").distinct().withColumns({"title": F.lit("t"), "terms": F.array(F.lit("x"))})
+    append_terms(done.where("doc_id % 2 = 0"), store)
+    append_terms(not_cached(done, store), store)
+    return not_cached(table(spark, d, "documents").select("doc_id"), store)
 
 
 def _bm25_sql() -> str:
@@ -287,7 +305,7 @@ def _bm25_sql() -> str:
     words = " union all ".join(f"select doc_id, '{f}' as field, {tokens(c)} as words from p" for f, c in fields.items())
     asked = ", ".join(f"('{f}', '{t}', {b}, {int(o == 'must')})" for f, t, o, b in BM25)
     return f"""with {TITLED}, f as (select * from ({words}) where len(words) > 0), st as (select field, count(*) as n, avg(len(words)) as avgdl from f group by field),
-      po as (select field, doc_id, len(words) as dl, unnest(words) as term from f), tf as (select field, doc_id, dl, term, count(*) as tf from po group by all),
+      po as (select field, doc_id, dl, case when field = 'terms' then word else stem end as term from ({ending("select field, doc_id, len(words) as dl, unnest(words) as word from f", "stem")})), tf as (select field, doc_id, dl, term, count(*) as tf from po group by all),
       q as (select * from (values {asked}) as v(field, term, boost, must)),
       h as (select *, count(*) over (partition by field, term, must) as df from tf join q using (field, term)),
       s as (select doc_id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))::double, 6) as score, sum(must) as m from h join st using (field) group by doc_id)
@@ -348,6 +366,90 @@ def detail_lookup(spark, d):
   select rank, 'Doc ' || doc_id as title, score, 'https://sk.wikipedia.org/wiki/Doc_' || doc_id as url, null::varchar as category from k""")
 def result_listing(spark, d):
     docs = doc_terms(spark, d).withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).withColumn("infobox", F.lit(None).cast("struct<name:string,properties:map<string,string>>"))
-    found = se.search(doc_index(spark, d), ASK, Operator.AND, 5)
+    found = se.search(saved_index(spark, d), ASK, Operator.AND, 5)
     named = found.join(docs.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id")
     return results.formatted(named)
+
+
+def dump_of(spark, d) -> str:
+    """A dump with a page for each document by doc_id: one file, as dumps are, written by one task (readers split it)."""
+    docs = table(spark, d, "documents")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<page><title>Doc "), F.col("doc_id").cast("string"), F.lit('</title><revision><text xml:space="preserve">'), escaped, F.lit("</text></revision></page>"))
+    path = scratch(spark, "dump")
+    ends = spark.createDataFrame([(-(1 << 62), "<mediawiki>"), (1 << 62, "</mediawiki>")], "doc_id long, value string")
+    docs.select("doc_id", page.alias("value")).union(ends).coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(path)
+    return path
+
+
+NUMBERED = "select row_number() over (order by doc_id) - 1 as doc_id, 'Doc ' || doc_id as title, md5({}) as text_md5 from documents"
+
+
+@query(NUMBERED.format("replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"))
+def dump_raw_read(spark, d):
+    """Dense ids in file order, and texts with their references as they stand."""
+    return read_dump_raw(spark, dump_of(spark, d)).select("doc_id", "title", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
+
+
+@query(NUMBERED.format("text"))
+def dump_xml_read(spark, d):
+    return read_dump_xml(spark, dump_of(spark, d)).select("doc_id", "title", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
+
+
+@query(rf"""with {PART}, m as (select doc_id, any_value(name) as name, list(e.key || '=' || e.value order by e.key || '=' || e.value) as box from b group by doc_id)
+  select 'Diel ' || p_partkey as title, case when doc_id is null then 'Bez tabuľky.' end as plain, name, coalesce(array_to_string(box, ';'), '') as box, 'diel ' || lower(p_type) as terms from part left join m on p_partkey = doc_id""")
+def parts_roundtrip(spark, d):
+    """Pages written as CSV parts and read back, infoboxes decoded."""
+    path = scratch(spark, "parts")
+    kind = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.split(F.concat(F.lit("diel "), F.lower("p_type")), " ").alias("terms"))
+    write_parts(part_pages(spark, d).join(kind, "doc_id"), path, 3)
+    rows = read_parts(spark, path).select("title", "raw_text", "terms", parse.read_infobox_string("infobox").alias("b"))
+    entries = F.array_sort(F.transform(F.map_entries("b.properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return rows.select("title", F.when(F.col("b.properties").isNull(), F.col("raw_text")).alias("plain"), "b.name", F.coalesce(F.array_join(entries, ";"), F.lit("")).alias("box"), "terms")
+
+
+@query(f"with {W} select term, df, cf, round(idf, 6) as idf, round(total, 4) as total from idf join (select term, sum(w) as total from w group by term) using (term)")
+def index_saved(spark, d):
+    """The stored vocabulary, and the weight of each term's stored postings."""
+    i = saved_index(spark, d)
+    total = i.postings.groupBy("term").agg(F.sum("w").alias("total"))
+    return i.vocab.join(total, "term").select("term", "df", "cf", r("idf"), r("total", 4))
+
+
+@query("select doc_id, md5('fi 2 ' || regexp_replace(nfc_normalize(text), '[\\s]+', ' ', 'g')) as normalized from documents")
+def normalize_nfkc(spark, d):
+    """Compatibility forms (a ligature, a raised digit) become plain letters; letters that are composed already stay."""
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.normalize(F.concat(F.lit("\ufb01 \u00b2 "), F.col("text"))).cast("binary")).alias("normalized"))
+
+
+@query(f"""with t as (select doc_id, list_filter(list_transform(list_filter({tokens("regexp_replace(text, 'http[^ ]+', '', 'g')")}, lambda x: x not in ({', '.join(map(repr, STOP))})),
+  lambda x: case x when 'that' then 'eú' when 'was' then 'be' else x end), lambda x: x <> 'with') as t from documents) select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as terms from t""")
+def preprocessed_terms(spark, d):
+    """All components in order; lemmas by a dictionary, one of them mapped again, one of a tag that isn't kept."""
+    lemmas = {"that": ("eý", "NOUN"), "was": ("be", "VERB"), "with": ("with", "ADP")}
+    out = tx.preprocess(table(spark, d, "documents"), ["stop_words_cleaner", "lemmatize", "remove_stopwords", "tokenize", "normalize"], STOP, tx.dictionary(lemmas))
+    return out.select("doc_id", F.size("terms").alias("n"), F.md5(F.array_join("terms", " ").cast("binary")).alias("terms"))
+
+
+LINES = ["Kto je prezident USA? -o -n 5 -x 250", "kolko je 5+5?", "Som clovek? -o", "Kto je najlepsi? -n 15", "test -x 250", "test -m 5", "Kde byva elizabeth the second -n -x"]
+
+
+@query("""select * from (values (0, 'Kto je prezident USA?', 'OR', 5, 250), (1, 'kolko je 5+5?', 'AND', 10, 1000), (2, 'Som clovek?', 'OR', 10, 1000), (3, 'Kto je najlepsi?', 'AND', 15, 1000),
+  (4, 'test', 'AND', 10, 250), (5, 'test', 'AND', 10, 1000), (6, 'Kde byva elizabeth the second', 'AND', 10, 1000)) as v(line, query, operator, n, x)""")
+def query_arguments(spark, d):
+    rows = [(i, a.query, a.boolean_operator.name, a.results_count, a.relevant_documents_count) for i, a in enumerate(map(parse_args, LINES))]
+    return spark.createDataFrame(rows, "line int, query string, operator string, n int, x int")
+
+
+@query("with " + W + f", m as (select doc_id from tf where term in {IN_ASK} group by doc_id having count(*) = 3), o as (select distinct doc_id from tf where term in {IN_ASK}) select (select count(*) from m) as all_terms, (select count(*) from o) as any_term")
+def match_counts(spark, d):
+    i = saved_index(spark, d)
+    return spark.createDataFrame([(se.match_count(i, ASK, Operator.AND), se.match_count(i, ASK, Operator.OR))], "all_terms long, any_term long")
+
+
+@query(f"with {PART}, k as (select doc_id, name from b group by all order by name, doc_id limit 3), n as (select *, row_number() over (order by name, doc_id) as rank from k) select e.key as key, e.value as value from b join n using (doc_id) where rank = 2")
+def result_details(spark, d):
+    """The infobox of the second result."""
+    pages = part_pages(spark, d)
+    top = pages.where("infobox is not null").select("doc_id", F.col("infobox.name").alias("name")).orderBy("name", "doc_id").limit(3)
+    return results.infobox_details(top.withColumn("rank", F.row_number().over(Window.orderBy("name", "doc_id"))), pages, 2)

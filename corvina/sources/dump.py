@@ -80,6 +80,12 @@ def read_words(spark: SparkSession, path: str) -> list[str]:
     return [r[0] for r in spark.read.text(path).select(F.trim("value")).where("trim(value) <> ''").collect()]
 
 
+def read_lemmas(spark: SparkSession, path: str) -> dict[str, tuple[str, str]]:
+    """A dictionary of surface form, lemma and tag, one a line, by tabs; of several of a form, the last. Held by the driver and each worker."""
+    rows = spark.read.schema("word string, lemma string, pos string").options(sep="\t", quote="").csv(path).where("pos is not null").collect()
+    return {r.word: (r.lemma, r.pos) for r in rows}
+
+
 def read_title_files(spark: SparkSession, path: str) -> DataFrame:
     """title and the part file that holds it; of several, the last file by name."""
     rows = spark.read.schema(PARTS).options(header=True, multiLine=True, quote='"', escape='"').csv(path).select("title", F.col("_metadata.file_name").alias("file"))

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from corvina.functions.text import Lemmas, preprocess
-from corvina.sources.sinks import append_terms, not_cached
+from corvina.sources.dump import read_or_empty
+from corvina.sources.sinks import CACHE, append_terms, not_cached
 
 
 def preprocess_batch(pages: DataFrame, store: str, components: Iterable[str], stop_words: Iterable[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> DataFrame:
-    """Preprocess the pages (doc_id, title, text) that the store lacks, append them, and return them as read back from the plan."""
-    fresh = preprocess(not_cached(pages, store), components, stop_words, lemmas)
-    append_terms(fresh, store)
-    return fresh
+    """Preprocess the pages (doc_id, title, text) that the store lacks, append them, and return the store's rows of all the pages."""
+    append_terms(preprocess(not_cached(pages, store), components, stop_words, lemmas), store)
+    return read_or_empty(pages.sparkSession, store, CACHE).join(pages.select("doc_id"), "doc_id", "left_semi")
 
 
 def preprocess_stream(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str, components: Iterable[str], stop_words: Iterable[str] = ()) -> StreamingQuery:

@@ -1,16 +1,20 @@
+import json
 import math
 import random
 
 import pytest
 
-from corvina.config import Config
-from corvina.engine import Engine
-from corvina.operators import fielded, metrics
+from corvina.config import Config, load_config
+from corvina.engine import Engine, FieldEngine, answer
+from corvina.engine import main as engine_main
+from corvina.functions.text import preprocess
+from corvina.operators import fielded, index, metrics
 from corvina.operators.index import Index, build_index, vectors
 from corvina.operators.search import boost, candidates, cosine, dot_product, search
 from corvina.plans.args import Operator
-from corvina.sources.dump import read_or_empty
-from corvina.sources.sinks import CACHE, not_cached
+from corvina.operators.parse import parse_pages
+from corvina.sources.dump import read_dump_raw, read_or_empty
+from corvina.sources.sinks import CACHE, not_cached, write_parts
 from corvina.streaming.incremental import preprocess_batch, preprocess_stream
 
 from test_parse import DUMP
@@ -94,8 +98,9 @@ def test_boosts(spark):
 def test_fielded(spark, tmp_path):
     schema = "doc_id long, title string, infobox struct<name:string,properties:map<string,string>>, terms array<string>"
     pages = spark.createDataFrame([(1, "Rusko dnes", ("štát", {"mesto": "moskva"}), ["rusko", "rusko"]), (2, "Iné", None, ["rusko", "more"]), (3, "Rusko", None, ["more"])], schema)
-    fielded.build_field_index(fielded.field_terms(pages.where("doc_id < 3"))).save(str(tmp_path))
-    fielded.build_field_index(fielded.field_terms(pages.where("doc_id = 3"))).save(str(tmp_path))
+    assert fielded.build_field_index(fielded.field_terms(pages.where("doc_id < 3"))).save(str(tmp_path)) == 2
+    assert fielded.build_field_index(fielded.field_terms(pages)).save(str(tmp_path)) == 1  # the others are there
+    assert fielded.build_field_index(fielded.field_terms(pages)).save(str(tmp_path)) == 0
     i = fielded.FieldIndex.load(spark, str(tmp_path))
     assert {r.field: (r.n_docs, r.avgdl) for r in i.fields.collect()}["terms"] == (3, pytest.approx(5 / 3))
     got = fielded.field_search(i, fielded.clauses(["rusko", "moskva"], ["rusko"])).collect()
@@ -132,3 +137,55 @@ def test_engine(spark, tmp_path):
     got = engine.search("Rusko?", n=5).orderBy("rank").collect()
     assert [r.title for r in got] == ["Rusko", "Bez"] and got[0].infobox_title == "ŠtátSveta" and got[0].score > got[1].score
     assert Engine.load(spark, conf).search("xyzq", Operator.OR).count() == 0
+    assert engine.match_count("Rusko?") == 2 and engine.match_count("xyzq", Operator.OR) == 0
+
+
+def test_the_written_index_is_the_built_one(corpus, built, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "HOT", 5)  # most terms are hot
+    done = index.write_index(corpus[1], str(tmp_path / "i"))
+    got = Index.load(spark, str(tmp_path / "i"))
+    assert done["n_docs"] == 61 and done["n_terms"] == built.vocab.count() and done["n_postings"] == built.postings.count() and done["seconds"] > 0
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for t in ("postings", "vocab", "doc_norm", "corpus_stats"):
+        a, b = getattr(got, t), getattr(built, t)
+        assert key(a.select(sorted(a.columns))) == key(b.select(sorted(b.columns)))
+    plan = index.term_frequencies(spark.createDataFrame([(1, "a b")], "doc_id long, text string").selectExpr("doc_id", "split(text, ' ') as terms"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_engine_resumes_and_reads_old_keys(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(DUMP)
+    (tmp_path / "lemmas.tsv").write_text("rusku\trusko\tPROPN\nmoskva\tmoskva\tNOUN\ntext\tslovo\tNOUN\n")
+    (tmp_path / "conf.json").write_text(json.dumps({"inverted_index_path": str(tmp_path / "i"), "sk_wikipedia_dump_path": str(tmp_path / "d.xml"), "already_processed_path": str(tmp_path / "done"), "lemmas_path": str(tmp_path / "lemmas.tsv"), "preprocessor_components": ["tokenize", "lemmatize", "document_saver"]}))
+    conf = load_config(str(tmp_path / "conf.json"))
+    spark.createDataFrame([(2, "Prázdna", ["kept"])], CACHE).write.parquet(conf.already_processed_path)  # made before
+    engine = Engine.build(spark, conf)
+    assert {r.term for r in engine.index.lookup("kept").collect()} == {"kept"} and engine.index.lookup("slovo").count() == 1 and engine.index.lookup("rusku").count() == 0
+    assert spark.read.parquet(conf.already_processed_path).count() == 3
+    n, found = answer(engine, "text -n 3")
+    assert n == 1 and found.first().title == "Rusko"
+
+
+def test_prompt(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "d.xml").write_text(DUMP)
+    (tmp_path / "stop").write_text("the\n")
+    (tmp_path / "conf.json").write_text(json.dumps({"index_path": str(tmp_path / "i"), "dump_path": str(tmp_path / "d.xml"), "stop_words_path": str(tmp_path / "stop"), "preprocessor_components": ["tokenize"], "verbose": False}))
+    monkeypatch.setattr("sys.argv", ["engine", str(tmp_path / "conf.json")])
+    lines = iter(["Rusku -o", "1", "", "-o", "Q"])
+    engine_main(lambda _: next(lines))
+    out = capsys.readouterr().out
+    assert "1 documents" in out and "hlavné mesto & y" in out and "the query is empty" in out
+
+
+def test_field_engine(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(DUMP.replace("Text o [[", "Text prezidenta [[").replace("<title>Bez</title>", "<title>Prezident</title><revision><text>o prezidenta a more, more, more, a more more more, more</text></revision>"))
+    pages = parse_pages(read_dump_raw(spark, str(tmp_path / "d.xml")))
+    write_parts(preprocess(pages, ["tokenize"], text="raw_text"), str(tmp_path / "parts"))
+    conf = Config(index_path=str(tmp_path / "f"), preprocessor_components=["tokenize"])
+    FieldEngine.build(spark, conf, str(tmp_path / "parts"))
+    engine = FieldEngine.build(spark, conf, str(tmp_path / "parts"))  # again: nothing is added
+    assert {r.field: r.n_docs for r in engine.index.fields.collect()}["title"] == 3
+    got = engine.search("prezidenta").orderBy("rank").collect()
+    # both have the term; the stem of the question is that of the first one's title
+    assert [r.title for r in got] == ["Prezident", "Rusko"] and got[1].infobox_title == "ŠtátSveta" and got[0].score > got[1].score
+    assert engine.search("nothing").count() == 0
