@@ -116,4 +116,32 @@ select page_id, n as payload_bytes, digest as payload_digest, case when page_id
   case when page_id = original then null else original end as refers_to, true as whole from m
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_line_dedup": LINES_SQL, "op9_warc": OP9_SQL}
+GROUPED = """select {id}, r as component_id from (
+  with recursive e as (select x, y from l union all select y, x from l), g(v, r) as (select {id}, {id} from {all} union select e.y, g.r from g join e on e.x = g.v)
+  select v as {id}, min(r) as r from g group by v)"""
+
+#: Quadratic in a label's vectors: for small tables.
+OP4_SQL = f"""
+with v as (select distinct vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where vec_id is not null and label is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select *, sqrt(list_dot_product(e, e)) as norm from v),
+l as (select a.vec_id as x, b.vec_id as y from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+n as (select v as vec_id, count(*) as n from (select x as v from l union all select y from l) group by v),
+c as ({GROUPED.format(id="vec_id", all="embeddings")})
+select m.vec_id, coalesce(n, 0)::bigint as n_links, component_id::bigint as component_id, m.vec_id = component_id as kept from embeddings m join c on c.vec_id = m.vec_id left join n on n.vec_id = m.vec_id
+"""
+
+#: A join on shingles: for small tables.
+OP7_SQL = rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 80 * (a.n + b.n - i)),
+k as (select v as doc_id, count(*) as k from (select x as v from l union all select y from l) group by v),
+c as ({GROUPED.format(id="doc_id", all="documents")})
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id::bigint as component_id, coalesce(k, 0)::bigint as n_links
+from documents d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id left join k on k.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op5_line_dedup": LINES_SQL, "op9_warc": OP9_SQL}
