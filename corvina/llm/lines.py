@@ -3,8 +3,8 @@
 A line is what stands between newlines that a line with a word follows, so blank lines stay with the line before them. A
 window is three consecutive lines, each without white space at its ends, as two 64-bit hashes. A window that occurs more than once in
 the table has its first place at the smallest (doc_id, line); at every later place its lines are covered, covered ranges merge, and the
-covered lines go. DataFrame functions only. The first places are a minimum by hash, combined before the shuffle and written;
-joining them back is an equi-join of two plain exchanges, so a passage that millions of documents share is split by adaptive execution.
+covered lines go. DataFrame functions only. Windows are written, so each text is split and hashed once; the first places are a minimum by
+hash, combined before the shuffle and written; joining them back is an equi-join of two plain exchanges, so a passage that millions of documents share is split by adaptive execution.
 
 Defined cases: texts of fewer than three lines and null texts stay as they are; rows that repeat a doc_id with an equal text
 are one document, and rows of one doc_id with other texts are told apart by their text's hash; rows with a null doc_id are neither
@@ -44,7 +44,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def later_starts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, mark, and the starts of the windows that stand earlier, too."""
-    w = windows(docs)
+    w = scratch.save(windows(docs))
     firsts = w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", MARK, "i")).alias("f"), F.max(F.struct("doc_id", MARK, "i")).alias("l"))
     firsts = scratch.save(firsts.where("f < l").select("h1", "h2", "f"))
     later = w.join(firsts, ["h1", "h2"]).where(F.struct("doc_id", MARK, "i") > F.col("f"))
