@@ -64,8 +64,9 @@ class Model:
     escape: list[np.ndarray] = field(default_factory=list)
     unseen: float = 0.0
 
-    def code_lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Bits of each row in each language. Rows are separated by their leading spaces: no context crosses a row."""
+    def code_lengths(self, data: np.ndarray, off: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Bits of each row in each language, without those of the first ``skip`` bytes, which are context only. Rows are separated by their leading
+        spaces: no context crosses a row."""
         c = self.classes[data].astype(np.int64)
         top, width = len(self.step), int(self.classes.max()) + 1
         ordinal = np.arange(len(c)) - np.repeat(off[:-1], np.diff(off))
@@ -92,8 +93,18 @@ class Model:
                 bits[todo] += self.escape[k - 1][ctx]
             else:
                 bits[todo] += self.escape[0][0] + self.unseen
+        bits[:skip] = 0
         return np.add.reduceat(bits, off[:-1], axis=0) if len(off) > 1 else bits[:0]
 
+    def long_code_length(self, data: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+        """Bits of one row of any length, piece by piece, each after the bytes that are its context: memory follows the piece."""
+        total, context = np.zeros((1, len(self.langs))), len(self.step) - 1
+        for a in range(0, len(data), piece):
+            lead = min(a, context)
+            part = data[a - lead : a + piece]
+            total += self.code_lengths(part, np.array([0, len(part)]), lead)
+        return total
+
 
 def fit(samples: dict[str, list[bytes]], order: int = 4) -> Model:
     """Count the trees and fill the tables. samples: texts by language."""
@@ -188,7 +199,7 @@ def predictor(model: Model, sharp: float):
             lang, score = [], []
             for row, data, off in chunks(batch.column("text"), 1 << 20):
                 t, at = folded(data, off)
-                bits = model.code_lengths(t, at)
+                bits = model.code_lengths(t, at) if len(at) > 2 or len(t) <= 1 << 21 else model.long_code_length(t)
                 best = bits.argmin(axis=1)
                 w = np.exp2(-(bits - bits.min(axis=1, keepdims=True)) * sharp / np.diff(at)[:, None])
                 ok = letters[row : row + len(best)]

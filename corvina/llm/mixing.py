@@ -125,6 +125,6 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1
 def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The table with each document repeated as often as the mix takes it."""
     plan = plan_mix(docs.select("doc_id", "text", "source"), scratch, **options)
-    copies = plan.groupBy(F.col("key").alias("_corvina_key")).agg(F.max("copies").alias("_corvina_copies")).where("_corvina_copies > 0")
-    many = docs.withColumn("_corvina_own", identity()).join(copies, F.col("_corvina_own") == F.col("_corvina_key"))
-    return many.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("_corvina_copies"))).alias("_corvina_n")).drop("_corvina_n")
+    copies = plan.groupBy("key").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), identity().alias("key"))  # whatever its columns are called
+    return rows.join(copies, "key").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("n")).select("row.*")

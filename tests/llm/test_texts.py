@@ -365,6 +365,7 @@ def test_code_lengths_are_those_of_the_trees():
     for text in (b"abra banana", b"xyz", b"ab", b"  n  "):
         data, off = langid.folded(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         bits = model.code_lengths(data, off)[0]
+        assert all(model.long_code_length(data, piece)[0] == pytest.approx(bits) for piece in (1, 3, 5, 100))
         for lang, got in zip(model.langs, bits):
             seen = collections.defaultdict(collections.Counter)
             for t in map(fold, samples[lang]):
@@ -456,5 +457,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert abs(sum(many[r.doc_id] * len(words(r.text)) for r in out["n-gram Jaccard join"]) - 1.5 * total) <= 300
     texts_of = {r.doc_id: r.text for r in out["mixing sources"]}
     assert collections.Counter(r.doc_id for r in out["SentencePiece"]) == many and all(r.text == texts_of[r.doc_id] and r.n_pieces == len(r.ids) for r in out["SentencePiece"])
+    again = stage["mixing sources"](spark, spark.createDataFrame([(1, "a b", "en", None, 3, "x"), (None, "c d", None, "s", 3, "y")] * 2, "doc_id long, text string, lang string, source string, n_chars long, _corvina_n string"), str(tmp_path))
+    assert again.columns[-1] == "_corvina_n" and {(r.doc_id, r.text) for r in again.collect()} <= {(1, "a b"), (None, "c d")}
     ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.ids) for r in ran) == sorted((r.doc_id, r.ids) for r in out["SentencePiece"])
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Repeated rows and doc_ids, null ids and texts, and columns of names that operators use: no stage fails, columns stay, decisions are by row."""
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(90))
+    a, b = text(), text()
+    rows = [(1, a, "s"), (1, a, "s"), (1, b, "t"), (2, a, None), (None, b, "s"), (3, None, "s"), (4, "", "s"), (5, "x " * 5000, "s")] + [(10 + i, text(), "s") for i in range(20)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, kept string, score string, part string, _corvina_own string"
+    docs = spark.createDataFrame([(i, t, None, s, len(t or ""), "k", "x", "y", "p", "o") for i, t, s in rows], schema)
+    spark.createDataFrame([(10, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, str(tmp_path))
+        got = out.collect()
+        if name == "SentencePiece":
+            assert len(got) == len(docs.collect()) and all(r.n_pieces == len(r.ids) for r in got)
+            break
+        assert out.columns == docs.columns
+        ids = [r.doc_id for r in got]
+        if name == "quality rules":
+            assert sorted(ids, key=str) == sorted([1, 1, 1, 2, None, *range(10, 30)], key=str)
+        if name == "line dedup":
+            assert len(ids) == 25
+        if name == "n-gram Jaccard join":
+            assert sorted(ids, key=str) == sorted([1, 1, 1, None, *range(10, 30)], key=str)
+        docs = spark.createDataFrame(got, out.schema)
