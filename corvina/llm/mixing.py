@@ -5,7 +5,8 @@ source's words and what it can't hold is shared again by weight among the others
 target / words times: the whole part is certain, the rest p is rounded. Pivotal rounding pairs two open documents of a
 source and moves words (p times the size) from one to the other, at random by hash so that each p keeps its mean, until one
 of them is 0 or 1; the other goes on. So a source's words stay put until its last open document, whose size bounds the error. A group
-takes its documents from the largest to the smallest, so what stays open is mostly small.
+takes its documents from the largest to the smallest, so what stays open is mostly small; and what the last one's rounding adds or takes is
+made good in the last group by turning documents of about that size, which shifts their p's a little from the mean.
 
 The pairing is a reduction tree: leaves of about ``leaf`` documents by hash of doc_id, each leaving one open document at most, then
 ``fan`` of those together, up to one group a source. A source of a third of all rows only has more leaves. Random numbers
@@ -77,10 +78,28 @@ def pivotal(ids: Sequence[int], sizes: Sequence[int], ps: Sequence[float], seed:
     return out
 
 
+def repaired(sizes: Sequence[int], before: Sequence[float], after: Sequence[float]) -> list[float]:
+    """The last group's decisions, where those of other documents that were open in it are turned as long as that brings the words nearer to what they were.
+
+    Each turn takes the document whose size is nearest to the words that are missing or too many (ties: the first).
+    """
+    out = list(after)
+    miss = sum(n * (y - x) for n, x, y in zip(sizes, before, after))
+    open_ = [i for i, p in enumerate(before) if 0 < p < 1]
+    while True:
+        turned = min((i for i in open_ if out[i] == (miss > 0)), key=lambda i: abs(sizes[i] - abs(miss)), default=None)
+        if turned is None or abs(abs(miss) - sizes[turned]) >= abs(miss):
+            return out
+        miss += sizes[turned] * (1 - 2 * out[turned])
+        out[turned] = 1 - out[turned]
+
+
 def rounding(seed: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "doc_id"], ascending=[False, True])
-        return group.assign(p=np.array(pivotal(group.doc_id.tolist(), group["size"].tolist(), group.p.tolist(), seed, bool(group.leaves.iloc[0] == 1)), float))
+        sizes, before, last = group["size"].tolist(), group.p.tolist(), bool(group.leaves.iloc[0] == 1)
+        after = pivotal(group.doc_id.tolist(), sizes, before, seed, last)
+        return group.assign(p=np.array(repaired(sizes, before, after) if last else after, float))
 
     return run
 

@@ -331,6 +331,19 @@ def test_mixing(spark, corpus):
     assert mixing.plan_mix(frame(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_the_last_group_is_repaired():
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = [rng.choice([3, 10, 50, 400]) for _ in range(60)]
+        ps = [rng.choice([0.0, 0.3, 0.6, 1.0]) for _ in sizes]
+        first = mixing.pivotal(range(60), sizes, ps, 1, True)
+        out = mixing.repaired(sizes, ps, first)
+        assert all(o in (0, 1) and (0 < p < 1 or o == p) for o, p in zip(out, ps))
+        miss = lambda x: abs(sum(n * (o - p) for n, o, p in zip(sizes, x, ps)))
+        assert miss(out) <= min(25.1, miss(first))
+    assert mixing.repaired([7], [0.4], [1.0]) == [1.0] and mixing.repaired([], [], []) == []
+
+
 def test_pivotal_keeps_the_mean():
     total = [0.0] * 3
     for seed in range(4000):
