@@ -343,7 +343,7 @@ def test_the_last_group_is_repaired():
         assert miss(out) <= miss(first)
         for i, p in enumerate(ps):  # no document is left whose turn would bring the words nearer
             assert not 0 < p < 1 or miss([1 - o if j == i else o for j, o in enumerate(out)]) >= miss(out) - 1e-9
-    assert mixing.repaired([7], [0.4], [1.0]) == [1.0] and mixing.repaired([], [], []) == []
+    assert mixing.repaired([7], [0.4], [1.0]) == [0.0] and mixing.repaired([7], [0.6], [1.0]) == [1.0] and mixing.repaired([], [], []) == []
 
 
 def test_pivotal_keeps_the_mean():
