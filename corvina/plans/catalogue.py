@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import uuid
 from collections.abc import Callable
 
@@ -48,8 +50,9 @@ def doc_index(spark: SparkSession, sf_dir: str) -> index.Index:
 
 
 def saved_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The index of the documents as a search meets it: written once to the shared folder for this state of the table, then read."""
-    path = kept(spark, "index", f"{sf_dir}/documents.parquet", lambda folder: index.write_index(doc_terms(spark, sf_dir), folder))
+    """The index of the documents as a search meets it: written once to the shared folder for this state of the table and this code, then read."""
+    code = hashlib.sha256("".join(map(inspect.getsource, (index, tx))).encode()).hexdigest()[:8]
+    path = kept(spark, f"index-{code}", f"{sf_dir}/documents.parquet", lambda folder: index.write_index(doc_terms(spark, sf_dir), folder))
     return index.Index.load(spark, path)
 
 
