@@ -2,7 +2,7 @@
 
 Each page gives a request, a response (or a revisit of an equal payload) and a metadata record; request and metadata name the
 response in WARC-Concurrent-To. Records are text, so Spark's text writer makes the archives with the records' separator
-as its line end: distributed, committed by Spark's protocol, to any store, of bounded files. The reader takes the files whole
+as its line end: distributed, committed by Spark's protocol, to any store, of files bounded by the pages' mean size. The reader takes the files whole
 through Spark, unpacks each in a worker and goes from record to record by Content-Length, so a payload may hold anything.
 Assembly joins the records on their identifiers; a revisit's original is looked up by WARC-Refers-To, many to one, as a plain
 equi-join whose skewed side adaptive execution splits. Equal payloads are found by digest and length, counted before the
@@ -50,13 +50,18 @@ def record(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.0"), *lines, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
-def write(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", records_per_file: int = 6000, compression: str = "gzip") -> None:
-    """Archives of the pages (page_id, url, html). Among equal payloads of at least min_bytes the largest page_id is the response."""
+def write(pages: DataFrame, path: str, scratch: Scratch, min_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", file_bytes: int = 32 << 20, compression: str = "gzip") -> None:
+    """Archives of the pages (page_id, url, html). Among equal payloads of at least min_bytes the largest page_id is the response.
+
+    A file has as many records as make about ``file_bytes`` at the pages' mean size, before it is packed.
+    """
     p = pages.select(
         F.col("page_id").cast("long"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
     ).withColumns({"digest": sha1_base32(F.col("html")), "n": F.octet_length("html")})
-    keys = p.where(f"page_id is not null and n >= {min_bytes}").select("page_id", "digest", "n")
+    made = scratch.save(p.select("page_id", "digest", "n"))
+    records_per_file = 3 * max(1, file_bytes // (int(made.agg(F.avg("n")).first()[0] or 0) + 1200))  # a page's headers have some 1,200 bytes
+    keys = made.where(f"page_id is not null and n >= {min_bytes}")
     equal = scratch.save(keys.groupBy("digest", "n").agg(F.max("page_id").alias("original"), F.min("page_id").alias("first")).where("first < original"))
     again = scratch.save(keys.join(equal, ["digest", "n"]).where("page_id < original").select("page_id", F.col("digest").alias("same"), "original").distinct())
     rows = p.join(small(again, 250_000), (p["page_id"] == again["page_id"]) & (p["digest"] == again["same"]), "left").drop(again["page_id"])

@@ -166,7 +166,7 @@ def test_warc(spark, tmp_path):
     rows += [(100, "http://x/\r\nInjected: yes", "x" * 300_000), (None, None, "same"), (None, "u", "lonely"), (7, "http://h/7", "own é 7"[::-1])]
     df = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string")
     scratch = Scratch(spark, "t")
-    warc.write(df, f"{scratch.root}/a", scratch, records_per_file=20)
+    warc.write(df, f"{scratch.root}/a", scratch, file_bytes=9000)
     recs = scratch.save(warc.read(spark, f"{scratch.root}/a"))
     assert recs.groupBy("type").count().where("type in ('request', 'metadata')").agg(F.min("count"), F.max("count")).first()[:] == (len(rows), len(rows))
     assert recs.where("not whole").count() == 0 and recs.where("type = 'response' and payload is null").count() == 0
