@@ -16,7 +16,7 @@ PARTS = "title string, raw_text string, infobox string, terms string"
 def with_dense_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
     """Number rows from 0 in file order without gaps. Needs ``_file`` and ``_block`` (path and offset of the split) and drops them.
 
-    Only one row a split is ordered in one place; the rows themselves aren't moved.
+    Only one row a split is ordered in one place (some millions of splits at most); the rows themselves aren't moved.
     """
     numbered = df.withColumn("_mid", F.monotonically_increasing_id())
     blocks = numbered.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
