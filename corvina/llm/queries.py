@@ -133,7 +133,7 @@ select m.vec_id, coalesce(n, 0)::bigint as n_links, component_id::bigint as comp
 
 #: A join on shingles: for small tables.
 OP7_SQL = rf"""
-with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w from documents),
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),

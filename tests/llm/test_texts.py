@@ -178,6 +178,25 @@ def test_jaccard_groups_of_an_id_with_several_texts(spark):
     assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (5, 1, 1), (5, 1, 1), (9, 1, 1), (20, 20, 0), (20, 20, 1), (21, 20, 1), (30, 30, 0)]
 
 
+def test_jaccard_rows_are_those_of_the_sql(spark, tmp_path):
+    """The registered query and its SQL, on words parted by each of the six white-space characters and by others, which part none."""
+    import duckdb
+
+    from corvina.llm import queries
+
+    gaps = ["\x20", "\t", "\n", "\x0b", "\x0c", "\r", "\r\n", "\u00a0", "\x1f"]
+    rows = [(i, gap.join(f"w{j}" for j in range(30))) for i, gap in enumerate(gaps)]
+    rows += [(20, "\r"), (21, "a\rb"), (22, "A\x0cB"), (23, None), (24, ""), (25, gaps[5].join(f"w{j}" for j in range(29)))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "n_shingles", "component_id", "n_links"]
+    want = sorted(db.sql(f"select {', '.join(columns)} from ({queries.OP7_SQL})").fetchall())
+    got = sorted(tuple(r) for r in queries.op7_jaccard_join(spark, str(tmp_path)).select(columns).collect())
+    assert got == want
+    assert {r[0]: r[1:] for r in got} == {**{i: (26, 0, 7) for i in range(7)}, 7: (1, 7, 0), 8: (1, 8, 0), 20: (0, 20, 0), 21: (1, 21, 1), 22: (1, 21, 1), 23: (0, 23, 0), 24: (0, 24, 0), 25: (25, 0, 7)}
+
+
 def test_a_language_of_long_texts_is_learnt(spark):
     rows = [(i, "zz qq kz wq " * 40_000, "xx") for i in range(3)] + [(10 + i, "der die und ung " * 30, "de") for i in range(20)]
     rows += [(50, "zq kzqq wq zz qq", None), (51, "x" * 1_000_000, "yy")]
