@@ -102,7 +102,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_mixing, op4_embedding_neardup, op5_line_dedup, op6_html, op7_jaccard_join, op8_sentencepiece, op9_warc, op10_quality)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm._base import Scratch
+    from corvina.llm.resample import resample
+
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "resample"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The byte-level tokenizer's file; another may be named in the environment.
+BYTE_LEVEL = os.environ.get("CORVINA_BYTE_LEVEL", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvina.llm._base import Scratch
+    from corvina.llm.align import align
+
+    return align(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, Scratch(spark, "align"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hash of the base rules' spans, and all spans."""
+    from corvina.llm._base import Scratch
+    from corvina.llm.pii import BASE, detect, digest
+
+    found = detect(table(spark, sf_dir, "documents"), Scratch(spark, "pii"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.base and x.kind = '{k}')) as bigint) as n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_mixing, op4_embedding_neardup, op5_line_dedup, op6_html, op7_jaccard_join, op8_sentencepiece, op9_warc, op10_quality, op11_resample, op12_align, op13_pii)}
 
 OP1_SQL = "select doc_id, lang, source, n_chars, md5(text) as text_md5, 2::bigint as version from documents"
 
@@ -144,4 +174,22 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id::bigint as c
 from documents d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id left join k on k.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op5_line_dedup": LINES_SQL, "op9_warc": OP9_SQL}
+#: Buckets by a CRC-32 of its own, whose table is made from the polynomial. Exact counts; logarithms in doubles.
+OP11_SQL = r"""
+with crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+txt as (select row_number() over () as r, 0 as side, doc_id, text from documents union all select row_number() over (), 1, null, text from benchmark),
+w as (select r, side, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from txt),
+b as (select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(w))::bigint), lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::int, 2))::bigint)),
+    lambda c, x: xor(c >> 8, tab[((xor(c, x) & 255) + 1)::int])), 4294967295) % 10000 as b from (select distinct w from w), crc),
+f as (select r, side, b from w join b using (w)),
+n as (select b, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from f group by b),
+all_n as (select count(*) filter (side = 0) as s_all, count(*) filter (side = 1) as t_all from f),
+g as (select b, floor(1000 * ln(((t + 1)::double * (s_all + 10000)::double) / ((s + 1)::double * (t_all + 10000)::double)))::bigint as gain from n, all_n),
+d as (select r, count(*) as n, floor(sum(gain)::bigint / count(*))::bigint as weight from f join g using (b) where side = 0 group by r),
+h as (select r, doc_id, ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from txt where side = 0),
+z as (select doc_id, r, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))))::bigint as score from h left join d using (r)),
+k as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features, r) end as place, (select count(*) from z where n_features >= 20) as eligible from z)
+select doc_id, n_features, weight, score, case when place <= 10 * eligible // 100 then place end as rank from k
+"""
+
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op5_line_dedup": LINES_SQL, "op9_warc": OP9_SQL, "op11_resample": OP11_SQL}
