@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from corvina.llm._base import Scratch
 
 #: Bytes of text that are taken together, unless one text is longer.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: How the byte-level BPE file cuts texts before it merges; a fixed value of that file's ``ByteLevel`` step.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE = 6  # kind of a piece that is a byte
