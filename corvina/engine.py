@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import sys
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -13,17 +14,21 @@ from pyspark.sql import functions as F
 
 from corvina.config import Config, load_config, setup_logging
 from corvina.functions.text import Lemmas, dictionary, preprocess, tokenize
-from corvina.operators.fielded import FieldIndex, build_field_index, clauses, field_search, field_terms
-from corvina.operators.index import Index, write_index
+from corvina.operators.fielded import FieldIndex, clauses, field_search, field_terms
+from corvina.operators.grams import TABLES, boosts
+from corvina.operators.index import Index
 from corvina.operators.parse import parse_pages, read_infobox_string
-from corvina.operators.results import formatted, infobox_details
-from corvina.operators.search import match_count, page_stems, search
+from corvina.operators.results import formatted, infobox_details, with_titles
+from corvina.operators.search import match_count, search, search_many, with_stems
+from corvina.operators.segments import Segments, whole_text
 from corvina.plans.args import Operator, parse_args
 from corvina.session import build_session
 from corvina.sources.dump import read_dump_raw, read_dump_xml, read_lemmas, read_parts, read_words
+from corvina.sources.versions import remove
 from corvina.streaming.incremental import preprocess_batch
 
 SAVER = "document_saver"
+PARTS_COLUMNS = ("title", "raw_text", "infobox", "terms")
 
 
 def tagger(spark: SparkSession, config: Config) -> Callable[[], Lemmas]:
@@ -37,6 +42,18 @@ def question_terms(spark: SparkSession, question: str, config: Config, stop_word
     return list(preprocess(one, set(config.preprocessor_components) - {SAVER}, stop_words, lemmas).first()["terms"])
 
 
+def read_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
+    return parse_pages({"raw": read_dump_raw, "xml": read_dump_xml}[source](spark, path))
+
+
+def analysed(pages: DataFrame, config: Config, stop_words: Sequence[str], lemmas: Callable[[], Lemmas]) -> DataFrame:
+    """doc_id, field, words of pages, by the configuration's components."""
+    steps = set(config.preprocessor_components)
+    if SAVER in steps:
+        return whole_text(preprocess_batch(pages, config.already_processed_path, steps, stop_words, lemmas, text="raw_text"))
+    return whole_text(preprocess(pages, steps, stop_words, lemmas, text="raw_text"))
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -44,39 +61,73 @@ class Engine:
     index: Index
     pages: DataFrame
     stems: DataFrame
+    grams: DataFrame
+    boxes: DataFrame
     stop_words: Sequence[str]
     lemmas: Callable[[], Lemmas]
 
     @classmethod
     def build(cls, spark: SparkSession, config: Config, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None, source: str = "raw") -> Engine:
-        """Parse the dump, preprocess, index, and save all of it under ``index_path``; then work on what was saved.
+        """Parse the dump, preprocess, index, and publish all of it under ``index_path``, in the place of what was there; then work on what was saved.
+
+        With document_saver among the components, preprocessed documents are kept at ``already_processed_path`` and not made again. A build that is killed
+        leaves the index before as it was.
+        """
+        lemmas = lemmas or tagger(spark, config)
+        store = Segments(spark, config.index_path)
+        store.append(lambda pages: analysed(pages, config, stop_words, lemmas), with_stems(read_pages(spark, config.dump_path, source)), anew=True, tables=TABLES)
+        store.publish()
+        store.vacuum(keep=2)  # readers of the version before may still be at work
+        return cls.load(spark, config, stop_words, lemmas)
+
+    @classmethod
+    def update(cls, spark: SparkSession, config: Config, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None, source: str = "raw", complete: bool = False) -> Engine:
+        """Take up a newer dump: new pages are added, those whose text has changed are replaced, the others stay untouched. complete: pages that the dump doesn't have go.
 
-        With document_saver among the components, preprocessed documents are kept at ``already_processed_path`` and not made again.
+        A page is known by its title and keeps its doc_id; of several of one title in the dump, the first takes it. New pages are numbered on.
         """
-        lemmas, root = lemmas or tagger(spark, config), config.index_path
-        read = {"raw": read_dump_raw, "xml": read_dump_xml}[source]
-        parse_pages(read(spark, config.dump_path)).write.mode("overwrite").parquet(f"{root}/pages")
-        pages = spark.read.parquet(f"{root}/pages")
-        page_stems(pages).write.mode("overwrite").parquet(f"{root}/page_stems")
-        steps = set(config.preprocessor_components)
-        if SAVER in steps:
-            docs = preprocess_batch(pages.withColumnRenamed("raw_text", "text"), config.already_processed_path, steps, stop_words, lemmas)
-        else:
-            docs = preprocess(pages, steps, stop_words, lemmas, text="raw_text")
-        docs.select("doc_id", "terms").write.mode("overwrite").parquet(f"{root}/doc_terms")
-        write_index(spark.read.parquet(f"{root}/doc_terms"), root, mode="overwrite")
+        lemmas = lemmas or tagger(spark, config)
+        store = Segments(spark, config.index_path)
+        draft = f"{config.index_path}/drafts/{uuid.uuid4().hex}"
+        read_pages(spark, config.dump_path, source).write.parquet(draft)
+        pages, old = spark.read.parquet(draft), store.table(store.latest()[0])
+        name = F.coalesce("title", F.lit(""))
+        digest = F.xxhash64("raw_text").alias("mark")
+        known = old.groupBy(name.alias("name")).agg(F.min(F.struct("doc_id", digest)).alias("old"))
+        first = pages.groupBy(name.alias("name")).agg(F.min(F.struct("doc_id", digest)).alias("new"))
+        both = first.join(known, "name").select(F.col("new.doc_id").alias("doc_id"), F.col("old.doc_id").alias("old_id"), (F.col("old.mark") == F.col("new.mark")).alias("same"))
+        start = (old.agg(F.max("doc_id")).first()[0] or 0) + 1
+        changed = pages.join(both, "doc_id", "left").where("same is null or not same")
+        changed = changed.withColumn("doc_id", F.coalesce("old_id", F.col("doc_id") + start)).drop("old_id", "same")
+        if complete:
+            store.delete(old.select("doc_id").join(both.select(F.col("old_id").alias("doc_id")), "doc_id", "left_anti"))
+        store.append(lambda pages: analysed(pages, config, stop_words, lemmas), with_stems(changed), tables=TABLES)
+        store.merge()
+        store.publish()
+        store.vacuum(keep=2)
+        remove(spark, draft)
         return cls.load(spark, config, stop_words, lemmas)
 
     @classmethod
     def load(cls, spark: SparkSession, config: Config, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> Engine:
-        root = config.index_path
-        return cls(spark, config, Index.load(spark, root), spark.read.parquet(f"{root}/pages"), spark.read.parquet(f"{root}/page_stems"), stop_words, lemmas or tagger(spark, config))
+        """What was published last."""
+        store = Segments(spark, config.index_path)
+        pages = store.kept()
+        return cls(spark, config, store.index(), pages.drop("t", "k", "v"), pages.select("doc_id", "t", "k", "v"), store.kept("grams"), store.kept("boxes"), stop_words, lemmas or tagger(spark, config))
 
     def query_terms(self, question: str) -> list[str]:
         return question_terms(self.spark, question, self.config, self.stop_words, self.lemmas)
 
     def search(self, question: str, operator: Operator = Operator.AND, n: int = 10, and_mode: str = "strict") -> DataFrame:
-        return search(self.index, self.query_terms(question), operator, n, self.pages, and_mode, stems=self.stems)
+        """rank, doc_id, score, title, infobox_title. Boosts are looked up in the index of titles, and of the pages only the found ones are read."""
+        found = search(self.index, self.query_terms(question), operator, n, None, and_mode, near=lambda terms: boosts(self.grams, self.boxes, terms))
+        return with_titles(self.pages, found)
+
+    def search_many(self, questions: DataFrame, operator: Operator = Operator.AND, n: int = 10) -> DataFrame:
+        """query_id, rank, doc_id, score, title, infobox_title for a table of questions (query_id, question), in one job."""
+        asked = preprocess(questions, set(self.config.preprocessor_components) - {SAVER}, self.stop_words, self.lemmas, text="question")
+        found = search_many(self.index, asked, operator, n, stems=self.stems)
+        return found.join(self.pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left").select("query_id", "rank", "doc_id", "score", "title", "infobox_title")
 
     def match_count(self, question: str, operator: Operator = Operator.AND, and_mode: str = "strict") -> int:
         return match_count(self.index, self.query_terms(question), operator, and_mode)
@@ -94,21 +145,35 @@ class FieldEngine:
     lemmas: Callable[[], Lemmas]
 
     @classmethod
-    def build(cls, spark: SparkSession, config: Config, parts: str, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> FieldEngine:
-        """Index the CSV parts at ``parts`` under ``index_path``; pages that are indexed already, by title, stay as they are."""
+    def build(cls, spark: SparkSession, config: Config, parts: str, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None, replace: bool = False) -> FieldEngine:
+        """Index the CSV parts at ``parts`` under ``index_path``. Pages that are indexed already, by title, stay as they are, or are replaced.
+
+        Different rows of one title are different pages; rows that agree in everything are one.
+        """
         began, root = time.time(), config.index_path
-        rows = read_parts(spark, parts).where("title is not null").groupBy("title").agg(F.max(F.struct("raw_text", "infobox", "terms")).alias("p"))
-        box = read_infobox_string("p.infobox")
-        pages = rows.select(F.xxhash64("title").alias("doc_id"), "title", "p.raw_text", F.when(box["properties"].isNotNull(), F.struct(box["name"].alias("name"), box["properties"].alias("properties"))).alias("infobox"), F.split(F.coalesce("p.terms", F.lit("")), " ").alias("terms"))
-        pages = pages.withColumn("terms", F.filter("terms", lambda x: x != ""))
-        added = build_field_index(field_terms(pages, stop_words)).save(root)
-        pages.write.mode("overwrite").parquet(f"{root}/field_pages")
-        logging.info("%d documents indexed in %.1f s", added, time.time() - began)
+        store = Segments(spark, f"{root}/fields")
+        rows = read_parts(spark, parts).where("title is not null").dropDuplicates()
+        box = read_infobox_string("infobox")
+        pages = rows.select(F.xxhash64(*PARTS_COLUMNS).alias("doc_id"), "title", "raw_text", F.when(box["properties"].isNotNull(), F.struct(box["name"].alias("name"), box["properties"].alias("properties"))).alias("infobox"), F.filter(F.split(F.coalesce("terms", F.lit("")), " "), lambda x: x != "").alias("terms"))
+        at, _ = store.latest()
+        if at.segments:
+            old = store.table(at).select("doc_id", "title")
+            if replace:
+                store.delete(old.join(pages.select("title", F.col("doc_id").alias("new_id")), "title").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("new_id")).alias("same")).where("not same"))
+                pages = store.lacking(pages)
+            else:
+                pages = pages.join(old.select("title").distinct(), "title", "left_anti").select(*pages.columns)
+        store.append(lambda pages: field_terms(pages, stop_words), pages)
+        store.merge()
+        store.publish(norms=False)
+        store.vacuum(keep=2)
+        logging.info("version %d of %s in %.1f s", store.latest()[0].version, root, time.time() - began)
         return cls.load(spark, config, stop_words, lemmas)
 
     @classmethod
     def load(cls, spark: SparkSession, config: Config, stop_words: Sequence[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> FieldEngine:
-        return cls(spark, config, FieldIndex.load(spark, config.index_path), spark.read.parquet(f"{config.index_path}/field_pages"), stop_words, lemmas or tagger(spark, config))
+        store = Segments(spark, f"{config.index_path}/fields")
+        return cls(spark, config, store.field_index(), store.kept(), stop_words, lemmas or tagger(spark, config))
 
     def search(self, question: str, n: int = 10) -> DataFrame:
         """rank, doc_id, title, score, infobox_title: raw tokens should stand in the boosted fields, preprocessed terms must be in the text."""
@@ -116,7 +181,7 @@ class FieldEngine:
         terms = question_terms(self.spark, question, self.config, self.stop_words, self.lemmas)
         found = field_search(self.index, clauses(tokens, terms, self.config.boosts, self.stop_words), n)
         ranked = self.spark.createDataFrame([(i + 1, *r) for i, r in enumerate(found.collect())], "rank int, doc_id long, score double")  # n rows
-        return ranked.join(self.pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left").select("rank", "doc_id", "title", "score", "infobox_title")
+        return with_titles(self.pages, ranked).select("rank", "doc_id", "title", "score", "infobox_title")
 
 
 def answer(engine: Engine, line: str) -> tuple[int, DataFrame]:
@@ -131,12 +196,8 @@ def main(read: Callable[[str], str] = input) -> None:
     setup_logging(config.verbose)
     spark = build_session(conf=config.spark)
     stop = read_words(spark, config.stop_words_path)
-    try:
-        engine = Engine.load(spark, config, stop)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        engine = Engine.build(spark, config, stop)
+    there = Segments(spark, config.index_path).latest()[1]
+    engine = Engine.load(spark, config, stop) if there else Engine.build(spark, config, stop)
     while (line := read("query> ").strip()) not in ("q", "Q"):
         began = time.time()
         try:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +50,8 @@ def tokenize(text: Column) -> Column:
 
 def remove_words(terms: Column, words: Iterable[str]) -> Column:
     """Without the given words and without one-letter words; repeated terms stay."""
-    listed = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    return F.filter(terms, lambda x: ~F.array_contains(listed, x) & (F.length(x) > 1))
+    words = list(words)  # a set of literals, looked up by hash
+    return F.filter(terms, lambda x: (~x.isin(words) if words else F.lit(True)) & (F.length(x) > 1))
 
 
 Lemmas = Callable[[list[str]], list[tuple[str, str]]]
@@ -74,32 +75,57 @@ def lemmatize(terms: Column, make: Callable[[], Lemmas], custom: dict[str, str]
 
 def dictionary(entries: dict[str, tuple[str, str]]) -> Callable[[], Lemmas]:
     """A tagger by lookup; a word that isn't listed is its own lemma and a noun."""
-    return lambda: lambda words: [entries.get(w, (w, "NOUN")) for w in words]
 
+    def make() -> Lemmas:
+        return lambda words: [entries.get(w, (w, "NOUN")) for w in words]
 
-def preprocess(docs: DataFrame, components: Iterable[str], stop_words: Iterable[str] = (), lemmas: Callable[[], Lemmas] | None = None, text: str = "text", extra: Iterable[Callable[[Column], Column]] = ()) -> DataFrame:
-    """The column ``terms`` by the components, in their fixed order, then by components of one's own: functions of the terms' column.
+    make.fingerprint = hashlib.md5(repr(sorted(entries.items())).encode()).hexdigest()
+    return make
 
-    A component without the one it builds on is refused.
-    """
+
+def stages(components: Iterable[str], stop_words: Iterable[str] = (), lemmas: Callable[[], Lemmas] | None = None) -> list[tuple[str, Callable[[Column], Column]]]:
+    """(name, what it makes of the step before, first of the text) of the components in their fixed order. A component without the one it builds on is refused."""
     wanted, stop_words = set(components), list(stop_words)
     if unknown := wanted - set(COMPONENTS):
         raise ValueError(f"no such components: {sorted(unknown)}")
     if "tokenize" not in wanted and wanted & {"remove_stopwords", "lemmatize", "stop_words_cleaner"}:
         raise ValueError("components after tokenize need it")
-    out = F.col(text)
-    if "normalize" in wanted:
-        out = normalize(out)
-    out = tokenize(out) if "tokenize" in wanted else F.filter(F.split(out, SPACES), lambda x: x != "")
+    steps = [("normalize", normalize)] if "normalize" in wanted else []
+    steps.append(("tokenize", tokenize) if "tokenize" in wanted else ("split", lambda c: F.filter(F.split(c, SPACES), lambda x: x != "")))
     if "remove_stopwords" in wanted:
-        out = remove_words(out, stop_words)
+        steps.append(("remove_stopwords", lambda c: remove_words(c, stop_words)))
     if "lemmatize" in wanted:
-        out = lemmatize(out, lemmas or dictionary({}))
+        steps.append(("lemmatize", lambda c: lemmatize(c, lemmas or dictionary({}))))
     if "stop_words_cleaner" in wanted:
-        out = remove_words(out, stop_words)
-    for component in extra:
-        out = component(out)
-    return docs.withColumn("terms", out)
+        steps.append(("stop_words_cleaner", lambda c: remove_words(c, stop_words)))
+    return steps
+
+
+def preprocess(docs: DataFrame, components: Iterable[str], stop_words: Iterable[str] = (), lemmas: Callable[[], Lemmas] | None = None, text: str = "text", extra: Iterable[Callable[[Column], Column]] = (), watch: Observation | None = None) -> DataFrame:
+    """The column ``terms`` by the components, in their fixed order, then by components of one's own: functions of the terms' column.
+
+    A component without the one it builds on is refused. watch: is told, as the terms are made, the number of rows and how many words each component leaves.
+    """
+    steps = [*stages(components, stop_words, lemmas), *((f"extra_{i}", c) for i, c in enumerate(extra))]
+    if watch is None:
+        out = F.col(text)
+        for _, step in steps:
+            out = step(out)
+        return docs.withColumn("terms", out)
+    docs, at, words = docs.withColumn("_step", F.col(text)), "_step", []
+    for i, (name, step) in enumerate(steps):
+        docs = docs.withColumn(f"_step_{i}", step(F.col(at)))
+        at = f"_step_{i}"
+        if name != "normalize":
+            words.append(F.sum(F.coalesce(F.size(at), F.lit(0))).alias(name))
+    seen = docs.observe(watch, F.count(F.lit(1)).alias("rows"), *words)
+    return seen.withColumn("terms", F.col(at)).drop("_step", *[f"_step_{i}" for i in range(len(steps))])
+
+
+def reductions(seen: Mapping[str, int]) -> list[tuple[str, int, int, float | None]]:
+    """(component, words before it, words after it, percent removed) from what an observation of ``preprocess`` was told."""
+    counts = [(k, v or 0) for k, v in seen.items() if k != "rows"]
+    return [(name, before, after, 100 * (before - after) / before if before else None) for (_, before), (name, after) in zip(counts, counts[1:])]
 
 
 def reduction(before: Column, after: Column) -> Column:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.config import Config
 from corvina.functions.stem import stem, stem_words
 from corvina.functions.text import tokenize
-from corvina.sources.dump import read_or_empty
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -21,8 +19,7 @@ FIELDS = ("title", "infobox_name", "infobox_key", "infobox_value")
 
 def field_terms(pages: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
     """doc_id, field, words (array): title, infobox name, keys and values as stems of the tokens without stop words, terms as they are."""
-    listed = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
-    analysed = lambda c: stem_words(F.filter(tokenize(c), lambda x: ~F.array_contains(listed, x)))
+    analysed = lambda c: stem_words(F.filter(tokenize(c), lambda x: ~x.isin(list(stop_words))) if stop_words else tokenize(c))
     box = F.col("infobox")
     of = {
         "title": analysed(F.col("title")), "infobox_name": analysed(box["name"]),
@@ -35,37 +32,11 @@ def field_terms(pages: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
 
 @dataclass
 class FieldIndex:
-    """postings (field, term, doc_id, tf, dl) and fields (field, n_docs, avgdl)."""
+    """postings (field, term, doc_id, tf, dl), fields (field, n_docs, avgdl), and, where it is stored, vocab (field, term, df)."""
 
     postings: DataFrame
     fields: DataFrame
-
-    def save(self, path: str) -> int:
-        """Create or add to: documents that are there already stay as they are. Returns the number of documents added.
-
-        Each call is a batch with its own statistics, a row a field, written last; a batch without them counts for nothing.
-        """
-        spark, batch = self.postings.sparkSession, uuid.uuid4().hex[:12]
-        there = read_or_empty(spark, f"{path}/field_stats", STATS)
-        new = self.postings
-        if not there.isEmpty():
-            new = new.join(FieldIndex.load(spark, path).postings.select("doc_id").distinct(), "doc_id", "left_anti")
-        new.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", "field").parquet(f"{path}/field_postings")
-        done = spark.read.schema(POSTINGS).parquet(f"{path}/field_postings").where(F.col("batch") == batch)
-        docs = done.groupBy("field", "doc_id").agg(F.first("dl").alias("dl"))
-        docs.groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("dl")).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{path}/field_stats")
-        return done.agg(F.count_distinct("doc_id")).first()[0]
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FieldIndex:
-        stats = spark.read.schema(STATS).parquet(f"{path}/field_stats")
-        batches = [r[0] for r in stats.select("batch").distinct().collect()]  # one a call of save
-        postings = spark.read.schema(POSTINGS).parquet(f"{path}/field_postings").where(F.col("batch").isin(batches)).drop("batch")
-        return cls(postings, stats.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), (F.sum("dl") / F.sum("n_docs")).alias("avgdl")))
-
-
-STATS = "field string, n_docs long, dl long, batch string"
-POSTINGS = "term string, doc_id long, tf long, dl long, batch string, field string"
+    vocab: DataFrame | None = None
 
 
 def build_field_index(words: DataFrame) -> FieldIndex:
@@ -96,8 +67,9 @@ def field_search(index: FieldIndex, query: Sequence[Clause], n: int = 10, digits
     must = len({k for k in said if k[2] == "must"})
     names, terms = sorted({k[0] for k in said}), sorted({k[1] for k in said})
     hits = index.postings.where(F.col("field").isin(names) & F.col("term").isin(terms)).join(asked, ["field", "term"])
-    df = hits.groupBy("field", "term", "occur").agg(F.count("*").alias("df"))
-    weighed = hits.join(F.broadcast(df), ["field", "term", "occur"]).join(F.broadcast(index.fields), "field")
+    # at most a row a clause
+    df = hits.groupBy("field", "term").agg(F.count_distinct("doc_id").alias("df")) if index.vocab is None else index.vocab.where(F.col("field").isin(names) & F.col("term").isin(terms)).select("field", "term", "df")
+    weighed = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(index.fields), "field")
     score = F.expr(f"boost * ln(1 + (n_docs - df + 0.5D) / (df + 0.5D)) * tf / (tf + {K1}D * (1 - {B}D + {B}D * dl / avgdl))")
     docs = weighed.groupBy("doc_id").agg(F.sum(score).alias("score"), F.count_if(F.col("occur") == "must").alias("m"))
     return docs.where(F.col("m") == must).select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)

@@ -48,13 +48,6 @@ class Index:
     doc_norm: DataFrame
     corpus_stats: DataFrame
 
-    def save(self, path: str, mode: str = "error") -> None:
-        """Parquet; postings are ranged and sorted by term, so a query's terms select a few row groups."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
-        self.vocab.write.mode(mode).parquet(f"{path}/vocab")
-        self.doc_norm.write.mode(mode).parquet(f"{path}/doc_norm")
-        self.corpus_stats.write.mode(mode).parquet(f"{path}/corpus_stats")
-
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "doc_norm", "corpus_stats")))

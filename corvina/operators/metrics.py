@@ -5,6 +5,8 @@ retrieved: query_id, rank (from 1), doc_id. relevant: query_id, doc_id. What wou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,12 @@ def average_precision(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:
 def precision_at(retrieved: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """query_id, precision among the first k ranks; fewer results divide by their own number."""
     return judged(retrieved.where(F.col("rank") <= k), relevant).groupBy("query_id").agg(F.avg("hit").alias("precision"))
+
+
+def evaluate(retrieved: DataFrame, relevant: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
+    """One row: queries (those with relevant documents), and the means over them of precision, recall, f1, average precision (map) and precision at each k."""
+    asked = relevant.select("query_id").distinct()
+    each = asked.join(precision_recall_f1(retrieved, relevant), "query_id").join(average_precision(retrieved, relevant), "query_id")
+    for k in ks:
+        each = each.join(precision_at(retrieved, relevant, k).withColumnRenamed("precision", f"precision_at_{k}"), "query_id", "left").na.fill(0.0)
+    return each.agg(F.count(F.lit(1)).alias("queries"), *[F.avg(c).alias("map" if c == "ap" else c) for c in each.columns if c != "query_id"])

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from corvina.operators.parse import page_url
 
 
+def with_titles(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """The results (some rows, which are run here) with title and infobox_title. Their doc_ids are a filter on the pages, which are stored in that order."""
+    rows = results.collect()
+    found = pages.sparkSession.createDataFrame(rows, results.schema)
+    shown = pages.where(F.col("doc_id").isin([r.doc_id for r in rows]) if rows else F.lit(False)).select("doc_id", "title", F.col("infobox.name").alias("infobox_title"))
+    return found.join(F.broadcast(shown), "doc_id", "left")
+
+
 def load_results(results: DataFrame, pages: DataFrame) -> DataFrame:
     """The results (few rows) with their stored pages, by title."""
     return pages.join(F.broadcast(results), "title")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.functions.stem import stem, stem_words
+from corvina.functions.stem import stem, stem_words, with_stem
 from corvina.functions.text import SPACES
 from corvina.operators.index import Index
 from corvina.plans.args import Operator
@@ -69,12 +69,15 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACES), lambda x: x != "")
 
 
+def with_stems(pages: DataFrame) -> DataFrame:
+    """Add t (the stemmed title), k and v (stemmed words of the infobox's keys and values): made once, when pages are stored."""
+    text = lambda f: split_words(F.array_join(f(F.col("infobox.properties")), " "))
+    return pages.withColumns({"t": F.array_join(stem_words(split_words(F.col("title"))), " "), "k": stem_words(text(F.map_keys)), "v": stem_words(text(F.map_values))})
+
+
 def page_stems(pages: DataFrame) -> DataFrame:
-    """doc_id, t (the stemmed title), k and v (stemmed words of the infobox's keys and values): made once, when pages are stored."""
-    words = pages.select("doc_id", split_words(F.col("title")).alias("t"), *[
-        split_words(F.array_join(f(F.col("infobox.properties")), " ")).alias(n) for f, n in ((F.map_keys, "k"), (F.map_values, "v"))
-    ])
-    return words.select("doc_id", F.array_join(stem_words("t"), " ").alias("t"), stem_words("k").alias("k"), stem_words("v").alias("v"))
+    """doc_id, t, k and v of with_stems."""
+    return with_stems(pages.select("doc_id", "title", "infobox")).select("doc_id", "t", "k", "v")
 
 
 def boost(pages: DataFrame, terms: Sequence[str], stems: DataFrame | None = None) -> DataFrame:
@@ -94,10 +97,11 @@ def match_count(index: Index, terms: Sequence[str], operator: Operator = Operato
     return candidates(index, known_terms(index, terms), operator, and_mode).count()
 
 
-def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND, n: int = 10, pages: DataFrame | None = None, and_mode: str = "strict", digits: int = 9, stems: DataFrame | None = None) -> DataFrame:
+def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND, n: int = 10, pages: DataFrame | None = None, and_mode: str = "strict", digits: int = 9, stems: DataFrame | None = None, near: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
     """rank, doc_id, score (and title, infobox_title with ``pages``) of the first ``n``. Ties, after rounding, go by doc_id.
 
-    terms: the preprocessed query. Terms that the vocabulary doesn't have are left out, of the boosts too.
+    terms: the preprocessed query. Terms that the vocabulary doesn't have are left out, of the boosts too. Boosts (doc_id, boost) are looked up by ``near``, if it is given, or
+    else made of ``stems``, or of the pages.
     """
     if operator not in (Operator.AND, Operator.OR):
         raise ValueError(f"no such operator: {operator}")
@@ -106,9 +110,34 @@ def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND
         scored = cosine(index, known, 1 if operator == Operator.OR else len(set(known)))
     else:
         scored = cosine(index, known).join(candidates(index, known, operator, and_mode), "doc_id", "left_semi")
-    if pages is not None:
-        near = boost(pages, known) if stems is None else boost(pages, known, stems)
-        scored = scored.join(near, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
+    if pages is not None or near:
+        boosts = near(known) if near else boost(pages, known, stems)
+        scored = scored.join(boosts, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
     top = scored.select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(n)
     out = top.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")  # n rows
     return out if pages is None else out.join(pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left")
+
+
+def search_many(index: Index, questions: DataFrame, operator: Operator = Operator.AND, n: int = 10, digits: int = 9, stems: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score: for each question what ``search`` finds, all in one job. questions: query_id, terms (array; preprocessed), a row a question.
+
+    Questions' terms meet the postings in one join and are added up by question and document. The first n of each are cut off in every task before they are
+    sent (a window with a limit), so that a question of very many hits brings n rows a task. stems: page_stems, for boosts.
+    """
+    if operator not in (Operator.AND, Operator.OR):
+        raise ValueError(f"no such operator: {operator}")
+    asked = questions.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    known = asked.join(index.vocab.select("term"), "term")
+    along = index.postings.join(known, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q2"), F.count(F.lit(1)).alias("n"))
+    if operator == Operator.AND:
+        need = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
+        along = along.join(need, "query_id").where("n = need")
+    scored = along.join(index.doc_norm, "doc_id").select("query_id", "doc_id", F.sqrt(F.col("q2") / F.col("norm2")).alias("score"))
+    if stems is not None:
+        said = with_stem(known, "term").groupBy("query_id").agg(F.collect_list(F.struct("stem", "times")).alias("said"))  # of one question
+        hit = lambda x: F.coalesce(F.contains("t", x["stem"]).cast("int"), F.lit(0)) * TITLE + F.coalesce(F.array_contains("k", x["stem"]).cast("int"), F.lit(0)) * KEY + F.coalesce(F.array_contains("v", x["stem"]).cast("int"), F.lit(0)) * VALUE
+        boosted = scored.join(stems, "doc_id", "left").join(said, "query_id")
+        scored = boosted.select("query_id", "doc_id", (F.col("score") + F.aggregate("said", F.lit(0.0), lambda a, x: a + hit(x) * x["times"])).alias("score"))
+    scored = scored.withColumn("score", F.round("score", digits))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")

@@ -7,18 +7,21 @@ import inspect
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from corvina.functions import guess
 from corvina.functions import stem as st
 from corvina.functions import text as tx
-from corvina.operators import fielded, index, metrics, parse, results
+from corvina.operators import fielded, grams, index, metrics, parse, results, segments
+from corvina.operators import ranked as rk
 from corvina.operators import search as se
 from corvina.plans.args import Operator, parse_args
 from corvina.session import kept, shared_folder
 from corvina.sources.dump import parse_page_xml, read_dump_raw, read_dump_xml, read_parts
-from corvina.sources.sinks import append_terms, not_cached, write_parts
+from corvina.sources.sinks import append_terms, made_by, not_cached, with_key, write_parts
+from corvina.streaming.incremental import preprocess_batch
 
 STOP = ["the", "of", "and", "de", "la", "der", "die", "und", "le", "to", "in", "is"]
 ASK = ["the", "of", "and"]
@@ -49,11 +52,51 @@ def doc_index(spark: SparkSession, sf_dir: str) -> index.Index:
     return index.build_index(doc_terms(spark, sf_dir))
 
 
+def once(spark: SparkSession, name: str, source: str, make: Callable[[str], object], *code: object) -> str:
+    """The folder of what ``make`` writes from a table: made once in the shared folder for this state of the table and of the code."""
+    mark = hashlib.sha256("".join(map(inspect.getsource, (make, *code))).encode()).hexdigest()[:8]
+    return kept(spark, f"{name}-{mark}", source, make)
+
+
 def saved_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The index of the documents as a search meets it: written once to the shared folder for this state of the table and this code, then read."""
-    code = hashlib.sha256("".join(map(inspect.getsource, (index, tx))).encode()).hexdigest()[:8]
-    path = kept(spark, f"index-{code}", f"{sf_dir}/documents.parquet", lambda folder: index.write_index(doc_terms(spark, sf_dir), folder))
-    return index.Index.load(spark, path)
+    """The index of the documents as a search meets it: written once, then read."""
+
+    def make(folder: str) -> None:
+        index.write_index(doc_terms(spark, sf_dir), folder)
+
+    return index.Index.load(spark, once(spark, "index", f"{sf_dir}/documents.parquet", make, index, tx, doc_terms))
+
+
+def grown_index(spark: SparkSession, sf_dir: str) -> segments.Segments:
+    """The documents but every tenth, as an index that has grown: three appends, one of them with texts that are replaced later, a deletion, a merge."""
+
+    def make(folder: str) -> None:
+        store = segments.Segments(spark, folder, fan=3)
+        docs = doc_terms(spark, sf_dir)
+        stale = F.concat(F.array(F.lit("stale"), F.lit("words")), "terms")
+        store.append(segments.whole_text(docs.where("doc_id % 3 = 0")))
+        store.append(segments.whole_text(docs.where("doc_id % 3 = 1").withColumn("terms", F.when(F.col("doc_id") % 2 == 0, stale).otherwise(F.col("terms")))))
+        store.append(segments.whole_text(docs.where("doc_id % 3 = 2")))
+        store.append(segments.whole_text(docs.where("doc_id % 3 = 1 and doc_id % 2 = 0")))
+        store.delete(docs.where("doc_id % 10 = 9"))
+        store.merge()
+        store.publish()
+
+    return segments.Segments(spark, once(spark, "grown", f"{sf_dir}/documents.parquet", make, index, segments, tx, doc_terms))
+
+
+def grown_fields(spark: SparkSession, sf_dir: str) -> segments.Segments:
+    """The pages' fields, indexed in two parts, of which the first had other titles on some pages."""
+
+    def make(folder: str) -> None:
+        store = segments.Segments(spark, folder)
+        pages = titled(spark, sf_dir)
+        old = pages.where("doc_id % 2 = 0").withColumn("title", F.when(F.col("doc_id") % 4 == 0, F.lit("stale title")).otherwise(F.col("title")))
+        store.append(fielded.field_terms(old))
+        store.append(fielded.field_terms(pages.where("doc_id % 4 <> 2")))
+        store.publish(norms=False)
+
+    return segments.Segments(spark, once(spark, "fields", f"{sf_dir}/pages.parquet", make, fielded, segments, tx, titled))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -293,14 +336,46 @@ def infobox_codec(spark, d):
     return rows.select("doc_id", parse.read_infobox_string("s").alias("b")).select("doc_id", "b.name", F.explode("b.properties").alias("key", "value"))
 
 
-@query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
-def incremental_anti(spark, d):
-    """The store of preprocessed documents has the labelled ones; the others are still to be made."""
+def prefilled(spark, d) -> tuple[DataFrame, str]:
+    """The documents, and a store that has the labelled ones as they stood elsewhere: those of even ids with the same text, the others with another."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
+    before = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "title", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" changed"))).alias("text"))
     store = scratch(spark, "store")
-    done = table(spark, d, "labels").select("doc_id").distinct().withColumns({"title": F.lit("t"), "terms": F.array(F.lit("x"))})
-    append_terms(done.where("doc_id % 2 = 0"), store)
-    append_terms(not_cached(done, store), store)
-    return not_cached(table(spark, d, "documents").select("doc_id"), store)
+    preprocess_batch(before, store, STEPS, STOP)
+    return docs, store
+
+
+STEPS = ["tokenize", "remove_stopwords"]
+
+
+@query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.doc_id % 2 = 0)")
+def incremental_anti(spark, d):
+    """What is still to be made: documents whose text has changed or is new, wherever the unchanged ones have moved to."""
+    docs, store = prefilled(spark, d)
+    return not_cached(with_key(docs, made_by(STEPS, STOP)), store).select("doc_id")
+
+
+@query(f"""with t as (select doc_id, list_filter({tokens('text')}, lambda x: x not in ({', '.join(map(repr, STOP))})) as t from documents)
+  select doc_id, 'Doc ' || doc_id as title, len(t)::int as n, md5(array_to_string(t, ' ')) as terms from t""")
+def resumed_terms(spark, d):
+    """Terms of all documents, of which the store had a part."""
+    docs, store = prefilled(spark, d)
+    return preprocess_batch(docs, store, STEPS, STOP).select("doc_id", "title", F.size("terms").alias("n"), F.md5(F.array_join("terms", " ").cast("binary")).alias("terms"))
+
+
+GROWN = W.replace("documents", "(select * from documents where doc_id % 10 <> 9)")
+
+
+@query(f"with {GROWN} select term, df, cf, round(idf, 6) as idf from idf")
+def grown_vocabulary(spark, d):
+    """Counts are sums over segments less what was replaced or deleted."""
+    return grown_index(spark, d).index().vocab.select("term", "df", "cf", r("idf"))
+
+
+@query("with " + GROWN + f", s as (select doc_id, round(sqrt(sum(w * w) / any_value(norm2)), 9) as score from w join nm using (doc_id) where term in {IN_ASK} group by doc_id) " + RANK.format(n=20))
+def grown_search(spark, d):
+    """Weights are made as the postings are read."""
+    return se.search(grown_index(spark, d).index(), ASK, Operator.OR, 20)
 
 
 def _bm25_sql() -> str:
@@ -320,6 +395,13 @@ BM25 = fielded.clauses(["the", "fr", "example", "cesta"], ["the"])
 
 @query(_bm25_sql())
 def bm25_fielded(spark, d):
+    """Over the kept index, by which a clause's field and term select row groups."""
+    return fielded.field_search(grown_fields(spark, d).field_index(), BM25, 10)
+
+
+@query(_bm25_sql())
+def bm25_built(spark, d):
+    """Over an index made in the same job."""
     return fielded.field_search(fielded.build_field_index(fielded.field_terms(titled(spark, d))), BM25, 10)
 
 
@@ -456,3 +538,99 @@ def result_details(spark, d):
     pages = part_pages(spark, d)
     top = pages.where("infobox is not null").select("doc_id", F.col("infobox.name").alias("name")).orderBy("name", "doc_id").limit(3)
     return results.infobox_details(top.withColumn("rank", F.row_number().over(Window.orderBy("name", "doc_id"))), pages, 2)
+
+
+ASKED = f"q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({{}}) as term from benchmark) group by all)"
+FOUND = """s as (select query_id, doc_id, round(sqrt(sum(w * w) / any_value(norm2)), 9) as score from q join w using (term) join nm using (doc_id) group by all{}),
+  found as (select * from (select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score from s) where rank <= {})"""
+
+
+def questions(spark, d, terms=lambda c: c):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms(tx.tokenize(F.col("text"))).alias("terms"))
+
+
+@query("with " + W + ", " + ASKED.format(tokens("text")) + ", " + FOUND.format("", 10) + " select * from found")
+def search_questions(spark, d):
+    """All benchmark texts as questions, in one job."""
+    return se.search_many(saved_index(spark, d), questions(spark, d), Operator.OR, 10)
+
+
+@query("with " + W + ", " + ASKED.format(tokens("text") + "[1:2]") + ", k as (select query_id, count(*) as need from q where term in (select term from voc) group by 1), " + FOUND.format(" having count(*) = any_value((select need from k where k.query_id = q.query_id))", 5) + " select * from found")
+def search_questions_and(spark, d):
+    return se.search_many(saved_index(spark, d), questions(spark, d, lambda c: F.slice(c, 1, 2)), Operator.AND, 5)
+
+
+@query("with " + W + ", " + ASKED.format(tokens("text")) + ", " + FOUND.format("", 10) + """,
+  rel as (select distinct i.item_id as query_id, l.doc_id from benchmark i join labels l on l.doc_id % 7 = i.item_id % 7 where l.quality = 1),
+  j as (select f.query_id, f.rank, case when rel.doc_id is null then 0 else 1 end as hit from found f left join rel on f.query_id = rel.query_id and f.doc_id = rel.doc_id),
+  g as (select query_id, count(*) as n, sum(hit) as h, avg(hit) filter (rank <= 5) as p5 from j group by 1), a as (select query_id, sum(p) as s from (select query_id, hit, sum(hit) over (partition by query_id order by rank) / rank as p from j) where hit = 1 group by 1),
+  e as (select query_id, coalesce(h / n, 0) as p, coalesce(h, 0) / c as r, coalesce(s, 0) / c as ap, coalesce(p5, 0) as p5 from (select query_id, count(*) as c from rel group by 1) left join g using (query_id) left join a using (query_id))
+  select count(*) as queries, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(case when p + r = 0 then 0 else 2 * p * r / (p + r) end), 6) as f1, round(avg(ap), 6) as map, round(avg(p5), 6) as precision_at_5 from e""")
+def questions_evaluated(spark, d):
+    """Means over all questions; what counts as relevant goes by remainders."""
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id", (F.col("doc_id") % 7).alias("m"))
+    relevant = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("m")).join(good, "m").select("query_id", "doc_id")
+    out = metrics.evaluate(se.search_many(saved_index(spark, d), questions(spark, d), Operator.OR, 10), relevant, (5,))
+    return out.select("queries", *[r(c) for c in out.columns if c != "queries"])
+
+
+def saved_ranked(spark, d) -> rk.Ranked:
+    i = saved_index(spark, d)
+
+    def make(folder: str) -> None:
+        rk.write_ranked(i, folder)
+
+    return rk.Ranked.load(spark, once(spark, "ranked", f"{d}/documents.parquet", make, index, tx, rk, doc_terms))
+
+
+@query("with " + scored(IN_ASK) + " " + RANK.format(n=30))
+def search_pruned_or(spark, d):
+    """Blocks that can't reach the last place aren't read."""
+    return rk.search_ranked(saved_ranked(spark, d), ASK, Operator.OR, 30)[0]
+
+
+@query("with " + scored(IN_ASK, " having count(*) = 3") + " " + RANK.format(n=10))
+def search_pruned_and(spark, d):
+    return rk.search_ranked(saved_ranked(spark, d), ASK, Operator.AND, 10)[0]
+
+
+@query(f"select * from ({_boost_sql()}) where boost > 0")
+def title_grams_boost(spark, d):
+    """The boosts of title_stem_boost, by the index of titles."""
+    stems = se.page_stems(titled(spark, d))
+    return grams.boosts(grams.title_grams(stems), grams.box_words(stems), ["the", "adresa", "example"]).select("doc_id", r("boost"))
+
+
+TAG = "case when right({w}, 1) in ('e', 'n', 's') then 'VERB' when length({w}) % 2 = 0 then 'ADJ' else 'NOUN' end"
+
+
+def _lemma_sql() -> str:
+    words = f"select distinct unnest({tokens('text')}) as word from documents"
+    shared = "coalesce(list_max(list_filter(range(0, least(length(word), length(stem)) + 1), lambda i: left(word, i::int) = left(stem, i::int))), 0)"
+    return f"""with v as ({ending(words, 'stem')}), e as (select word, stem, {TAG.format(w='word')} as pos, {shared}::int as same from v where length(word) % 3 <> 0),
+      x as (select pos, length(word) - same as cut, substr(stem, same + 1) as add, unnest(list_transform(range(length(word) - same, least(5, length(word)) + 1), lambda k: right(word, k::int))) as suffix from e),
+      c as (select suffix, pos, cut, add, count(*) as n from x group by all),
+      b as (select suffix, pos, cut, add, sum(n) over (partition by suffix, pos) as of_pos, sum(n) over (partition by suffix) as of_suffix, row_number() over (partition by suffix, pos order by n desc, cut, add) as i from c),
+      u as (select word, unnest(list_transform(range(0, least(5, length(word)) + 1), lambda k: right(word, k::int))) as suffix from v where length(word) % 3 = 0),
+      m as (select u.word, pos, cut, add, row_number() over (partition by u.word order by length(suffix) desc, of_pos desc, pos) as i from u join b using (suffix) where b.i = 1 and cut <= length(u.word) and (of_suffix >= 2 or suffix = ''))
+      select word, left(word, (length(word) - cut)::int) || add as lemma, pos from m where i = 1"""
+
+
+@query(_lemma_sql())
+def lemma_guesses(spark, d):
+    """Every third length of word is unlisted, and guessed from the endings of the others, whose lemmas are stems."""
+    words = doc_terms(spark, d).select(F.explode("terms").alias("word")).distinct()
+    entries = words.where("length(word) % 3 <> 0").select("word", F.element_at(st.stem_words(F.array("word")), 1).alias("lemma"), F.expr(TAG.format(w="word")).alias("pos"))
+    return guess.guess(words.where("length(word) % 3 = 0"), entries, guess.learn(entries)).select("word", "lemma", "pos")
+
+
+@query(f"""with t as (select len({tokens('text')}) as a, len(list_filter({tokens('text')}, lambda x: x not in ({', '.join(map(repr, STOP))}))) as b, len(list_filter({tokens('text')}, lambda x: x not in ({', '.join(map(repr, STOP))}) and x <> 'with')) as c from documents),
+  s as (select sum(a)::bigint as a, sum(b)::bigint as b, sum(c)::bigint as c from t)
+  select * from (select 'remove_stopwords' as component, a as before, b as after, round(100.0 * (a - b) / a, 6) as percent from s union all select 'lemmatize', b, c, round(100.0 * (b - c) / b, 6) from s)""")
+def component_measures(spark, d):
+    """What each component removes, told while the terms are made."""
+    watch = Observation()
+    out = tx.preprocess(table(spark, d, "documents"), ["tokenize", "remove_stopwords", "lemmatize"], STOP, tx.dictionary({"with": ("with", "ADP")}), watch=watch)
+    out.select("doc_id", "terms").write.format("noop").mode("overwrite").save()
+    rows = tx.reductions(watch.get)
+    return spark.createDataFrame([(*x[:3], round(x[3], 6)) for x in rows], "component string, before long, after long, percent double")

@@ -3,18 +3,20 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvina.config import Config, load_config
 from corvina.engine import Engine, FieldEngine, answer
 from corvina.engine import main as engine_main
-from corvina.functions.text import preprocess
+from corvina.functions.text import dictionary, preprocess
 from corvina.operators import fielded, index, metrics
 from corvina.operators.index import Index, build_index, vectors
 from corvina.operators.search import boost, candidates, cosine, dot_product, search
+from corvina.operators.segments import Segments
 from corvina.plans.args import Operator
 from corvina.operators.parse import parse_pages
-from corvina.sources.dump import read_dump_raw, read_or_empty
-from corvina.sources.sinks import CACHE, not_cached, write_parts
+from corvina.sources.dump import read_dump_raw, read_lemmas, read_or_empty
+from corvina.sources.sinks import CACHE, append_terms, made_by, not_cached, with_key, write_parts
 from corvina.streaming.incremental import preprocess_batch, preprocess_stream
 
 from test_parse import DUMP
@@ -30,10 +32,8 @@ def corpus(spark):
 
 
 @pytest.fixture(scope="module")
-def built(corpus, spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("index") / "i")
-    build_index(corpus[1]).save(path)
-    return Index.load(spark, path)
+def built(corpus):
+    return build_index(corpus[1])
 
 
 def weights(docs):
@@ -98,10 +98,13 @@ def test_boosts(spark):
 def test_fielded(spark, tmp_path):
     schema = "doc_id long, title string, infobox struct<name:string,properties:map<string,string>>, terms array<string>"
     pages = spark.createDataFrame([(1, "Rusko dnes", ("štát", {"mesto": "moskva"}), ["rusko", "rusko"]), (2, "Iné", None, ["rusko", "more"]), (3, "Rusko", None, ["more"])], schema)
-    assert fielded.build_field_index(fielded.field_terms(pages.where("doc_id < 3"))).save(str(tmp_path)) == 2
-    assert fielded.build_field_index(fielded.field_terms(pages)).save(str(tmp_path)) == 1  # the others are there
-    assert fielded.build_field_index(fielded.field_terms(pages)).save(str(tmp_path)) == 0
-    i = fielded.FieldIndex.load(spark, str(tmp_path))
+    store = Segments(spark, str(tmp_path))
+    for some, n in ((pages.where("doc_id < 3"), 2), (pages, 1), (pages, 0)):  # what is there stays
+        new = store.lacking(some)
+        assert new.count() == n
+        store.append(fielded.field_terms(new))
+    store.publish(norms=False)
+    i = store.field_index()
     assert {r.field: (r.n_docs, r.avgdl) for r in i.fields.collect()}["terms"] == (3, pytest.approx(5 / 3))
     got = fielded.field_search(i, fielded.clauses(["rusko", "moskva"], ["rusko"])).collect()
     assert [r.doc_id for r in got] == [1, 2]  # 3 has no such term in its text
@@ -121,12 +124,12 @@ def test_preprocessing_goes_on(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"t{i}", f"Word{i} and the") for i in range(4)], "doc_id long, title string, text string")
     store, steps = str(tmp_path / "store"), ["tokenize", "remove_stopwords"]
     preprocess_batch(pages.where("doc_id < 2"), store, steps, ["the"])
-    assert sorted(r.doc_id for r in not_cached(pages, store).collect()) == [2, 3]
+    assert sorted(r.doc_id for r in not_cached(with_key(pages, made_by(steps, ["the"])), store).collect()) == [2, 3]
     pages.write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         preprocess_stream(spark, str(tmp_path / "in"), "doc_id long, title string, text string", store, str(tmp_path / "ck"), steps, ["the"]).awaitTermination()
     rows = read_or_empty(spark, store, CACHE).collect()
-    assert sorted((r.doc_id, r.terms) for r in rows) == [(i, ["word", "and"]) for i in range(4)]
+    assert sorted((r.title, r.terms) for r in rows) == [(f"t{i}", ["word", "and"]) for i in range(4)]
     assert read_or_empty(spark, str(tmp_path / "none"), CACHE).count() == 0
 
 
@@ -158,7 +161,9 @@ def test_engine_resumes_and_reads_old_keys(spark, tmp_path):
     (tmp_path / "lemmas.tsv").write_text("rusku\trusko\tPROPN\nmoskva\tmoskva\tNOUN\ntext\tslovo\tNOUN\n")
     (tmp_path / "conf.json").write_text(json.dumps({"inverted_index_path": str(tmp_path / "i"), "sk_wikipedia_dump_path": str(tmp_path / "d.xml"), "already_processed_path": str(tmp_path / "done"), "lemmas_path": str(tmp_path / "lemmas.tsv"), "preprocessor_components": ["tokenize", "lemmatize", "document_saver"]}))
     conf = load_config(str(tmp_path / "conf.json"))
-    spark.createDataFrame([(2, "Prázdna", ["kept"])], CACHE).write.parquet(conf.already_processed_path)  # made before
+    how = made_by(conf.preprocessor_components, (), dictionary(read_lemmas(spark, conf.lemmas_path)))
+    made = with_key(spark.createDataFrame([("Prázdna", "")], "title string, text string"), how)
+    append_terms(made.withColumn("terms", F.array(F.lit("kept"))), conf.already_processed_path)  # made before
     engine = Engine.build(spark, conf)
     assert {r.term for r in engine.index.lookup("kept").collect()} == {"kept"} and engine.index.lookup("slovo").count() == 1 and engine.index.lookup("rusku").count() == 0
     assert spark.read.parquet(conf.already_processed_path).count() == 3
