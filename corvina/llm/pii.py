@@ -3,7 +3,7 @@
 DataFrame functions only, in three readings of a table that has no texts.
 
 * Candidates, found where the text is (one scan, no shuffle): matches of the four base rules, numbers and addresses that look like them (an address with
-  spelled-out signs, a telephone number without a country code), and values after words such as ``token``. Offsets are code points: the text is
+  spelled-out signs, a telephone number without a country code after a word for telephones), and values after words such as ``token``. Offsets are code points: the text is
   split at the matches, and lengths are summed in blocks, so that time grows with the number of matches and not with its square. Patterns are possessive and
   tied to the ends of runs, so a long run of one class is read once.
 * Labelers vote yes (1), no (-1) or nothing (0): the base rule and its checks; a gazetteer of words that stand before (``CUES``, ``COUNTER``); a
@@ -91,16 +91,21 @@ SOURCES = [
     ("card", CARD, "true", f"length({digits('c.what')}) between 13 and 19", luhn(digits("c.what"))),
     ("phone", PHONE, "contains(t, '+')", "true", f"length({digits('c.what')}) between 9 and 15"),
     ("email", SPELLED, "t rlike '(?i)at[)\\\\]}]'", "true", None),
-    ("phone", NATIONAL, "true", "true", None),
+    ("phone", NATIONAL, "true", "after_cue", None),
     ("secret", SECRET, "contains(t, '=') or contains(t, ':')", "true", None),
 ]
 
 
+def after_cue(c: str, kind: str) -> str:
+    """SQL: whether a word that speaks for the kind stands just before."""
+    return f"rlike({c}.left, '(?i)(^|[^a-z])({CUES[kind]})[^a-z0-9]{{0,4}}([a-z]{{1,3}}[^a-z0-9]{{1,3}})?$')"
+
+
 def candidates() -> Column:
     """Of the column text: an array of kind, base (true or false by a base rule's checks, null for none), what, left, right, start, stop, in the order of SOURCES."""
     each = []
     for kind, pattern, guard, wanted, base in SOURCES:
-        found = f"filter({matches(pattern, guard)}, c -> {wanted})"
+        found = f"filter({matches(pattern, guard)}, c -> {after_cue('c', kind) if wanted == 'after_cue' else wanted})"
         if kind == "secret":  # the value alone
             found = f"transform({found}, c -> transform(array(regexp_extract(c.what, '{VALUE}', 0)), v -> struct(v as what, concat(c.left, left(c.what, length(c.what) - length(v))) as left, c.right as right, c.stop - length(v) as start, c.stop as stop))[0])"
         each.append(f"transform({found}, c -> struct('{kind}' as kind, {base or 'cast(null as boolean)'} as base, c.what as what, c.left as left, c.right as right, c.start as start, c.stop as stop))")
@@ -109,7 +114,7 @@ def candidates() -> Column:
 
 def votes(c: str) -> str:
     """SQL: the five labelers' votes on the candidate ``c``."""
-    cue = " ".join(f"when '{k}' then rlike({c}.left, '(?i)(^|[^a-z])({w})[^a-z0-9]{{0,4}}([a-z]{{1,3}}[^a-z0-9]{{1,3}})?$')" for k, w in CUES.items())
+    cue = " ".join(f"when '{k}' then {after_cue(c, k)}" for k in CUES)
     counter = f"rlike({c}.left, '(?i)(^|[^a-z])({COUNTER})[^a-z0-9]{{0,4}}$')"
     form = f"""case {c}.kind
       when 'email' then rlike({c}.what, '(?i)[.)\\\\]}}] ?({DOMAINS})$')
