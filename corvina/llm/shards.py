@@ -12,7 +12,10 @@ there, so of two writers one wins and the other raises ``Conflict`` and may retr
 next, nothing between; runs of a failed job are in no manifest. ``vacuum`` removes runs that no kept version lists.
 
 Defined cases: null and very long values and repeated rows are kept as they are; an empty arrival adds an empty run, which
-the next compaction drops, unless all runs are empty: one of them stays as the columns' bearer; a store without versions reads as version 0 and can't be read as a table; columns are the caller's.
+the next compaction drops, unless all runs are empty: one of them stays as the columns' bearer; a store without versions reads as version 0 and can't be read as a table.
+Columns are the caller's, whatever they are called. Arrivals may have different ones: the manifest holds each run's schema, a run is read by its own, and a table has the
+columns of all its runs (null where a run has none), so nothing is lost in a merge; the columns are compared before it commits. A column of another type than
+before is refused when it arrives. Names that differ in case alone are one column.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvina.llm._base import filesystem, remove
 
@@ -42,6 +46,11 @@ class Run:
     rows: int
     bytes: int
     made_of: tuple[str, ...] = ()
+    schema: str = ""  # as JSON
+
+
+def fields(schema: str) -> dict[str, T.DataType]:
+    return {f.name.lower(): f.dataType for f in T.StructType.fromJson(json.loads(schema)).fields} if schema else {}
 
 
 class ShardStore:
@@ -86,30 +95,39 @@ class ShardStore:
 
     # --- data
 
-    def _written(self, names: list[str], made_of: tuple[str, ...] = ()) -> list[Run]:
+    def _written(self, names: list[str], schema: str, made_of: tuple[str, ...] = ()) -> list[Run]:
         """The runs of these folders, their rows counted by one scan (of footers; one row a run comes back)."""
         size = {}
         for name in names:
             fs, p = filesystem(self.spark, f"{self.path}/runs/{name}")
             size[name] = fs.getContentSummary(p).getLength() if fs.exists(p) else 0
         there = [n for n in names if size[n]]
-        rows = {r[0]: r[1] for r in self._of(there).groupBy(run_name().alias("_run")).count().collect()} if there else {}
-        return [Run(n, rows.get(n, 0), size[n], made_of) for n in names]
+        rows = {r[0]: r[1] for r in self._scan(there, schema).groupBy(run_name().alias("run")).count().collect()} if there else {}
+        return [Run(n, rows.get(n, 0), size[n], made_of, schema) for n in names]
 
     def append(self, df: DataFrame, arrival: str | None = None) -> int:
-        """Commit the rows as new small shards: one run, or one for each value of the column ``arrival``, which isn't kept."""
-        batch = uuid.uuid4().hex[:12]
+        """Commit the rows as new small shards: one run, or one for each value of the column ``arrival``, which isn't kept.
+
+        Raises TypeError if a column is of another type than in the runs that are there.
+        """
+        batch, rows = uuid.uuid4().hex[:12], df if arrival is None else df.drop(arrival)
+        version, runs = self.manifest()
+        schema = rows.schema.json()
+        for r in {r.schema: r for r in runs}.values():
+            for c, kind in fields(r.schema).items():
+                if (new := fields(schema).get(c, kind)).simpleString() != kind.simpleString():
+                    raise TypeError(f"column {c} is {kind.simpleString()} in the store and {new.simpleString()} here")
         if arrival is None:
             df.write.parquet(f"{self.path}/runs/{batch}")
-            new = self._written([batch])
+            names = [batch]
         else:
-            df.withColumnRenamed(arrival, "_arrival").write.partitionBy("_arrival").parquet(f"{self.path}/runs/{batch}")
+            by = f"_arrival_{batch}"  # no column of the caller's
+            df.withColumnRenamed(arrival, by).write.partitionBy(by).parquet(f"{self.path}/runs/{batch}")
             fs, p = filesystem(self.spark, f"{self.path}/runs/{batch}")
-            parts = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
-            new = self._written([f"{batch}/{x}" for x in parts])
-            if not parts:
-                return self.append(df.drop(arrival))
-        version, runs = self.manifest()
+            names = [f"{batch}/{x}" for x in sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())]
+            if not names:
+                return self.append(rows)
+        new = self._written(names, schema)
         return self.commit(version, [*runs, *new])
 
     def tier(self, n: int) -> int:
@@ -143,10 +161,14 @@ class ShardStore:
             size, rows = sum(r.bytes for r in group), sum(r.rows for r in group)
             files = max(1, -(-size // self.target_bytes))
             most = max(1, rows * self.target_bytes * 5 // (size * 4))  # of a file, with a quarter to spare
-            self._of([r.name for r in group]).coalesce(files).write.option("maxRecordsPerFile", most).parquet(f"{self.path}/runs/{name}")
-            new += self._written([name], tuple(r.name for r in group))
-            if new[-1].rows != sum(r.rows for r in group):
-                raise RuntimeError(f"{name} has {new[-1].rows} rows, its runs {sum(r.rows for r in group)}")
+            whole = self._of(group)
+            whole.coalesce(files).write.option("maxRecordsPerFile", most).parquet(f"{self.path}/runs/{name}")
+            new += self._written([name], whole.schema.json(), tuple(r.name for r in group))
+            if new[-1].rows != rows:
+                raise RuntimeError(f"{name} has {new[-1].rows} rows, its runs {rows}")
+            there = fields(self.spark.read.parquet(f"{self.path}/runs/{name}").schema.json())
+            if lost := {c for r in group for c in fields(r.schema)} - there.keys():
+                raise RuntimeError(f"{name} lacks columns of its runs: {sorted(lost)}")
             gone |= {r.name for r in group}
         return self.commit(version, [r for r in runs if r.name not in gone] + new) if gone else version
 
@@ -161,12 +183,31 @@ class ShardStore:
         for v in versions[:-keep]:
             remove(self.spark, f"{self.path}/manifest/{v:010}.json")
 
-    def _of(self, names: list[str]) -> DataFrame:
-        """The rows of these runs, as one scan: partition folders count as plain ones."""
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.path}/runs/{n}" for n in names])
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """A version's rows, and the name of the run that holds each in ``_run``."""
+    def _scan(self, names: list[str], schema: str) -> DataFrame:
+        """The rows of runs of one schema, as one scan: partition folders count as plain ones."""
+        read = self.spark.read.option("recursiveFileLookup", "true")
+        return (read.schema(T.StructType.fromJson(json.loads(schema))) if schema else read).parquet(*[f"{self.path}/runs/{n}" for n in names])
+
+    def _of(self, runs: list[Run], run: str | None = None) -> DataFrame:
+        """The rows of these runs, by name of column; ``run``: a column for the run that holds each row."""
+        by: dict[str, list[str]] = {}
+        for r in runs:
+            by.setdefault(r.schema, []).append(r.name)
+        parts = [self._scan(names, schema) for schema, names in by.items()]
+        if run:
+            if any(run.lower() == c.lower() for p in parts for c in p.columns):
+                raise ValueError(f"the table has a column {run}")
+            parts = [p.withColumn(run, run_name()) for p in parts]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
+
+    def read(self, version: int | None = None, run: str | None = None) -> DataFrame:
+        """A version's rows; ``run``: a column to be added, the name of the run that holds each."""
         _, runs = self.manifest(version)
-        full = [r for r in runs if r.rows] or runs
-        return self._of([r.name for r in full]).withColumn("_run", run_name())
+        if not runs:
+            raise ValueError(f"nothing is stored at {self.path}")
+        full = [r for r in runs if r.rows]
+        empty = {r.schema: r for r in runs if not r.rows and r.schema not in {x.schema for x in full}}
+        return self._of([*full, *empty.values()], run)

@@ -448,6 +448,32 @@ def test_shards(spark, tmp_path):
     assert none.read().columns[:2] == ["doc_id", "text"] and none.read().count() == 0 and len(none.manifest()[1]) == 1
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_shards_of_different_columns(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    kinds = {"id": "long", "x": "string", "y": "double", "_run": "string", "_arrival": "int", "runs": "array<int>"}
+    value = {"long": lambda i: i, "string": lambda i: f"s{i}", "double": lambda i: i / 2, "int": lambda i: -i, "array<int>": lambda i: [i, 1]}
+    store, want = ShardStore(spark, f"file://{tmp_path}/s", fan=2), []
+    for k in range(3):
+        columns = ["id", *rng.sample([c for c in kinds if c != "id"], rng.randint(0, 4))]
+        rows = [tuple(value[kinds[c]](10 * k + i) for c in columns) for i in range(3)]
+        df = spark.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in columns)).coalesce(1)
+        store.append(*((df.withColumn("a", F.col("id") % 2), "a") if seed % 2 else (df,)))
+        want += [dict(zip(columns, r)) for r in rows]
+    every = {c for r in want for c in r}
+    full = sorted(repr(sorted((r | {c: None for c in every - r.keys()}).items())) for r in want)
+    found = lambda: sorted(repr(sorted(r.asDict().items())) for r in store.read().collect())
+    assert found() == full
+    store.compact()
+    store.vacuum()
+    assert found() == full and set(store.read().columns) == every and len(store.manifest()[1]) == 1
+    with pytest.raises(TypeError):
+        store.append(spark.createDataFrame([("1",)], "ID string"))
+    assert store.read(run="of").select("of").distinct().count() == 1
+    with pytest.raises(ValueError):
+        store.read(run="id")
+
+
 def test_plan_merges_like_with_like(spark):
     from corvina.llm.shards import Run
 
