@@ -8,6 +8,7 @@ text; menus, headers, footers, sidebars, notices, adverts and comments, by tag,
 on neither the body nor a wrapper of the page's text, and not at all where they leave nothing); and
 where article and main elements hold at least half of the text outside links, their paths are raised by the edge.
 In an article, words that its own parts may be called by (legal, notice, side and the like) count only as a whole name; an article that is called comment or reply is a comment.
+A name that has a word of its own beside such a word (related-work, social-history, ad-hoc) decides nothing: its element is noise if it has no sentence or more text in links than outside.
 
 The parser takes any text: tags that aren't closed, stray ends, cut pages, comments without an end. It works a page at
 a time in Arrow batches; nothing is shuffled, and time is linear in the page.
@@ -44,6 +45,8 @@ BLOCK = set(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What ends an open paragraph.
 ENDS_P = BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "option", "summary"}
+#: What a new tag may end.
+ENDED = {"p"}.union(*CLOSES.values())
 #: No implied end reaches beyond these.
 SCOPE = set("article aside body button div footer header html main nav section table td th ul ol dl".split())
 ASIDE = set("nav header footer aside form button dialog head menu search figcaption label fieldset".split()) - {"figcaption"}
@@ -58,40 +61,56 @@ NOISE = set(
 WEAK = set("legal notice notices side aside tags form search disclaimer copyright alert header masthead banner discussion response menu overlay toolbar".split())
 #: Whole names of articles that are readers' comments.
 COMMENTS = set("comment comments reply replies".split())
+#: Parts that say nothing about what an element holds.
+PLAIN = set("container box wrapper wrap block slot unit list items item bar area section content inner outer top bottom left right links link buttons button btn icon icons title text panel group row col column head body article articles post posts story stories count toggle close js main page site global".split())
+#: Names that begin so are lists of readers' comments.
+OF_READERS = re.compile(r"(comment|reply|replies|disqus)[a-z]*$")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
-def noisy_parts(names: str, inside: bool) -> set[str]:
-    """The parts of class names and ids that call an element noise."""
-    out: set[str] = set()
+def noisy_names(names: str, inside: bool) -> tuple[bool, bool]:
+    """Whether class names and ids call an element noise, and whether they may: a name that has a word of its own besides (related-work) leaves it to the text."""
+    sure = maybe = False
     for name in names.split():
         parts = set(re.split(r"[_\-]+", name)) - {""}
         hit = parts & NOISE
-        out |= hit - WEAK if inside and parts - NOISE else hit
-    return out - {"header", "masthead"} if inside else out
+        if inside:
+            hit -= {"header", "masthead"} | (WEAK if parts - NOISE else set())
+        if hit and all(x in NOISE or x in PLAIN or x.isdigit() for x in parts) or OF_READERS.match(name):
+            sure = True
+        elif hit:
+            maybe = True
+    return sure, maybe
 
 
 class Node:
     __slots__ = ("block", "linked", "inside", "named", "noise", "path", "text")
 
 
-def named_noise(found: list[Node], parent: list[int], whole: list[bool]) -> None:
+def named_noise(found: list[Node], parent: list[int], whole: list[bool], maybe: list[bool]) -> None:
     """Marks the nodes in elements that their names (or being a form) call noise, unless such an element is a wrapper.
 
-    parent: of each such element the next one around it; whole: whether it has an article or main within. A wrapper is one that has,
-    or that stands outside of those and holds, links aside, more than half of the page's text and four times that of articles elsewhere.
-    If nothing is left, names don't count.
+    parent: of each such element the next one around it; whole: whether it has an article or main within; maybe: whether its text decides. A wrapper is one that has,
+    or that stands outside of those and holds, links aside, more than half of the page's text and four times that of articles elsewhere. An element whose text
+    decides is noise unless it has sentences: a mark of punctuation, and no more text in links than outside. If nothing is left, names don't count.
     """
-    size = [0] * len(parent)
+    size, linked, marks = ([0] * len(parent) for _ in range(3))
     for n in found:
-        size[n.named] += 0 if n.noise or n.linked else len(n.text.strip())
+        if not n.noise:
+            (linked if n.linked else size)[n.named] += len(n.text.strip())
+            if not n.linked and PUNCTUATION.search(n.text):
+                marks[n.named] += 1
     for i in range(len(parent) - 1, 0, -1):
-        size[parent[i]] += size[i]
+        for x in (size, linked, marks):
+            x[parent[i]] += x[i]
         if whole[i] and whole[parent[i]] is False:
             whole[parent[i]] = True
     articles = sum(len(n.text.strip()) for n in found if n.inside and not n.noise and not n.linked and (not n.named or whole[n.named]))
     noisy = [False] * len(parent)
     for i in range(1, len(parent)):
+        if maybe[i]:
+            noisy[i] = noisy[parent[i]] or not whole[i] and (not marks[i] or linked[i] > size[i])
+            continue
         # whole is None: in an article or main, where names always count
         noisy[i] = noisy[parent[i]] or whole[i] is None or not whole[i] and (2 * size[i] <= size[0] or size[i] <= 4 * articles)
     if any(not n.noise and not noisy[n.named] and not n.text.isspace() for n in found):
@@ -105,7 +124,16 @@ def nodes(page: str) -> list[Node]:
     ids: dict[tuple, int] = {}
     # open elements: tag, path, noise, linked, inside an article or main, the next element around that names call noise
     stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, 0)]
-    parent, whole = [0], [False]
+    # how many are open by tag; for each open element, where the last tags that a new one may end stand, up to the border that no implied end crosses
+    count: dict[str, int] = {}
+    near: list[dict[str, int]] = [{}]
+    parent, whole, maybe = [0], [False], [False]
+
+    def cut(to: int) -> None:
+        for x in stack[to:]:
+            count[x[0]] -= 1
+        del stack[to:], near[to:]
+
     block = 0
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
@@ -120,9 +148,11 @@ def nodes(page: str) -> list[Node]:
         if m["end"] or m["end2"]:
             if tag in BLOCK:
                 block += 1
-            if any(x[0] == tag for x in reversed(stack)):
-                while stack.pop()[0] != tag:
-                    pass
+            if count.get(tag):
+                to = len(stack) - 1
+                while stack[to][0] != tag:
+                    to -= 1
+                cut(to)
             continue
         if tag in BLOCK:
             block += 1
@@ -133,13 +163,8 @@ def nodes(page: str) -> list[Node]:
         if tag in VOID:
             continue
         for gone in (CLOSES.get(tag), {"p"} if tag in ENDS_P else None):
-            if gone:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in gone:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
+            if gone and (to := max(near[-1].get(x, 0) for x in gone)):
+                cut(to)
         attrs, names, roles = m["attrs"] or m["attrs2"] or "", "", set()
         if attrs:
             for key, value in NAMES.findall(attrs):
@@ -150,21 +175,26 @@ def nodes(page: str) -> list[Node]:
                     names += " " + value
         _, path, noise, linked, inside, named = stack[-1]
         here = tag in ("article", "main") or "main" in roles or "article" in roles
-        called = noisy_parts(names, inside) if names and tag not in ("html", "body") else set()
+        called, perhaps = noisy_names(names, inside) if names and tag not in ("html", "body") else (False, False)
         said = here and bool(COMMENTS.intersection(names.split()))  # a reader's comment as an article
         here = here and not said
         noise = noise or not here and (tag in ASIDE and tag != "form" and not (tag == "header" and inside) or bool(roles & ROLES))
-        if not here and (called or tag == "form"):
+        if not here and (called or perhaps or tag == "form"):
             parent.append(named)
-            whole.append(None if inside or said else False)
+            sure = called or tag == "form"
+            whole.append(None if sure and (inside or said) else False)
+            maybe.append(not sure)
             named = len(parent) - 1
         elif here and not called and not noise and whole[named] is False:
             whole[named] = True
         key = (path, tag, names)
         stack.append((tag, ids.setdefault(key, len(ids) + 1), noise, linked or tag == "a", inside or here and not noise, named))
+        count[tag] = count.get(tag, 0) + 1
+        last = {} if tag in SCOPE else near[-1]
+        near.append(last | {tag: len(stack) - 1} if tag in ENDED else last)
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
-            stack.pop()
-    named_noise(out, parent, whole)
+            cut(len(stack) - 1)
+    named_noise(out, parent, whole, maybe)
     return out
 
 

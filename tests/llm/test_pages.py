@@ -6,6 +6,7 @@ import hashlib
 import html
 import os
 import random
+import time
 import struct
 
 import numpy as np
@@ -361,3 +362,29 @@ def test_tag_path_ratios_by_the_definition():
         assert h.content_paths(found, 1.0) == want
         cut += want < {n.path for n in found if not n.noise and n.text.strip()}
     assert cut > 100
+
+
+LONG = "<p>" + "A long paragraph of the article, with sentences. And more of it, too. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("part, stays", [
+    (f'<section id="related-work"><h2>Related work</h2>{LONG}</section>', True), (f'<section id="social-history">{LONG}</section>', True), ('<p class="share-price">The share price rose by a tenth.</p>', True),
+    ('<div class="ad-hoc">An ad hoc solution was found, they say.</div>', True), ('<div class="share-buttons"><a href=x>Tweet this, now.</a></div>', False), ('<div class="related-articles"><a>One</a><a>Two</a></div>', False),
+    ('<div class="ad-container">Buy now, cheap!</div>', False), ('<div class="newsletter-signup">Subscribe to our letter. It is free.</div>', False), ('<div class="social-reach"><a>Many, many.</a> ok</div>', False),
+])
+def test_names_with_a_word_of_their_own(part, stays):
+    for around in ("article", "div"):
+        page = lambda x: main_text(f"<html><body><{around}>{LONG}{LONG}{x}{LONG}</{around}></body></html>")  # noqa: B023, E731
+        assert (len(page(part)) > len(page(""))) == stays, around
+
+
+def test_lists_of_comments():
+    page = f'<html><body><article>{LONG}</article><ol class="commentlist"><li>{LONG.replace("article", "reader")}</li><li>I agree, as ever. {LONG}</li></ol></body></html>'
+    assert main_text(page) == main_text(f"<html><body><article>{LONG}</article></body></html>")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</b>" * 100_000, "<h1>x" * 100_000, "<td>" * 100_000, "<p>a<ul><li>b" * 50_000, "<p>" * 100_000 + "<li>" * 100_000])
+def test_time_is_linear_in_the_page(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 8
