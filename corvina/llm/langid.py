@@ -10,7 +10,8 @@ weighs 2 to the minus bits per ``sharp`` bytes, so it doesn't saturate with leng
 
 Only text is looked at. Texts are lower-cased from A to Z and runs of white space count as one space; every byte of every text is scored,
 vectorised over chunks in Arrow batches, without a shuffle. The model's size is bounded by ``sample_bytes`` for each language (at least one
-text, or a stretch of 20,000 characters of it, is learnt of each).
+text, or a stretch of 20,000 characters of it, is learnt of each): grams are found by hash, in 24 bytes each, and cost 4 bytes a language (some 100 MB for ten languages of
+60 letters). A model beyond ``MOST_BYTES`` is refused with an error. Chunks shrink as languages grow in number.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; a byte that no sample has costs the escapes and order -1;
 without any labelled text every prediction is ``und``; rows that repeat are predicted alike; other columns are ignored.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm._bytes import chunks
+from corvina.llm._bytes import chunks, mix
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -52,6 +53,48 @@ def folded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([at, [len(out)]])
 
 
+class Places:
+    """The places, from 1, of sorted distinct codes, and 0 for any other. Few codes are a table by code; else a hash table of 24 bytes a code."""
+
+    DENSE = 1 << 18
+
+    def __init__(self, codes: np.ndarray, size: int):
+        self.codes = np.concatenate([[-1], codes])
+        if size <= self.DENSE:
+            self.bits = None
+            self.table = np.zeros(size, np.int32)
+            self.table[codes] = np.arange(1, len(codes) + 1)
+            return
+        self.bits = np.uint64(64 - max(4, int(4 * len(codes)).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.bits)), np.int32)
+        left, at = np.arange(1, len(codes) + 1), self.first(codes)
+        while len(left):  # of those that meet at a place one stays, the others go on to the next
+            free = np.flatnonzero(self.table[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            stay = np.zeros(len(left), bool)
+            stay[free[one]] = True
+            self.table[at[stay]] = left[stay]
+            left, at = left[~stay], (at[~stay] + 1) & (len(self.table) - 1)
+
+    def first(self, codes: np.ndarray) -> np.ndarray:
+        return (mix(codes.astype(np.uint64)) >> self.bits).astype(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return self.table[codes]
+        at = self.first(codes)
+        found = self.table[at]
+        more = np.flatnonzero((found > 0) & (self.codes[found] != codes))
+        while len(more):
+            at[more] = (at[more] + 1) & (len(self.table) - 1)
+            found[more] = self.table[at[more]]
+            more = more[(found[more] > 0) & (self.codes[found[more]] != codes[more])]
+        return found
+
+    def bytes(self) -> int:
+        return self.codes.nbytes + self.table.nbytes
+
+
 @dataclass
 class Model:
     """langs; for order k: step[k] takes (gram of length k, next byte's class) to a gram of length k + 1 (0: not seen), cost[k] and
@@ -59,11 +102,14 @@ class Model:
 
     langs: list[str]
     classes: np.ndarray
-    step: list[np.ndarray] = field(default_factory=list)
+    step: list[Places] = field(default_factory=list)
     cost: list[np.ndarray] = field(default_factory=list)
     escape: list[np.ndarray] = field(default_factory=list)
     unseen: float = 0.0
 
+    def bytes(self) -> int:
+        return sum(s.bytes() for s in self.step) + sum(x.nbytes for x in (*self.cost, *self.escape))
+
     def code_lengths(self, data: np.ndarray, off: np.ndarray, skip: int = 0) -> np.ndarray:
         """Bits of each row in each language, without those of the first ``skip`` bytes, which are context only. Rows are separated by their leading
         spaces: no context crosses a row."""
@@ -76,9 +122,12 @@ class Model:
             before[1:] = grams[k][:-1]
             if k:
                 before[ordinal < k] = 0
-            g = self.step[k][before * width + c]
-            if k:
-                g[before == 0] = 0
+            if k:  # only what has been seen so far can go on
+                there = np.flatnonzero(before)
+                g = np.zeros(len(c), np.int64)
+                g[there] = self.step[k](before[there] * width + c[there])
+            else:
+                g = self.step[0](c)
             grams.append(g)
         bits = np.zeros((len(c), len(self.langs)))
         todo = np.arange(len(c))
@@ -132,10 +181,9 @@ def fit(samples: dict[str, list[bytes]], order: int = 4) -> Model:
             codes[lang] = code
         every = np.concatenate(list(codes.values()))
         grams = np.unique(every[every >= 0])
-        rows = ((model.step[k - 1].max() if k else 0) + 1) if k else 1
-        step = np.zeros(int(rows) * width, np.int32)
-        step[grams] = np.arange(1, len(grams) + 1)
-        new_ids = {lang: np.where(code >= 0, step[np.maximum(code, 0)], 0) for lang, code in codes.items()}
+        rows = len(model.step[k - 1].codes) if k else 1
+        step = Places(grams, int(rows) * width)
+        new_ids = {lang: np.where(code >= 0, step(np.maximum(code, 0)), 0) for lang, code in codes.items()}
         m = np.stack([np.bincount(new_ids[lang], minlength=len(grams) + 1) for lang in langs], axis=1).astype(float)
         m[0] = 0
         context = np.concatenate([[0], grams // width])
@@ -160,13 +208,19 @@ def fit(samples: dict[str, list[bytes]], order: int = 4) -> Model:
         cost[0] = 0
         model.step.append(step)
         if k == 0:
-            model.cost.append(np.zeros((1, n_langs)))
-        model.cost.append(cost)
-        model.escape.append(escape)
+            model.cost.append(np.zeros((1, n_langs), np.float32))
+        model.cost.append(cost.astype(np.float32))
+        model.escape.append(escape.astype(np.float32))
         ids = new_ids
+        if model.bytes() > MOST_BYTES:
+            raise ValueError(f"the model of {n_langs} languages is larger than {MOST_BYTES} bytes; learn from fewer bytes a language or take a lower order")
     return model
 
 
+#: What a model may take in the driver and in each worker. It grows with the languages and the grams learnt.
+MOST_BYTES = 1 << 30
+
+
 def sample(docs: DataFrame, sample_bytes: int, piece_chars: int = 20_000, seed: int = 0) -> dict[str, list[bytes]]:
     """Texts of each label by the smallest hash of the text, up to ``sample_bytes`` a language, one at least; collected, so bounded.
 
@@ -197,9 +251,9 @@ def predictor(model: Model, sharp: float):
         for batch in batches:
             letters = np.array(batch.column("letters").to_pylist(), bool)
             lang, score = [], []
-            for row, data, off in chunks(batch.column("text"), 1 << 20):
+            for row, data, off in chunks(batch.column("text"), max(1 << 14, (1 << 22) // len(model.langs))):
                 t, at = folded(data, off)
-                bits = model.code_lengths(t, at) if len(at) > 2 or len(t) <= 1 << 21 else model.long_code_length(t)
+                bits = model.code_lengths(t, at) if len(at) > 2 or len(t) <= 1 << 21 else model.long_code_length(t, max(1 << 14, (1 << 22) // len(model.langs)))
                 best = bits.argmin(axis=1)
                 w = np.exp2(-(bits - bits.min(axis=1, keepdims=True)) * sharp / np.diff(at)[:, None])
                 ok = letters[row : row + len(best)]

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -448,6 +449,32 @@ def test_shards(spark, tmp_path):
     assert none.read().columns[:2] == ["doc_id", "text"] and none.read().count() == 0 and len(none.manifest()[1]) == 1
 
 
+def test_models_of_many_languages(monkeypatch):
+    rng, samples = random.Random(1), {}
+    for k in range(10):
+        letters = [chr(0x400 + k * 60 + i) for i in range(60)]
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+        samples[f"l{k}"] = [" ".join(rng.choice(vocabulary) for _ in range(60_000)).encode()[:400_000]]
+    model = langid.fit(samples)
+    assert model.bytes() < 200 << 20
+    text, at = langid.folded(np.frombuffer(b"".join(x[0][:900] for x in samples.values()), np.uint8), np.arange(11) * 900)
+    assert [model.langs[i] for i in model.code_lengths(text, at).argmin(axis=1)] == sorted(samples)
+    monkeypatch.setattr(langid, "MOST_BYTES", 1 << 20)
+    with pytest.raises(ValueError):
+        langid.fit(samples)
+
+
+def test_places():
+    rng = np.random.default_rng(3)
+    for n, size in ((0, 10), (5, 100), (1000, 1 << 18), (0, 1 << 40), (1, 1 << 40), (200_000, 1 << 40)):
+        codes = np.unique(rng.integers(0, size, n))
+        places = langid.Places(codes, size)
+        asked = np.concatenate([codes, rng.integers(0, size, 1000)])
+        want = np.searchsorted(codes, asked) if len(codes) else np.zeros(len(asked), int)
+        hit = np.isin(asked, codes)
+        assert np.array_equal(places(asked), np.where(hit, want + 1, 0))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_shards_of_different_columns(spark, tmp_path, seed):
     rng = random.Random(seed)
