@@ -1,6 +1,6 @@
 """Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosine, connected components.
 
-Vectors are compared only within a label. Equal vectors are one class with a weight (distinct ids counted before the shuffle), so copies
+Vectors are compared only within a label. Equal vectors are one class with a weight (by hashes, distinct ids counted before the shuffle), so copies
 cost nothing. A class's code in a table is the signs of its products with ``bits`` random hyperplanes; classes of one code of a table
 meet in a bucket. There, every pair's cosine is computed in double precision; a pair that meets in several tables counts in the first.
 A bucket sends out, for each vector, the weight of its links, and a spanning forest of its links instead of the pairs themselves.
@@ -14,7 +14,7 @@ A bucket of more than ``block`` classes is dealt out: its classes into blocks by
 still meets exactly once, in groups of bounded size, whatever share of the rows one bucket has.
 
 Defined cases: vectors that are null, empty or all zero, or hold a null or a non-finite component, and rows with a null label or vec_id,
-link with nothing; vectors of different lengths don't link; rows that repeat an id and vector are one vector and each give
+link with nothing; labels of any type are compared as text; vectors of different lengths don't link; rows that repeat an id and vector are one vector and each give
 the row; an empty table gives no rows; other columns are ignored.
 """
 
@@ -125,8 +125,8 @@ def compared(threshold: float):
 
 
 def bits_for(vectors: int) -> int:
-    """So many that chance fills one bucket in sixteen; at most 24."""
-    return min(24, max(8, math.ceil(math.log2(max(vectors, 1))) + 4))
+    """So many that chance fills one bucket in sixteen; at most 30, what a code holds (beyond 67 million vectors a label buckets fill up)."""
+    return min(30, max(8, math.ceil(math.log2(max(vectors, 1))) + 4))
 
 
 def tables_for(threshold: float, bits: int, recall: float) -> int:
@@ -136,12 +136,15 @@ def tables_for(threshold: float, bits: int, recall: float) -> int:
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, recall: float = 0.997, bits: int | None = None, tables: int | None = None, block: int = 1024, group_rows: int = 20_000, seed: int = 1) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
-    valid = v.where(VALID)
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
+    # equal vectors of a label are known by 128 bits of hash, so vectors themselves are no key of a shuffle
+    valid = v.where(VALID).withColumns({"h": F.xxhash64(F.lit(1), "label", "embedding"), "k": F.xxhash64(F.lit(2), "embedding", "label")})
     bits = bits or bits_for(valid.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
     tables = tables or tables_for(threshold, bits, recall)
-    classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("weight"))
-    coded = scratch.save(classes.mapInArrow(signatures(bits, tables, seed), "label long, embedding {}, rep long, weight long, codes array<int>".format(classes.schema["embedding"].dataType.simpleString())))
+    groups = valid.groupBy("h", "k").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("weight"))
+    # the vector of each class, from one of its rows
+    one = valid.withColumnRenamed("vec_id", "rep").join(groups, ["rep", "h", "k"]).groupBy("rep", "h", "k").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.first("weight").alias("weight"))
+    coded = scratch.save(one.mapInArrow(signatures(bits, tables, seed), "rep long, h long, k long, label string, embedding {}, weight long, codes array<int>".format(one.schema["embedding"].dataType.simpleString())))
 
     met = coded.select("rep", "label", F.size("embedding").alias("n"), F.posexplode("codes").alias("t", "code")).select("rep", "t", F.xxhash64("t", "label", "n", "code").alias("bucket"))
     several = scratch.save(met.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", F.expr(f"(c + {block - 1}) div {block}").alias("blocks")))
@@ -149,8 +152,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     # one group a bucket, or one for each two blocks
     dealt = met.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")})
     dealt = scratch.save(dealt.select("rep", "t", "bucket", "blocks", "own", "i", "j"))
-    groups = max(1, -(-n_rows(dealt) // group_rows))
-    sent = dealt.withColumn("g", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.xxhash64("bucket", "i", "j"))).drop("blocks")
+    dealt_to = max(1, -(-n_rows(dealt) // group_rows))
+    sent = dealt.withColumn("g", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(dealt_to))).otherwise(F.xxhash64("bucket", "i", "j"))).drop("blocks")
     sent = sent.join(coded.select("rep", "weight", "embedding", "codes"), "rep")
     found = scratch.save(sent.groupBy("g").applyInArrow(compared(threshold), FOUND))
     scratch.drop(several, dealt)
@@ -159,9 +162,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, threshold: float = 0.9
     linked = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("w"))
     answer = scratch.save(
         coded.join(linked, "rep", "left").join(comp, "rep", "left")
-        .select("label", "embedding", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("h", "k", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     scratch.drop(coded, found)
-    known = valid.join(answer, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = valid.select("vec_id", "h", "k").join(answer, ["h", "k"]).select("vec_id", "n_links", "component_id")
     alone = v.where(f"not coalesce({VALID}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
