@@ -24,7 +24,7 @@ from corvina.operators.segments import Segments, whole_text
 from corvina.plans.args import Operator, parse_args
 from corvina.session import build_session
 from corvina.sources.dump import read_dump_raw, read_dump_xml, read_lemmas, read_parts, read_words
-from corvina.sources.versions import remove
+from corvina.sources.versions import remove, require
 from corvina.streaming.incremental import preprocess_batch
 
 SAVER = "document_saver"
@@ -43,7 +43,7 @@ def question_terms(spark: SparkSession, question: str, config: Config, stop_word
 
 
 def read_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
-    return parse_pages({"raw": read_dump_raw, "xml": read_dump_xml}[source](spark, path))
+    return parse_pages({"raw": read_dump_raw, "xml": read_dump_xml}[source](spark, require(spark, path)))
 
 
 def analysed(pages: DataFrame, config: Config, stop_words: Sequence[str], lemmas: Callable[[], Lemmas]) -> DataFrame:
@@ -152,7 +152,7 @@ class FieldEngine:
         """
         began, root = time.time(), config.index_path
         store = Segments(spark, f"{root}/fields")
-        rows = read_parts(spark, parts).where("title is not null").dropDuplicates()
+        rows = read_parts(spark, require(spark, parts)).where("title is not null").dropDuplicates()
         box = read_infobox_string("infobox")
         pages = rows.select(F.xxhash64(*PARTS_COLUMNS).alias("doc_id"), "title", "raw_text", F.when(box["properties"].isNotNull(), F.struct(box["name"].alias("name"), box["properties"].alias("properties"))).alias("infobox"), F.filter(F.split(F.coalesce("terms", F.lit("")), " "), lambda x: x != "").alias("terms"))
         at, _ = store.latest()

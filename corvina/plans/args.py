@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from enum import Enum
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from corvina.operators.parse import strip
+
 
 class Operator(Enum):
     AND = 1
@@ -35,3 +40,10 @@ def parse_args(args: str | Sequence[str | None], validate: bool = True) -> Query
             counts[name] = int(m[1])
     out = QueryArgs(line.partition("-")[0].strip(), Operator.OR if "-o" in line else Operator.AND, **counts)
     return out.validate() if validate else out
+
+
+def parse_lines(line: Column) -> Column:
+    """A struct of query, operator, n, x for a column of lines: what ``parse_args`` reads from each, unvalidated. A null line is empty."""
+    given = F.coalesce(line, F.lit(""))
+    count = lambda flag, default: F.coalesce(F.regexp_extract(given, rf"-{flag} (\d+)", 1).try_cast("int"), F.lit(default))
+    return F.struct(strip(F.substring_index(given, "-", 1)).alias("query"), F.when(given.contains("-o"), "OR").otherwise("AND").alias("operator"), count("n", 10).alias("n"), count("x", 1000).alias("x"))

@@ -17,7 +17,7 @@ from corvina.functions import text as tx
 from corvina.operators import fielded, grams, index, metrics, parse, results, segments
 from corvina.operators import ranked as rk
 from corvina.operators import search as se
-from corvina.plans.args import Operator, parse_args
+from corvina.plans.args import Operator, parse_lines
 from corvina.session import kept, shared_folder
 from corvina.sources.dump import parse_page_xml, read_dump_raw, read_dump_xml, read_parts
 from corvina.sources.sinks import append_terms, made_by, not_cached, with_key, write_parts
@@ -457,13 +457,16 @@ def result_listing(spark, d):
 
 
 def dump_of(spark, d) -> str:
-    """A dump with a page for each document by doc_id: one file, as dumps are, written by one task (readers split it)."""
+    """A dump with a page for each document by doc_id, in files of some 200 pages that go on from each other, as dumps of several parts do."""
     docs = table(spark, d, "documents")
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     page = F.concat(F.lit("<page><title>Doc "), F.col("doc_id").cast("string"), F.lit('</title><revision><text xml:space="preserve">'), escaped, F.lit("</text></revision></page>"))
     path = scratch(spark, "dump")
-    ends = spark.createDataFrame([(-(1 << 62), "<mediawiki>"), (1 << 62, "</mediawiki>")], "doc_id long, value string")
-    docs.select("doc_id", page.alias("value")).union(ends).coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(path)
+    part = F.lpad(F.expr("doc_id div 200").cast("string"), 18, "0").alias("part")  # in the order of names
+    pages = docs.select(part, F.col("doc_id").alias("at"), page.alias("value"))
+    for at, value in ((-1, "<mediawiki>"), (1 << 62, "</mediawiki>")):
+        pages = pages.union(docs.select(part).distinct().select("part", F.lit(at).cast("long"), F.lit(value)))
+    pages.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
@@ -516,14 +519,16 @@ def preprocessed_terms(spark, d):
     return out.select("doc_id", F.size("terms").alias("n"), F.md5(F.array_join("terms", " ").cast("binary")).alias("terms"))
 
 
-LINES = ["Kto je prezident USA? -o -n 5 -x 250", "kolko je 5+5?", "Som clovek? -o", "Kto je najlepsi? -n 15", "test -x 250", "test -m 5", "Kde byva elizabeth the second -n -x"]
+FLAGS = ["", " -o", " -n 7", " -x 250 -o -n 3", " -n", " -m 5 -n 12"]
 
 
-@query("""select * from (values (0, 'Kto je prezident USA?', 'OR', 5, 250), (1, 'kolko je 5+5?', 'AND', 10, 1000), (2, 'Som clovek?', 'OR', 10, 1000), (3, 'Kto je najlepsi?', 'AND', 15, 1000),
-  (4, 'test', 'AND', 10, 250), (5, 'test', 'AND', 10, 1000), (6, 'Kde byva elizabeth the second', 'AND', 10, 1000)) as v(line, query, operator, n, x)""")
+@query("""with l as (select item_id, ' ' || regexp_extract(text, '[^-]{0,30}') as q, item_id % 6 as f from benchmark)
+  select item_id as line, regexp_replace(q, '^\\s+|\\s+$', '', 'g') as query, case when f in (1, 3) then 'OR' else 'AND' end as operator, case f when 2 then 7 when 3 then 3 when 5 then 12 else 10 end as n, case f when 3 then 250 else 1000 end as x from l""")
 def query_arguments(spark, d):
-    rows = [(i, a.query, a.boolean_operator.name, a.results_count, a.relevant_documents_count) for i, a in enumerate(map(parse_args, LINES))]
-    return spark.createDataFrame(rows, "line int, query string, operator string, n int, x int")
+    """Lines made of the beginnings of texts and of flags."""
+    flags = F.array(*[F.lit(x) for x in FLAGS])
+    line = F.concat(F.lit(" "), F.regexp_extract("text", "[^-]{0,30}", 0), F.element_at(flags, (F.col("item_id") % 6 + 1).cast("int")))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("line"), parse_lines(line).alias("a")).select("line", "a.*")
 
 
 @query("with " + W + f", m as (select doc_id from tf where term in {IN_ASK} group by doc_id having count(*) = 3), o as (select distinct doc_id from tf where term in {IN_ASK}) select (select count(*) from m) as all_terms, (select count(*) from o) as any_term")

@@ -36,9 +36,41 @@ def read_dump_xml(spark: SparkSession, path: str) -> DataFrame:
     return with_dense_ids(_placed(rows)).select("doc_id", "title", F.coalesce("revision.text.data", F.lit("")).alias("raw_text"))
 
 
+def cut_files(spark: SparkSession, path: str, tail: int = 1 << 16) -> list[str]:
+    """Files whose last page may lack its end, by their last bytes: a few thousand files at most, as dumps have."""
+    hadoop = spark._jvm.org.apache.hadoop
+    p = hadoop.fs.Path(path)
+    fs, found = p.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for top in fs.globStatus(p) or []:
+        files = fs.listFiles(top.getPath(), True)
+        while files.hasNext():
+            f = files.next()
+            if f.getPath().getName()[0] in "._":
+                continue
+            stream = fs.open(f.getPath())
+            try:
+                stream.seek(max(0, f.getLen() - tail))
+                end = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+            last = end.rfind(b"</page>")
+            if b"<page" in end[last + 1 :] or last < 0 and f.getLen() > tail:
+                found.append(f.getPath().toString())
+    return found
+
+
 def read_dump_raw(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, title, raw_text with references as they stand. Splits at the pages' ends, so one large file is read by many tasks."""
-    rows = _placed(spark.read.option("lineSep", "</page>").text(path)).where(F.col("value").contains("<page>"))
+    """doc_id, title, raw_text with references as they stand. Splits at the pages' ends, so one large file is read by many tasks.
+
+    A last page that is cut off before its end is left out.
+    """
+    every = _placed(spark.read.option("lineSep", "</page>").text(path))
+    if cut := cut_files(spark, path):  # what follows the last end in such a file is no page
+        names = [spark._jvm.org.apache.hadoop.fs.Path(c).getName() for c in cut]
+        every = every.withColumn("_mid", F.monotonically_increasing_id())
+        last = every.where(F.element_at(F.split("_file", "/"), -1).isin(names)).groupBy("_file").agg(F.max_by("_mid", F.struct("_block", "_mid")).alias("_mid"))
+        every = every.join(F.broadcast(last.select("_mid")), "_mid", "left_anti").drop("_mid")  # a row a file
+    rows = every.where(F.col("value").contains("<page>"))
     page = F.regexp_extract("value", r"(?s)<page>(.*)$", 1)
     return with_dense_ids(rows.withColumn("value", page)).select(
         "doc_id", F.regexp_extract("value", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("value", r"(?s)<text.*?>(.*?)</text>", 1).alias("raw_text")

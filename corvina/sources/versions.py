@@ -18,9 +18,14 @@ def filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def require(spark: SparkSession, path: str | None) -> str:
+    """The path (or pattern), if it is given and there."""
+    if path is None:
+        raise ValueError("no path is given")
     fs, p = filesystem(spark, path)
-    return fs.exists(p)
+    if not fs.globStatus(p):
+        raise FileNotFoundError(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from corvina.plans.args import Operator, QueryArgs, parse_args
+from corvina.plans.args import Operator, QueryArgs, parse_args, parse_lines
 
 PANGRAM = "Nezvyčajné kŕdle šťastných figliarskych vtákov učia pri kótovanom Váhu"
 
@@ -29,3 +30,12 @@ def test_hyphen_ends_the_question_and_empty_is_refused():
     assert parse_args("česko-slovensko").query == "česko"
     with pytest.raises(ValueError):
         parse_args("-n 5")
+
+
+def test_lines_of_a_table(spark):
+    lines = ["Kto je prezident USA? -o -n 5 -x 250", "  test  ", "a-b -n 3", "-o", "", None, "test -n 99999999999999", "x -x 7 -x 8 -nn 4"]
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", parse_lines(F.col("line")).alias("a")).orderBy("i").collect()
+    for line, r in zip(lines, got):
+        a = parse_args(line or "", validate=False)
+        n = 10 if "9999" in (line or "") else a.results_count  # too large for an int: the default
+        assert (r.a.query, r.a.operator, r.a.n, r.a.x) == (a.query, a.boolean_operator.name, n, a.relevant_documents_count)

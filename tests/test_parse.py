@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from corvina.operators import parse
 from corvina.operators.results import formatted, infobox_details, load_results
 from corvina.sources import dump, sinks
@@ -84,3 +86,16 @@ def test_results(spark):
 def test_terms_csv(spark, tmp_path):
     (tmp_path / "c.csv").write_text("""doc_id,title,terms\n1,"A, b","['x', 'it''s', ""y'z""]"\n2,C,[]\n""")
     assert {r.doc_id: (r.title, r.terms) for r in dump.read_terms_csv(spark, str(tmp_path / "c.csv")).collect()} == {1: ("A, b", ["x", "its", "y'z"]), 2: ("C", [])}
+
+
+@pytest.mark.parametrize("end, titles", [("", ["Cut"]), ("</revision></page>", []), ("</revision></page>\n</mediawiki>\n", []), ("</revision>\n</mediawiki>", ["Cut"])])
+def test_a_page_that_is_cut_off_is_no_page(spark, tmp_path, end, titles):
+    body = "".join(f"<page><title>P{i}</title><revision><text>t{i}</text></revision></page>\n" for i in range(3))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.xml").write_text("<mediawiki>" + body + "<page><title>Cut</title><revision><text>x</text>" + end)
+    (tmp_path / "d" / "b.xml").write_text(body.replace("P", "Q"))
+    got = [(r.doc_id, r.title) for r in dump.read_dump_raw(spark, str(tmp_path / "d")).orderBy("doc_id").collect()]
+    whole = ["P0", "P1", "P2"] + ([] if titles else ["Cut"]) + ["Q0", "Q1", "Q2"]
+    assert got == list(enumerate(whole))
+    found = dump.cut_files(spark, str(tmp_path / "d"), tail=60)
+    assert all(f.endswith("a.xml") for f in found) and bool(titles) <= bool(found)
