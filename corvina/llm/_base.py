@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.session import shared_folder as shared_root
@@ -22,15 +22,18 @@ def words(text: Column) -> Column:
 class Scratch:
     """Tables written to the shared folder. They cut lineage: a lost executor costs a reread, not a recomputation."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", 0
+    def __init__(self, spark: SparkSession, name: str, counted: bool = False):
+        """counted: rows are counted as they are written, so that asking for their number takes no job; for operators that ask often."""
+        self.spark, self.root, self.n, self.counted = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", 0, counted
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        path, seen = f"{self.root}/{self.n}", Observation()
+        (df.observe(seen, F.count(F.lit(1)).alias("rows")) if self.counted else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._corvina_path = path
+        if self.counted:
+            out._corvina_rows = seen.get["rows"]
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -57,7 +60,7 @@ BROADCAST_BYTES = 12 << 20
 
 
 def n_rows(df: DataFrame) -> int:
-    """The number of rows, counted once."""
+    """The number of rows: of a written table known, of another counted once."""
     if getattr(df, "_corvina_rows", None) is None:
         df._corvina_rows = df.count()
     return df._corvina_rows

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm._base import Scratch, hint, small
+from corvina.llm._base import Scratch, hint, n_rows, small
 from corvina.llm._bytes import mix, shingle_sets
 from corvina.llm.components import components
 
@@ -224,7 +224,7 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
 
     head = named(docs.where("doc_id is not null").mapInArrow(prefixes(k, heat, percent), PREFIX).where("n > 0"), own)
     prefix = scratch.save(head.join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti"))
-    if not twice.isEmpty():
+    if n_rows(twice):
         near, again = hint(twice), prefix
         once = again.join(near(twice), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
         prefix = scratch.save(again.join(near(twice), ["doc_id", *key], "left_anti").unionByName(once))
@@ -242,7 +242,7 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
     index = scratch.save(whole.select("*", F.col("doc_id").alias("comp")))
     while True:
         alive = scratch.save(index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
-        if alive.isEmpty():
+        if not n_rows(alive):
             scratch.drop(alive, index)
             break
         held = index.join(hint(alive)(alive), "token")
@@ -252,8 +252,8 @@ def linked(docs: DataFrame, scratch: Scratch, k: int, percent: int, buckets: int
         lead = scratch.save(first_of.select("token", F.col("l.doc_id").alias("a"), F.col("l.n").alias("an"), F.col("l.pos").alias("apos"), F.col("l.comp").alias("acomp")))
         met = meetings(lead, held, percent, hint(lead)).where("acomp <> comp and a <> doc_id")
         pairs = scratch.save(possible(met.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), bits, percent))
-        new = None if pairs.isEmpty() else verified(pairs, docs, scratch, k, percent, own)
-        if new is not None and not new.isEmpty():
+        new = None if not n_rows(pairs) else verified(pairs, docs, scratch, k, percent, own)
+        if new is not None and n_rows(new):
             before, gone = comp, [new, *([] if found is None else [found])]
             found = scratch.save(new if found is None else found.union(new))
             comp = scratch.save(components(found, scratch))
@@ -405,6 +405,8 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
     """rep, n_links of each document of its class: for representatives that have links or copies."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sizes = scratch.save(at.copies.groupBy("rep").agg((F.count("*") + 1).alias("size")))
+    if not n_rows(at.found):  # only copies link
+        return scratch.save(sizes.select("rep", (F.col("size") - 1).alias("n_links")))
     comp = at.comp.select(F.col("id").alias("doc_id"), "component")
     comp = scratch.save(comp.union(comp.select("component", "component").distinct()))
     held = at.index.join(hint(comp)(comp), "doc_id").groupBy("token", "component").agg(F.count("*").alias("c"))
@@ -417,7 +419,7 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
     near = hint(member)
     pairs = at.found.join(near(member.where("m = 2").select(F.col("doc_id").alias("a"))), "a", "left_semi").select("a", "b").distinct()
     loose = scratch.save(at.index.join(near(member.where("m > 2 and not dense").select("doc_id", "component")), "doc_id"))
-    if not loose.isEmpty():
+    if n_rows(loose):
         one = loose.select("token", "component", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"))
         pair = meetings(one, loose, percent, on=("token", "component")).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
         pairs = pairs.union(verified(scratch.save(possible(pair, at.bits, percent)), docs, scratch, k, percent, at.own))
@@ -427,15 +429,17 @@ def link_counts(docs: DataFrame, scratch: Scratch, at: Linked, k: int, percent:
 
     # derived from the pivot: cell by cell, and in blocks what that leaves open
     dense = scratch.save(member.where("dense").select("doc_id", "component", "size", "m"))
-    sets = derived(docs, scratch, dense, at.own, k)
-    cell = cells(sets, scratch, percent)
-    known = sets.join(hint(cell)(cell), ["component", "cd", "ca"])
-    counts.append(known.select("doc_id", F.expr("w - if(itself, size, 0)").alias("links")))
-    undecided = scratch.save(known.where("open").select("doc_id", "component", "size", "p", "n", "d", "change", *CELL))
-    blocks = scratch.save(undecided.groupBy("component").agg(F.count("*").alias("u")).select("component", F.expr(f"(u + {block - 1}) div {block}").alias("blocks")))
-    each = undecided.join(hint(blocks)(blocks), "component").withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    each = each.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
-    counts.append(each.groupBy("component", "lo", "hi").applyInArrow(compared(percent), "doc_id long, links long"))
+    if n_rows(dense):
+        sets = derived(docs, scratch, dense, at.own, k)
+        cell = cells(sets, scratch, percent)
+        known = sets.join(hint(cell)(cell), ["component", "cd", "ca"])
+        counts.append(known.select("doc_id", F.expr("w - if(itself, size, 0)").alias("links")))
+        undecided = scratch.save(known.where("open").select("doc_id", "component", "size", "p", "n", "d", "change", *CELL))
+        if n_rows(undecided):
+            blocks = scratch.save(undecided.groupBy("component").agg(F.count("*").alias("u")).select("component", F.expr(f"(u + {block - 1}) div {block}").alias("blocks")))
+            each = undecided.join(hint(blocks)(blocks), "component").withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            each = each.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
+            counts.append(each.groupBy("component", "lo", "hi").applyInArrow(compared(percent), "doc_id long, links long"))
 
     total = counts[0]
     for c in counts[1:]:

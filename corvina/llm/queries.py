@@ -67,7 +67,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvina.llm._base import Scratch
     from corvina.llm.jaccard import groups
 
-    return groups(table(spark, sf_dir, "documents"), Scratch(spark, "jaccard"), counts=True)
+    return groups(table(spark, sf_dir, "documents"), Scratch(spark, "jaccard", counted=True), counts=True)
 
 
 #: A model file given to the project; another may be named in the environment.
