@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group stays, with all its rows; a null doc_id is in no group and stays; so do texts without words."""
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", counted=True)
     gone = scratch.save(jaccard.groups(docs, scratch).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
