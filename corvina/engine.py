@@ -9,22 +9,22 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.config import Config, load_config, setup_logging
-from corvina.functions.text import Lemmas, dictionary, preprocess, tokenize
+from corvina.functions.text import Lemmas, dictionary, preprocess, reductions, tokenize
 from corvina.operators.fielded import FieldIndex, clauses, field_search, field_terms
 from corvina.operators.grams import TABLES, boosts
 from corvina.operators.index import Index
 from corvina.operators.parse import parse_pages, read_infobox_string
-from corvina.operators.results import formatted, infobox_details, with_titles
+from corvina.operators.results import formatted, infobox_details, load_titles, title_places, with_titles
 from corvina.operators.search import match_count, search, search_many, with_stems
 from corvina.operators.segments import Segments, whole_text
 from corvina.plans.args import Operator, parse_args
 from corvina.session import build_session
 from corvina.sources.dump import read_dump_raw, read_dump_xml, read_lemmas, read_parts, read_words
-from corvina.sources.versions import remove, require
+from corvina.sources.versions import Versions, remove, require
 from corvina.streaming.incremental import preprocess_batch
 
 SAVER = "document_saver"
@@ -46,12 +46,31 @@ def read_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
     return parse_pages({"raw": read_dump_raw, "xml": read_dump_xml}[source](spark, require(spark, path)))
 
 
-def analysed(pages: DataFrame, config: Config, stop_words: Sequence[str], lemmas: Callable[[], Lemmas]) -> DataFrame:
-    """doc_id, field, words of pages, by the configuration's components."""
+def analysed(pages: DataFrame, config: Config, stop_words: Sequence[str], lemmas: Callable[[], Lemmas], watch: Observation | None = None) -> DataFrame:
+    """doc_id, field, words of pages, by the configuration's components. watch: is told what they remove, of the pages that are preprocessed."""
     steps = set(config.preprocessor_components)
     if SAVER in steps:
-        return whole_text(preprocess_batch(pages, config.already_processed_path, steps, stop_words, lemmas, text="raw_text"))
-    return whole_text(preprocess(pages, steps, stop_words, lemmas, text="raw_text"))
+        return whole_text(preprocess_batch(pages, config.already_processed_path, steps, stop_words, lemmas, text="raw_text", watch=watch))
+    return whole_text(preprocess(pages, steps, stop_words, lemmas, text="raw_text", watch=watch))
+
+
+#: Beside the pages: what boosts are looked up in, and where the page of a title is.
+KEPT = {**TABLES, "places": (title_places, ["mark"])}
+
+
+def take_up(store: Segments, pages: DataFrame, config: Config, stop_words: Sequence[str], lemmas: Callable[[], Lemmas], anew: bool) -> None:
+    """Append pages, publish, and keep what the components removed and how long it took as the next of the measures."""
+    began, watch = time.time(), Observation()
+    store.append(lambda stored: analysed(stored, config, stop_words, lemmas, watch), with_stems(pages), anew=anew, tables=KEPT)
+    if not anew:
+        store.merge()
+    store.publish()
+    store.vacuum(keep=2)  # readers of the version before may still be at work
+    seen = watch.get
+    told = {"pages": seen["rows"], "seconds": round(time.time() - began, 3), "components": [dict(zip(("component", "before", "after", "percent"), x)) for x in reductions(seen)]}
+    log = Versions(store.spark, f"{store.path}/measures")
+    log.commit(max(log.all(), default=0), told)
+    logging.info("%s", told)
 
 
 @dataclass
@@ -63,6 +82,7 @@ class Engine:
     stems: DataFrame
     grams: DataFrame
     boxes: DataFrame
+    places: DataFrame
     stop_words: Sequence[str]
     lemmas: Callable[[], Lemmas]
 
@@ -74,10 +94,7 @@ class Engine:
         leaves the index before as it was.
         """
         lemmas = lemmas or tagger(spark, config)
-        store = Segments(spark, config.index_path)
-        store.append(lambda pages: analysed(pages, config, stop_words, lemmas), with_stems(read_pages(spark, config.dump_path, source)), anew=True, tables=TABLES)
-        store.publish()
-        store.vacuum(keep=2)  # readers of the version before may still be at work
+        take_up(Segments(spark, config.index_path), read_pages(spark, config.dump_path, source), config, stop_words, lemmas, anew=True)
         return cls.load(spark, config, stop_words, lemmas)
 
     @classmethod
@@ -101,10 +118,7 @@ class Engine:
         changed = changed.withColumn("doc_id", F.coalesce("old_id", F.col("doc_id") + start)).drop("old_id", "same")
         if complete:
             store.delete(old.select("doc_id").join(both.select(F.col("old_id").alias("doc_id")), "doc_id", "left_anti"))
-        store.append(lambda pages: analysed(pages, config, stop_words, lemmas), with_stems(changed), tables=TABLES)
-        store.merge()
-        store.publish()
-        store.vacuum(keep=2)
+        take_up(store, changed, config, stop_words, lemmas, anew=False)
         remove(spark, draft)
         return cls.load(spark, config, stop_words, lemmas)
 
@@ -113,7 +127,7 @@ class Engine:
         """What was published last."""
         store = Segments(spark, config.index_path)
         pages = store.kept()
-        return cls(spark, config, store.index(), pages.drop("t", "k", "v"), pages.select("doc_id", "t", "k", "v"), store.kept("grams"), store.kept("boxes"), stop_words, lemmas or tagger(spark, config))
+        return cls(spark, config, store.index(), pages.drop("t", "k", "v"), pages.select("doc_id", "t", "k", "v"), store.kept("grams"), store.kept("boxes"), store.kept("places"), stop_words, lemmas or tagger(spark, config))
 
     def query_terms(self, question: str) -> list[str]:
         return question_terms(self.spark, question, self.config, self.stop_words, self.lemmas)
@@ -129,6 +143,15 @@ class Engine:
         found = search_many(self.index, asked, operator, n, stems=self.stems)
         return found.join(self.pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left").select("query_id", "rank", "doc_id", "score", "title", "infobox_title")
 
+    def details(self, titles: Sequence[str]) -> DataFrame:
+        """The stored pages of some titles; only the parts of the files that may hold them are read."""
+        return load_titles(list(titles), self.places, self.pages)
+
+    def measures(self) -> list[dict]:
+        """Of each build and update: pages, seconds, and what each component removed from the pages that were preprocessed."""
+        log = Versions(self.spark, f"{self.config.index_path}/measures")
+        return [log.read(v)[1] for v in log.all()]
+
     def match_count(self, question: str, operator: Operator = Operator.AND, and_mode: str = "strict") -> int:
         return match_count(self.index, self.query_terms(question), operator, and_mode)
 

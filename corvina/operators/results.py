@@ -16,6 +16,20 @@ def with_titles(pages: DataFrame, results: DataFrame) -> DataFrame:
     return found.join(F.broadcast(shown), "doc_id", "left")
 
 
+def title_places(pages: DataFrame) -> DataFrame:
+    """mark (a hash of the title) and doc_id: where the page of a title is, to be kept ranged and sorted by mark."""
+    return pages.where("title is not null").select(F.xxhash64("title").alias("mark"), "doc_id")
+
+
+def load_titles(titles: list[str], places: DataFrame, pages: DataFrame) -> DataFrame:
+    """The stored pages of some titles. Hashes select row groups of the places, and their doc_ids row groups of the pages, which are stored in that order."""
+    if not titles:
+        return pages.where("false")
+    marks = [r[0] for r in places.sparkSession.createDataFrame([(t,) for t in titles], "title string").select(F.xxhash64("title")).collect()]
+    ids = [r[0] for r in places.where(F.col("mark").isin(marks)).select("doc_id").collect()]  # a row a page of these titles
+    return pages.where(F.col("doc_id").isin(ids) & F.col("title").isin(titles))
+
+
 def load_results(results: DataFrame, pages: DataFrame) -> DataFrame:
     """The results (few rows) with their stored pages, by title."""
     return pages.join(F.broadcast(results), "title")

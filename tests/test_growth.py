@@ -1,6 +1,7 @@
 """The index that grows, the cache, many questions at once, pruned searches, the index of titles, guessed lemmas."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,7 @@ def test_pages_that_move_are_found_in_the_store(spark, tmp_path):
     found = lambda q: [r.title for r in engine.search(q).orderBy("rank").collect()]
     assert (found("apple"), found("new"), found("banana"), found("blueberry")) == (["Aaa"], ["New"], [], ["Bbb"])
     assert spark.read.parquet(conf.already_processed_path).count() == 4  # two, the new one, and the changed one
+    assert [m["pages"] for m in engine.measures()] == [2, 2]
 
 
 def test_the_store_knows_how_terms_were_made(spark, tmp_path):
@@ -149,6 +151,11 @@ def test_update_of_an_engine(spark, tmp_path):
     engine = Engine.update(spark, conf)
     found = lambda q, **o: sorted(r.title for r in engine.search(q, **o).collect())
     assert found("pie") == ["Aaa", "Bbb", "Ccc", "Ddd"] and found("banana") == [] and found("blueberry") == ["Bbb"] and found("date") == ["Ddd", "Ddd"]
+    assert sorted((r.title, r.raw_text) for r in engine.details(["Bbb", "Ddd", "none"]).collect()) == [("Bbb", "blueberry pie"), ("Ddd", "another date"), ("Ddd", "date pie")] and engine.details([]).count() == 0
+    plan = engine.details(["Bbb"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and re.search(r"PushedFilters: \[[^]]*doc_id", plan)
+    built, updated = engine.measures()
+    assert built["pages"] == 3 and updated["pages"] == 3 and built["seconds"] > 0 and built["components"] == []
     ids = {r.title: r.doc_id for r in engine.pages.where("title <> 'Ddd'").collect()}
     assert ids == {"Aaa": 0, "Bbb": 1, "Ccc": 2}
     docs = engine.pages.select("doc_id", F.split("raw_text", " ").alias("terms"))
