@@ -22,6 +22,8 @@ class Config:
     stop_words_path: str = "data/stopwords.txt"
     already_processed_path: str = "data/already_parsed"
     lemmas_path: str | None = None
+    #: Whether words that the dictionary doesn't list are lemmatised by the endings of those that it lists.
+    guess_lemmas: bool = False
     preprocessor_components: list[str] = field(default_factory=lambda: list(COMPONENTS))
     workers: int = 4
     verbose: bool = True

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.config import Config, load_config, setup_logging
+from corvina.functions import guess
 from corvina.functions.text import Lemmas, dictionary, preprocess, reductions, tokenize
 from corvina.operators.fielded import FieldIndex, clauses, field_search, field_terms
 from corvina.operators.grams import TABLES, boosts
@@ -32,8 +33,12 @@ PARTS_COLUMNS = ("title", "raw_text", "infobox", "terms")
 
 
 def tagger(spark: SparkSession, config: Config) -> Callable[[], Lemmas]:
-    """The dictionary that the configuration names; without one, every word is its own lemma."""
-    return dictionary(read_lemmas(spark, config.lemmas_path) if config.lemmas_path else {})
+    """The dictionary that the configuration names, and what its endings say of other words, if asked for; without one, every word is its own lemma."""
+    entries = read_lemmas(spark, config.lemmas_path) if config.lemmas_path else {}
+    if not (config.guess_lemmas and entries):
+        return dictionary(entries)
+    listed = spark.read.schema("word string, lemma string, pos string").options(sep="\t", quote="").csv(config.lemmas_path)
+    return guess.tagger(entries, guess.learn(listed))
 
 
 def question_terms(spark: SparkSession, question: str, config: Config, stop_words: Sequence[str], lemmas: Callable[[], Lemmas]) -> list[str]:

@@ -281,6 +281,14 @@ def test_lemmas_of_unlisted_forms(spark):
     assert alone([]) == [] and alone(["peklo"])[0][1] in ("NOUN", "ADJ", "VERB")
 
 
+def test_an_engine_guesses_lemmas(spark, tmp_path):
+    (tmp_path / "lemmas").write_text("".join(f"{a}\t{b}\tNOUN\n" for x in ("žen", "hor", "vod", "rán") for a, b in ((x + "a", x + "a"), (x + "ou", x + "a"), (x + "ami", x + "a"))))
+    conf = Config(index_path=str(tmp_path / "i"), dump_path=dump(tmp_path, "1.xml", [("A", "stenami"), ("B", "iné")]), lemmas_path=str(tmp_path / "lemmas"), guess_lemmas=True, preprocessor_components=["tokenize", "lemmatize"])
+    assert [r.title for r in Engine.build(spark, conf).search("stenou").collect()] == ["A"]
+    conf.guess_lemmas = False
+    assert Engine.build(spark, conf).search("stenou").count() == 0
+
+
 def test_neighbours_decide_a_tag(spark):
     entries = {"the": ("the", "DET"), "to": ("to", "PART"), "walking": ("walk", "VERB"), "talking": ("talk", "VERB"), "building": ("building", "NOUN"), "wedding": ("wedding", "NOUN")}
     listed = spark.createDataFrame([(w, *x) for w, x in entries.items()], "word string, lemma string, pos string")
