@@ -35,6 +35,8 @@ from corvina.llm._base import Scratch
 
 #: Bytes of text that are taken together, unless one text is longer.
 BLOCK = 1 << 20
+#: Blocks that a task puts together with their counts, about.
+BLOCKS = 16
 #: How the byte-level BPE file cuts texts before it merges; a fixed value of that file's ``ByteLevel`` step.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BYTE = 6  # kind of a piece that is a byte
@@ -178,8 +180,10 @@ def align(docs: DataFrame, a_file: str, b_file: str, scratch: Scratch) -> DataFr
     counts = scratch.save(pair_counts(table))
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # at most a row an id of B's vocabulary
     known = counts.join(F.broadcast(highest), "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
+    # a task gets some blocks, however many there are: a block is a large row
+    tasks = max(1, table.count() // BLOCKS)
     asked = table.select("block", F.posexplode("pairs").alias("slot", "pair"))
-    told = asked.join(known, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "count", "best"))).alias("told"))
+    told = asked.join(known, "pair").repartition(tasks, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "count", "best"))).alias("told"))
     told = told.select("block", F.col("told.count").alias("count"), F.col("told.best").alias("best"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,5 +200,5 @@ def align(docs: DataFrame, a_file: str, b_file: str, scratch: Scratch) -> DataFr
                 columns = [column(k) for k in ("doc_id", "n_a", "n_b", "n_groups")]
                 yield pa.RecordBatch.from_arrays([*columns, column("n_groups"), *out, column("groups_sha256")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    whole = table.drop("pairs", "n").join(told, "block", "left")
+    whole = table.drop("pairs", "n").repartition(tasks, "block").join(told, "block", "left")
     return whole.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

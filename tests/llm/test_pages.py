@@ -270,11 +270,11 @@ def test_registered_queries(spark):
 
     sf = "/root/testdata/sf0.001"
     names, sql = entry.queries(), entry.oracle_sql()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     if not os.path.isdir(sf):
         return
     db = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     rows = {t: db.sql(f"select count(*) from {t}").fetchall()[0][0] for t in ("documents", "pages", "embeddings")}
     for n in sorted(x for x in names if x.startswith("op")):
@@ -285,14 +285,14 @@ def test_registered_queries(spark):
             want = db.sql(sql[n])
             assert sorted(want.columns) == columns
             assert sorted(repr([r[c] for c in columns]) for r in made) == sorted(repr([r[want.columns.index(c)] for c in columns]) for r in want.fetchall())
-    assert {"op1_sharding", "op4_embedding_neardup", "op5_line_dedup", "op7_jaccard_join", "op9_warc"} <= sql.keys()
+    assert {"op1_sharding", "op4_embedding_neardup", "op5_line_dedup", "op7_jaccard_join", "op9_warc", "op11_resample"} <= sql.keys()
 
 
 def test_registered_queries_on_empty_tables(spark, tmp_path):
     """No rows, and the columns that the full tables give; the pipeline, too."""
     import __spark_entry__ as entry
 
-    tables = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality long, toxic long", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
+    tables = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality long, toxic long", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int", "benchmark": "item_id long, text string"}
     for t, schema in tables.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     for n, f in entry.queries().items():
@@ -384,23 +384,23 @@ def test_recall_with_production_parameters(spark):
     assert sum(got.values()) / want.sum() > 0.99
 
 
-LONG = "<p>" + "A long paragraph of the article, with sentences. And more of it, too. " * 3 + "</p>"
+WORDY = "<p>" + "A long paragraph of the article, with sentences. And more of it, too. " * 3 + "</p>"
 
 
 @pytest.mark.parametrize("part, stays", [
-    (f'<section id="related-work"><h2>Related work</h2>{LONG}</section>', True), (f'<section id="social-history">{LONG}</section>', True), ('<p class="share-price">The share price rose by a tenth.</p>', True),
+    (f'<section id="related-work"><h2>Related work</h2>{WORDY}</section>', True), (f'<section id="social-history">{WORDY}</section>', True), ('<p class="share-price">The share price rose by a tenth.</p>', True),
     ('<div class="ad-hoc">An ad hoc solution was found, they say.</div>', True), ('<div class="share-buttons"><a href=x>Tweet this, now.</a></div>', False), ('<div class="related-articles"><a>One</a><a>Two</a></div>', False),
     ('<div class="ad-container">Buy now, cheap!</div>', False), ('<div class="newsletter-signup">Subscribe to our letter. It is free.</div>', False), ('<div class="social-reach"><a>Many, many.</a> ok</div>', False),
 ])
 def test_names_with_a_word_of_their_own(part, stays):
     for around in ("article", "div"):
-        page = lambda x: main_text(f"<html><body><{around}>{LONG}{LONG}{x}{LONG}</{around}></body></html>")  # noqa: B023, E731
+        page = lambda x: main_text(f"<html><body><{around}>{WORDY}{WORDY}{x}{WORDY}</{around}></body></html>")  # noqa: B023, E731
         assert (len(page(part)) > len(page(""))) == stays, around
 
 
 def test_lists_of_comments():
-    page = f'<html><body><article>{LONG}</article><ol class="commentlist"><li>{LONG.replace("article", "reader")}</li><li>I agree, as ever. {LONG}</li></ol></body></html>'
-    assert main_text(page) == main_text(f"<html><body><article>{LONG}</article></body></html>")
+    page = f'<html><body><article>{WORDY}</article><ol class="commentlist"><li>{WORDY.replace("article", "reader")}</li><li>I agree, as ever. {WORDY}</li></ol></body></html>'
+    assert main_text(page) == main_text(f"<html><body><article>{WORDY}</article></body></html>")
 
 
 @pytest.mark.parametrize("page", ["<div>" * 100_000 + "</b>" * 100_000, "<h1>x" * 100_000, "<td>" * 100_000, "<p>a<ul><li>b" * 50_000, "<p>" * 100_000 + "<li>" * 100_000])
