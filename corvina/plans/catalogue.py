@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from corvina.config import Config
+from corvina.engine import Engine
 from corvina.functions import guess
 from corvina.functions import stem as st
 from corvina.functions import text as tx
@@ -19,7 +21,7 @@ from corvina.operators import ranked as rk
 from corvina.operators import search as se
 from corvina.plans.args import Operator, parse_lines
 from corvina.session import kept, shared_folder
-from corvina.sources.dump import parse_page_xml, read_dump_raw, read_dump_xml, read_parts
+from corvina.sources.dump import parse_page_xml, read_dump_raw, read_dump_xml, read_parts, read_terms_csv, read_title_files, read_words
 from corvina.sources.sinks import append_terms, made_by, not_cached, with_key, write_parts
 from corvina.streaming.incremental import preprocess_batch
 
@@ -639,3 +641,62 @@ def component_measures(spark, d):
     out.select("doc_id", "terms").write.format("noop").mode("overwrite").save()
     rows = tx.reductions(watch.get)
     return spark.createDataFrame([(*x[:3], round(x[3], 6)) for x in rows], "component string, before long, after long, percent double")
+
+
+def saved_engine(spark, d) -> Engine:
+    """An engine built from a dump of the documents, loaded as a later session would."""
+    conf = Config(preprocessor_components=["tokenize", "remove_stopwords"])
+
+    def make(folder: str) -> None:
+        conf.index_path, conf.dump_path = folder, dump_of(spark, d)
+        Engine.build(spark, conf, STOP, source="xml")
+
+    conf.index_path = once(spark, "engine", f"{d}/documents.parquet", make, index, segments, tx, Engine, dump_of)
+    return Engine.load(spark, conf, STOP)
+
+
+ENGINE = W.replace("from documents", "from numbered").replace("from toks group", f"from toks where term not in ({', '.join(map(repr, STOP))}) group")
+NUMBERED_DOCS = "numbered as (select row_number() over (order by doc_id) - 1 as doc_id, 'Doc ' || doc_id as title, text from documents)"
+
+
+@query(f"with {NUMBERED_DOCS}, {ENGINE}, s as (select doc_id, round(sqrt(sum(w * w) / any_value(norm2)), 9) as score from w join nm using (doc_id) where term in ('tion', 'und', 'that') group by doc_id) "
+       "select row_number() over (order by score desc, doc_id)::int as rank, doc_id, score, title, null::varchar as infobox_title from s join numbered using (doc_id) order by score desc, doc_id limit 12")
+def engine_search(spark, d):
+    """A question to a loaded engine; the stop word in it doesn't count."""
+    return saved_engine(spark, d).search("Und tion, the that?", Operator.OR, 12)
+
+
+@query(f"with {NUMBERED_DOCS}, {ENGINE}, q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({tokens('text')}) as term from benchmark) group by all), " + FOUND.format("", 3) + " select query_id, rank, doc_id, title from found join numbered using (doc_id)")
+def engine_questions(spark, d):
+    """A table of questions to it. Titles give no boost: no question has a part of one."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return saved_engine(spark, d).search_many(asked, Operator.OR, 3).select("query_id", "rank", "doc_id", "title")
+
+
+@query("select 'Diel ' || p_partkey as title, 1::bigint as files from part")
+def title_files(spark, d):
+    """The part file that holds each title, of pages written as parts."""
+    path = scratch(spark, "parts")
+    write_parts(part_pages(spark, d).withColumn("terms", F.array(F.lit("x"))), path, 3)
+    names = {str(x) for x in spark.read.text(path).select(F.col("_metadata.file_name")).distinct().toPandas().iloc[:, 0]}  # three
+    return read_title_files(spark, path).where(F.col("file").isin(sorted(names))).groupBy("title").agg(F.count("file").alias("files"))
+
+
+@query(f"select doc_id, 'Doc ' || doc_id as title, len({tokens('text')})::int as n, md5(array_to_string({tokens('text')}, ' ')) as terms from documents")
+def terms_csv(spark, d):
+    """Terms kept as CSV, written as lists in text, and read back."""
+    path = scratch(spark, "terms")
+    listed = F.concat(F.lit("['"), F.array_join("terms", "', '"), F.lit("']"))
+    rows = doc_terms(spark, d).select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.when(F.size("terms") == 0, "[]").otherwise(listed).alias("terms"))
+    rows.write.options(header=True, quote='"', escape='"').csv(path)
+    return read_terms_csv(spark, path).select("doc_id", "title", F.size("terms").alias("n"), F.md5(F.array_join("terms", " ").cast("binary")).alias("terms"))
+
+
+@query("select lang, count(*) as documents from documents where lang in (select distinct lang from documents where lang is not null order by 1 limit 2) group by lang")
+def words_file(spark, d):
+    """A list of words kept as a file, one a line, blank lines and spaces aside: here two labels, by which documents are counted."""
+    path = scratch(spark, "words")
+    docs = table(spark, d, "documents")
+    first = docs.where("lang is not null").select("lang").distinct().orderBy("lang").limit(2)
+    first.select(F.concat(F.lit("  "), "lang", F.lit(" ")).alias("value")).union(spark.createDataFrame([("",)], "value string")).write.text(path)
+    return docs.where(F.col("lang").isin(read_words(spark, path))).groupBy("lang").agg(F.count("*").alias("documents"))
