@@ -112,12 +112,11 @@ class Engine:
         store = Segments(spark, config.index_path)
         draft = f"{config.index_path}/drafts/{uuid.uuid4().hex}"
         read_pages(spark, config.dump_path, source).write.parquet(draft)
-        pages, old = spark.read.parquet(draft), store.table(store.latest()[0])
-        name = F.coalesce("title", F.lit(""))
-        digest = F.xxhash64("raw_text").alias("mark")
-        known = old.groupBy(name.alias("name")).agg(F.min(F.struct("doc_id", digest)).alias("old"))
-        first = pages.groupBy(name.alias("name")).agg(F.min(F.struct("doc_id", digest)).alias("new"))
-        both = first.join(known, "name").select(F.col("new.doc_id").alias("doc_id"), F.col("old.doc_id").alias("old_id"), (F.col("old.mark") == F.col("new.mark")).alias("same"))
+        # both sides by hashes of their texts: what is stored isn't read again
+        pages, old = spark.read.parquet(draft), store.table(store.latest()[0], "places")
+        by_title = lambda places, name: places.groupBy(F.coalesce("title", F.lit("")).alias("name")).agg(F.min(F.struct("doc_id", "text")).alias(name))
+        both = by_title(title_places(pages), "new").join(by_title(old, "old"), "name")
+        both = both.select(F.col("new.doc_id").alias("doc_id"), F.col("old.doc_id").alias("old_id"), (F.col("old.text") == F.col("new.text")).alias("same"))
         start = (old.agg(F.max("doc_id")).first()[0] or 0) + 1
         changed = pages.join(both, "doc_id", "left").where("same is null or not same")
         changed = changed.withColumn("doc_id", F.coalesce("old_id", F.col("doc_id") + start)).drop("old_id", "same")

@@ -17,8 +17,8 @@ def with_titles(pages: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def title_places(pages: DataFrame) -> DataFrame:
-    """mark (a hash of the title) and doc_id: where the page of a title is, to be kept ranged and sorted by mark."""
-    return pages.where("title is not null").select(F.xxhash64("title").alias("mark"), "doc_id")
+    """mark (a hash of the title), title, doc_id and text (a hash of the text): where the page of a title is, to be kept ranged and sorted by mark."""
+    return pages.select(F.xxhash64("title").alias("mark"), "title", "doc_id", F.xxhash64("raw_text").alias("text"))
 
 
 def load_titles(titles: list[str], places: DataFrame, pages: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def load_titles(titles: list[str], places: DataFrame, pages: DataFrame) -> DataF
     if not titles:
         return pages.where("false")
     marks = [r[0] for r in places.sparkSession.createDataFrame([(t,) for t in titles], "title string").select(F.xxhash64("title")).collect()]
-    ids = [r[0] for r in places.where(F.col("mark").isin(marks)).select("doc_id").collect()]  # a row a page of these titles
-    return pages.where(F.col("doc_id").isin(ids) & F.col("title").isin(titles))
+    ids = [r[0] for r in places.where(F.col("mark").isin(marks) & F.col("title").isin(titles)).select("doc_id").collect()]  # a row a page of these titles
+    return pages.where(F.col("doc_id").isin(ids) if ids else F.lit(False))
 
 
 def load_results(results: DataFrame, pages: DataFrame) -> DataFrame:
