@@ -380,12 +380,23 @@ def grown_search(spark, d):
     return se.search(grown_index(spark, d).index(), ASK, Operator.OR, 20)
 
 
-def _bm25_sql() -> str:
+def _fields_sql() -> str:
+    """CTEs: f (a document's words by field) and po (each word as it is indexed)."""
     fields = {"title": "title", "infobox_name": "host", "infobox_key": "'cesta adresa'", "infobox_value": "path", "terms": "body"}
     words = " union all ".join(f"select doc_id, '{f}' as field, {tokens(c)} as words from p" for f, c in fields.items())
+    return f"""with {TITLED}, f as (select * from ({words}) where len(words) > 0),
+      po as (select field, doc_id, dl, case when field = 'terms' then word else stem end as term from ({ending("select field, doc_id, len(words) as dl, unnest(words) as word from f", "stem")}))"""
+
+
+@query(_fields_sql() + " select field, term, count(distinct doc_id) as df, count(*) as cf from po group by field, term")
+def fields_saved(spark, d):
+    """The stored vocabulary of the field index, which has grown."""
+    return grown_fields(spark, d).field_index().vocab.select("field", "term", "df", "cf")
+
+
+def _bm25_sql() -> str:
     asked = ", ".join(f"('{f}', '{t}', {b}, {int(o == 'must')})" for f, t, o, b in BM25)
-    return f"""with {TITLED}, f as (select * from ({words}) where len(words) > 0), st as (select field, count(*) as n, avg(len(words)) as avgdl from f group by field),
-      po as (select field, doc_id, dl, case when field = 'terms' then word else stem end as term from ({ending("select field, doc_id, len(words) as dl, unnest(words) as word from f", "stem")})), tf as (select field, doc_id, dl, term, count(*) as tf from po group by all),
+    return f"""{_fields_sql()}, st as (select field, count(*) as n, avg(len(words)) as avgdl from f group by field), tf as (select field, doc_id, dl, term, count(*) as tf from po group by all),
       q as (select * from (values {asked}) as v(field, term, boost, must)),
       h as (select *, count(*) over (partition by field, term, must) as df from tf join q using (field, term)),
       s as (select doc_id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)))::double, 6) as score, sum(must) as m from h join st using (field) group by doc_id)
