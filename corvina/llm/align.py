@@ -5,11 +5,12 @@ give tokens of at least one byte whose bytes, joined, are the text. Byte offsets
 the two tokens that end there are linked.
 
 * First pass (Arrow): the texts of a batch are one run of bytes with the documents' offsets. One bincount of all ends of both tokenizers has a 2 where
-  they meet; tokens, links and groups follow from prefix sums over it, and a document's share is the difference at its offsets. A block of some ``BLOCK``
-  bytes becomes one row: its documents' figures, its distinct linked pairs with their counts, and for each link the place of its pair among them.
+  they meet; tokens, links and groups follow from prefix sums over it, and a document's share is the difference at its offsets. Each document of a block of some ``BLOCK``
+  bytes is a row: its figures, and for each of its links the place of the pair among the block's distinct ones, which stand with their counts in the block's first row. No
+  row is larger than its text makes it, so Parquet's readers, which decode some thousand rows at once, hold no more of a table of rows than of its texts.
 * Counts: pairs are summed over all blocks (a block has each once, so no pair is frequent), and each B token's highest count is a maximum over them. Every
-  block's pairs get their counts back by a join, gathered per block (at most as many as the block has links).
-* Second pass (Arrow): blocks meet their counts; the links' figures are summed between the documents' offsets in the same way.
+  block's pairs get their counts back by a join.
+* Second pass (Arrow): a block's documents meet the counts of its pairs; the links' figures are summed between the documents' offsets in the same way.
 
 Texts are encoded once. Nothing that grows with the corpus is sent to all tasks: highest counts go by B's ids, whose number is the vocabulary's.
 
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,19 +137,13 @@ class Aligner:
         return [hashlib.sha256(b"".join(said[x:y].tolist())[1:]).hexdigest() if y > x else "" for x, y in zip((stop - n_a - n_b).tolist(), stop.tolist())]
 
 
-def listed(values, kind: pa.DataType) -> pa.Array:
-    """One row that holds the values as a list."""
-    items = values if isinstance(values, pa.Array) else pa.array(values, kind)
-    return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)
-
-
 def blocks(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """A row a block of documents (see Aligner), and its name. Both files are read by the driver; what the workers get has their size."""
+    """A row a document (see Aligner) and its block's name; pairs and n stand in a block's first row. Both files are read by the driver; what the workers get has their size."""
     with open(a_file, encoding="utf-8") as f:
         a_text = f.read()
     with open(b_file, "rb") as f:
         b_model = f.read()
-    kinds = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "groups_sha256": pa.string(), "pairs": pa.int64(), "n": pa.int64(), "slots": pa.int32()}
+    names = ["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "slots", "pairs", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = None
@@ -160,11 +156,14 @@ def blocks(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
                     part.append(texts[row + len(part)].as_py())
                     size += len(part[-1] or "")
                 got = align(part)
-                columns = [listed(ids.slice(row, len(part)), pa.int64()), *(listed(got[k], kind) for k, kind in kinds.items())]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *columns], names=["block", "doc_id", *kinds])
+                stop = np.concatenate([[0], np.cumsum(got["n_groups"])]).astype(np.int32)
+                slots = pa.ListArray.from_arrays(pa.array(stop), pa.array(got["slots"], pa.int32()))
+                first = [pa.array([got[k], *[None] * (len(part) - 1)], pa.list_(pa.int64())) for k in ("pairs", "n")]
+                columns = [pa.array([uuid.uuid4().hex] * len(part)), ids.slice(row, len(part)), *(pa.array(got[k]) for k in ("n_a", "n_b", "n_groups")), pa.array(got["groups_sha256"], pa.string()), slots, *first]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 row += len(part)
 
-    schema = "block string, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, pairs array<long>, n array<long>, slots array<int>"
+    schema = "block string, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, slots array<int>, pairs array<long>, n array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -180,25 +179,20 @@ def align(docs: DataFrame, a_file: str, b_file: str, scratch: Scratch) -> DataFr
     counts = scratch.save(pair_counts(table))
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # at most a row an id of B's vocabulary
     known = counts.join(F.broadcast(highest), "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
-    # a task gets some blocks, however many there are: a block is a large row
-    tasks = max(1, table.count() // BLOCKS)
+    # a task gets some blocks, however many there are
+    tasks = max(1, table.where("pairs is not null").count() // BLOCKS)
     asked = table.select("block", F.posexplode("pairs").alias("slot", "pair"))
-    told = asked.join(known, "pair").repartition(tasks, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "count", "best"))).alias("told"))
-    told = told.select("block", F.col("told.count").alias("count"), F.col("told.best").alias("best"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                column = lambda k: batch.column(k).slice(i, 1).flatten()  # noqa: B023, E731
-                links = column("n_groups").to_numpy()
-                stop = np.concatenate([[0], np.cumsum(links)])
-                slots, out = column("slots").to_numpy(), []
-                for k in ("best", "count"):
-                    values = column(k).to_numpy(zero_copy_only=False).astype(np.int64)
-                    sums = np.concatenate([[0], np.cumsum(values[slots] if len(slots) else slots)])
-                    out.append(pa.array(np.diff(sums[stop]).astype(np.int64)))
-                columns = [column(k) for k in ("doc_id", "n_a", "n_b", "n_groups")]
-                yield pa.RecordBatch.from_arrays([*columns, column("n_groups"), *out, column("groups_sha256")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    whole = table.drop("pairs", "n").repartition(tasks, "block").join(told, "block", "left")
-    return whole.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    told = asked.join(known, "pair").select(F.col("block").alias("of_block"), "slot", "count", "best")
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        stop = np.concatenate([[0], np.cumsum(block["n_groups"].to_numpy())])
+        links, place, out = pc.list_flatten(block["slots"]).to_numpy(), told["slot"].to_numpy(), {}
+        for k in ("best", "count"):
+            of_pair = np.zeros(len(place), np.int64)
+            of_pair[place] = told[k].to_numpy()
+            out[k] = np.diff(np.concatenate([[0], np.cumsum(of_pair[links])])[stop])
+        columns = [block[k] for k in ("doc_id", "n_a", "n_b", "n_groups")]
+        return pa.Table.from_arrays([*columns, block["n_groups"], pa.array(out["best"]), pa.array(out["count"]), block["groups_sha256"]], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    whole, told = table.drop("pairs", "n").repartition(tasks, "block").groupBy("block"), told.repartition(tasks, "of_block").groupBy("of_block")
+    return whole.cogroup(told).applyInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

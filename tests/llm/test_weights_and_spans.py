@@ -164,6 +164,16 @@ def test_alignment(spark, texts, monkeypatch):
     assert sorted(map(tuple, empty)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
+@needs_files
+def test_rows_of_blocks_are_no_larger_than_texts(spark):
+    """Readers decode thousands of rows at once; what a block's documents share stands in one of them."""
+    rows = [(i, "some words that stand in every text, %d " % i * 20) for i in range(60)]
+    got = align.blocks(frame(spark, rows), A, B).collect()
+    assert sorted(r.doc_id for r in got) == list(range(60))
+    assert all(len(r.slots) == r.n_groups <= len(rows[r.doc_id][1]) for r in got)
+    assert len({r.block for r in got}) == sum(r.pairs is not None for r in got) < 10
+
+
 @needs_files
 def test_the_fast_encoder_is_the_slow_one():
     """Where the file says otherwise, its own library encodes."""
