@@ -1,12 +1,13 @@
 """Quality rules: counts over each whole text, and a hashed n-gram log-likelihood ratio.
 
-The ratio compares two multinomials over hashed 1- and 2-grams of words: the trusted target (labelled rows, a sample of at most
-``target_docs`` of them) and the raw corpus (every n-gram of every document). A document's score is the mean over its n-grams, so
+The ratio compares two multinomials over hashed 1- and 2-grams of words: the trusted target (all labelled rows)
+and the raw corpus (every n-gram of every document). A document's score is the mean over its n-grams, so
 length drops out, and every document is kept or rejected by the same threshold. Unless it is given, the threshold comes from the trusted
-sample alone: the ratio is fitted on a half of it, by hash of doc_id, and the scores of the other half, which the model has not seen, say how
+rows alone: the ratio is fitted on a half of it, by hash of doc_id, and the scores of the other half, which the model has not seen, say how
 low a good text scores: their quantile ``low``, and below it ``slack`` times its distance from the median. DataFrame functions only:
-documents are read for the counts, for the sample's scores and for all scores, and no pass shuffles a text. The model is one row of ``buckets`` numbers, written
-to the shared folder and held by each task.
+documents are read for the counts, for the held half's scores and for all scores, and no pass shuffles a text while the trusted ids
+are few enough to be sent to every executor (``IDS``, and ``BROADCAST_BYTES`` as stored); beyond, texts meet them in a shuffle. The model is one row of ``buckets`` numbers, written
+to the shared folder and held by each task. Quantiles are taken from counts of the scores to ``DIGITS`` digits, whose number doesn't grow with the rows.
 
 Defined cases: a null text has no words and is rejected as too short; repeated rows are judged each by itself; an empty
 table gives no rows; without any trusted row all ratios are 0; with fewer than ``LEAST`` scores to tell a threshold from, only the base
@@ -18,10 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm._base import Scratch
+from corvina.llm._base import BROADCAST_ROWS, Scratch, few
 
 #: Scores that a threshold needs at least.
 LEAST = 20
+#: Digits to which scores are counted for quantiles.
+DIGITS = 4
+#: Trusted ids (a long each) that are sent to every executor.
+IDS = 4 * BROADCAST_ROWS
 #: Everything that is made of a text's words is one expression over w, the words, and k, their hashes, both bound as lambda
 #: variables: no array is copied into a row between the steps. h are the hashes of the windows of three words; what is
 #: left of them are the positions of those that occur twice, then the words that these cover.
@@ -64,15 +69,16 @@ def grams(buckets: int) -> Column:
     return F.expr(f"transform(array(transform({SPLIT}, x -> xxhash64(x))), k -> {GRAMS.format(buckets=buckets)})[0]")
 
 
-def trusted_sample(trusted: DataFrame, target_docs: int) -> DataFrame:
-    """doc_id and half (0 or 1) of the ``target_docs`` ids of the smallest hash, so a rerun takes the same; small enough to be broadcast."""
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    return F.broadcast(ids.withColumn("half", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2))))
+def trusted_sample(trusted: DataFrame, target_docs: int | None = None) -> DataFrame:
+    """doc_id and half (0 or 1) of all ids; ``target_docs``, if a caller wants fewer: those of the smallest hash, so a rerun takes the same."""
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+    ids = ids if target_docs is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
+    return ids.withColumn("half", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)))
 
 
 def log_ratios(docs: DataFrame, target: DataFrame, buckets: int, alpha: float) -> DataFrame:
     """One row, one column: ln p(bucket | target) - ln p(bucket | corpus) for each bucket, from 0. target: doc_id."""
-    seen = docs.select("doc_id", "text").join(F.broadcast(target.select("doc_id", F.lit(1).alias("is_target"))), "doc_id", "left")
+    seen = docs.select("doc_id", "text").join(target.select("doc_id", F.lit(1).alias("is_target")), "doc_id", "left")
     n = seen.select("is_target", F.explode(grams(buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("is_target").alias("hit"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(n, "b", "left").na.fill(0)
     one = full.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "hit"))).alias("m"), F.sum("raw").alias("all_raw"), F.sum("hit").alias("all_hit"))
@@ -89,21 +95,23 @@ def scored(docs: DataFrame, model: DataFrame, buckets: int, carry: tuple[str, ..
 
 
 def own_threshold(docs: DataFrame, held: DataFrame, model: DataFrame, buckets: int, low: float, slack: float) -> DataFrame:
-    """One row, one column: the threshold by the scores of the held (few, broadcast) trusted documents that the base rules let pass."""
-    good = scored(docs.select("doc_id", "text").join(F.broadcast(held.select("doc_id")), "doc_id"), model, buckets, ("doc_id",)).where(f"not base_failed and {MARK} >= 0")
-    one = good.groupBy("doc_id").agg(F.min("score").alias("score"))
-    q = one.agg(F.percentile("score", F.array(F.lit(low), F.lit(0.5))).alias("q"), F.count("*").alias("n"))
+    """One row, one column: the threshold by the scores of the held trusted documents that the base rules let pass."""
+    good = scored(docs.select("doc_id", "text").join(held.select("doc_id"), "doc_id"), model, buckets, ("doc_id",)).where(f"not base_failed and {MARK} >= 0")
+    one = good.groupBy("doc_id").agg(F.round(F.min("score"), DIGITS).alias("score")).groupBy("score").agg(F.count("*").alias("n"))
+    q = one.agg(F.percentile("score", F.array(F.lit(low), F.lit(0.5)), F.col("n")).alias("q"), F.sum("n").alias("n"))
     return q.select(F.when(F.col("n") >= LEAST, F.expr(f"q[0] - {slack}D * (q[1] - q[0])")).otherwise(F.lit(float("-inf"))).alias("threshold"))
 
 
-def quality(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 15, target_docs: int = 10_000, alpha: float = 1.0, threshold: float | None = None, low: float = 0.01, slack: float = 0.75, carry: tuple[str, ...] = ("doc_id",), keep_mark: bool = False) -> DataFrame:
-    """Columns of base_rules and score, kept: not failed, and a score of at least ``threshold`` (of the trusted sample, if it is None)."""
-    scratch, sample = Scratch(docs.sparkSession, "quality"), trusted_sample(trusted, target_docs)
-    model = scratch.save(log_ratios(docs, sample if threshold is not None else sample.where("half = 0"), buckets, alpha))
+def quality(docs: DataFrame, trusted: DataFrame, buckets: int = 1 << 15, target_docs: int | None = None, alpha: float = 1.0, threshold: float | None = None, low: float = 0.01, slack: float = 0.75, carry: tuple[str, ...] = ("doc_id",), keep_mark: bool = False) -> DataFrame:
+    """Columns of base_rules and score, kept: not failed, and a score of at least ``threshold`` (of the trusted rows, if it is None)."""
+    scratch = Scratch(docs.sparkSession, "quality", counted=True)
+    ids = scratch.save(trusted_sample(trusted, target_docs))
+    sent = F.broadcast if few(ids, IDS) else lambda df: df
+    model = scratch.save(log_ratios(docs, sent(ids if threshold is not None else ids.where("half = 0")), buckets, alpha))
     if threshold is not None:
         least = F.lit(threshold)
     else:
-        least = scratch.save(own_threshold(docs, sample.where("half = 1"), model, buckets, low, slack)).scalar()
+        least = scratch.save(own_threshold(docs, sent(ids.where("half = 1")), model, buckets, low, slack)).scalar()
     out = scored(docs, model, buckets, carry)
     return (out if keep_mark else out.drop(MARK)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 

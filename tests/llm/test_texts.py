@@ -311,6 +311,17 @@ def test_quality_threshold_of_the_trusted_sample(spark):
     assert all(r.kept == (r.score >= least) for r in got.values())
 
 
+def test_quality_takes_all_trusted_rows(spark, monkeypatch):
+    """No number of them is left out, of the counts or of the threshold; too many to be sent to all executors give the same."""
+    trusted = spark.range(10_500).withColumnRenamed("id", "doc_id")
+    assert quality.trusted_sample(trusted).count() == 10_500
+    rows = [(i, f"{'x' if i < 10_000 else 'y'}{i % 7}") for i in range(10_500)]
+    got = {r.doc_id: r.score for r in quality.quality(frame(spark, rows), trusted, buckets=512, threshold=0.0).collect()}
+    assert set(got.values()) == {0.0}  # target and corpus are the same texts
+    monkeypatch.setattr(quality, "IDS", 10)
+    assert {r.doc_id: r.score for r in quality.quality(frame(spark, rows), trusted, buckets=512, threshold=0.0).collect()} == got
+
+
 def test_targets():
     t = mixing.targets({"a": 100, "b": 100, "c": 10, None: 100, "": 0}, (3, 1, 2), 1.5, 2.0)
     assert list(sorted(t, key=lambda s: (s is None, s or ""))) == ["", "a", "b", "c", None]
