@@ -6,7 +6,7 @@ import hashlib
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +24,20 @@ CUSTOM_WORDS = {"eý": "eú", "urť": "url", "adries": "adresa"}
 SPACES = r"(?U)[\s\x1C-\x1F]+"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Rows of a batch that are Python's objects at a time; the others stay as Arrow has them.
+AT_ONCE = 128
+
+
+def by_slices(f: Callable, values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """``f`` of each value that isn't null. Spark's batches have 10,000 rows: whole texts and their words are made objects ``AT_ONCE`` rows at a time."""
+    parts = (pa.array([None if x is None else f(x) for x in values.slice(at, AT_ONCE).to_pylist()], kind) for at in range(0, len(values), AT_ONCE))
+    return pa.concat_arrays([pa.array([], kind), *parts])
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for t in texts:
-        yield t.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+        yield by_slices(lambda x: unicodedata.normalize("NFKC", x), t, pa.string())
 
 
 def nfkc(text: Column) -> Column:
@@ -60,11 +70,11 @@ Lemmas = Callable[[list[str]], list[tuple[str, str]]]
 def lemmatize(terms: Column, make: Callable[[], Lemmas], custom: dict[str, str] | None = CUSTOM_WORDS) -> Column:
     """Lemmas of allowed parts of speech. ``make`` builds the tagger once a Python worker: words of a text to (lemma, tag) pairs."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = make()
         for batch in batches:
-            yield batch.map(lambda ws: [lemma for lemma, pos in tagger(list(ws)) if pos in ALLOWED_POS and len(lemma) > 1], na_action="ignore")
+            yield by_slices(lambda ws: [lemma for lemma, pos in tagger(ws) if pos in ALLOWED_POS and len(lemma) > 1], batch, pa.list_(pa.string()))
 
     out = run(terms)
     if custom:

@@ -75,3 +75,25 @@ def test_stem_sql_is_the_function(spark):
     df = spark.createDataFrame([(w,) for w in set(words)], "word string")
     assert all(r.stem == st.stem(r.word) for r in st.with_stem(df).collect())
     assert all(re.fullmatch(r"\w+", unicodedata.normalize("NFC", w)) for w in ends)
+
+
+def test_batches_are_made_objects_in_slices(spark):
+    """Nulls and empty values stay, in order, over the edges of slices; a slice's objects are gone before the next is made."""
+    import weakref
+
+    import pyarrow as pa
+
+    class Word(str):
+        pass
+
+    alive, most = weakref.WeakSet(), 0
+
+    def f(x):
+        nonlocal most
+        alive.add(w := Word(x + "!"))
+        most = max(most, len(alive))
+        return [w]
+
+    values = [None if i % 5 == 0 else f"w{i}" for i in range(1000)]
+    assert tx.by_slices(f, pa.array(values), pa.list_(pa.string())).to_pylist() == [None if v is None else [v + "!"] for v in values]
+    assert most <= 2 * tx.AT_ONCE and len(tx.by_slices(f, pa.array([], pa.string()), pa.string())) == 0
