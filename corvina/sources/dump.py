@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ast
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvina.functions.text import by_slices
+
 PAGE = "title string, revision struct<text:struct<data:string>>"
 PARTS = "title string, raw_text string, infobox string, terms string"
 
@@ -88,9 +90,9 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PARTS).options(header=True, multiLine=True, quote='"', escape='"').csv(path)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _listed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [str(x) for x in ast.literal_eval(t)], na_action="ignore")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _listed(texts: pa.Array) -> pa.Array:
+    return by_slices(lambda t: [str(x) for x in ast.literal_eval(t)], texts, pa.list_(pa.string()))
 
 
 def read_terms_csv(spark: SparkSession, path: str) -> DataFrame:
