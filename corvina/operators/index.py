@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.session import shared_folder
+
 
 def term_frequencies(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """doc_id, term, tf. Occurrences are counted before the shuffle; later steps never see single occurrences again.
@@ -18,6 +21,19 @@ def term_frequencies(docs: DataFrame, terms: str = "terms") -> DataFrame:
     return docs.select("doc_id", F.explode_outer(terms).alias("term")).where("term is not null").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+#: The runs of equal terms in the sorted array s: p are the places where they begin.
+RUNS = """transform(array(sort_array(filter({terms}, x -> x is not null))), s -> if(size(s) = 0, array(), transform(array(
+  filter(sequence(0, size(s) - 1), i -> i = 0 or s[i] <> s[i - 1])), p -> transform(p, (x, j) -> struct(s[x] as term, cast(coalesce(get(p, j + 1), size(s)) - x as bigint) as tf)))[0]))[0]"""
+
+
+def term_counts(docs: DataFrame, terms: str = "terms") -> DataFrame:
+    """As ``term_frequencies``. Where no doc_id is repeated (a job over the ids says so), terms are counted where the text is, and no posting is shuffled: those of a document stay together."""
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return term_frequencies(docs, terms)
+    runs = docs.select("doc_id", F.explode_outer(F.expr(RUNS.format(terms=terms))).alias("t"))
+    return runs.select("doc_id", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")).where("term is not null")
+
+
 def vocabulary(tf: DataFrame) -> DataFrame:
     """term, df, cf."""
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -58,30 +74,44 @@ class Index:
 
 
 def build_index(docs: DataFrame, terms: str = "terms") -> Index:
-    """From doc_id and an array of terms. Documents without terms count in n_docs."""
-    tf = term_frequencies(docs, terms)
+    """From doc_id and an array of terms. Documents without terms count in n_docs. The vocabulary is written to the shared folder; where it is small, postings aren't shuffled for their weights."""
+    tf = term_counts(docs, terms)
     stats = docs.agg(F.count("*").alias("n_docs"))
-    vocab = vocabulary(tf).withColumn("idf", idf_smooth(stats.scalar(), F.col("df")))
-    postings = tf.join(vocab, "term").select("term", "doc_id", "tf", (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"))
+    vocab, path = vocabulary(tf).withColumn("idf", idf_smooth(stats.scalar(), F.col("df"))), f"{shared_folder(docs.sparkSession)}/vocab-{uuid.uuid4().hex}"
+    vocab.write.parquet(path)
+    vocab = docs.sparkSession.read.schema(vocab.schema).parquet(path)
+    postings = tf.join(sent(vocab, "term", "idf"), "term").select("term", "doc_id", "tf", (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"))
     return Index(postings, vocab, document_norms(postings), stats)
 
 
+#: Rows of a written table (a term or an id, and a number) that are sent to every executor.
+FEW_TERMS, FEW_IDS = 500_000, 4_000_000
+
+
+def sent(table: DataFrame, *columns: str, most: int | None = None) -> DataFrame:
+    """These columns of a written table, with a hint to broadcast them if it has few rows."""
+    return F.broadcast(table.select(*columns)) if table.count() <= (most or FEW_TERMS) else table.select(*columns)
+
+
 #: A term of more documents is hot: its postings stay where they are and its weight is broadcast.
 HOT = 10_000
 
 
 def weighed(tf: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
-    """term, doc_id, tf, w. The postings of hot terms aren't shuffled: there are at most as many such terms as 1,000 times a document has."""
+    """term, doc_id, tf, w. vocab is written. A small one goes to every executor; of a larger one the hot terms, so their postings aren't shuffled: there are at most as many such terms as 1,000 times a document has."""
+    weight = (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w")
+    if vocab.count() <= FEW_TERMS:
+        return tf.join(F.broadcast(vocab.select("term", "idf")), "term").select("term", "doc_id", "tf", weight)
     hot = F.broadcast(vocab.where(F.col("df") > max(HOT, n_docs // 1000)).select("term", "idf"))
     cold = vocab.where(F.col("df") <= max(HOT, n_docs // 1000)).select("term", "idf")
     both = tf.join(hot, "term").unionByName(tf.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
-    return both.select("term", "doc_id", "tf", (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"))
+    return both.select("term", "doc_id", "tf", weight)
 
 
 def write_index(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> dict[str, float]:
     """Build the index table by table, each from what is written already, so texts are analysed once. Returns n_docs, n_terms, n_postings and seconds."""
     spark, began = docs.sparkSession, time.time()
-    term_frequencies(docs, terms).write.mode(mode).parquet(f"{path}/tf")
+    term_counts(docs, terms).write.mode(mode).parquet(f"{path}/tf")
     tf = spark.read.parquet(f"{path}/tf")
     docs.agg(F.count("*").alias("n_docs")).write.mode(mode).parquet(f"{path}/corpus_stats")
     n_docs = spark.read.parquet(f"{path}/corpus_stats").first()[0]
@@ -90,7 +120,8 @@ def write_index(docs: DataFrame, path: str, terms: str = "terms", mode: str = "e
     ranged = weighed(tf, vocab, n_docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     ranged.write.mode(mode).parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    document_norms(postings).write.mode(mode).parquet(f"{path}/doc_norm")
+    # from tf, where a document's rows stand together and are added up in their task
+    document_norms(weighed(tf, vocab, n_docs)).write.mode(mode).parquet(f"{path}/doc_norm")
     done = {"n_docs": n_docs, "n_terms": vocab.count(), "n_postings": postings.count(), "seconds": round(time.time() - began, 3)}
     logging.info("index of %(n_docs)d documents, %(n_terms)d terms, %(n_postings)d postings in %(seconds).1f s", done)
     return done

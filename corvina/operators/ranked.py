@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.operators.index import Index
+from corvina.operators.index import FEW_IDS, Index, sent
 from corvina.plans.args import Operator
 
 STEPS = 4
@@ -37,7 +37,7 @@ class Ranked:
 def write_ranked(index: Index, path: str, row_group: int = 16 << 20) -> None:
     """The two tables under ``path``, ranged and sorted by term and block: filters on both select row groups and pages."""
     block = F.floor(STEPS * F.log2("norm2")).cast("int")
-    parts = index.postings.join(index.doc_norm, "doc_id").select("term", block.alias("block"), "doc_id", (F.col("w") * F.col("w") / F.col("norm2")).alias("part"))
+    parts = index.postings.join(sent(index.doc_norm, "doc_id", "norm2", most=FEW_IDS), "doc_id").select("term", block.alias("block"), "doc_id", (F.col("w") * F.col("w") / F.col("norm2")).alias("part"))
     parts.repartitionByRange("term", "block", "doc_id").sortWithinPartitions("term", "block", "doc_id").write.option("parquet.block.size", row_group).parquet(f"{path}/ranked_postings")
     tops = index.postings.sparkSession.read.parquet(f"{path}/ranked_postings").groupBy("term", "block").agg(F.max("part").alias("top"), F.count(F.lit(1)).alias("n"))
     tops.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/ranked_bounds")

@@ -104,6 +104,18 @@ def test_the_query_of_a_term_that_starts_anew_is_its_sql(spark, tmp_path):
         assert got == want and bool(got) == (name == "apart")
 
 
+def test_terms_are_counted_where_the_text_is(spark, tmp_path):
+    """No posting is shuffled on the way to its weight, unless a doc_id is repeated; counts are the same."""
+    shape = "doc_id long, terms array<string>"
+    docs = [(i, [rng.choice(WORDS) for _ in range(i % 9)] + [None] * (i % 2)) for rng in [random.Random(3)] for i in range(40)] + [(50, None), (51, []), (None, ["a", "a"])]
+    counts = lambda rows: sorted(((r.doc_id, r.term, r.tf) for r in rows.collect()), key=repr)
+    once = spark.createDataFrame(docs, shape)
+    assert counts(index.term_counts(once)) == counts(index.term_frequencies(once))
+    twice = spark.createDataFrame([*docs, (7, ["a", "zz"]), (None, ["a"])], shape)
+    assert counts(index.term_counts(twice)) == counts(index.term_frequencies(twice))
+    assert "Exchange hashpartitioning" not in build_index(once).postings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_boosts(spark):
     pages = spark.createDataFrame([(1, "Ruskom prezidentom,", ("x", {"mesto prezidentom": "rusko rusko"})), (2, None, None)], "doc_id long, title string, infobox struct<name:string,properties:map<string,string>>")
     got = {r.doc_id: r.boost for r in boost(pages, ["rusko", "prezidentom", "rusko"]).collect()}
