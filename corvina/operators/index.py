@@ -108,21 +108,27 @@ def weighed(tf: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
     return both.select("term", "doc_id", "tf", weight)
 
 
-def write_index(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> dict[str, float]:
-    """Build the index table by table, each from what is written already, so texts are analysed once. Returns n_docs, n_terms, n_postings and seconds."""
-    spark, began = docs.sparkSession, time.time()
+def write_counts(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> Index:
+    """The tables beside the postings, and tf, each from what is written already, so texts are analysed once; postings are made of tf as they are read, by documents."""
+    spark = docs.sparkSession
     term_counts(docs, terms).write.mode(mode).parquet(f"{path}/tf")
     tf = spark.read.parquet(f"{path}/tf")
     docs.agg(F.count("*").alias("n_docs")).write.mode(mode).parquet(f"{path}/corpus_stats")
     n_docs = spark.read.parquet(f"{path}/corpus_stats").first()[0]
     vocabulary(tf).withColumn("idf", idf_smooth(F.lit(n_docs), F.col("df"))).write.mode(mode).parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
-    ranged = weighed(tf, vocab, n_docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    ranged.write.mode(mode).parquet(f"{path}/postings")
+    postings = weighed(tf, vocab, n_docs)
+    document_norms(postings).write.mode(mode).parquet(f"{path}/doc_norm")  # a document's rows of tf stand together and are added up in their task
+    return Index(postings, vocab, spark.read.parquet(f"{path}/doc_norm"), spark.read.parquet(f"{path}/corpus_stats"))
+
+
+def write_index(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> dict[str, float]:
+    """Build the index table by table, the postings last, ranged and sorted by term. Returns n_docs, n_terms, n_postings and seconds."""
+    spark, began = docs.sparkSession, time.time()
+    i = write_counts(docs, path, terms, mode)
+    i.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    # from tf, where a document's rows stand together and are added up in their task
-    document_norms(weighed(tf, vocab, n_docs)).write.mode(mode).parquet(f"{path}/doc_norm")
-    done = {"n_docs": n_docs, "n_terms": vocab.count(), "n_postings": postings.count(), "seconds": round(time.time() - began, 3)}
+    done = {"n_docs": i.corpus_stats.first()[0], "n_terms": i.vocab.count(), "n_postings": postings.count(), "seconds": round(time.time() - began, 3)}
     logging.info("index of %(n_docs)d documents, %(n_terms)d terms, %(n_postings)d postings in %(seconds).1f s", done)
     return done
 

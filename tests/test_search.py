@@ -116,6 +116,19 @@ def test_terms_are_counted_where_the_text_is(spark, tmp_path):
     assert "Exchange hashpartitioning" not in build_index(once).postings._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_blocks_are_made_of_counts(corpus, built, spark, tmp_path, monkeypatch, few):
+    """Without the postings by term, whether the vocabulary is sent to all tasks or not."""
+    from corvina.operators import ranked
+
+    monkeypatch.setattr(index, "FEW_TERMS", few)
+    monkeypatch.setattr(index, "HOT", 5)
+    ranked.write_ranked(index.write_counts(corpus[1], str(tmp_path)), str(tmp_path))
+    assert not (tmp_path / "postings").exists()
+    got = ranked.search_ranked(ranked.Ranked.load(spark, str(tmp_path)), ["a", "c"], Operator.OR, 10)[0]
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in search(built, ["a", "c"], Operator.OR, 10).collect()]
+
+
 def test_boosts(spark):
     pages = spark.createDataFrame([(1, "Ruskom prezidentom,", ("x", {"mesto prezidentom": "rusko rusko"})), (2, None, None)], "doc_id long, title string, infobox struct<name:string,properties:map<string,string>>")
     got = {r.doc_id: r.boost for r in boost(pages, ["rusko", "prezidentom", "rusko"]).collect()}
