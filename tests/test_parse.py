@@ -99,3 +99,20 @@ def test_a_page_that_is_cut_off_is_no_page(spark, tmp_path, end, titles):
     assert got == list(enumerate(whole))
     found = dump.cut_files(spark, str(tmp_path / "d"), tail=60)
     assert all(f.endswith("a.xml") for f in found) and bool(titles) <= bool(found)
+
+
+def test_pages_are_not_moved_for_their_numbers(spark, tmp_path):
+    """The numbers of the splits are sent to the pages; no page is shuffled by its split."""
+    from corvina.sources.dump import read_dump_raw
+
+    for i in range(3):
+        (tmp_path / f"{i}.xml").write_text("".join(f"<page><title>{i}.{k}</title><text>x</text></page>" for k in range(4)))
+    rows = read_dump_raw(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.title) for r in rows.collect()) == [(4 * i + k, f"{i}.{k}") for i in range(3) for k in range(4)]
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = read_dump_raw(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
