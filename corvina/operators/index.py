@@ -6,10 +6,14 @@ import logging
 import time
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corvina.functions.text import AT_ONCE
 from corvina.session import shared_folder
 
 
@@ -73,14 +77,19 @@ class Index:
         return self.postings.where(F.col("term") == term)
 
 
+def written(table: DataFrame, name: str) -> DataFrame:
+    """The table as it stands in the shared folder."""
+    path = f"{shared_folder(table.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def build_index(docs: DataFrame, terms: str = "terms") -> Index:
-    """From doc_id and an array of terms. Documents without terms count in n_docs. The vocabulary is written to the shared folder; where it is small, postings aren't shuffled for their weights."""
-    tf = term_counts(docs, terms)
+    """From doc_id and an array of terms. Documents without terms count in n_docs. Counts and vocabulary are written to the shared folder, so texts are analysed once; postings of rare terms alone are shuffled for their weights."""
     stats = docs.agg(F.count("*").alias("n_docs"))
-    vocab, path = vocabulary(tf).withColumn("idf", idf_smooth(stats.scalar(), F.col("df"))), f"{shared_folder(docs.sparkSession)}/vocab-{uuid.uuid4().hex}"
-    vocab.write.parquet(path)
-    vocab = docs.sparkSession.read.schema(vocab.schema).parquet(path)
-    postings = tf.join(sent(vocab, "term", "idf"), "term").select("term", "doc_id", "tf", (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"))
+    tf = written(term_counts(docs, terms), "tf")
+    vocab = written(vocabulary(tf).withColumn("idf", idf_smooth(stats.scalar(), F.col("df"))), "vocab")
+    postings = weighed(tf, vocab)
     return Index(postings, vocab, document_norms(postings), stats)
 
 
@@ -93,19 +102,29 @@ def sent(table: DataFrame, *columns: str, most: int | None = None) -> DataFrame:
     return F.broadcast(table.select(*columns)) if table.count() <= (most or FEW_TERMS) else table.select(*columns)
 
 
-#: A term of more documents is hot: its postings stay where they are and its weight is broadcast.
-HOT = 10_000
+#: A term of no more documents is never hot: sending its weight saves less than it costs.
+HOT = 4
+
+
+def frequent(vocab: DataFrame, most: int | None = None) -> int:
+    """The df, HOT at least, that at most about ``most`` terms exceed; 0, if there are no more terms."""
+    n, most = vocab.count(), most or FEW_TERMS
+    return 0 if n <= most else max(HOT, vocab.agg(F.percentile_approx("df", F.lit(1 - most / n), F.lit(10_000))).first()[0])
+
 
+def weighed_parts(tf: DataFrame, vocab: DataFrame) -> list[DataFrame]:
+    """term, doc_id, tf, w, of the most frequent terms, then of the others if there are any. vocab is written. The first are sent to every executor, so that only postings of rare terms are shuffled."""
+    weight, least = (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"), frequent(vocab)
+    hot = F.broadcast(vocab.where(F.col("df") > least).select("term", "idf"))
+    parts = [tf.join(hot, "term")]
+    if least:
+        parts.append(tf.join(hot.select("term"), "term", "left_anti").join(vocab.where(F.col("df") <= least).select("term", "idf"), "term"))
+    return [p.select("term", "doc_id", "tf", weight) for p in parts]
 
-def weighed(tf: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
-    """term, doc_id, tf, w. vocab is written. A small one goes to every executor; of a larger one the hot terms, so their postings aren't shuffled: there are at most as many such terms as 1,000 times a document has."""
-    weight = (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w")
-    if vocab.count() <= FEW_TERMS:
-        return tf.join(F.broadcast(vocab.select("term", "idf")), "term").select("term", "doc_id", "tf", weight)
-    hot = F.broadcast(vocab.where(F.col("df") > max(HOT, n_docs // 1000)).select("term", "idf"))
-    cold = vocab.where(F.col("df") <= max(HOT, n_docs // 1000)).select("term", "idf")
-    both = tf.join(hot, "term").unionByName(tf.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
-    return both.select("term", "doc_id", "tf", weight)
+
+def weighed(tf: DataFrame, vocab: DataFrame) -> DataFrame:
+    """term, doc_id, tf, w. tf and vocab are written."""
+    return reduce(DataFrame.unionByName, weighed_parts(tf, vocab))
 
 
 def write_counts(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> Index:
@@ -117,7 +136,7 @@ def write_counts(docs: DataFrame, path: str, terms: str = "terms", mode: str = "
     n_docs = spark.read.parquet(f"{path}/corpus_stats").first()[0]
     vocabulary(tf).withColumn("idf", idf_smooth(F.lit(n_docs), F.col("df"))).write.mode(mode).parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
-    postings = weighed(tf, vocab, n_docs)
+    postings = weighed(tf, vocab)
     document_norms(postings).write.mode(mode).parquet(f"{path}/doc_norm")  # a document's rows of tf stand together and are added up in their task
     return Index(postings, vocab, spark.read.parquet(f"{path}/doc_norm"), spark.read.parquet(f"{path}/corpus_stats"))
 
@@ -138,9 +157,29 @@ def document_norms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("w") * F.col("w")).alias("norm2"))
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _placed(terms: pa.Array, names: pa.Array, values: pa.Array) -> pa.Array:
+    """The value of each term that has one, in the order of the terms; rows are objects ``AT_ONCE`` at a time."""
+    parts = [pa.array([], pa.list_(pa.float64()))]
+    for at in range(0, len(terms), AT_ONCE):
+        rows = zip(*(c.slice(at, AT_ONCE).to_pylist() for c in (terms, names, values)))
+        parts.append(pa.array([[of[t] for t in ts or () if t in of] for ts, ns, vs in rows for of in [dict(zip(ns or (), vs or ()))]], pa.list_(pa.float64())))
+    return pa.concat_arrays(parts)
+
+
 def vectors(docs: DataFrame, index: Index, terms: str = "terms") -> DataFrame:
-    """doc_id, vector: the normalised weight of each occurrence, in the order of the terms."""
-    at = docs.select("doc_id", F.posexplode(terms).alias("at", "term"))
-    w = at.join(index.postings.select("doc_id", "term", "w"), ["doc_id", "term"]).join(index.doc_norm, "doc_id")
-    listed = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("w") / F.sqrt("norm2")).alias("x")))).alias("v"))
-    return docs.select("doc_id").join(listed, "doc_id", "left").select("doc_id", F.coalesce(F.transform("v", lambda p: p["x"]), F.array().cast("array<double>")).alias("vector"))
+    """doc_id, vector: the normalised weight of each occurrence, in the order of the terms. The documents are those of the index, whose vocabulary is written.
+
+    Terms are dealt out by document once and counted there; weights of frequent terms are sent, those of rare ones come as a list for each document. No row that is shuffled is an
+    occurrence. Rows of one doc_id are one document.
+    """
+    said = docs.groupBy("doc_id").agg(F.flatten(F.collect_list(terms)).alias("terms"))
+    runs = said.select("doc_id", F.explode_outer(F.expr(RUNS.format(terms="terms"))).alias("t"))
+    made, none = said, F.array().cast("array<struct<term:string,w:double>>")
+    parts = weighed_parts(runs.select("doc_id", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")), index.vocab)
+    for i, part in enumerate(parts):
+        made = made.join(part.groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias(f"v{i}"), F.sum(F.col("tf") * F.col("w") * F.col("w")).alias(f"n{i}")), "doc_id", "left")
+    norm = F.sqrt(reduce(Column.__add__, [F.coalesce(f"n{i}", F.lit(0.0)) for i in range(len(parts))]))
+    made = made.select("doc_id", "terms", F.concat(*[F.coalesce(f"v{i}", none) for i in range(len(parts))]).alias("v"), norm.alias("norm"))
+    every = docs.select("doc_id").join(made, "doc_id", "left")
+    return every.select("doc_id", _placed("terms", "v.term", F.transform("v.w", lambda w: w / F.col("norm"))).alias("vector"))

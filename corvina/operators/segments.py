@@ -3,7 +3,7 @@
 A store is a folder: ``segments/<name>`` (postings, docs, vocab, stored: Parquet, written once), ``dead/<name>`` (tombstones, and what they take from
 the counts), ``snapshots/<name>`` (what depends on the whole corpus), and ``versions``, the list of what is alive, switched by a rename.
 
-* ``append`` writes new documents as one segment: postings ranged and sorted by (field, term, doc_id), so a query's terms select row groups;
+* ``append`` writes new documents as one segment: postings ranged and sorted by (term, field, doc_id), so a query's terms select row groups;
   documents with their lengths; the vocabulary's df and cf; the pages to show. A document that older segments have is replaced: a tombstone names it and its
   segment, and the df and cf of its postings are written as what is to be taken off. Work grows with the new documents (and, for replaced ones,
   with a scan of the older postings), not with the index.
@@ -22,13 +22,14 @@ import json
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvina.operators.fielded import FieldIndex
-from corvina.operators.index import Index, document_norms, idf_smooth, tf_sublinear, weighed
+from corvina.operators.index import RUNS, Index, document_norms, idf_smooth, tf_sublinear, weighed
 from corvina.sources.versions import Versions, n_bytes, remove
 
 POSTINGS = "field string, term string, doc_id long, tf long, dl long"
@@ -37,7 +38,7 @@ VOCAB = "field string, term string, df long, cf long"
 TOMBS = "segment string, doc_id long"
 MINUS = "segment string, field string, term string, df long, cf long"
 
-#: Rows of two columns that are sent to every executor.
+#: Ids that are sent to every executor.
 FEW = 1_000_000
 
 
@@ -91,13 +92,14 @@ class Segments:
         """The rows of all segments, and each one's ``segment``; without dead documents if ``live``."""
         if not at.segments:
             return self.spark.createDataFrame([], schema).withColumn("segment", F.lit(""))
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/segments/{s}/{kind}" for s in at.segments])
-        rows = rows.withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), rf"/segments/([^/]+)/{kind}/[^/]+$", 1))
-        hit = sum(s["dead"] for s in at.segments.values())
-        if not live or not hit:
-            return rows
-        tombs = self.tombs(at)
-        return rows.join(F.broadcast(tombs) if hit <= FEW else tombs, ["segment", "doc_id"], "left_anti")
+        tombs, parts = self.tombs(at), []
+        for s, told in at.segments.items():
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/segments/{s}/{kind}")
+            if live and told["dead"]:
+                gone = tombs.where(F.col("segment") == s).select("doc_id")
+                rows = rows.join(F.broadcast(gone) if told["dead"] <= FEW else gone, "doc_id", "left_anti")
+            parts.append(rows.withColumn("segment", F.lit(s)))
+        return reduce(DataFrame.unionByName, parts)
 
     def tombs(self, at: Found) -> DataFrame:
         """segment and doc_id of what is dead in the segments that are alive."""
@@ -133,18 +135,33 @@ class Segments:
 
     # --- writing
 
-    def _describe(self, name: str) -> dict:
-        """docs, vocab and figures of a segment whose postings are written."""
+    def _describe(self, name: str, docs: DataFrame, vocab: DataFrame) -> dict:
+        """Write docs and vocab of a segment whose postings are written; its figures."""
         at = f"{self.path}/segments/{name}"
-        postings = self.spark.read.schema(POSTINGS).parquet(f"{at}/postings")
-        lengths = postings.select("doc_id", "field", "dl").distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "dl"))).alias("lengths"))
-        lengths.write.parquet(f"{at}/docs")
-        postings.where("term is not null").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{at}/vocab")
+        docs.write.parquet(f"{at}/docs")
+        vocab.write.parquet(f"{at}/vocab")
         return {"docs": self.spark.read.parquet(f"{at}/docs").count(), "dead": 0, "bytes": n_bytes(self.spark, f"{at}/postings")}
 
-    def _write_postings(self, postings: DataFrame, name: str) -> None:
-        rows = postings.select(*[c.split()[0] for c in POSTINGS.split(", ")])
-        rows.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{self.path}/segments/{name}/postings")
+    def _write_postings(self, postings: DataFrame, name: str) -> DataFrame:
+        """Postings by term, then field: what is compared first tells rows apart."""
+        rows, path = postings.select(*[c.split()[0] for c in POSTINGS.split(", ")]), f"{self.path}/segments/{name}/postings"
+        rows.repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field", "doc_id").write.parquet(path)
+        return self.spark.read.schema(POSTINGS).parquet(path)
+
+    def _count(self, words: DataFrame, name: str) -> dict:
+        """Postings, docs and vocab of a segment. Texts are analysed once: terms are counted where the text is, and written by document."""
+        path = f"{self.path}/drafts/{name}"
+        words.select("doc_id", "field", F.size("words").cast("long").alias("dl"), F.expr(RUNS.format(terms="words")).alias("runs")).write.parquet(path)
+        draft = self.spark.read.parquet(path)
+        lengths = draft.groupBy("doc_id", "field").agg(F.max("dl").alias("dl"), F.count(F.lit(1)).alias("n"))
+        rows = draft.select("field", "doc_id", "dl", F.explode_outer("runs").alias("t")).select("field", "t.term", "doc_id", F.coalesce("t.tf", F.lit(0)).alias("tf"), "dl")
+        if not lengths.where("n > 1").isEmpty():  # several rows are one document's
+            rows = rows.groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+        postings = self._write_postings(rows, name)
+        docs = lengths.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "dl"))).alias("lengths"))
+        told = self._describe(name, docs, postings.where("term is not null").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+        remove(self.spark, path)
+        return told
 
     def append(self, words: DataFrame | Callable[[DataFrame], DataFrame], stored: DataFrame | None = None, anew: bool = False, tables: Mapping[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] | None = None) -> int:
         """Commit documents as a segment; those that are there already are replaced. Returns the version.
@@ -163,10 +180,7 @@ class Segments:
             words = words(there) if callable(words) else words
         if at.segments and not anew and {k: columns(t["schema"]) for k, t in kept.items()} != {k: columns(t["schema"]) for k, t in at.tables.items()}:
             raise ValueError("what is stored has other columns than what is there")
-        one = words.select("doc_id", "field", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("term"))
-        counted = one.groupBy("field", "term", "doc_id").agg(F.count("term").alias("tf"), F.max("dl").alias("dl"))
-        self._write_postings(counted, name)
-        new = {name: self._describe(name)}
+        new = {name: self._count(words, name)}
         if anew:
             at = Found(at.version, {}, [], {})
         elif at.segments:
@@ -230,7 +244,7 @@ class Segments:
             self._write_postings(self._table(part, "postings", POSTINGS, True), name)
             for kind, t in at.tables.items():
                 self._keep(self.table(part, kind), name, kind, t["by"], {})
-            new[name] = self._describe(name)
+            new[name] = self._describe(name, self.docs(part).drop("segment"), self.vocabulary(part))
             gone |= set(group)
         if not gone:
             return at.version
@@ -244,14 +258,14 @@ class Segments:
         name = uuid.uuid4().hex[:12]
         folder = f"{self.path}/snapshots/{name}"
         n_docs = sum(d["docs"] - d["dead"] for d in at.segments.values())
-        self.vocabulary(at).withColumn("idf", idf_smooth(F.lit(n_docs), F.col("df"))).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{folder}/vocab")
-        self.spark.createDataFrame([(n_docs,)], "n_docs long").write.parquet(f"{folder}/corpus_stats")
+        self.vocabulary(at).withColumn("idf", idf_smooth(F.lit(n_docs), F.col("df"))).repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.parquet(f"{folder}/vocab")
+        self.spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs")).write.parquet(f"{folder}/corpus_stats")
         lengths = self.docs(at).select(F.explode("lengths").alias("field", "dl")).where("dl > 0")
         lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/fields")
         if norms:
             vocab = self.spark.read.parquet(f"{folder}/vocab").where("field = 'terms'").drop("field")
             tf = self.postings(at).where("field = 'terms'").select("term", "doc_id", "tf")
-            document_norms(weighed(tf, vocab, n_docs)).write.parquet(f"{folder}/doc_norm")
+            document_norms(weighed(tf, vocab)).write.parquet(f"{folder}/doc_norm")
         state = at.state(None)
         return self.versions.commit(at.version, state | {"published": {k: state[k] for k in ("segments", "dead", "tables")} | {"snapshot": name}})
 

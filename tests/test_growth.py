@@ -309,3 +309,29 @@ def test_measures_need_no_second_pass(spark):
     out = preprocess(docs, ["normalize", "tokenize", "remove_stopwords"], ["the"], watch=watch)
     assert sorted(r.terms for r in out.collect()) == [[], [], ["cat", "and", "dog"]] and out.columns == ["text", "terms"]
     assert watch.get["rows"] == 3 and reductions(watch.get) == [("remove_stopwords", 6, 3, 50.0)]
+
+
+def test_an_append_counts_where_the_text_is(spark, tmp_path):
+    """Texts are analysed once an append; fields of a repeated doc_id are one document's; a merge takes counts and lengths from what it merges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "doc_id long, field string, words array<string>"
+    words = lambda rows: spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    store = Segments(spark, str(tmp_path / "s"), fan=2)
+    store.append(words([(1, "terms", ["a", "b", "a"]), (1, "title", ["a"]), (2, "terms", []), (3, "terms", ["b"]), (3, "terms", ["b", "c"])]))
+    assert seen.value == 5
+    at = store.latest()[0]
+    assert {(r.field, r.term, r.doc_id, r.tf, r.dl) for r in store.postings(at).collect()} == {("terms", "a", 1, 2, 3), ("terms", "b", 1, 1, 3), ("title", "a", 1, 1, 1), ("terms", "b", 3, 2, 2), ("terms", "c", 3, 1, 2)}
+    store.append(words([(1, "terms", ["c"]), (4, "terms", ["d"])]))
+    before = store.latest()[0]
+    told = lambda at: ({(r.field, r.term, r.df, r.cf) for r in store.vocabulary(at).collect()}, {(r.doc_id, tuple(sorted(r.lengths.items()))) for r in store.docs(at).collect()})
+    want = told(before)
+    store.merge()
+    after = store.latest()[0]
+    assert len(after.segments) == 1 and told(after) == want
+    assert want == ({("terms", "b", 1, 2), ("terms", "c", 2, 2), ("terms", "d", 1, 1)}, {(1, (("terms", 1),)), (2, (("terms", 0),)), (3, (("terms", 2),)), (4, (("terms", 1),))})
