@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.operators.index import written
+
 
 def _zero(c):
     return F.coalesce(c, F.lit(0.0))
@@ -47,7 +49,8 @@ def precision_at(retrieved: DataFrame, relevant: DataFrame, k: int) -> DataFrame
 
 
 def evaluate(retrieved: DataFrame, relevant: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
-    """One row: queries (those with relevant documents), and the means over them of precision, recall, f1, average precision (map) and precision at each k."""
+    """One row: queries (those with relevant documents), and the means over them of precision, recall, f1, average precision (map) and precision at each k. Each of them reads what was retrieved, so it is written once."""
+    retrieved = written(retrieved, "retrieved")
     asked = relevant.select("query_id").distinct()
     each = asked.join(precision_recall_f1(retrieved, relevant), "query_id").join(average_precision(retrieved, relevant), "query_id")
     for k in ks:

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from corvina.engine import main as engine_main
 from corvina.functions.text import dictionary, preprocess
 from corvina.operators import fielded, index, metrics
 from corvina.operators.index import Index, build_index, vectors
-from corvina.operators.search import boost, candidates, cosine, dot_product, search
+from corvina.operators.search import boost, candidates, cosine, dot_product, search, search_many
 from corvina.operators.segments import Segments
 from corvina.plans.args import Operator
 from corvina.operators.parse import parse_pages
@@ -234,3 +235,45 @@ def test_field_engine(spark, tmp_path):
     # both have the term; the stem of the question is that of the first one's title
     assert [r.title for r in got] == ["Prezident", "Rusko"] and got[1].infobox_title == "ŠtátSveta" and got[0].score > got[1].score
     assert engine.search("nothing").count() == 0
+
+
+def test_weights_of_a_large_vocabulary_and_vectors(spark, corpus, monkeypatch):
+    """Only terms that few exceed in df are sent; vectors have no row an occurrence, and a repeated doc_id is one document."""
+    docs, frame = corpus[0], corpus[1]
+    whole = build_index(frame)
+    want = {(r.term, r.doc_id): r.w for r in whole.postings.collect()}
+    told = {r.doc_id: r.vector for r in vectors(frame, whole).collect()}
+    monkeypatch.setattr(index, "FEW_TERMS", 3)
+    monkeypatch.setattr(index, "HOT", 1)
+    vocab = whole.vocab
+    assert 0 < vocab.where(F.col("df") > index.frequent(vocab)).count() <= 3
+    split = build_index(frame)
+    assert {(r.term, r.doc_id): r.w for r in split.postings.collect()} == pytest.approx(want)
+    again = {r.doc_id: r.vector for r in vectors(frame, split).collect()}
+    assert again.keys() == told.keys() and all(again[k] == pytest.approx(told[k]) for k in told)
+    plan = vectors(frame, split)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    two = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (2, None), (3, ["b", None, "c"])], "doc_id long, terms array<string>")
+    got = [(r.doc_id, len(r.vector)) for r in vectors(two, build_index(two)).collect()]
+    assert sorted(got) == [(1, 3), (1, 3), (2, 0), (3, 2)]
+
+
+def test_questions_meet_postings_where_they_are(spark, corpus, built):
+    """Postings aren't shuffled by term, and what a question has of a document is added up without a second shuffle."""
+    asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "query_id long, terms array<string>")
+    plan = search_many(built, asked, Operator.AND, 5)._jdf.queryExecution().executedPlan().toString()
+    keys = [set(re.findall(r"([a-z_]+)#", k)) for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+    assert {"doc_id"} in keys and {"term"} not in keys and {"doc_id", "query_id"} not in keys
+
+
+def test_what_was_retrieved_is_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = spark.createDataFrame([(1, r, r) for r in range(1, 6)], "query_id int, rank int, doc_id long").mapInArrow(count, "query_id int, rank int, doc_id long")
+    metrics.evaluate(got, spark.createDataFrame([(1, 2)], "query_id int, doc_id long"), (3, 5)).collect()
+    assert seen.value == 5
