@@ -279,13 +279,11 @@ def test_what_was_retrieved_is_found_once(spark):
     assert seen.value == 5
 
 
-def test_words_are_stemmed_once_each(spark, tmp_path, monkeypatch):
+def test_words_are_stemmed_once_each(spark, monkeypatch):
     """Not at each place of a text: rows are distinct before they go to Python."""
-    from corvina.functions import stem
     from corvina.plans import catalogue
 
-    seen, made = [], stem.stem_words
+    seen = []
     monkeypatch.setattr(catalogue.index, "written", lambda table, name: seen.append(name) or table)
-    monkeypatch.setattr(catalogue.st, "stem_words", made)
     catalogue.QUERIES["lemma_guesses"](spark, "/root/testdata/sf0.001")
     assert seen == ["words", "entries"]
