@@ -118,22 +118,12 @@ def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND
     return out if pages is None else out.join(pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left")
 
 
-def stem_boosts(stems: DataFrame, said: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """doc_id, boosts (what each question adds, by query_id) of documents that have a stem of a question. said: query_id, stem, times."""
-    asked = few(said.select("stem").distinct())
-    title = stems.select("doc_id", "t").join(asked, F.contains("t", "stem")).select("doc_id", "stem", F.lit(TITLE).alias("weight"))
-    word = lambda c, weight: stems.select("doc_id", F.explode(F.array_distinct(c)).alias("stem")).join(asked, "stem").select("doc_id", "stem", F.lit(weight).alias("weight"))
-    every = title.unionByName(word("k", KEY)).unionByName(word("v", VALUE)).join(said, "stem")
-    one = every.groupBy("doc_id", "query_id").agg(F.sum(F.col("weight") * F.col("times")).alias("boost"))
-    return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "boost"))).alias("boosts"))
-
-
 def search_many(index: Index, questions: DataFrame, operator: Operator = Operator.AND, n: int = 10, digits: int = 9, stems: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: for each question what ``search`` finds, all in one job. questions: query_id, terms (array; preprocessed), a row a question.
 
     Questions are sent to the postings (up to FEW_TERMS of their terms), whose rows of asked terms are dealt out by document, so what a document has of each question is
     added up in one place. The first n of each are cut off in every task before they are sent (a window with a limit), so that a question of very many hits brings
-    n rows a task. stems: page_stems, for boosts, which are made for the documents that have any.
+    n rows a task. stems: page_stems, for boosts.
     """
     if operator not in (Operator.AND, Operator.OR):
         raise ValueError(f"no such operator: {operator}")
@@ -145,10 +135,12 @@ def search_many(index: Index, questions: DataFrame, operator: Operator = Operato
     if operator == Operator.AND:
         need = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
         along = along.join(few(need), "query_id").where("n = need")
-    norms, more = index.doc_norm, F.lit(0.0)
+    scored = along.join(index.doc_norm.hint("shuffle_hash"), "doc_id").select("query_id", "doc_id", F.sqrt(F.col("q2") / F.col("norm2")).alias("score"))
     if stems is not None:
-        norms, more = norms.join(stem_boosts(stems, few(with_stem(known, "term").groupBy("query_id", "stem").agg(F.sum("times").alias("times"))), few), "doc_id", "left"), F.coalesce(F.try_element_at("boosts", F.col("query_id")), F.lit(0.0))
-    scored = along.join(norms.hint("shuffle_hash"), "doc_id").select("query_id", "doc_id", (F.sqrt(F.col("q2") / F.col("norm2")) + more).alias("score"))
+        said = with_stem(known, "term").groupBy("query_id").agg(F.collect_list(F.struct("stem", "times")).alias("said"))  # of one question
+        hit = lambda x: F.coalesce(F.contains("t", x["stem"]).cast("int"), F.lit(0)) * TITLE + F.coalesce(F.array_contains("k", x["stem"]).cast("int"), F.lit(0)) * KEY + F.coalesce(F.array_contains("v", x["stem"]).cast("int"), F.lit(0)) * VALUE
+        boosted = scored.join(stems, "doc_id", "left").join(few(said), "query_id")
+        scored = boosted.select("query_id", "doc_id", (F.col("score") + F.aggregate("said", F.lit(0.0), lambda a, x: a + hit(x) * x["times"])).alias("score"))
     scored = scored.withColumn("score", F.round("score", digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")
