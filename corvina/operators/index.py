@@ -5,8 +5,8 @@ from __future__ import annotations
 import logging
 import time
 import uuid
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Sequence
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,22 +59,43 @@ def idf_plain(n_docs: Column, df: Column) -> Column:
     return F.log10(n_docs / df)
 
 
-@dataclass
 class Index:
-    """postings (term, doc_id, tf, w), vocab (term, df, cf, idf), doc_norm (doc_id, norm2), corpus_stats (n_docs)."""
+    """postings (term, doc_id, tf, w), vocab (term, df, cf, idf), doc_norm (doc_id, norm2), corpus_stats (n_docs); counts (term, doc_id, tf).
 
-    postings: DataFrame
-    vocab: DataFrame
-    doc_norm: DataFrame
-    corpus_stats: DataFrame
+    Where postings aren't given, they are made of counts: all of them by ``postings``, those of a question's terms by ``of`` and ``met``.
+    """
+
+    def __init__(self, postings: DataFrame | None, vocab: DataFrame, doc_norm: DataFrame, corpus_stats: DataFrame, counts: DataFrame | None = None):
+        self.vocab, self.doc_norm, self.corpus_stats = vocab, doc_norm, corpus_stats
+        self.counts = postings.select("term", "doc_id", "tf") if counts is None else counts
+        if postings is not None:
+            self.postings = postings
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "doc_norm", "corpus_stats")))
+        tf, *others = (spark.read.parquet(f"{path}/{t}") for t in ("tf", "vocab", "doc_norm", "corpus_stats"))
+        return cls(None, *others, tf)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return weighed(self.counts, self.vocab)
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        """Postings of these terms: the filter selects what is read of counts and of the vocabulary."""
+        some = F.col("term").isin(list(set(terms))) if terms else F.lit(False)
+        return self._weighed(self.counts.where(some), F.broadcast(self.vocab.where(some).select("term", "idf")))
+
+    def met(self, asked: DataFrame) -> DataFrame:
+        """Postings of the terms of a table (term, idf; none twice), which may be hinted."""
+        return self._weighed(self.counts, asked)
+
+    @staticmethod
+    def _weighed(tf: DataFrame, idf: DataFrame) -> DataFrame:
+        return tf.join(idf, "term").select("term", "doc_id", "tf", (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"))
 
     def lookup(self, term: str) -> DataFrame:
         """A term's postings; none for a term that isn't there."""
-        return self.postings.where(F.col("term") == term)
+        return self.of([term])
 
 
 def written(table: DataFrame, name: str) -> DataFrame:
@@ -90,7 +111,7 @@ def build_index(docs: DataFrame, terms: str = "terms") -> Index:
     tf = written(term_counts(docs, terms), "tf")
     vocab = written(vocabulary(tf).withColumn("idf", idf_smooth(stats.scalar(), F.col("df"))), "vocab")
     postings = weighed(tf, vocab)
-    return Index(postings, vocab, document_norms(postings), stats)
+    return Index(postings, vocab, document_norms(postings), stats, tf)
 
 
 #: Rows of a written table (a term or an id, and a number) that are sent to every executor.
@@ -128,26 +149,25 @@ def weighed(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def write_counts(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> Index:
-    """The tables beside the postings, and tf, each from what is written already, so texts are analysed once; postings are made of tf as they are read, by documents."""
+    """The index's tables, each from what is written already, so texts are analysed once. Counts are sorted by term in the task that made them and shuffled nowhere (unless a
+    doc_id is repeated): each file is the index of its documents, and a question's terms select pages of each. Postings are made of counts as they are read.
+    """
     spark = docs.sparkSession
-    term_counts(docs, terms).write.mode(mode).parquet(f"{path}/tf")
+    term_counts(docs, terms).select("term", "doc_id", "tf").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/tf")
     tf = spark.read.parquet(f"{path}/tf")
     docs.agg(F.count("*").alias("n_docs")).write.mode(mode).parquet(f"{path}/corpus_stats")
     n_docs = spark.read.parquet(f"{path}/corpus_stats").first()[0]
     vocabulary(tf).withColumn("idf", idf_smooth(F.lit(n_docs), F.col("df"))).write.mode(mode).parquet(f"{path}/vocab")
     vocab = spark.read.parquet(f"{path}/vocab")
-    postings = weighed(tf, vocab)
-    document_norms(postings).write.mode(mode).parquet(f"{path}/doc_norm")  # a document's rows of tf stand together and are added up in their task
-    return Index(postings, vocab, spark.read.parquet(f"{path}/doc_norm"), spark.read.parquet(f"{path}/corpus_stats"))
+    document_norms(weighed(tf, vocab)).write.mode(mode).parquet(f"{path}/doc_norm")
+    return Index.load(spark, path)
 
 
 def write_index(docs: DataFrame, path: str, terms: str = "terms", mode: str = "error") -> dict[str, float]:
-    """Build the index table by table, the postings last, ranged and sorted by term. Returns n_docs, n_terms, n_postings and seconds."""
-    spark, began = docs.sparkSession, time.time()
+    """Build the index (``write_counts``). Returns n_docs, n_terms, n_postings and seconds."""
+    began = time.time()
     i = write_counts(docs, path, terms, mode)
-    i.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    done = {"n_docs": i.corpus_stats.first()[0], "n_terms": i.vocab.count(), "n_postings": postings.count(), "seconds": round(time.time() - began, 3)}
+    done = {"n_docs": i.corpus_stats.first()[0], "n_terms": i.vocab.count(), "n_postings": i.counts.count(), "seconds": round(time.time() - began, 3)}
     logging.info("index of %(n_docs)d documents, %(n_terms)d terms, %(n_postings)d postings in %(seconds).1f s", done)
     return done
 

@@ -31,8 +31,7 @@ def candidates(index: Index, terms: Sequence[str], operator: Operator, and_mode:
     if operator not in (Operator.AND, Operator.OR):
         raise ValueError(f"no such operator: {operator}")
     terms = list(dict.fromkeys(terms))
-    hits = index.postings.where(F.col("term").isin(terms)) if terms else index.postings.where("false")
-    docs = hits.groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = index.of(terms).groupBy("doc_id").agg(F.count("*").alias("n"))
     if operator == Operator.OR or not terms:
         return docs.select("doc_id")
     strict = docs.where(F.col("n") == len(terms)).select("doc_id")
@@ -50,8 +49,7 @@ def cosine(index: Index, terms: Sequence[str], at_least: int = 1) -> DataFrame:
 
     Only documents with ``at_least`` so many of the terms: the same aggregation counts them, before norms are looked up.
     """
-    hits = index.postings.where(F.col("term").isin(list(set(terms)))) if terms else index.postings.where("false")
-    along = hits.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q2"), F.count("*").alias("n")).where(F.col("n") >= at_least)
+    along = index.of(terms).groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("q2"), F.count("*").alias("n")).where(F.col("n") >= at_least)
     return along.join(index.doc_norm, "doc_id").select("doc_id", F.sqrt(F.col("q2") / F.col("norm2")).alias("score"))
 
 
@@ -61,7 +59,7 @@ def dot_product(index: Index, terms: Sequence[str]) -> DataFrame:
     q = spark.createDataFrame([(t,) for t in terms], "term string").groupBy("term").agg(F.count("*").alias("qtf"))
     q = q.join(index.vocab, "term").select("term", "qtf", ((1 + F.log10("qtf")) * F.col("idf")).alias("qw"))
     norm = q.agg(F.sqrt(F.sum(F.col("qtf") * F.col("qw") * F.col("qw"))).alias("qn"))
-    hits = index.postings.join(F.broadcast(q), "term").join(index.doc_norm, "doc_id")
+    hits = index.of(terms).join(F.broadcast(q), "term").join(index.doc_norm, "doc_id")
     return hits.groupBy("doc_id").agg((F.sum(F.col("qtf") * F.col("qw") * F.col("w")) / F.sqrt(F.first("norm2"))).alias("d")).select("doc_id", (F.col("d") / norm.scalar()).alias("dot"))
 
 
@@ -130,7 +128,7 @@ def search_many(index: Index, questions: DataFrame, operator: Operator = Operato
     asked = questions.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     few = F.broadcast if asked.count() <= FEW_TERMS else lambda table: table
     known = index.vocab.select("term").join(few(asked), "term")
-    hits = index.postings.join(few(known.select("term")), "term", "left_semi").repartition("doc_id")
+    hits = index.met(few(index.vocab.select("term", "idf").join(few(asked.select("term")), "term", "left_semi"))).repartition("doc_id")
     along = hits.join(few(known), "term").groupBy("doc_id", "query_id").agg(F.sum(F.col("w") * F.col("w")).alias("q2"), F.count(F.lit(1)).alias("n"))
     if operator == Operator.AND:
         need = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))

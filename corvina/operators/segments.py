@@ -287,9 +287,9 @@ class Segments:
         """The published index of the field ``terms``: weights are made as postings are read, for the terms that are asked for."""
         at = self.published()
         vocab = self._snapshot(at, "vocab").where("field = 'terms'").drop("field")
-        tf = self.postings(at).where("field = 'terms'")
+        tf = self.postings(at).where("field = 'terms'").select("term", "doc_id", "tf")
         w = tf.join(vocab.select("term", "idf"), "term").select("term", "doc_id", "tf", (tf_sublinear(F.col("tf")) * F.col("idf")).alias("w"))
-        return Index(w, vocab, self._snapshot(at, "doc_norm"), self._snapshot(at, "corpus_stats"))
+        return Index(w, vocab, self._snapshot(at, "doc_norm"), self._snapshot(at, "corpus_stats"), tf)
 
     def field_index(self) -> FieldIndex:
         """The published index of all fields."""
