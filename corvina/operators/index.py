@@ -1,4 +1,4 @@
-"""The inverted index as four tables: postings, vocabulary, document norms, number of documents."""
+"""The inverted index as four tables: counts (of which postings are made), vocabulary, document norms, number of documents."""
 
 from __future__ import annotations
 
