@@ -16,7 +16,7 @@ from corvina.config import Config, load_config, setup_logging
 from corvina.functions import guess
 from corvina.functions.text import Lemmas, dictionary, preprocess, reductions, tokenize
 from corvina.operators.fielded import FieldIndex, clauses, field_search, field_terms
-from corvina.operators.grams import TABLES, boosts
+from corvina.operators.grams import TABLES, boosts, many_boosts
 from corvina.operators.index import Index
 from corvina.operators.parse import parse_pages, read_infobox_string
 from corvina.operators.results import formatted, infobox_details, load_titles, title_places, with_titles
@@ -142,9 +142,9 @@ class Engine:
         return with_titles(self.pages, found)
 
     def search_many(self, questions: DataFrame, operator: Operator = Operator.AND, n: int = 10) -> DataFrame:
-        """query_id, rank, doc_id, score, title, infobox_title for a table of questions (query_id, question), in one job."""
+        """query_id, rank, doc_id, score, title, infobox_title for a table of questions (query_id, question), in one job. Boosts are looked up in the index of titles."""
         asked = preprocess(questions, set(self.config.preprocessor_components) - {SAVER}, self.stop_words, self.lemmas, text="question")
-        found = search_many(self.index, asked, operator, n, stems=self.stems)
+        found = search_many(self.index, asked, operator, n, near=lambda said: many_boosts(self.grams, self.boxes, said))
         return found.join(self.pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left").select("query_id", "rank", "doc_id", "score", "title", "infobox_title")
 
     def details(self, titles: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvina.functions.stem import stem
+from corvina.operators.index import FEW_TERMS
 from corvina.operators.search import KEY, TITLE, VALUE
 
 LENGTH = 3
@@ -56,3 +57,21 @@ def boosts(grams: DataFrame, boxes: DataFrame, terms: Sequence[str]) -> DataFram
         every = every.unionByName(f)
     times = F.broadcast(spark.createDataFrame(list(said.items()), "stem string, times int"))
     return every.join(times, "stem").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("boost"))
+
+
+def many_boosts(grams: DataFrame, boxes: DataFrame, said: DataFrame) -> DataFrame:
+    """query_id, doc_id, boost of the documents that have any, as ``boosts``, for each of many questions. said: query_id, stem, times (written).
+
+    Each stem is looked up once, whatever number of questions has it, and no document is met with a stem that shares nothing with it.
+    """
+    few = F.broadcast if said.count() <= FEW_TERMS else lambda table: table
+    stems = said.select("stem").distinct()
+    runs = F.expr(f"transform(sequence(1, length(stem) - {LENGTH - 1}), i -> substring(stem, i, {LENGTH}))")
+    long = stems.where(F.length("stem") >= LENGTH).select("stem", (F.length("stem") - LENGTH + 1).alias("m"), F.posexplode(runs).alias("i", "gram"))
+    places = grams.join(few(long), "gram").groupBy("stem", "doc_id", (F.col("at") - F.col("i")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m")).where("n = m")
+    titles = places.select("stem", "doc_id")
+    for n in range(1, LENGTH):
+        titles = titles.unionByName(grams.select(F.substring("gram", 1, n).alias("stem"), "doc_id").join(few(stems.where(F.length("stem") == n)), "stem"))
+    words = boxes.select(F.col("word").alias("stem"), "doc_id", F.when(F.col("kind") == "k", KEY).otherwise(VALUE).alias("weight")).join(few(stems), "stem")
+    every = titles.distinct().withColumn("weight", F.lit(TITLE)).unionByName(words)
+    return every.join(few(said), "stem").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("boost"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions.stem import stem, stem_words, with_stem
 from corvina.functions.text import SPACES
-from corvina.operators.index import FEW_TERMS, Index
+from corvina.operators.index import FEW_TERMS, Index, written
 from corvina.plans.args import Operator
 
 # What a query term in the title, in a key and in a value of the infobox adds.
@@ -116,29 +116,35 @@ def search(index: Index, terms: Sequence[str], operator: Operator = Operator.AND
     return out if pages is None else out.join(pages.select("doc_id", "title", F.col("infobox.name").alias("infobox_title")), "doc_id", "left")
 
 
-def search_many(index: Index, questions: DataFrame, operator: Operator = Operator.AND, n: int = 10, digits: int = 9, stems: DataFrame | None = None) -> DataFrame:
+def search_many(index: Index, questions: DataFrame, operator: Operator = Operator.AND, n: int = 10, digits: int = 9, stems: DataFrame | None = None, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, rank, doc_id, score: for each question what ``search`` finds, all in one job. questions: query_id, terms (array; preprocessed), a row a question.
 
     Questions are sent to the postings (up to FEW_TERMS of their terms), whose rows of asked terms are dealt out by document, so what a document has of each question is
     added up in one place. The first n of each are cut off in every task before they are sent (a window with a limit), so that a question of very many hits brings
-    n rows a task. stems: page_stems, for boosts.
+    n rows a task. Boosts (query_id, doc_id, boost) of the questions' stems (query_id, stem, times; written) are looked up by ``near``, if it is given, or in what is made of stems
+    (page_stems); they go with the norm of their document, so a hit without any costs nothing.
     """
     if operator not in (Operator.AND, Operator.OR):
         raise ValueError(f"no such operator: {operator}")
+    if stems is not None and near is None:
+        from corvina.operators import grams  # which is made of this module's weights
+
+        near = lambda said: grams.many_boosts(grams.title_grams(stems), grams.box_words(stems), said)
     asked = questions.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     few = F.broadcast if asked.count() <= FEW_TERMS else lambda table: table
     known = index.vocab.select("term").join(few(asked), "term")
+    if near is not None:
+        known = written(known, "known")  # the stemmer's plan is not to be repeated in the search's
     hits = index.met(few(index.vocab.select("term", "idf").join(few(asked.select("term")), "term", "left_semi"))).repartition("doc_id")
     along = hits.join(few(known), "term").groupBy("doc_id", "query_id").agg(F.sum(F.col("w") * F.col("w")).alias("q2"), F.count(F.lit(1)).alias("n"))
     if operator == Operator.AND:
         need = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
         along = along.join(few(need), "query_id").where("n = need")
-    scored = along.join(index.doc_norm.hint("shuffle_hash"), "doc_id").select("query_id", "doc_id", F.sqrt(F.col("q2") / F.col("norm2")).alias("score"))
-    if stems is not None:
-        said = with_stem(known, "term").groupBy("query_id").agg(F.collect_list(F.struct("stem", "times")).alias("said"))  # of one question
-        hit = lambda x: F.coalesce(F.contains("t", x["stem"]).cast("int"), F.lit(0)) * TITLE + F.coalesce(F.array_contains("k", x["stem"]).cast("int"), F.lit(0)) * KEY + F.coalesce(F.array_contains("v", x["stem"]).cast("int"), F.lit(0)) * VALUE
-        boosted = scored.join(stems, "doc_id", "left").join(few(said), "query_id")
-        scored = boosted.select("query_id", "doc_id", (F.col("score") + F.aggregate("said", F.lit(0.0), lambda a, x: a + hit(x) * x["times"])).alias("score"))
-    scored = scored.withColumn("score", F.round("score", digits))
+    norms, more = index.doc_norm, F.lit(0.0)
+    if near is not None:
+        said = written(with_stem(known, "term").where("query_id is not null").groupBy("query_id", "stem").agg(F.sum("times").alias("times")), "said")
+        boosts = near(said).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "boost"))).alias("boosts"))
+        norms, more = norms.join(boosts, "doc_id", "left"), F.coalesce(F.try_element_at("boosts", F.col("query_id")), F.lit(0.0))
+    scored = along.join(norms.hint("shuffle_hash"), "doc_id").select("query_id", "doc_id", F.round(F.sqrt(F.col("q2") / F.col("norm2")) + more, digits).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")
